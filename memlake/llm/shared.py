@@ -75,3 +75,8 @@ def bounded_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
         return rows
     share = bound / n
     return rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Arrow batches of few rows, as single texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
