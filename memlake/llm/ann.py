@@ -2,7 +2,7 @@
 
 Each block of vectors holds one sorted array for each of PROJECTIONS random directions. A query takes in every array the window around its own
 projection; a vector collides once for each array in whose window it lies. Windows that hold too few vectors are widened step by step (virtual
-rehashing: no array is built anew) until at least VERIFIED of a block's vectors (and k) collide THRESHOLD of PROJECTIONS times; exactly these are
+rehashing: no array is built anew) until at least VERIFIED of a block's vectors (and 20 k) collide THRESHOLD of PROJECTIONS times; exactly these are
 verified by their inner product in double precision. As all arrays of a block are sorted once, a window is a range of ranks, and collisions are counted by
 comparing ranks.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .shared import table
 
-PROJECTIONS, THRESHOLD, VERIFIED, K = 128, 56, 0.10, 20
+PROJECTIONS, THRESHOLD, VERIFIED, K = 240, 104, 0.12, 20
 FIRST, WIDER = 0.45, 1.12
 VECTORS, QUERIES, TILE = 8192, 4096, 64
 
@@ -76,7 +76,7 @@ class Block:
     def search(self, ids: np.ndarray, q: np.ndarray, k: int):
         """(query, vector, score) arrays of the best k verified vectors of each query."""
         projected = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ _directions(q.shape[1] + 1)[:-1]
-        needed = min(len(self.ids), max(k + 1, int(np.ceil(VERIFIED * len(self.ids)))))
+        needed = min(len(self.ids), max(20 * k + 1, int(np.ceil(VERIFIED * len(self.ids)))))
         widths = np.full(len(q), FIRST)
         out = []
         for at in range(0, len(q), TILE):

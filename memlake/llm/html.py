@@ -2,7 +2,7 @@
 
 A page is a sequence of tags and words. Words score positive and tags negative; how much, and which elements are boilerplate,
 is learned from labelled pages: the log ratio of words in kept and in dropped parts, by tag, role and class or id
-token. Words inside a boilerplate element score nothing and its opening tag scores the element's weight once. One linear scan finds the contiguous region with the
+token. Words inside a boilerplate element score nothing and its opening tag scores the element's weight once, ISLAND at worst. One linear scan finds the contiguous region with the
 largest sum; it is widened to whole blocks, and to the smallest element learned as a content container that holds it. The text is that of
 the region's blocks outside boilerplate elements.
 
@@ -34,7 +34,8 @@ BLOCK = frozenset("address article aside blockquote body button caption center d
 CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody")}
 SCOPE = frozenset("table td th ul ol dl div article section main aside nav header footer form body html blockquote".split())
 KEPT_TAGS = frozenset("html body article main".split())
-BOILERPLATE, CONTENT = -1.0, 0.5
+#: An element under BOILERPLATE is dropped, one over CONTENT is a container; a dropped element inside the text costs ISLAND words at most.
+BOILERPLATE, CONTENT, ISLAND = -1.0, 0.5, -2.0
 
 
 def labelled_pages() -> list[str]:
@@ -92,8 +93,8 @@ class Weights:
                 n = len(page[at : m.start() if m else None].split())
                 keep = stack[-1][2]
                 total[keep] += n
-                for own in {f for _, fs, own in stack for f in fs if own == keep}:
-                    words[keep][own] += n
+                for feature in next((fs for _, fs, own in reversed(stack) if fs), ()):
+                    words[keep][feature] += n
                 if m is None or not m["name"]:
                     continue
                 at, name = m.end(), m["name"].lower()
@@ -104,7 +105,7 @@ class Weights:
                     said = _attributes(m["rest"]).get("data-keep")
                     own = keep if said is None else int(said)
                     tags[own][name] += 1
-                    stack.append((name, features(name, m["rest"]), own))
+                    stack.append((name, [] if said is None else features(name, re.sub(r"data-keep=\S*", "", m["rest"])), own))  # a label speaks for its element, not for what lies inside
         self.element = {f: math.log((words[1][f] + 1) / total[1] * total[0] / (words[0][f] + 1)) for f in words[0] | words[1]}
         self.cost = {t: min(3.0, max(0.05, 0.05 + 0.2 * math.log((tags[0][t] + 1) / total[0] * total[1] / (tags[1][t] + 1)))) for t in tags[0] | tags[1]}
 
@@ -115,8 +116,9 @@ class Weights:
             return 0.0 if tag in ("html", "body") else max(0.6, self.element.get(fs[0], 0))
         if tag == "head":
             return 2 * BOILERPLATE
-        worst = min((self.element.get(f, 0) for f in fs), default=0)
-        return worst if worst < BOILERPLATE else 0.0
+        weights = [self.element.get(f, 0) for f in fs]
+        worst = min(weights)
+        return worst if worst < BOILERPLATE else max([0.0, *weights[1:]])
 
 
 @functools.cache
@@ -203,7 +205,7 @@ def _read(page: str, weights: Weights, reset: bool):
                 pop()
         weight = weights.of(name, m["rest"])
         if not inside:
-            scores.append(min(weight, 0.0) - weights.cost.get(name, 0.05))
+            scores.append(max(min(weight, 0.0), ISLAND) - weights.cost.get(name, 0.05))
         stack.append((name, inside, len(scores) if weight > CONTENT and not inside else None))
         inside = inside or weight < BOILERPLATE
     ended()
