@@ -1,6 +1,517 @@
-"""Queries by name and the SQL that gives the same rows."""
+"""Queries by name over the test tables, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from memlake.functions import scoring, text
+from memlake.operators import chunk, ingest, lifecycle, profile, reconcile, retrieve, scan, sharing, stats
+from memlake.plans import sql
+from memlake.schema import SearchOptions
+from memlake.sources import views, webhook
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _m(spark, d, vector=False):
+    return views.memories(spark, d, vector)
+
+
+def _probe(spark, d):
+    """The first benchmark item's first five words (bounded: one row), and vector 0 as a one-row frame."""
+    words = views.read(spark, d, "benchmark").where("item_id = 0").select(F.slice(text.words(F.col("text")), 1, 5).alias("w")).first()["w"]
+    vector = views.read(spark, d, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("qv"))
+    return [t for w in words for t in __import__("re").findall(r"[^\W_]+", w.lower())], vector
+
+
+# --- scans and filters
+
+
+@query(sql.LIST_FILTERED)
+def list_filtered(spark, d):
+    return scan.page(scan.list_filter(_m(spark, d), category="events", tags=["en"]), 40, 0, "importance").select("id", "category", F.round("importance", 6).alias("importance"))
+
+
+@query(sql.LIST_PAGED)
+def list_paged(spark, d):
+    return scan.page(scan.live(_m(spark, d)), 25, 50).select("id", F.date_format("created_at", "yyyy-MM-dd").alias("day"))
+
+
+@query(sql.COUNT_FILTERED)
+def count_filtered(spark, d):
+    return scan.list_filter(_m(spark, d), tier="core", memory_type="session").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(sql.POINT_LOOKUP)
+def point_lookup(spark, d):
+    return scan.by_id(_m(spark, d), "m5").select("id", "state", "content")
+
+
+@query(sql.VECTOR_LOOKUP)
+def vector_lookup(spark, d):
+    return scan.vector_by_id(_m(spark, d, True), "m7").select("id", F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("v0"), F.size("vector").cast("long").alias("dims"))
+
+
+@query(sql.PROVENANCE_LOOKUP)
+def provenance_lookup(spark, d):
+    return scan.by_provenance(_m(spark, d), "m17").select("id", "provenance_source_id")
+
+
+@query(sql.VISIBILITY)
+def visibility_filter(spark, d):
+    return scan.live(_m(spark, d)).where(scan.visible_to("agent-1", ["team/a"])).select("id", "visibility", "owner_agent_id")
+
+
+@query(sql.BATCH_DELETE)
+def batch_delete_preview(spark, d):
+    return scan.live(_m(spark, d)).where(scan.batch_delete_filter("src1", ["en"], before="2024-02-15")).agg(F.count(F.lit(1)).alias("would_delete"))
+
+
+@query(sql.SOFT_DELETE)
+def soft_delete(spark, d):
+    return scan.soft_delete(_m(spark, d), F.col("category") == "cases").groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("version").alias("versions"))
+
+
+@query(sql.UPSERT)
+def upsert(spark, d):
+    m = _m(spark, d).select("id", "content", "version", "state")
+    changed = m.where("version = 2").select("id", F.concat(F.lit("new "), "content").alias("content"), (F.col("version") + 1).alias("version"), "state")
+    return scan.upsert(m, changed).select("id", F.length("content").cast("long").alias("n"), "version", F.sha2(F.col("content").cast("binary"), 256).alias("sha"))
+
+
+@query(sql.SPACE_UNION)
+def space_union(spark, d):
+    m = _m(spark, d).select("id", "space_id", "state")
+    copy = m.where("space_id = 'team/a'").withColumn("space_id", F.lit("org/x"))
+    return scan.space_rows(m.unionByName(copy), ["personal/u0", "team/a", "org/x"]).select("id", "space_id")
+
+
+# --- statistics
+
+
+@query(sql.BY_DIMENSION)
+def stats_by_dimension(spark, d):
+    return stats.by_dimension(scan.live(_m(spark, d)))
+
+
+@query(sql.AVERAGES)
+def stats_averages(spark, d):
+    return stats.averages(scan.live(_m(spark, d)))
+
+
+@query(sql.TIMELINE)
+def stats_timeline(spark, d):
+    return stats.timeline(scan.live(_m(spark, d)), views.as_of(), 30)
+
+
+@query(sql.TAGS)
+def stats_tags(spark, d):
+    return stats.tag_counts(scan.live(_m(spark, d)), 20, 15)
+
+
+@query(sql.CROSS_TAGS)
+def stats_cross_space_tags(spark, d):
+    return stats.cross_space_tags(scan.live(_m(spark, d)))
+
+
+@query(sql.TOP_CATEGORIES)
+def top_categories(spark, d):
+    return stats.top_categories(scan.live(_m(spark, d)), "space_id").select("space_id", "category", "n", F.col("rank").cast("long").alias("rank"))
+
+
+@query(sql.SPACES)
+def stats_spaces(spark, d):
+    return stats.space_overview(scan.live(_m(spark, d)), views.spaces(spark))
+
+
+@query(sql.SHARING_SUMMARY)
+def stats_sharing_summary(spark, d):
+    return stats.sharing_summary(views.sharing_events(spark, d))
+
+
+@query(sql.SHARING_FLOW)
+def stats_sharing_flow(spark, d):
+    return stats.sharing_flow(views.sharing_events(spark, d))
+
+
+@query(sql.SHARING_NODES)
+def stats_sharing_nodes(spark, d):
+    return stats.sharing_nodes(views.sharing_events(spark, d))
+
+
+@query(sql.SHARING_TIMELINE)
+def stats_sharing_timeline(spark, d):
+    return stats.sharing_timeline(views.sharing_events(spark, d))
+
+
+@query(sql.RECENT)
+def stats_recent_activity(spark, d):
+    return stats.recent_activity(views.sharing_events(spark, d))
+
+
+@query(sql.EVENT_LIST)
+def sharing_event_list(spark, d):
+    e = views.sharing_events(spark, d)
+    return e.where((F.col("from_space") == "personal/u2") | (F.col("to_space") == "personal/u2")).orderBy(F.desc("timestamp"), F.desc("id")).limit(100).select("id", "action", "to_space")
+
+
+@query(sql.AGENTS)
+def stats_agents(spark, d):
+    return stats.agent_activity(scan.live(_m(spark, d)), views.sharing_events(spark, d))
+
+
+@query(sql.EDGES)
+def relation_edges(spark, d):
+    return stats.edges(scan.live(_m(spark, d)), 0.2)
+
+
+@query(sql.NODES)
+def relation_nodes(spark, d):
+    return stats.nodes(scan.live(_m(spark, d)), 0.5, 60)
+
+
+# --- lifecycle
+
+
+@query(sql.COMPOSITE)
+def decay_composite(spark, d):
+    return lifecycle.with_composite(scan.live(_m(spark, d)), views.as_of()).select("id", F.round(scoring.recency(views.as_of()), 6).alias("recency"), F.round(scoring.frequency(views.as_of()), 6).alias("frequency"), F.round("composite", 6).alias("composite"))
+
+
+@query(sql.CURVE)
+def decay_curve(spark, d):
+    return lifecycle.decay_curve(spark, 0.5, 90, 31)
+
+
+@query(sql.STALE)
+def stale_memories(spark, d):
+    from memlake.schema import DecayOptions
+
+    floorless = DecayOptions(floor={"core": 0.0, "working": 0.0, "peripheral": 0.0})
+    return lifecycle.stale(scan.live(_m(spark, d)), views.as_of(), floorless).select("id", F.round("composite", 6).alias("composite"))
+
+
+@query(sql.TIERS)
+def tier_transitions(spark, d):
+    return lifecycle.transitions(scan.live(_m(spark, d)), views.as_of()).select("id", "tier", "new_tier")
+
+
+@query(sql.TTL)
+def ttl_expired(spark, d):
+    return lifecycle.expired(_m(spark, d), views.as_of()).select("id", F.col("ttl").cast("long").alias("ttl"))
+
+
+@query(sql.ARCHIVE)
+def archive_superseded(spark, d):
+    return lifecycle.archive_superseded(_m(spark, d), views.as_of(), 30).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- retrieval
+
+
+@query(sql.VECTOR_TOPK)
+def vector_topk(spark, d):
+    return retrieve.vector_topk(_m(spark, d, True), _probe(spark, d)[1], 20)
+
+
+@query(sql.VECTOR_TOPK_FILTERED)
+def vector_topk_filtered(spark, d):
+    return retrieve.vector_topk(_m(spark, d, True), _probe(spark, d)[1], 20, 0.1, F.col("space_id") == "team/a")
+
+
+@query(sql.BM25)
+def bm25_topk(spark, d):
+    return retrieve.bm25_topk(scan.live(_m(spark, d)), _probe(spark, d)[0], 20)
+
+
+@query(sql.BM25_POST)
+def bm25_postfilter(spark, d):
+    return retrieve.bm25_topk(scan.live(_m(spark, d)), _probe(spark, d)[0], 20, F.col("category") == "profile")
+
+
+def _legs(spark, d, limit=10):
+    words, vector = _probe(spark, d)
+    m = _m(spark, d, True)
+    return m, retrieve.vector_topk(m, vector, 3 * limit), retrieve.bm25_topk(scan.live(m), words, 3 * limit)
+
+
+@query(sql.FUSION)
+def rrf_fusion(spark, d):
+    _, v, t = _legs(spark, d)
+    return retrieve.fuse(v, t).select("id", F.round("score", 9).alias("score"))
+
+
+@query(sql.NORMALISED)
+def rrf_normalize(spark, d):
+    _, v, t = _legs(spark, d)
+    return retrieve.normalise(retrieve.fuse(v, t)).select("id", F.round("score", 6).alias("score"))
+
+
+@query(sql.HYBRID)
+def hybrid_search(spark, d):
+    return retrieve.hybrid(*_legs(spark, d), views.as_of())
+
+
+@query(sql.TRACE)
+def retrieval_trace(spark, d):
+    return retrieve.trace(retrieve.stages(*_legs(spark, d), views.as_of())).select(F.col("pos").cast("long").alias("pos"), "stage", "output_count", "low", "high")
+
+
+@query(sql.DIVERSITY)
+def diversity_penalty(spark, d):
+    m = scan.live(_m(spark, d)).where("category = 'profile'").select("id", "content", (F.col("importance") + F.col("confidence") + 0.1).alias("score"))
+    top = m.orderBy(F.desc("score"), "id").limit(60)
+    return retrieve.diversify(top).select("id", F.round("score", 6).alias("score"))
+
+
+@query(sql.CROSS_SPACE)
+def cross_space_search(spark, d):
+    words, vector = _probe(spark, d)
+    m = _m(spark, d, True).where("state <> 'deleted'")
+    from pyspark.sql import Window
+
+    scored = m.where("vector is not null").join(F.broadcast(vector)).select("space_id", "id", F.round(scoring.cosine(F.col("vector"), F.col("qv")), 6).alias("score"))
+    top = lambda rows: rows.withColumn("_n", F.row_number().over(Window.partitionBy("space_id").orderBy(F.desc("score"), "id"))).where("_n <= 30").drop("_n")
+    t = retrieve.bm25_scores(m, words).join(m.select("id", "space_id"), "id").select("space_id", "id", "score")
+    ranked = retrieve.hybrid(m, top(scored), top(t), views.as_of(), SearchOptions(), ["space_id"])
+    return retrieve.cross_space(ranked, views.spaces(spark), 20)
+
+
+# --- ingest
+
+
+@query(sql.DEDUP)
+def session_dedup(spark, d):
+    s = views.sessions(spark, d)
+    return ingest.new_messages(s.where("conv_id % 3 = 0"), s.where("conv_id % 2 = 0")).select("id", "content_hash")
+
+
+@query(sql.SESSION_COUNTS)
+def session_counts(spark, d):
+    return views.sessions(spark, d).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("role").alias("roles"))
+
+
+@query(sql.BUDGET)
+def message_budget(spark, d):
+    return ingest.budget(views.sessions(spark, d), "conv_id", "turn", max_bytes=2000).select("conv_id", "turn")
+
+
+@query(sql.REDACT)
+def privacy_redact(spark, d):
+    return ingest.redacted(views.messages(spark, d)).select("id", F.sha2(F.col("content").cast("binary"), 256).alias("sha"))
+
+
+@query(sql.NOISE)
+def noise_filter(spark, d):
+    return ingest.without_noise(views.messages(spark, d)).select("id")
+
+
+@query(sql.ENVELOPE)
+def envelope_strip(spark, d):
+    wrapped = F.concat(F.lit("bot: System: [10:00] Channel general\n"), "content", F.lit('\nSender (untrusted metadata): {"a":\n 1}\nend'))
+    return views.sessions(spark, d).select("id", F.sha2(text.strip_envelope(wrapped).cast("binary"), 256).alias("sha"))
+
+
+@query(sql.TRANSCRIPT)
+def transcript_tail(spark, d):
+    return ingest.transcript(views.sessions(spark, d), "conv_id", "turn", 4, 200).select("conv_id", "turn", F.length("content").cast("long").alias("n"))
+
+
+@query(sql.BLOCKS)
+def message_blocks(spark, d):
+    return ingest.message_block(views.sessions(spark, d), "conv_id", "turn", 1000).select("conv_id", F.sha2(F.col("block").cast("binary"), 256).alias("sha"))
+
+
+def _facts(spark, d):
+    b = views.read(spark, d, "benchmark").select(F.col("item_id").alias("fact_id"), F.col("text").alias("l0"), F.get(F.array(*map(F.lit, ("profile", "preferences", "entities", "events", "cases", "patterns"))), (F.col("item_id") % 6).cast("int")).alias("category"), F.concat("text", F.lit(" and more words")).alias("source_text"))
+    v = views.read(spark, d, "embeddings").select(F.col("vec_id").alias("fact_id"), F.col("embedding").alias("vector"))
+    return b.join(v, "fact_id").where("fact_id < 50")
+
+
+def _with_update(spark, d):
+    return _m(spark, d, True).withColumn("updated_at", F.col("created_at"))
+
+
+@query(sql.GATHER)
+def gather_existing(spark, d):
+    facts = _facts(spark, d)
+    return ingest.candidates(facts, _with_update(spark, d)).select("fact_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(sql.ADMISSION)
+def admission_score(spark, d):
+    facts = _facts(spark, d)
+    out = ingest.admission(facts.drop("vector"), ingest.candidates(facts, _with_update(spark, d), 5, -1.0), views.as_of())
+    return out.select("fact_id", "score", "decision")
+
+
+@query(sql.SLOTS)
+def preference_slots(spark, d):
+    m = views.messages(spark, d).withColumn("slot", text.preference_slot(F.col("content"))).where("slot is not null")
+    return m.select("id", "slot.brand", "slot.item")
+
+
+@query(sql.GUARD)
+def preference_guard(spark, d):
+    m = views.messages(spark, d).withColumn("category", F.lit("preferences"))
+    facts = m.select(F.col("id").alias("fact_id"), F.when(F.col("conv_id") % 2 == 0, "I love mocha from starbucks").otherwise("I like latte from Starbucks").alias("l0"), "category")
+    return ingest.guarded(facts, m).select("fact_id")
+
+
+def _decisions(spark, d):
+    b = views.read(spark, d, "benchmark")
+    return b.select(F.concat(F.lit("d"), "item_id").alias("decision_id"), F.get(F.array(*map(F.lit, (*reconcile.ACTIONS, "unknown"))), (F.col("item_id") % 8).cast("int")).alias("action"), F.col("item_id").alias("fact_id"), F.concat(F.lit("m"), (F.col("item_id") * 3) % 50).alias("match_id"), F.concat(F.lit("merged "), "text").alias("merged_content"))
+
+
+@query(sql.RECONCILE)
+def reconcile_apply(spark, d):
+    m = _m(spark, d)
+    b = views.read(spark, d, "benchmark")
+    facts = b.select(F.col("item_id").alias("fact_id"), F.col("text").alias("l0"), F.get(F.array(*map(F.lit, ("profile", "preferences", "entities", "events", "cases", "odd"))), (F.col("item_id") % 6).cast("int")).alias("category"))
+    out = reconcile.apply(m, reconcile.resolve(_decisions(spark, d), facts, m))
+    return out.select("id", F.sha2(F.col("content").cast("binary"), 256).alias("sha"), "category", "state", F.round("confidence", 6).alias("confidence"), "superseded_by", "n_relations", "version")
+
+
+@query(sql.CROSS_RECONCILE)
+def cross_reconcile(spark, d):
+    e = views.read(spark, d, "embeddings")
+    none = F.array().cast("array<struct<relation_type:string,target_id:string,context_label:string>>")
+    m = e.select(F.concat(F.lit("m"), "vec_id").alias("id"), F.lit("active").alias("state"), F.col("embedding").alias("vector"), none.alias("relations"))
+    return reconcile.near_edges(m, 0.3)
+
+
+# --- sharing
+
+
+@query(sql.ACCESS)
+def space_access(spark, d):
+    return sharing.access(views.spaces(spark))
+
+
+@query(sql.SPACES_OF)
+def spaces_for_user(spark, d):
+    return sharing.spaces_of(views.spaces(spark), "u1").select("id", "space_type")
+
+
+@query(sql.SHARE_FILTERED)
+def share_filtered(spark, d):
+    m = scan.live(_m(spark, d)).where("space_id = 'personal/u2'").where(sharing.share_filter(["preferences", "events", "cases"], ["en", "t6"], 0.3))
+    return sharing.copies(m, F.lit("team/a")).select("id", "space_id", "provenance_source_id", "source_version", F.col("access_count").cast("long").alias("access_count"), "version", "visibility")
+
+
+@query(sql.AUTO_SHARE)
+def auto_share(spark, d):
+    return sharing.matched_rules(scan.live(_m(spark, d)), views.rules(spark))
+
+
+@query(sql.IDEMPOTENT)
+def share_idempotent(spark, d):
+    m = _m(spark, d)
+    return sharing.not_yet_shared(m, "team/a").where("state <> 'deleted' and space_id = 'org/x'").select("id")
+
+
+@query(sql.OUTCOME)
+def share_outcome(spark, d):
+    m = _m(spark, d)
+    ids = spark.range(120).select(F.concat(F.lit("m"), F.col("id") * 12 + 5).alias("id"))
+    return sharing.share_outcome(m, ids, "personal/u1")
+
+
+@query(sql.STALE_COPIES)
+def stale_copies(spark, d):
+    return sharing.stale_copies(_m(spark, d))
+
+
+# --- profile and context
+
+
+@query(sql.PROFILE_STATIC)
+def profile_static(spark, d):
+    return profile.static_facts(_m(spark, d))
+
+
+@query(sql.PROFILE_DYNAMIC)
+def profile_dynamic(spark, d):
+    return profile.dynamic_context(_m(spark, d), views.as_of())
+
+
+@query(sql.CONTEXT)
+def context_block(spark, d):
+    return profile.context_lines(scan.live(_m(spark, d)), 600).select("id", "category", "spent")
+
+
+@query(sql.LABELS)
+def age_labels(spark, d):
+    t = F.col("created_at")
+    return scan.live(_m(spark, d)).select("id", text.age_label(t, views.as_of()).alias("age"), text.relative_age(t, views.as_of()).alias("short_age"), text.token_estimate(F.col("content")).cast("long").alias("tokens"), F.length(text.preview(F.col("content"))).cast("long").alias("preview_chars"), F.round(scoring.utility(F.col("l0_abstract")), 6).alias("utility"))
+
+
+@query(sql.TAGS_OF)
+def container_tags(spark, d):
+    return _m(spark, d).select("tenant_id").distinct().select("tenant_id", text.container_tag("user", F.col("tenant_id")).alias("tag"), text.space_id(F.concat(F.lit("team:"), "tenant_id", F.lit(":x"))).alias("space_id"))
+
+
+@query(sql.SIMILAR)
+def word_similarity(spark, d):
+    b = views.read(spark, d, "benchmark")
+    a, c = b.select(F.col("item_id").alias("a"), F.col("text").alias("ta")), b.select((F.col("item_id") - 1).alias("a"), F.col("text").alias("tb"))
+    rows = a.join(c, "a")
+    return rows.select("a", F.round(text.jaccard(text.word_set(F.col("ta")), text.word_set(F.col("tb")), 1.0), 6).alias("plain"), F.round(text.jaccard(text.trimmed_word_set(F.col("ta")), text.trimmed_word_set(F.col("tb")), 0.0), 6).alias("trimmed"))
+
+
+# --- texts and files
+
+
+@query(sql.CONTENT_TYPE)
+def content_type_detect(spark, d):
+    marked = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("# "), "text")).when(F.col("doc_id") % 7 == 1, F.concat("text", F.lit("\nuser: a\nassistant: b\nuser: c"))).otherwise(F.col("text"))
+    return views.read(spark, d, "documents").select("doc_id", text.content_type(marked).alias("kind"))
+
+
+@query(sql.SECTIONS)
+def split_sections(spark, d):
+    marked = F.regexp_replace("text", "\n(The|And|A)", "\n# $1")
+    docs = views.read(spark, d, "documents").select("doc_id", marked.alias("text"))
+    return chunk.sections(docs, "doc_id", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.max(F.length("section")).cast("long").alias("longest"))
+
+
+@query()
+def smart_split(spark, d):
+    return chunk.chunked(views.read(spark, d, "documents"), "doc_id", "text", 4000, 200).select("doc_id", "part", F.length("chunk").cast("long").alias("n"))
+
+
+@query()
+def code_chunks(spark, d):
+    return chunk.blocks(views.read(spark, d, "pages").select("page_id", F.regexp_replace("html", "</p>", "\n\n").alias("html")), "page_id", "html").select("page_id", "part", "start_line", "end_line")
+
+
+@query(sql.WEBHOOK)
+def webhook_commits(spark, d):
+    e = views.read(spark, d, "events")
+    commit = F.struct(F.sha2(F.col("event_id").cast("string").cast("binary"), 256).alias("id"), F.concat(F.lit("fix "), "event_type").alias("message"), F.struct(F.concat(F.lit("u"), "user_id").alias("name")).alias("author"), F.array(F.concat(F.lit("src/a"), F.col("event_id") % 5, F.lit(".py"))).alias("added"), F.array(F.lit("README.md")).alias("modified"))
+    payload = F.to_json(F.struct(F.struct(F.concat(F.lit("r"), F.col("user_id") % 3).alias("full_name")).alias("repository"), F.array(commit).alias("commits")))
+    rows = e.select(F.lit("push").alias("event"), payload.alias("payload"))
+    return webhook.commits(rows).select("repo", "kind", "content", F.array_join("tags", "|").alias("tags"))
+
+
+@query()
+def noise_learning(spark, d):
+    from memlake.streaming import flows
+
+    e = views.read(spark, d, "embeddings")
+    rows = e.select(F.concat(F.lit("u"), F.col("vec_id") % 5).alias("tenant_id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vector"), (F.col("vec_id") % 11 == 0).alias("noisy"))
+    return flows.noise_by_tenant(rows)
