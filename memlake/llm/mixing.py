@@ -9,8 +9,8 @@ finds nonnegative rates r with sum_d r_d * tokens_d * P_dk = target_k: from r =
 which is a gradient step scaled by 1 / tokens_d (so rates don't depend on lengths) and by G^-1 (so that step 1 is safe). Only the K residuals reach
 the driver; as the steps are few and short, a document's rate is folded from them wherever it is needed, without a join.
 
-Targets: weights of the domains, or by default their natural shares to the power TEMPERATURE. The token budget is the least at which no domain needs thinning, so rates
-are 1 or more where posteriors are, and no document is lost.
+Targets: weights of the domains, or by default their natural shares to the power TEMPERATURE. With these, the token budget is the
+least at which every rate is 1 or more, so no document is lost; with given weights, the least at which no domain's tokens shrink.
 
 Defined cases: null text counts as empty and has 0 tokens; null labels are not learned from; documents that repeat get equal rates; an empty table
 gives an empty result; without labels there is one domain and all rates are 1; other columns are kept by mixed().
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .shared import bounded_sample, cut, remove, table, text_of
 
-LABELLED, BUCKETS, TEMPERATURE, ROUNDS, MAX_DOMAINS = 4000, 4096, 0.7, 100, 64
+LABELLED, BUCKETS, TEMPERATURE, ROUNDS, MAX_DOMAINS = 4000, 4096, 0.7, 50, 64
 
 
 def _words(text: Column) -> Column:
@@ -91,12 +91,12 @@ def _once(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
-def rate_of(posterior: Column, steps: list[np.ndarray], k: int) -> Column:
-    """max(0, .) folded over the steps taken, from 1."""
-    rate = F.lit(1.0)
+def rate_of(steps: list[np.ndarray], posterior: str = "_posterior") -> Column:
+    """max(0, .) folded over the steps taken, from 1, as one SQL expression over the column `posterior`."""
+    rate = "1D"
     for step in steps:
-        rate = F.greatest(F.lit(0.0), rate - sum((F.get(posterior, F.lit(i)) * float(step[i]) for i in range(k)), F.lit(0.0)))
-    return rate
+        rate = f"greatest(0D, {rate} - ({' + '.join(f'{float(x)!r}D * {posterior}[{i}]' for i, x in enumerate(step))}))"
+    return F.expr(rate)
 
 
 def solve(rows: DataFrame, k: int, weights: list[float] | None = None) -> list[np.ndarray]:
@@ -113,11 +113,16 @@ def solve(rows: DataFrame, k: int, weights: list[float] | None = None) -> list[n
     want = want / want.sum()
     target = want * (natural[want > 0] / want[want > 0]).max()
     inverse = np.linalg.pinv(g + np.eye(k) * 1e-12 * np.trace(g))
+    lowest = (1 - inverse @ (natural - target)).min()  # the rate of a document wholly of the domain that needs least
+    if weights is None and 0 < lowest < 1:
+        target = target / lowest
     steps: list[np.ndarray] = []
+    before = None
     for _ in range(ROUNDS):
-        now = np.array(rows.select(rate_of(F.col("_posterior"), steps, k).alias("r"), "_tokens", "_posterior").agg(*(F.sum(F.col("r") * F.col("_tokens") * x) for x in p)).first()) if steps else natural
-        if np.abs(now - target).max() <= 1e-9 * target.sum():
-            break
+        now = np.array(rows.select(rate_of(steps).alias("r"), "_tokens", "_posterior").agg(*(F.sum(F.col("r") * F.col("_tokens") * x) for x in p)).first()) if steps else natural
+        if np.abs(now - target).max() <= 1e-9 * target.sum() or before is not None and np.abs(now - before).max() <= 1e-6 * target.sum():
+            break  # the targets are met, or as near as nonnegative rates come
+        before = now
         steps.append(inverse @ (now - target))
     return steps
 
@@ -138,7 +143,7 @@ def copies_of(rate: Column) -> Column:
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domains are languages, learned from the documents in `labels`; one row for each document."""
     domains, steps, rows = rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    rate = rate_of(F.col("_posterior"), steps, len(domains.names))
+    rate = rate_of(steps)
     named = F.map_from_arrays(F.array(*map(F.lit, domains.names)), F.col("_posterior"))
     best = F.get(F.array(*map(F.lit, domains.names)), (F.array_position("_posterior", F.array_max("_posterior")) - 1).cast("int"))
     out = rows.withColumn("rate", rate)
@@ -149,5 +154,5 @@ def mixed(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """docs repeated so that the domains' expected tokens meet the targets."""
     domains, steps, rows = rates(docs, labelled)
     remove(rows)
-    copies = copies_of(rate_of(F.col("_posterior"), steps, len(domains.names)))
+    copies = copies_of(rate_of(steps))
     return with_posteriors(docs, domains).select(*docs.columns, F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy")).select(*docs.columns)

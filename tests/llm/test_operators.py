@@ -1,0 +1,326 @@
+"""Operators that SQL can't express: brute force, exact round trips and held-out accuracy on small tables."""
+
+import collections
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from memlake.llm import ann, html, licenses, mixing, neighbours, packing, quality, toxicity
+from memlake.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+
+
+@pytest.fixture(scope="module")
+def larger(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+
+def odd_documents(spark):
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "word " * 30_000, "en", "s", 1), (4, "same text here now ok", "en", None, 1), (4, "same text here now ok", "en", None, 1), (5, "same text here now ok", None, "s", 1), (None, "no id", "en", "s", 5)]
+    return spark.createDataFrame([(*r, "clash", 1.0) for r in rows], DOCS + ", score string, quality double")
+
+
+# --- packing
+
+
+def test_tokenizer_twins_agree(documents):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    slow.encode_special_tokens = True
+    fast = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [r.text for r in documents.select("text").collect()] + ["", "<|endoftext|>", " \n\t  x", "é ü 漢字 👍🏽", "a" * 5000, "'s 't don't", "x  " * 100]
+    assert all(fast(t).tolist() == slow.encode(t, add_special_tokens=False).ids for t in texts)
+
+
+@pytest.mark.parametrize("which", ["documents", "odd", "empty"])
+def test_packing_places_every_id_once(spark, documents, which):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = {"documents": documents, "odd": odd_documents(spark), "empty": documents.limit(0)}[which]
+    rows = packing.pack_texts(docs, path).collect()
+    encode = packing.encoder(path)
+    ids = [(r.doc_id, np.append(encode(r.text or ""), 0).astype("<u4")) for r in docs.select("doc_id", "text").collect()]
+    want = collections.Counter()
+    for doc, x in ids:
+        want[doc] += len(x)
+    assert sum(r.length for r in rows) == sum(want.values())
+    texts = dict(ids)
+    by_seq = collections.defaultdict(list)
+    for r in rows:
+        own = texts[r.doc_id]
+        assert r.doc_tokens == len(own) and r.ids_crc32 == zlib.crc32(own[r.start : r.start + r.length].tobytes()) and r.length > 0
+        by_seq[r.sequence_id].append((r.offset, r.length))
+    padding = total = 0
+    for pieces in by_seq.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 1024 and len(pieces) <= packing.SEGMENTS
+        padding += 0 if at & (at - 1) == 0 else 1024 - at
+        total += at
+    assert padding <= 0.01 * total + 1024
+    assert len(by_seq) == len(set(by_seq))
+
+
+def test_instruction_packing_keeps_every_limit():
+    r = np.random.RandomState(1)
+    packer = packing.Packer(1000, 8, 400, cut=False, pool=64)
+    items = {i: (int(r.randint(1, 700)), 0) for i in range(500)}
+    items = {i: (n, int(r.randint(0, min(n, 400) + 1))) for i, (n, _) in items.items()}
+    out = [p for i, (n, k) in items.items() for p in packer.add(i, n, k)] + list(packer.finish())
+    assert sorted(p[0] for p in out) == sorted(items)
+    by = collections.defaultdict(list)
+    for key, _, n, seq, _ in out:
+        by[seq].append(key)
+    for keys in by.values():
+        assert sum(items[k][0] for k in keys) <= 1000 and sum(items[k][1] for k in keys) <= 400 and len(keys) <= 8
+    least = max(sum(n for n, _ in items.values()) / 1000, sum(k for _, k in items.values()) / 400)
+    assert len(by) <= 1.2 * least
+    with pytest.raises(ValueError):
+        list(packer.add("long", 1001, 1))
+
+
+def test_pack_examples_on_spark(spark):
+    df = spark.createDataFrame([(i, 100 + i, i) for i in range(50)], "example_id long, tokens long, loss_tokens long")
+    rows = packing.pack_examples(df, 1024, 16, 512).collect()
+    assert sorted(r.example_id for r in rows) == list(range(50))
+
+
+# --- near duplicates
+
+
+def brute_links(rows):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    above = {i: i for i in sets}
+
+    def find(x):
+        while above[x] != x:
+            x = above[x]
+        return x
+
+    links = collections.Counter()
+    ids = sorted(sets)
+    for a in range(len(ids)):
+        for b in range(a + 1, len(ids)):
+            x, y = sets[ids[a]], sets[ids[b]]
+            if x and y and 5 * len(x & y) >= 4 * len(x | y):
+                links[ids[a]] += 1
+                links[ids[b]] += 1
+                p, q = find(ids[a]), find(ids[b])
+                above[max(p, q)] = min(p, q)
+    return {i: (find(i), links[i], len(sets[i])) for i in ids}
+
+
+def test_join_equals_brute_force(spark, documents):
+    base = [f"w{i}" for i in range(120)]
+    r = np.random.RandomState(3)
+    extra = []
+    for i in range(60):  # a group larger than a block when BLOCK is small, with similarities around the threshold
+        words = list(base)
+        for _ in range(r.randint(0, 6)):
+            words[r.randint(120)] = f"x{r.randint(1000)}"
+        extra.append((10_000 + i, " ".join(words)))
+    rows = [tuple(x) for x in documents.select("doc_id", "text").collect()] + extra + [(20_000, ""), (20_001, None), (20_002, "a b"), (20_003, "A  b"), (20_004, "a b c")]
+    out = neighbours.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.class_id, x.n_links, x.n_shingles) for x in out} == brute_links(rows)
+
+
+def test_blocks_of_large_groups_meet(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 8)
+    monkeypatch.setattr(neighbours, "BROADCAST_NODES", 0)
+    r = np.random.RandomState(4)
+    rows = []
+    for i in range(50):
+        words = [f"w{j}" for j in range(100)]
+        words[r.randint(100)] = f"y{i}"
+        words[r.randint(100)] = f"z{i}"
+        rows.append((i, " ".join(words)))
+    out = neighbours.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.class_id, x.n_links, x.n_shingles) for x in out} == brute_links(rows)
+
+
+def test_odd_and_empty_tables(spark, documents):
+    out = neighbours.near_duplicates(odd_documents(spark)).collect()
+    assert len(out) == 7 and {r.n_links for r in out if r.doc_id in (4, 5)} == {2}
+    assert neighbours.near_duplicates(documents.limit(0)).count() == 0
+    kept = neighbours.keep_one_of_each(odd_documents(spark))
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "None"] and kept.columns == odd_documents(spark).columns
+
+
+def test_pruning_keeps_pairs_at_the_threshold():
+    fewest = neighbours.fewest_matches()
+    assert list(fewest) == sorted(fewest) and fewest[0] < 0.8 * neighbours.ROUND and fewest[-1] > 0.4 * neighbours.ROUND * len(fewest)
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (100, 102), (200, 200)]
+    out = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert out == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100}
+
+
+# --- neighbours of vectors
+
+
+def test_recall_ties_and_odd_vectors(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    found = ann.search(rows, rows.where("vec_id % 20 = 0")).collect()
+    data = rows.collect()
+    ids = np.array([r.vec_id for r in data])
+    x = np.array([r.embedding for r in data], dtype=float)
+    by = collections.defaultdict(list)
+    for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):
+        by[r.query_id].append((r.vec_id, r.score))
+    hits = 0
+    for q in ids[ids % 20 == 0]:
+        s = x @ x[ids == q][0]
+        order = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:20]
+        assert len(by[q]) == 20 and all(abs(score - s[ids == v][0]) < 1e-12 for v, score in by[q])
+        assert [v for v, _ in by[q]] == [v for v, _ in sorted(by[q], key=lambda p: (-p[1], p[0]))]
+        hits += len({v for v, _ in by[q]} & set(ids[order]))
+    assert hits >= 0.9 * 20 * len(by)
+    odd = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, []), (20, [0.0, 1.0]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (40, [float("inf"), 0.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in odd], "vec_id long, embedding array<double>, score int")
+    out = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.search(df, df.where("vec_id % 20 = 0")).collect()}
+    assert out == {(0, 1): (1, 2.0), (0, 2): (2, 2.0), (0, 3): (20, 0.0), (20, 1): (0, 0.0), (20, 2): (1, 0.0), (20, 3): (2, 0.0)}
+    assert ann.search(df.limit(0), df).count() == 0
+
+
+# --- pages
+
+
+PAGES = {
+    "": "",
+    "<p>just &amp; text</p>": "just & text",
+    "<div class='cookie-notice'>We use cookies</div>": "",
+    "<nav><a href=x>menu</a></nav><article><h1>T</h1><p>One  two\nthree.<p>Four&nbsp;five<br>six.</p><script>var x='</p>'</script><aside>Related words</aside><p>Of.</p></article><footer>foot</footer>": "T\nOne two three.\nFour five six.\nOf.",
+    "<body><header>Site name</header><div id='mainContent'><h2>Head</h2><p>Body text of some length stands here.</p><div class='ad-slot'>buy this now</div><p>End.</p><ol class='comment-list'><li>I disagree with all of this</li></ol></div><div class='sidebar'>side words here</div>": "Head\nBody text of some length stands here.\nEnd.",
+    "<article><p>a &lt; b</p><!-- <p>no</p> --><table><tr><td>1<td>2</table><form>Name <input></form></article>": "a < b\n1\n2",
+    "<div class=nav><article><p>Inside an element never closed</p></article>": "Inside an element never closed",
+    "<article><p>cut off <a href='x": "cut off",
+}
+
+
+def test_main_text():
+    assert {p: html.main_text(p) for p in PAGES} == PAGES
+    assert html.main_text(None) == "" and html.main_text("<" * 5000) is not None
+
+
+def test_pages_of_the_table(spark):
+    import re
+    from html import unescape
+
+    rows = html.op8_html_extraction(spark, SF).collect()
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    assert len(rows) == len(pages)
+    for r in rows:
+        inner = pages[r.page_id].split("<article>", 1)[1].split("</article>", 1)[0]
+        blocks = [" ".join(unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
+        assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+# --- classifiers
+
+
+def test_toxicity_on_held_out_rows(spark, larger, labels):
+    weights, bias = toxicity.fit(larger, labels)
+    out = toxicity.with_toxicity(larger.select("doc_id", "text"), weights, bias).join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 4 = 2").collect()
+    right = [(r.score >= toxicity.THRESHOLD) == bool(r.toxic) for r in out]
+    assert len(right) > 80 and np.mean(right) > 0.88  # a tenth of the labels are wrong
+    odd = toxicity.with_toxicity(odd_documents(spark), weights, bias, "p").collect()
+    assert len(odd) == 7 and len({r.p for r in odd if r.doc_id in (1, 2)}) == 1
+    nothing = toxicity.fit(larger, labels.limit(0))
+    assert nothing[0] == {} and toxicity.with_toxicity(larger.limit(0), *nothing).count() == 0
+
+
+def test_nonnegative_risk_learns_from_unlabelled_rows():
+    r = np.random.RandomState(0)
+    y = r.rand(4000) < 0.2
+    x = np.stack([np.where(y, r.rand(4000) < 0.8, r.rand(4000) < 0.02), r.rand(4000) < 0.5], axis=1).astype(float)
+    w = toxicity.fit_nnpu(x[:400][y[:400]], x[400:], 0.2)
+    p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    assert np.mean((p > 0.5) == (x[:, 0] > 0)) > 0.99
+
+
+def test_quality_and_shrinkage(spark, larger, labels):
+    model = quality.fit(larger, labels)
+    scored = quality.with_quality(larger, labels).join(labels.withColumnRenamed("quality", "label"), "doc_id").collect()
+    assert np.mean([(r.quality >= 0.5) == bool(r.label) for r in scored]) > 0.85
+    rows = [("a", "a/x", 0.9)] * 200 + [("b", "b/x", 0.1)] * 200 + [("c", "c/x", 0.1)] + [("a", "a/y", 0.1)] * 2 + [(None, None, 0.5)]
+    sites, mean = quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double"))
+    got = {r.path: r for r in sites.collect()}
+    assert abs(got["a/x"].path_posterior - 0.9) < 0.02 and abs(got["b/x"].host_posterior - 0.1) < 0.02
+    assert got["c/x"].path_posterior >= 0.1 and None in got and abs(mean - 0.5) < 0.05
+    odd = quality.with_quality(odd_documents(spark).drop("quality"), labels)
+    assert odd.count() == 7 and model is not None
+    assert quality.fit(larger, labels.limit(0)) is None and quality.remove_poor(larger.limit(0), labels).count() == 0
+
+
+# --- mixing
+
+
+def test_rates_meet_the_targets(spark, larger, labels):
+    domains, steps, rows = mixing.rates(larger, labels)
+    data = rows.select("_tokens", "_posterior", mixing.rate_of(steps).alias("rate")).collect()
+    a = np.array([r._posterior for r in data]) * np.array([r._tokens for r in data])[:, None]
+    rate = np.array([r.rate for r in data])
+    want = (a.sum(0) / a.sum()) ** mixing.TEMPERATURE
+    assert rate.min() > 1 - 1e-9 and np.allclose(rate @ a / (rate @ a).sum(), want / want.sum(), atol=1e-6)
+    truth = {r.doc_id: r.lang for r in larger.collect()}
+    best = rows.select("doc_id", "_posterior").collect()
+    assert np.mean([domains.names[int(np.argmax(r._posterior))] == truth[r.doc_id] for r in best]) > 0.95
+    mixed = mixing.mixed(larger, labels)
+    assert mixed.columns == larger.columns and {r.doc_id for r in mixed.select("doc_id").collect()} == set(truth)
+
+
+def test_projection_keeps_rates_nonnegative(spark):
+    r = np.random.RandomState(2)
+    p = r.dirichlet([0.5, 0.5, 0.5], 300)
+    rows = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(r.randint(1, 100, 300), p, strict=True)], "_tokens long, _posterior array<double>")
+    steps = mixing.solve(rows, 3, [1.0, 0.05, 0.05])
+    data = rows.select("_tokens", "_posterior", mixing.rate_of(steps).alias("r")).collect()
+    got = np.sum([np.array(x._posterior) * x._tokens * x.r for x in data], axis=0)
+    assert min(x.r for x in data) == 0 and got[0] / got.sum() > 0.8
+    assert mixing.mixed(odd_documents(spark), spark.createDataFrame([(3,), (4,)], "doc_id long")).count() >= 7
+    assert mixing.mixed(odd_documents(spark).limit(0), spark.createDataFrame([], "doc_id long")).count() == 0
+
+
+# --- licences
+
+
+def test_licences(spark):
+    mit = licenses.TEXTS["MIT"]
+    rows = [(1, mit), (2, "Copyright (c) 2020 Someone\n\n" + mit.upper()), (3, "Some text.\nReleased under the MIT Licence!\nMore."), (4, mit[:-30]), (5, None), (6, ""), (7, licenses.NOTICES["GPL-3.0"]), (8, "x\n\n" + licenses.TEXTS["0BSD"].replace("\n", " ") + "\n\ny")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, digest string")
+    out = {(r.doc_id, r.license): (r.n_units, r.whole) for r in licenses.scan(df).collect()}
+    assert out == {(1, "MIT"): (1, True), (2, "MIT"): (2, True), (3, "MIT"): (1, False), (7, "GPL-3.0"): (1, True), (8, "0BSD"): (2, False)}
+    assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_licences_equal_their_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    theirs = con.execute(licenses.ORACLE_SQL).fetchall()
+    ours = [(r.doc_id, r.license, r.n_units, r.whole) for r in licenses.op6_license_scan(spark, SF).collect()]
+    assert sorted(ours) == sorted(theirs) and ours
