@@ -1,8 +1,10 @@
 """Toxicity by non-negative positive-unlabelled learning: numpy models, scored over whole texts.
 
 Fitting. Confirmed toxic documents (at most POSITIVES) and documents taken without their labels (at most UNLABELLED), both picked by a hash
-of doc_id and freed of equal texts, are turned into sets of words. A word is a feature if the lower bound of its log
-ratio of document rates, toxic against unlabelled, exceeds MIN_RATIO. A logistic model over these then minimises
+of doc_id and freed of equal texts, are turned into sets of words and of their beginnings (inflected words share those). One is a feature if the probability of being
+toxic that it alone tells, prior * (its rate in toxic documents) / (its rate in unlabelled ones), is over MIN_POSTERIOR at the lower bound of Z deviations;
+of nested ones with equal counts one is kept. A feature's value is log(1 + 10 n / sqrt(words)) for n occurrences: a stem that
+a long text holds once by chance says less than two in a short one. A logistic model over these then minimises
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
@@ -15,7 +17,9 @@ largest; rows that repeat score alike; without any positive all scores are the p
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -25,23 +29,50 @@ from pyspark.sql import functions as F
 from .shared import bounded_sample, cut, fold, remove, small_batches, table, text_of
 
 POSITIVES, UNLABELLED, FEATURES = 4000, 12000, 512
-MIN_RATIO, MIN_DOCS, THRESHOLD = np.log(2.0), 3, 0.3
+MIN_POSTERIOR, Z, MIN_DOCS, THRESHOLD = 0.25, 2.5, 3, 0.3
 WORD = re.compile(r"\w+")
 
 
-def words(text: str | None) -> set[str]:
-    return set(WORD.findall((text or "").lower()))
+#: Lengths of beginnings of words, marked by a star.
+STEMS = (4, 5, 6, 7, 8)
 
 
-def _words(column: str):
+def terms(text: str | None) -> set[str]:
+    found = set(WORD.findall((text or "").lower()))
+    return found | {w[:k] + "*" for w in found for k in STEMS if len(w) >= k}
+
+
+def reader(vocabulary: dict[str, int]):
+    """A function from a text to its features, {index: value}."""
+    whole = {w: i for w, i in vocabulary.items() if not w.endswith("*")}
+    stems = {w[:-1]: i for w, i in vocabulary.items() if w.endswith("*")}
+    lengths, heads = sorted({len(x) for x in stems}), {x[: STEMS[0]] for x in stems}
+
+    def read(text: str | None) -> dict[int, float]:
+        tokens = WORD.findall((text or "").lower())
+        found: Counter = Counter()
+        for w, n in Counter(tokens).items():
+            if w in whole:
+                found[whole[w]] += n
+            if w[: STEMS[0]] in heads:
+                for k in lengths:
+                    if len(w) >= k and w[:k] in stems:
+                        found[stems[w[:k]]] += n
+        scale = 10 / math.sqrt(max(1, len(tokens)))
+        return {i: math.log1p(n * scale) for i, n in sorted(found.items())}
+
+    return read
+
+
+def _terms(column: str):
     @F.pandas_udf("array<string>")
     def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: sorted(words(t)))
+        return text.map(lambda t: sorted(terms(t)))
 
     return run(column)
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-3) -> np.ndarray:
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
     """Weights, the last of them the bias, that minimise the non-negative risk under the logistic loss."""
     p, u = (np.hstack([x, np.ones((len(x), 1))]) for x in (positive, unlabelled))
     w = np.zeros(p.shape[1])
@@ -71,35 +102,48 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
     rows = docs.select("doc_id", text_of().alias("text")).where(fold() != 2)
     taken = rows.join(F.broadcast(confirmed), "doc_id").select(F.lit(1).alias("positive"), "text")
     taken = taken.unionByName(bounded_sample(rows, "doc_id", UNLABELLED).select(F.lit(0).alias("positive"), "text"))
-    sample = cut(taken.dropDuplicates(["positive", "text"]).select("positive", _words("text").alias("words")), "toxicity")
+    sample = cut(taken.dropDuplicates(["positive", "text"]), "toxicity")
     sizes = dict(sample.groupBy("positive").count().collect())
     n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
     if not n_p or not n_u:
         return {}, bias
-    counts = sample.select("positive", F.explode("words").alias("word")).groupBy("word").agg(F.sum("positive").alias("a"), F.sum(1 - F.col("positive")).alias("b")).where(F.col("a") >= MIN_DOCS)
+    counts = sample.select("positive", F.explode(_terms("text")).alias("word")).groupBy("word").agg(F.sum("positive").alias("a"), F.sum(1 - F.col("positive")).alias("b")).where(F.col("a") >= MIN_DOCS)
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    bound = F.log(a / (n_p + 1)) - F.log(b / (n_u + 1)) - 1.64 * F.sqrt(1 / a + 1 / b)
-    chosen = counts.select("word", bound.alias("bound")).where(F.col("bound") > float(MIN_RATIO)).orderBy(F.desc("bound"), "word").limit(FEATURES)
-    vocabulary = {r.word: i for i, r in enumerate(chosen.collect())}
-    found = F.filter("words", lambda w: w.isin(*vocabulary)) if vocabulary else F.array().cast("array<string>")
-    rows = sample.select("positive", found.alias("found")).collect()  # bounded by the samples
+    bound = F.lit(float(np.log(prior))) + F.log(a / (n_p + 1)) - F.log(b / (n_u + 1)) - Z * F.sqrt(1 / a + 1 / b)
+    chosen = counts.select("word", "a", "b", bound.alias("bound")).where(F.col("bound") > float(np.log(MIN_POSTERIOR))).orderBy(F.desc("bound"), F.length("word"), "word").limit(8 * FEATURES)
+    vocabulary: dict[str, int] = {}
+    taken_: dict[tuple, list[str]] = {}
+    for r in chosen.collect():
+        stem, same = r.word.rstrip("*"), taken_.setdefault((r.a, r.b), [])
+        if len(vocabulary) < FEATURES and not any(stem.startswith(x) or x.startswith(stem) for x in same):
+            vocabulary[r.word] = len(vocabulary)
+            same.append(stem)
+    read = reader(vocabulary)
+
+    @F.pandas_udf("map<int,double>")
+    def features(text: pd.Series) -> pd.Series:
+        return text.map(read)
+
+    rows = sample.select("positive", features("text").alias("x")).collect()  # bounded by the samples
     remove(sample)
-    parts = {}
-    for kind, size in ((1, n_p), (0, n_u)):
-        x = parts[kind] = np.zeros((size, len(vocabulary)), dtype=np.float64)
-        for i, r in enumerate(r for r in rows if r.positive == kind):
-            x[i, [vocabulary[w] for w in r.found]] = 1
+    parts = {kind: np.zeros((size, len(vocabulary))) for kind, size in ((1, n_p), (0, n_u))}
+    at = {0: 0, 1: 0}
+    for r in rows:
+        for i, v in r.x.items():
+            parts[r.positive][at[r.positive], i] = v
+        at[r.positive] += 1
     weights = fit_nnpu(parts[1], parts[0], prior)
     return {w: float(weights[i]) for w, i in vocabulary.items()}, float(weights[-1])
 
 
 def with_toxicity(docs: DataFrame, weights: dict[str, float], bias: float, column: str = "score") -> DataFrame:
     """docs with the probability of being toxic."""
-    known = frozenset(weights)
+    names = sorted(weights)
+    read, w = reader({x: i for i, x in enumerate(names)}), [weights[x] for x in names]
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        f = np.array([bias + sum(weights[w] for w in sorted(known & words(t))) for t in text], dtype=float)
+        f = np.array([bias + sum(w[i] * v for i, v in read(t).items()) for t in text], dtype=float)
         return pd.Series(1 / (1 + np.exp(-np.clip(f, -500, 500))))
 
     small_batches(docs.sparkSession)

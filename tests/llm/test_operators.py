@@ -247,7 +247,7 @@ def test_toxicity_on_held_out_rows(spark, larger, labels):
     weights, bias = toxicity.fit(larger, labels)
     out = toxicity.with_toxicity(larger.select("doc_id", "text"), weights, bias).join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 4 = 2").collect()
     right = [(r.score >= toxicity.THRESHOLD) == bool(r.toxic) for r in out]
-    assert len(right) > 80 and np.mean(right) > 0.88  # a tenth of the labels are wrong
+    assert len(right) > 80 and np.mean(right) > 0.9
     odd = toxicity.with_toxicity(odd_documents(spark), weights, bias, "p").collect()
     assert len(odd) == 7 and len({r.p for r in odd if r.doc_id in (1, 2)}) == 1
     nothing = toxicity.fit(larger, labels.limit(0))
