@@ -49,8 +49,9 @@ def _suffixes(keyed: DataFrame, texts) -> DataFrame | None:
     held = cut(texts(members, count), "canonical")
     firsts = held.where((F.col("id") == F.col("first.id")) & (F.col("kind") == F.col("first.kind")))
     firsts = firsts.groupBy("key").agg(F.min("canonical").alias("first_text"))
-    odd = held.join(firsts, "key").where(F.col("canonical") != F.col("first_text"))
-    rank = F.dense_rank().over(Window.partitionBy("key").orderBy("canonical"))  # of collisions alone
+    odd = held.join(firsts, "key").where(F.col("canonical") != F.col("first_text")).select("id", "kind", "key", "canonical")
+    odd = cut(odd, "differing")  # written first, so that Spark may split a hot bucket in the join above; only collisions are left
+    rank = F.dense_rank().over(Window.partitionBy("key").orderBy("canonical"))
     out = cut(odd.select("id", "kind", F.concat(F.lit("-"), rank.cast("string")).alias("suffix"), F.xxhash64("canonical").alias("canonical_hash")).distinct(), "collisions")
     remove(members)
     remove(held)
