@@ -8,7 +8,7 @@ a long text holds once by chance says less than two in a short one. A logistic m
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
-by Adam; where the second part would turn negative, the step goes up its gradient instead. The class prior is the share of toxic labels among
+by Adam; where the second part would turn negative, the step goes up its gradient instead. The bias is then set so that the mean score of the unlabelled rows is the class prior, which is the share of toxic labels among
 labelled rows. Held-out rows (crc32 of doc_id as text, modulo 4, is 2) never take part, and labels, lang, source and doc_id are never inputs.
 
 Defined cases: a null text scores like an empty one; null labels count as unlabelled, several labels of a document as their
@@ -87,6 +87,10 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
         grad = grad + decay * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    low, high, f = -30.0, 30.0, u[:, :-1] @ w[:-1]
+    for _ in range(60):  # the bias at which unlabelled rows are toxic with the class prior, on average
+        w[-1] = (low + high) / 2
+        low, high = (w[-1], high) if (1 / (1 + np.exp(-np.clip(f + w[-1], -500, 500)))).mean() < prior else (low, w[-1])
     return w
 
 
