@@ -39,12 +39,17 @@ KEYWORDS = ("remember", "save this", "don't forget", "keep in mind", "note that"
 ROLE_MARKS = ("\nuser:", "\nUser:", "\nassistant:", "\nAssistant:", "\nHuman:", "\nhuman:", "\nAI:", "\nsystem:")
 
 
+def strip(text: Column) -> Column:
+    """Without white space at the ends; trim() knows spaces alone."""
+    return F.btrim(text, F.lit(" \t\n\r\f\v\u00a0\u3000"))
+
+
 def redact(text: Column) -> Column:
     return F.regexp_replace(text, PRIVATE, "[REDACTED]")
 
 
 def fully_private(text: Column) -> Column:
-    return F.trim(F.replace(redact(text), F.lit("[REDACTED]"), F.lit(""))) == ""
+    return strip(F.replace(redact(text), F.lit("[REDACTED]"), F.lit(""))) == ""
 
 
 def strip_envelope(text: Column) -> Column:
@@ -54,7 +59,7 @@ def strip_envelope(text: Column) -> Column:
 
 
 def is_noise(text: Column) -> Column:
-    t = F.trim(text)
+    t = strip(text)
     out = t == ""
     for pattern in NOISE:
         out = out | t.rlike(pattern)

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.functions.text import strip
+
 MAX_BYTES, OVERLAP = 80_000, 2_000
 
 
@@ -18,10 +20,10 @@ def sections(docs: DataFrame, id_: str, text: str) -> DataFrame:
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 
     def step(acc, line):
-        turn = start(line) & (F.trim(acc["now"]) != "")
+        turn = start(line) & (strip(acc["now"]) != "")
         return F.struct(F.when(turn, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"), F.concat(F.when(turn, "").otherwise(acc["now"]), line, F.lit("\n")).alias("now"))
 
-    whole = F.aggregate(lines, empty, step, lambda acc: F.when(F.trim(acc["now"]) != "", F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]))
+    whole = F.aggregate(lines, empty, step, lambda acc: F.when(strip(acc["now"]) != "", F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]))
     parts = F.when(F.size(whole) == 0, F.array(F.col(text))).otherwise(whole)
     return docs.select(id_, F.posexplode(parts).alias("part", "section"))
 
