@@ -92,7 +92,8 @@ def stages(memories: DataFrame, vector: DataFrame, words: DataFrame, now: Column
     stage("parallel_search", vector.select("id", "score").unionByName(words.select("id", "score")))
     fused = fuse(vector, words, o, by)
     columns = [c for c in ("content", "memory_type", "tier", "importance", "confidence", "access_count", "created_at", "last_accessed_at", "category") if c not in by]
-    fused = fused.join(memories.select("id", *columns), "id")
+    # at most 6 * limit rows a partition: kept, as the stages below read them several times and both legs scan the corpus
+    fused = fused.join(memories.select("id", *columns), "id").cache()
     r = stage("rrf_fusion", fused.withColumn("score", F.when(F.col("memory_type") == "pinned", F.col("score") * o.pinned_boost).otherwise(F.col("score"))))
     r = stage("rrf_normalize", normalise(r, by))
     r = stage("min_score_filter", r.where(F.col("score") >= o.min_score))
