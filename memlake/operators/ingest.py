@@ -52,14 +52,24 @@ def message_block(messages: DataFrame, by: str, order: str, longest: int = 8000)
     return rows.withColumn("block", F.when(F.length("block") <= longest, F.col("block")).otherwise(F.substring(tail, at + 1, F.lit(longest))))
 
 
-def candidates(facts: DataFrame, memories: DataFrame, k: int = 5, min_score: float = 0.3) -> DataFrame:
-    """(fact_id, id, score, rank): the k nearest memories of each fact. Facts are a request's (50 at most), so they are broadcast."""
+def candidates(facts: DataFrame, memories: DataFrame, k: int = 5, min_score: float = 0.3, block: int = 4096) -> DataFrame:
+    """(fact_id, id, score, rank): the k nearest memories of each fact. Facts and memories meet in blocks of about `block`: each pair of blocks is a group of its own."""
+    left = facts.select("fact_id", F.col("vector").alias("f_vector"))
     right = memories.where("state <> 'deleted' and vector is not null").select("id", F.col("vector").alias("m_vector"), "updated_at")
-    scored = right.join(F.broadcast(facts.select("fact_id", "vector"))).select("fact_id", "id", "updated_at", F.round(scoring.cosine(F.col("vector"), F.col("m_vector")), 6).alias("score"))
+    ways, met = zip(*(_blocks(rows, by, block) for rows, by in ((left, "fact_id"), (right, "id"))))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    pairs = left.select("*", met[0].alias("i"), every(ways[1]).alias("j")).join(right.select("*", every(ways[0]).alias("i"), met[1].alias("j")), ["i", "j"])
+    scored = pairs.select("fact_id", "id", "updated_at", F.round(scoring.cosine(F.col("f_vector"), F.col("m_vector")), 6).alias("score"))
     order = Window.partitionBy("fact_id").orderBy(F.desc("score"), "id")
     return scored.where(F.col("score") >= min_score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _blocks(rows: DataFrame, by: str, block: int) -> tuple[int, Column]:
+    """How many blocks of about `block` rows there are, and the block of a row."""
+    n = max(1, -(-rows.count() // block))
+    return n, F.pmod(F.xxhash64(by), F.lit(n)).cast("int")
+
+
 def gather(vector_leg: DataFrame, text_leg: DataFrame, cap: int = 60) -> DataFrame:
     """(id, ordinal): candidates of all facts by first appearance: each fact's vector matches, then its text matches. Both legs are (fact_id, id, rank), k a fact."""
     legs = vector_leg.select("id", F.struct("fact_id", F.lit(0).alias("leg"), "rank").alias("at")).unionByName(text_leg.select("id", F.struct("fact_id", F.lit(1).alias("leg"), "rank").alias("at")))

@@ -339,7 +339,7 @@ def message_blocks(spark, d):
 def _facts(spark, d):
     b = views.read(spark, d, "benchmark").select(F.col("item_id").alias("fact_id"), F.col("text").alias("l0"), F.get(F.array(*map(F.lit, ("profile", "preferences", "entities", "events", "cases", "patterns"))), (F.col("item_id") % 6).cast("int")).alias("category"), F.concat("text", F.lit(" and more words")).alias("source_text"))
     v = views.read(spark, d, "embeddings").select(F.col("vec_id").alias("fact_id"), F.col("embedding").alias("vector"))
-    return b.join(v, "fact_id").where("fact_id < 50")
+    return b.join(v, "fact_id")
 
 
 def _with_update(spark, d):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from memlake import schema
 from memlake.functions import seams
 from memlake.operators import chunk, ingest, reconcile, retrieve, scan, sharing
+from memlake.plans import registry
 from memlake.sources import store, views, webhook
 from memlake.streaming import flows
 
@@ -54,6 +55,26 @@ def test_budget_like_a_sequential_loop(spark):
     assert kept == want
 
 
+def test_candidates_of_more_facts_than_a_request_has(spark):
+    r = np.random.RandomState(1)
+    f, m = r.normal(size=(120, 6)), r.normal(size=(90, 6))
+    facts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(f)], "fact_id long, vector array<double>")
+    memories = spark.createDataFrame([(f"m{i}", "active", v.tolist()) for i, v in enumerate(m)], "id string, state string, vector array<double>").withColumn("updated_at", F.lit(0))
+    cosine = (f @ m.T) / np.linalg.norm(f, axis=1)[:, None] / np.linalg.norm(m, axis=1)
+    want = {(i, f"m{j}", n + 1) for i in range(120) for n, j in enumerate(sorted((j for j in range(90) if round(cosine[i, j], 6) >= 0.3), key=lambda j: (-round(cosine[i, j], 6), f"m{j}"))[:5])}
+    for block in (4096, 32):
+        assert {(x.fact_id, x.id, x["rank"]) for x in ingest.candidates(facts, memories, block=block).collect()} == want
+    plan = ingest.candidates(facts, memories)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in plan
+
+
+def test_every_fact_has_a_decision(spark, tmp_path):
+    rows = [(i, f"fact {i} of the user") for i in range(60)]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.range(60).selectExpr("id as vec_id", "array(cast(id as float), 1f) as embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert registry._facts(spark, str(tmp_path)).count() == 60
+
+
 def test_sections_and_chunks(spark):
     texts = ["# A\nx\n## B\ny\n", "plain", "", "\n# only\n\n## two\nz", "a\n\n# b\n# c"]
     docs = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
