@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import scoring, text
+from memlake.operators import retrieve
 
 MAX_MESSAGES, MAX_BYTES = 20, 200_000
 
@@ -70,11 +71,16 @@ def _blocks(rows: DataFrame, by: str, block: int) -> tuple[int, Column]:
     return n, F.pmod(F.xxhash64(by), F.lit(n)).cast("int")
 
 
-def gather(vector_leg: DataFrame, text_leg: DataFrame, cap: int = 60) -> DataFrame:
-    """(id, ordinal): candidates of all facts by first appearance: each fact's vector matches, then its text matches. Both legs are (fact_id, id, rank), k a fact."""
-    legs = vector_leg.select("id", F.struct("fact_id", F.lit(0).alias("leg"), "rank").alias("at")).unionByName(text_leg.select("id", F.struct("fact_id", F.lit(1).alias("leg"), "rank").alias("at")))
-    first = legs.groupBy("id").agg(F.min("at").alias("at")).orderBy("at", "id").limit(cap)
-    return first.withColumn("ordinal", F.row_number().over(Window.orderBy("at", "id")) - 1).select("id", "ordinal")
+def text_candidates(facts: DataFrame, memories: DataFrame, k: int = 5) -> DataFrame:
+    """(fact_id, id, score, rank): the k memories that match the first 200 characters of each fact's source text best by words."""
+    return retrieve.bm25_topk_each(memories.where("state <> 'deleted'"), facts.select("fact_id", F.substring("source_text", 1, 200).alias("query")), k, "fact_id")
+
+
+def gather(vector_leg: DataFrame, text_leg: DataFrame, cap: int = 60, by: list[str] = ()) -> DataFrame:
+    """(*by, id, ordinal): candidates of all facts of a request (`by`) by first appearance: each fact's vector matches, then its text matches. Both legs are (*by, fact_id, id, rank), k a fact."""
+    legs = vector_leg.select(*by, "id", F.struct("fact_id", F.lit(0).alias("leg"), "rank").alias("at")).unionByName(text_leg.select(*by, "id", F.struct("fact_id", F.lit(1).alias("leg"), "rank").alias("at")))
+    first = legs.groupBy(*by, "id").agg(F.min("at").alias("at"))
+    return first.withColumn("ordinal", F.row_number().over(Window.partitionBy(*by).orderBy("at", "id")) - 1).where(F.col("ordinal") < cap).select(*by, "id", "ordinal")
 
 
 def support(fact: Column, message: Column) -> Column:

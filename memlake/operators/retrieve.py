@@ -42,6 +42,25 @@ def bm25_topk(docs: DataFrame, query, k: int, where: Column | None = None, id_:
     return top if where is None else top.join(docs.where(where).select(id_), id_, "left_semi")
 
 
+def bm25_topk_each(docs: DataFrame, queries: DataFrame, k: int, by: str, block: int = 4096, id_: str = "id", content: str = "content") -> DataFrame:
+    """(`by`, id, score, rank): bm25_topk for each of many queries (`by`, query). Queries and documents meet in pairs of blocks, so a common term is dealt over all of them."""
+    asked = queries.select(by, F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    rows = docs.select(id_, tokens(F.col(content)).alias("w")).select(id_, F.size("w").alias("len"), "w")
+    n, average = rows.agg(F.count(F.lit(1)), F.avg("len")).first()
+    found = rows.select(id_, "len", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy(id_, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(average or 1.0))))
+    d, q = max(1, -(-n // block)), max(1, -(-queries.count() // block))
+    part = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = asked.join(df, "term").select(by, "term", idf.alias("idf"), part(by, q).alias("i"), every(d).alias("j"))
+    right = found.select(id_, "term", tf.alias("weight"), every(q).alias("i"), part(id_, d).alias("j"))
+    scored = left.join(right, ["i", "j", "term"]).groupBy(by, id_).agg(F.round(F.sum(F.col("idf") * F.col("weight")), 6).alias("score"))
+    order = Window.partitionBy(by).orderBy(F.desc("score"), id_)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def fuse(vector: DataFrame, words: DataFrame, o: SearchOptions = SearchOptions(), by: list[str] = ()) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists (id, score), within `by`."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "id"))

@@ -352,6 +352,14 @@ def gather_existing(spark, d):
     return ingest.candidates(facts, _with_update(spark, d)).select("fact_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query()
+def gather_both_legs(spark, d):
+    """Each fact is a request of its own, so all keep their candidates of both legs."""
+    facts, m = _facts(spark, d), _with_update(spark, d)
+    legs = [leg.withColumn("request", F.col("fact_id")) for leg in (ingest.candidates(facts, m), ingest.text_candidates(facts, m))]
+    return ingest.gather(*legs, by=["request"]).select(F.col("request").alias("fact_id"), "id", F.col("ordinal").cast("long").alias("ordinal"))
+
+
 @query(sql.ADMISSION)
 def admission_score(spark, d):
     facts = _facts(spark, d)

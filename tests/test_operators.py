@@ -75,6 +75,27 @@ def test_every_fact_has_a_decision(spark, tmp_path):
     assert registry._facts(spark, str(tmp_path)).count() == 60
 
 
+def test_text_leg_like_one_search_for_each_fact(spark):
+    m = scan.live(views.memories(spark, SF))
+    queries = [(i, " ".join(r.content.split()[3 * i : 3 * i + 9])) for i, r in enumerate(m.orderBy("id").limit(8).collect())] + [(98, "zzzz qqqq"), (99, "")]
+    want = {(i, r.id, r.score) for i, q in queries for r in retrieve.bm25_topk(m, spark.range(1).select(retrieve.tokens(F.lit(q))).first()[0], 5).collect()}
+    frame = spark.createDataFrame(queries, "fact_id long, query string")
+    for block in (4096, 50):
+        got = retrieve.bm25_topk_each(m, frame, 5, "fact_id", block).collect()
+        assert {(r.fact_id, r.id) for r in got} == {w[:2] for w in want} and sorted((r.fact_id, r.id, r.score) for r in got) == [(*w[:2], pytest.approx(w[2], abs=2e-6)) for w in sorted(want)]
+
+
+def test_gather_takes_both_legs_by_first_appearance(spark):
+    leg = lambda rows: spark.createDataFrame(rows, "request int, fact_id long, id string, rank int")
+    v = leg([(1, 1, "a", 1), (1, 1, "b", 2), (1, 2, "c", 1), (2, 3, "a", 1)])
+    t = leg([(1, 1, "d", 1), (1, 1, "a", 2), (1, 2, "b", 1), (1, 2, "e", 2), (2, 3, "f", 1)])
+    order = lambda rows: [r.id for r in rows.orderBy("ordinal").collect()]
+    assert order(ingest.gather(v.where("request = 1"), t.where("request = 1"))) == ["a", "b", "d", "c", "e"]
+    assert order(ingest.gather(v.where("request = 1"), t.where("request = 1"), 3)) == ["a", "b", "d"]
+    out = ingest.gather(v, t, by=["request"])
+    assert order(out.where("request = 1")) == ["a", "b", "d", "c", "e"] and order(out.where("request = 2")) == ["a", "f"]
+
+
 def test_sections_and_chunks(spark):
     texts = ["# A\nx\n## B\ny\n", "plain", "", "\n# only\n\n## two\nz", "a\n\n# b\n# c"]
     docs = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
