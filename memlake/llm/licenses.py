@@ -1,15 +1,18 @@
 """Licence scans by a canonical digest: entire texts are normalised, hashed and joined to the digests of known licences.
 
-An entire text is a whole document, or one of its lines or paragraphs (documents quote short notices as lines). Normalising lowers the case, drops
-copyright lines, brings equivalent spellings together and turns all that is no letter or digit into one space. The known texts pass through the same
+An entire text is a whole document, or one of its lines or paragraphs (documents quote short notices as lines), or the full text of a licence at any place
+of a document, however it is broken into lines and paragraphs. Normalising lowers the case, drops copyright statements, brings equivalent spellings together and turns all that is no letter or digit into one space. The known texts pass through the same
 expressions. Every known text holds one of ANCHORS, so texts without any can't match and are not normalised.
 
 Defined cases: null and empty texts match nothing; a document may match several licences, one row each; repeated rows count together, by doc_id;
-an empty table gives no rows; other columns are ignored. The known table is fixed and small, so it is broadcast.
+a full text that is also a line, paragraph or document counts as those; an empty table gives no rows; other columns are ignored. The known table is fixed and small, so it is broadcast.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,14 +45,23 @@ TEXTS = {
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution.",
 }
 TITLES = ("the mit license", "mit license", "mit no attribution", "isc license", "zero clause bsd license", "bsd zero clause license", "zlib license", "the zlib license")
-ANCHORS = ("licen", "permission", "mit no attribution")
+#: Full texts as published, one file each; of the licences in NOTICES those of AGPL-3.0, CC-BY-4.0 and CC-BY-NC-4.0 are missing.
+FILES = Path(__file__).parent / "license_texts"
+BSD_TITLES = ("bsd 2 clause license", "bsd 3 clause license", "the 2 clause bsd license", "the 3 clause bsd license", "simplified bsd license", "new bsd license", "bsd license")
+ANCHORS = ("licen", "permission", "mit no attribution", "redistribution and use", "redistribution\nand use")
 #: Spellings that count as equal.
 SPELLINGS = (("sublicence", "sublicense"), ("licence", "license"), ("acknowledgement", "acknowledgment"), ("acknowledgment", "acknowledgment"), ("judgement", "judgment"), ("non commercial", "noncommercial"), ("sub license", "sublicense"), ("and or", "and/or"), ("whilst", "while"), ("organisation", "organization"), ("https", "http"), ("copyright owner", "copyright holder"), ("version 2 0", "2 0"), ("v 2 0", "2 0"), ("version 3", "3"), ("v3", "3"))
 COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*$"
+_PROSE = "notice|notices|holder|holders|owner|owners|ownership|law|laws|license|licence|licenses|statement|statements|permission|interest|interests|right|rights|protection|treaty|claim|claims|disclaimer|information|status|material|and|or|on|in|is|of|to|for|as|with|from|that|this|under"
+#: A line that states a copyright: the word or sign with (c), a year, a blank to fill in or a holder. A sentence that goes on with 'copyright notice' is none, nor is the item (c) of a list.
+STATEMENT = (
+    r"(?m)^[^\p{L}\p{N}\n(\[<{]*(?:(?i:copyright)[ \t:,]*(?:(?i:\(c\))|©|[\[<{]|\d{4}|(?i:by )|(?!(?i:" + _PROSE + r")\b)\p{Lu})|©|(?i:\(c\))[ \t]*(?:(?i:copyright)|\d{4}))[^\n]*$"
+    r"|(?m)^[ \t]*(?i:all rights reserved)\.?[ \t]*$"
+)
 
 
 def normalised(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT, " ")
+    out = F.lower(F.regexp_replace(text, STATEMENT, " "))
     out = F.concat(F.lit(" "), F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     for old, new in SPELLINGS:
         if old != new:
@@ -57,14 +69,35 @@ def normalised(text: Column) -> Column:
     return F.trim(out)
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """(license, text): TEXTS and FILES, also without what follows their terms, and BSD texts without their numbers."""
+    rows = list(TEXTS.items())
+    for path in sorted(FILES.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        rows.append((path.stem, text))
+        terms = re.split(r"END OF TERMS AND CONDITIONS", text)
+        if len(terms) > 1:
+            rows += [(path.stem, terms[0]), (path.stem, f"{terms[0]}END OF TERMS AND CONDITIONS")]
+        if path.stem.startswith("BSD"):
+            rows.append((path.stem, re.sub(r"(?m)^\d\. ", "", text)))
+    return rows
+
+
 def known(spark: SparkSession) -> DataFrame:
     """(digest, license, kind): the fixed table, with and without a title line."""
-    rows = [(name, "notice", text) for name, text in NOTICES.items()] + [(name, "text", text) for name, text in TEXTS.items()]
+    full = full_texts()
+    rows = [(name, "notice", text) for name, text in NOTICES.items()] + [(name, "text", text) for name, text in full]
     rows += [(name, "text", f"{title}\n{text}") for name, text in TEXTS.items() for title in TITLES]
+    rows += [(name, "text", f"{title}\n{text}") for name, text in full if name.startswith("BSD") for title in BSD_TITLES]
     made = spark.createDataFrame(rows, "license string, kind string, text string")
     return made.select(F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("digest"), "license", "kind").dropDuplicates(["digest"])
 
 
+def _padded(text: Column) -> Column:
+    """Each word between spaces of its own, so texts that follow each other are all found."""
+    return F.concat(F.lit(" "), F.replace(normalised(text), F.lit(" "), F.lit("  ")), F.lit(" "))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, license, n_units, whole): how many entire texts of a document are a known licence or notice, and whether the document is one."""
     held = lambda c: F.greatest(*(F.contains(F.lower(c), F.lit(a)) for a in ANCHORS))
@@ -72,8 +105,14 @@ def scan(docs: DataFrame) -> DataFrame:
     parts = F.filter(F.concat(F.split("text", "\n"), F.split("text", r"\n[ \t]*\n")), lambda x: held(x) & (x != F.col("text")))
     units = F.concat(F.array(F.struct(F.col("text").alias("unit"), F.lit(True).alias("whole"))), F.transform(parts, lambda x: F.struct(x.alias("unit"), F.lit(False).alias("whole"))))
     units = docs.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.whole", F.sha2(normalised(F.col("u.unit")).cast("binary"), 256).alias("digest"))
-    found = units.join(F.broadcast(known(docs.sparkSession)), "digest")
-    return found.groupBy("doc_id", "license").agg(F.count(F.lit(1)).alias("n_units"), F.max("whole").alias("whole"))
+    found = units.join(F.broadcast(known(docs.sparkSession)), "digest").groupBy("doc_id", "license").agg(F.count(F.lit(1)).alias("n"), F.max("whole").alias("whole"))
+    full = docs.sparkSession.createDataFrame([(i, *row) for i, row in enumerate(full_texts())], "variant int, license string, text string").select("variant", "license", _padded(F.col("text")).alias("known"))
+    shortest = min(len(t) for _, t in full_texts()) // 2
+    inside = docs.where(F.length("text") >= shortest).select("doc_id", _padded(F.col("text")).alias("unit")).join(F.broadcast(full), F.contains("unit", "known"))
+    times = (F.length("unit") - F.length(F.replace("unit", "known", F.lit("")))) / F.length("known")
+    inside = inside.groupBy("doc_id", "license", "variant").agg(F.sum(times).cast("long").alias("n")).groupBy("doc_id", "license").agg(F.max("n").alias("n"))
+    both = found.unionByName(inside.withColumn("whole", F.lit(False)))
+    return both.groupBy("doc_id", "license").agg(F.max("n").alias("n_units"), F.max("whole").alias("whole"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

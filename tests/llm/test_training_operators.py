@@ -1,6 +1,7 @@
 """Operators that SQL can't express: brute force, exact round trips and held-out accuracy on small tables."""
 
 import collections
+import textwrap
 import zlib
 
 import duckdb
@@ -294,6 +295,24 @@ def test_licences(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_full_texts_of_licences_in_any_wrapping(spark):
+    wrapped = lambda t, n: "\n\n".join(textwrap.fill(x, n) for x in t.split("\n"))
+    mit, isc = licenses.TEXTS["MIT"], licenses.TEXTS["ISC"]
+    isc_lines = isc.replace("above copyright notice", "above\ncopyright notice")
+    file = {p.stem: p.read_text() for p in licenses.FILES.glob("*.txt")}
+    rows = [(i, name, text) for i, (name, text) in enumerate(sorted(file.items()))]
+    rows += [(100 + i, name, f"Readme of a tool.\n\n{wrapped(text, 60)}\n\nThe end.") for i, name, text in rows if name.startswith(("BSD", "Apache", "MPL"))]
+    rows += [(200, "MIT", f"MIT License\n\nCopyright (c) 2020 A\n\n{wrapped(mit, 70)}"), (201, "MIT", f"Intro\n\n{wrapped(mit, 70)}\n\nOutro"), (202, "ISC", f"Copyright 2020 A\n\n{isc_lines}"), (203, "MIT", f"{wrapped(mit, 70)}\n\n{wrapped(mit, 50)}")]
+    rows += [(300, None, file["GPL-3.0"][:-20000]), (301, None, wrapped(mit, 70).replace("sell", "buy"))]
+    out = {(r.doc_id, r.license): (r.n_units, r.whole) for r in licenses.scan(spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")).collect()}
+    # 202 counts as a document and as its one paragraph
+    assert out == {(i, name): (2 if i in (202, 203) else 1, i < 100 or i in (200, 202)) for i, name, _ in rows if name}
+    stated = ["Copyright (c) 2020 A", "copyright 1999 b", "© A", "Copyright The Authors", "(c) 2001 A", "All rights reserved."]
+    prose = ["copyright notice and this permission notice appear in all copies.", "COPYRIGHT HOLDERS BE LIABLE", "(c) You must retain", "copyrighted work"]
+    lines = spark.createDataFrame([(x,) for x in stated + prose], "t string").select("t", licenses.normalised(F.col("t")).alias("n")).collect()
+    assert [r.t for r in lines if not r.n] == stated
+
+
 def test_licences_equal_their_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
