@@ -7,8 +7,8 @@ largest sum; it is widened to whole blocks, and to the smallest element learned
 the region's blocks outside boilerplate elements.
 
 Defined cases: null and empty html give an empty text, as do pages of boilerplate alone; of equal sums the first region counts;
-unclosed elements end with their parent or the page; a page whose article lies inside an unclosed boilerplate element is
-read again with that element ended where the article starts; repeated rows are extracted each; other columns are ignored.
+unclosed elements end with their parent or the page; a page where an article, main or content container starts inside boilerplate elements
+that are never closed is read again with those ended where it starts, and the reading whose region scores higher counts; repeated rows are extracted each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -126,12 +126,17 @@ def learned() -> Weights:
     return Weights(labelled_pages())
 
 
-def _read(page: str, weights: Weights, reset: bool):
-    """(blocks, scores, containers): a block is (text, kept, first token, last token); a container (first token, last token); scores are by token."""
+def _read(page: str, weights: Weights, reopened: frozenset[int] | None = frozenset()):
+    """(blocks, scores, containers, lost): a block is (text, kept, first token, last token); a container (first token, last token); scores are by token.
+
+    lost: where the boilerplate elements start that are never closed and alone keep a content element from being read. Those in `reopened` (None: all, for
+    article and main) end where such an element starts."""
     blocks: list[tuple[str, bool, int, int]] = []
     scores: list[float] = []
     containers: list[tuple[int, int]] = []
-    stack: list[tuple[str, bool, int | None]] = []  # name, in boilerplate, where a container began
+    stack: list[tuple[str, bool, int | None, int | None]] = []  # name, in boilerplate, where a container began, where a boilerplate element starts
+    unclosed: set[int] = set()
+    around: set[frozenset[int]] = set()  # the boilerplate elements around a content element
     parts: list[str] = []
     at, inside = 0, False
 
@@ -148,9 +153,11 @@ def _read(page: str, weights: Weights, reset: bool):
                 scores.append(0.0 if inside else float(len(words)))
                 blocks.append((" ".join(words), not inside, start, start))
 
-    def pop() -> None:
+    def pop(closed: bool = False) -> None:
         nonlocal inside
-        name, before, began = stack.pop()
+        name, before, began, bad = stack.pop()
+        if bad is not None and not closed and name not in CLOSES and name != "p":
+            unclosed.add(bad)
         if began is not None:
             containers.append((began, len(scores) - 1))
         inside = before
@@ -172,7 +179,7 @@ def _read(page: str, weights: Weights, reset: bool):
             if any(x[0] == name for x in stack):
                 while stack[-1][0] != name:
                     pop()
-                pop()
+                pop(True)
             elif name == "p":
                 ended()
             if name == "br":
@@ -200,26 +207,25 @@ def _read(page: str, weights: Weights, reset: bool):
             if not inside:
                 scores.append(-weights.cost.get(name, 0.05))
             continue
-        if reset and name in ("article", "main"):
-            while stack and inside:
-                pop()
         weight = weights.of(name, m["rest"])
+        if inside and weight > CONTENT:
+            bad = frozenset(x[3] for x in stack if x[3] is not None)
+            around.add(bad)
+            if bad <= reopened if reopened is not None else name in ("article", "main"):
+                while stack and inside:
+                    pop()
         if not inside:
             scores.append(max(min(weight, 0.0), ISLAND) - weights.cost.get(name, 0.05))
-        stack.append((name, inside, len(scores) if weight > CONTENT and not inside else None))
+        stack.append((name, inside, len(scores) if weight > CONTENT and not inside else None, m.start() if weight < BOILERPLATE else None))
         inside = inside or weight < BOILERPLATE
     ended()
     while stack:
         pop()
-    return blocks, scores, containers
+    return blocks, scores, containers, frozenset().union(*(x for x in around if x <= unclosed))
 
 
-def main_text(page: str | None, weights: Weights | None = None) -> str:
-    page, weights = page or "", weights or learned()
-    for reset in (False, True):
-        blocks, scores, containers = _read(page, weights, reset)
-        if any(kept for _, kept, _, _ in blocks) or not re.search(r"<(article|main)\b", page, re.I):
-            break
+def _best(scores: list[float]) -> tuple[float, tuple[int, int] | None]:
+    """The largest sum of a contiguous region, and the first region that has it."""
     best = total = 0.0
     region, start = None, 0
     for i, x in enumerate(scores):
@@ -228,6 +234,21 @@ def main_text(page: str | None, weights: Weights | None = None) -> str:
         total += x
         if total > best:
             best, region = total, (start, i)
+    return best, region
+
+
+def main_text(page: str | None, weights: Weights | None = None) -> str:
+    page, weights = page or "", weights or learned()
+    blocks, scores, containers, lost = _read(page, weights)
+    best, region = _best(scores)
+    again = [lost] if lost else []
+    if not any(kept for _, kept, _, _ in blocks) and re.search(r"<(article|main)\b", page, re.I):
+        again.append(None)
+    for reopened in again:
+        other = _read(page, weights, reopened)
+        score, found = _best(other[1])
+        if score > best:
+            best, region, (blocks, scores, containers, _) = score, found, other
     if region is None:
         return ""
     low, high = region

@@ -199,6 +199,16 @@ PAGES = {
 }
 
 
+def test_main_text_below_unclosed_boilerplate():
+    text = "A text of the article that is long enough to be the main text of its page, in one paragraph."
+    links = "<ul><li><a href=/a>One</a></li><li><a href=/b>Two</a></li></ul>"
+    for inner in (f"<article><p>{text}</p></article>", f"<main><p>{text}</p></main>", f"<div id=content><p>{text}</p></div>"):
+        assert text in html.main_text(f"<body><h1>Site</h1><div class=nav>{links}{inner}</body>"), inner
+        assert html.main_text(f"<body><p>{text} First.</p><div class=related>{links}{inner}</div></body>") == f"{text} First."
+        assert text not in html.main_text(f"<body><h1>Site</h1><div class=nav>{links}<div class=related>{inner}</div></body>")
+        assert html.main_text(f"<body><p>{(text + ' ') * 3}</p><div class=nav>{links}</div><p>{text} Last.</p></body>").endswith("Last.")
+
+
 def test_main_text():
     assert {p: html.main_text(p) for p in PAGES} == PAGES
     assert html.main_text(None) == "" and html.main_text("<" * 5000) is not None
