@@ -17,9 +17,10 @@ def dynamic_context(memories: DataFrame, now: Column, days: int = 7, n: int = 10
 
 
 def context_lines(memories: DataFrame, tokens: int) -> DataFrame:
-    """Lines of memories in order of importance while their estimated tokens stay within the budget, of a small ranked list."""
-    line = F.concat(F.lit("- "), F.coalesce(F.when(F.col("l0_abstract") != "", F.col("l0_abstract")), F.col("content")))
+    """Lines of memories in order of importance while their estimated tokens stay within the budget. A line costs a token at least, so
+    no more than `tokens` lines fit, and only the first of these are summed up."""
+    line = F.concat(F.lit("- "), F.coalesce(F.when(F.col("l0_abstract") != "", F.col("l0_abstract")), F.col("content"), F.lit("")))
     order = Window.orderBy(F.desc("importance"), "id")
-    rows = memories.orderBy(F.desc("importance"), "id").limit(200).select("id", "category", "importance", line.alias("line"))
+    rows = memories.orderBy(F.desc("importance"), "id").limit(max(tokens, 0)).select("id", "category", "importance", line.alias("line"))
     rows = rows.withColumn("spent", F.sum(F.ceil(F.length("line") / 4)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.where(F.col("spent") <= tokens).select("id", "category", "line", F.col("spent").cast("long").alias("spent"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BROADCAST_RULES = 10_000
+
 
 def access(spaces: DataFrame) -> DataFrame:
     """(space_id, user_id, can_read, can_write), one row for each user that a space knows."""
@@ -40,8 +42,9 @@ def not_yet_shared(memories: DataFrame, space: str) -> DataFrame:
 
 
 def matched_rules(memories: DataFrame, rules: DataFrame) -> DataFrame:
-    """(id, to_space, rule_id): the first rule for each target space that a memory meets. Rules are few and checked to be."""
-    few = F.broadcast(rules.where(~F.col("require_approval")).withColumnsRenamed({"categories": "r_categories", "tags": "r_tags"}).limit(1000))
+    """(id, to_space, rule_id): the first rule for each target space that a memory meets. Rules are broadcast only if they are few."""
+    asked = rules.where(~F.col("require_approval")).withColumnsRenamed({"categories": "r_categories", "tags": "r_tags"})
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_RULES else asked
     meets = (
         (F.col("space_id") == F.col("source_space"))
         & ((F.size("r_categories") == 0) | F.array_contains(F.col("r_categories"), F.col("category")))
@@ -49,7 +52,7 @@ def matched_rules(memories: DataFrame, rules: DataFrame) -> DataFrame:
         & (F.col("importance") >= F.col("min_importance"))
     )
     first = Window.partitionBy("id", "to_space").orderBy("pos")
-    hit = memories.join(few, meets).withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    hit = memories.join(asked, meets).withColumn("_n", F.row_number().over(first)).where("_n = 1")
     return hit.select("id", "to_space", "rule_id")
 
 

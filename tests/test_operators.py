@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from memlake import schema
 from memlake.functions import seams
-from memlake.operators import chunk, ingest, reconcile, retrieve, scan, sharing
+from memlake.operators import chunk, ingest, profile, reconcile, retrieve, scan, sharing
 from memlake.plans import registry
 from memlake.sources import store, views, webhook
 from memlake.streaming import flows
@@ -148,6 +148,26 @@ def test_sharing(spark):
     assert sharing.bridge_space(views.spaces(spark), "u1", "u9").count() == 0
 
 
+def test_every_rule_is_met(spark, monkeypatch):
+    rules = [(f"r{i}", i, f"s{i % 7}", f"t{i}", [], [], 0.0, i % 5 == 0) for i in range(1500)]
+    rules = spark.createDataFrame(rules, "rule_id string, pos int, source_space string, to_space string, categories array<string>, tags array<string>, min_importance double, require_approval boolean")
+    m = spark.createDataFrame([(f"m{i}", f"s{i}", "events", ["en"], 0.5) for i in range(7)], "id string, space_id string, category string, tags array<string>, importance double")
+    want = sorted((f"m{i % 7}", f"t{i}", f"r{i}") for i in range(1500) if i % 5)
+    for most in (10_000, 10):
+        monkeypatch.setattr(sharing, "BROADCAST_RULES", most)
+        assert sorted(tuple(r) for r in sharing.matched_rules(m, rules).collect()) == want
+
+
+def test_context_ends_by_tokens_alone(spark):
+    rows = spark.createDataFrame([(f"m{i:03}", "events", 1 - i / 1000, "ab" if i % 2 else "abcdef", "") for i in range(700)], "id string, category string, importance double, content string, l0_abstract string")
+    for tokens in (0, 1, 3, 450, 2000):
+        want, spent = [], 0
+        for i in range(700):
+            spent += 1 if i % 2 else 2
+            want += [(f"m{i:03}", spent)] if spent <= tokens else []
+        assert sorted((r.id, r.spent) for r in profile.context_lines(rows, tokens).collect()) == want
+
+
 def test_store_versions_and_evolution(spark, tmp_path):
     t = store.Table(spark, f"{tmp_path}/m", schema.SESSION, None)
     assert t.read().count() == 0
