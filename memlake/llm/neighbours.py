@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .shared import cut, small_batches, table, text_of
@@ -297,7 +298,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
     return rows.select(*names, "text").mapInArrow(made, f"{schema}, shingles binary")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def _classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, class, class_id, n_links, n_shingles): class is the same for all nodes of a class, null if there is no node."""
     small_batches(docs.sparkSession)
     signed = cut(signatures(docs), "signatures")
     reps = signed.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
@@ -313,22 +315,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = components(found.where("b is not null").select("a", "b")).join(nodes.select("node", "rep"), "node")
     tops = classes.groupBy("comp").agg(F.min("rep").alias("class_id"))
     by_node = nodes.select("node", "rep", "copies").join(classes.select("node", "comp"), "node", "left").join(tops, "comp", "left").join(links, "node", "left")
-    by_node = by_node.select("node", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    by_node = by_node.select("node", F.coalesce("comp", "node").alias("class"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = signed.select("doc_id", "node", F.col("n").alias("n_shingles")).join(by_node, "node", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_shingles")
+    return out.select("doc_id", "node", "class", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_shingles")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    return _classes(docs).select("doc_id", "class_id", "n_links", "n_shingles")
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@F.pandas_udf(T.BinaryType())
+def _node(texts: pd.Series) -> pd.Series:
+    sets = texts.map(shingles)
+    return sets.map(lambda s: xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class: that with the smallest doc_id; of rows that repeat it, one."""
-    found = cut(near_duplicates(docs), "classes")
+    """docs with one document of each class: that with the smallest doc_id; of rows that repeat it, one. Other texts under the same doc_id are documents of their own."""
+    found = cut(_classes(docs).select("doc_id", "node", "class", "class_id"), "classes")
     gone = found.where("doc_id <> class_id").select("doc_id").distinct()
-    twice = found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    twice = cut(twice, "repeated")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if twice.isEmpty():
-        return kept
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(twice, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"]))
+    repeated = cut(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    once = docs.join(repeated, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    first = found.where("doc_id = class_id and node is not null").join(repeated, "doc_id").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("node").alias("_node"))
+    several = docs.join(repeated, "doc_id").withColumn("_node", _node(text_of()))
+    kept = several.join(first.select("doc_id", "_node"), ["doc_id", "_node"]).dropDuplicates(["doc_id", "_node"]).select(*docs.columns)
+    blank = several.where("_node is null").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return once.unionByName(kept).unionByName(blank)

@@ -146,6 +146,16 @@ def test_odd_and_empty_tables(spark, documents):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "None"] and kept.columns == odd_documents(spark).columns
 
 
+def test_one_of_each_where_ids_repeat_with_other_texts(spark):
+    word = lambda seed: " ".join(f"w{int(x)}" for x in np.random.RandomState(seed).randint(0, 10**6, 60))
+    a, b, c, d = map(word, range(4))
+    near = f"{d} more"
+    rows = [(2, a), (4, a), (4, b), (4, b), (5, c), (5, d), (5, near), (6, c), (7, near), (None, b), (8, ""), (8, "")]
+    kept = neighbours.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((str(r.doc_id), "d" if r.text in (d, near) else r.text) for r in kept)
+    assert got == sorted([("2", a), ("4", b), ("5", c), ("5", "d"), ("None", b), ("8", "")])
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     fewest = neighbours.fewest_matches()
     assert list(fewest) == sorted(fewest) and fewest[0] < 0.8 * neighbours.ROUND and fewest[-1] > 0.4 * neighbours.ROUND * len(fewest)
