@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from memlake.functions.text import strip
 from memlake.schema import DecayOptions, TierOptions
 
 LN2 = 0.6931471805599453
@@ -25,15 +26,21 @@ def recency(now: Column, o: DecayOptions = DecayOptions()) -> Column:
     return F.exp(-rate * F.pow(days, _by_tier(o.beta)))
 
 
-def frequency(now: Column) -> Column:
+def average_gap() -> Column:
+    """Days between two accesses on average: from creation to the last access, over one less than their number; 0 for up to one access."""
+    n = F.col("access_count")
+    span = days_since(F.col("created_at"), F.coalesce("last_accessed_at", "created_at"))
+    return F.when(n > 1, span / (n - 1)).otherwise(0.0)
+
+
+def frequency() -> Column:
     n = F.col("access_count")
     base = 1 - F.exp(-n / F.lit(5.0))
-    gap = days_since(F.coalesce("last_accessed_at", "created_at"), now)
-    return F.when(n > 1, base * (0.5 + 0.5 * F.exp(-gap / 30))).otherwise(base)
+    return F.when(n > 1, base * (0.5 + 0.5 * F.exp(-average_gap() / 30))).otherwise(base)
 
 
 def composite(now: Column, o: DecayOptions = DecayOptions()) -> Column:
-    raw = o.recency_weight * recency(now, o) + o.frequency_weight * frequency(now) + o.intrinsic_weight * F.col("importance") * F.col("confidence")
+    raw = o.recency_weight * recency(now, o) + o.frequency_weight * frequency() + o.intrinsic_weight * F.col("importance") * F.col("confidence")
     return F.greatest(raw, _by_tier(o.floor))
 
 
@@ -76,7 +83,7 @@ def type_prior(category: Column) -> Column:
 
 
 def utility(text: Column) -> Column:
-    t = F.trim(text)
+    t = strip(text)
     n = F.octet_length(t)
     words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
     name = F.exists(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda w: w.rlike(r"^\p{Lu}"))

@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -58,6 +59,31 @@ def sentence_facts(prompt: str, most: int = 50) -> str:
     return json.dumps({"memories": facts[:most]}, ensure_ascii=False)
 
 
+FENCE = re.compile(r"^```[a-zA-Z]*\s*|\s*```$")
+HINT = "\n\nIMPORTANT: Return ONLY valid JSON, no explanation or markdown."
+
+
+def complete_json(complete: Callable[[str], str]) -> Callable[[str], str]:
+    """A function from a prompt to JSON: fences go, and an answer that isn't JSON is asked for once more, with a hint. A second one fails."""
+
+    def run(prompt: str) -> str:
+        for asked in (prompt, prompt + HINT):
+            answer = FENCE.sub("", complete(asked).strip()).strip()
+            try:
+                json.loads(answer)
+            except ValueError:
+                continue
+            return answer
+        raise ValueError("the answer is no JSON")
+
+    return run
+
+
+def ruled_decisions(score: Column) -> Column:
+    """A stand-in for asking what to do with a fact, by its best match: the same is skipped, nearly the same supports, else it is created."""
+    return F.when(score >= 0.95, "SKIP").when(score >= 0.85, "SUPPORT").otherwise("CREATE")
+
+
 FACTS = "struct<memories:array<struct<l0_abstract:string,l1_overview:string,l2_content:string,category:string,tags:array<string>>>>"
 
 
@@ -72,6 +98,38 @@ def overlap_scores(query: str):
     return run
 
 
+def pdf_pages(raw: bytes) -> list[str]:
+    """Texts shown by the content streams of a PDF, one for each stream that shows any. Only plain and deflated streams with simple strings are read."""
+    import zlib
+
+    pages = []
+    for m in re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", raw, re.S):
+        try:
+            data = zlib.decompress(m[1])
+        except zlib.error:
+            data = m[1]
+        shown = re.findall(rb"\(((?:[^()\\]|\\.)*)\)\s*(?:Tj|'|\")|\[((?:[^\]\\]|\\.)*)\]\s*TJ", data, re.S)
+        texts = [one or b"".join(re.findall(rb"\(((?:[^()\\]|\\.)*)\)", many)) for one, many in shown]
+        if texts:
+            pages.append("\n".join(re.sub(rb"\\(.)", rb"\1", t).decode("latin-1") for t in texts))
+    if not pages:
+        raise ValueError("no text")
+    return pages
+
+
+def image_facts(raw: bytes) -> list[str]:
+    """What a picture's header says: kind and size."""
+    if raw[:8] == b"\x89PNG\r\n\x1a\n":
+        return [f"[PNG image, {int.from_bytes(raw[16:20], 'big')}x{int.from_bytes(raw[20:24], 'big')}, {len(raw)} bytes]"]
+    if raw[:6] in (b"GIF87a", b"GIF89a"):
+        return [f"[GIF image, {int.from_bytes(raw[6:8], 'little')}x{int.from_bytes(raw[8:10], 'little')}, {len(raw)} bytes]"]
+    raise ValueError("unknown kind")
+
+
+#: Decoders that need no program beside Python; OCR and speech are left to the caller.
+DECODERS = {"pdf": pdf_pages, "image": image_facts}
+
+
 def decoded(decoders: dict[str, Callable[[bytes], list[str]]]):
     """Chunks of a file's bytes by its kind; a kind without decoder, or bytes that one refuses, give a row that says so."""
 

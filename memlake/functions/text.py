@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +38,7 @@ SLOTS = (
 )
 #: What asks for something to be remembered.
 KEYWORDS = ("remember", "save this", "don't forget", "keep in mind", "note that", "store this", "memorize", "记住", "记一下", "保存", "记下来", "别忘了")
+#: How the lines of a pasted conversation begin.
 ROLE_MARKS = ("\nuser:", "\nUser:", "\nassistant:", "\nAssistant:", "\nHuman:", "\nhuman:", "\nAI:", "\nsystem:")
 
 
@@ -44,6 +47,14 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(" \t\n\r\f\v\u00a0\u3000"))
 
 
+def last_bytes(text: Column, n: int) -> Column:
+    """The last characters of a text that take n bytes at most."""
+    raw = F.substring(text.cast("binary"), F.greatest(F.octet_length(text) - n + 1, F.lit(1)), F.lit(n))
+    for _ in range(3):  # a character that was cut has up to three bytes left
+        raw = F.when(F.hex(F.substring(raw, F.lit(1), F.lit(1))).between("80", "BF"), F.substring(raw, F.lit(2), F.lit(n))).otherwise(raw)
+    return raw.cast("string")
+
+
 def redact(text: Column) -> Column:
     return F.regexp_replace(text, PRIVATE, "[REDACTED]")
 
@@ -155,6 +166,16 @@ def language_of(filename: Column) -> Column:
     return F.coalesce(*(F.when(ext == k, v) for k, v in ends.items()))
 
 
+def signed_by(payload: Column, signature: Column, secret: str) -> Column:
+    """Whether a signature "sha256=<hex>" is the HMAC-SHA256 of a payload. The key is known, so its two pads are literals and only sha2 runs."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    pad = lambda x: F.lit(bytes(b ^ x for b in key))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), payload.cast("binary")), 256))
+    made = F.sha2(F.concat(pad(0x5C), inner), 256)
+    return F.coalesce((F.substring(signature, 1, 7) == "sha256=") & (F.lower(F.substring(signature, F.lit(8), F.char_length(signature))) == made), F.lit(False))
+
+
 def session_hash(session: Column, role: Column, content: Column) -> Column:
     return F.sha2(F.concat(session, role, content).cast("binary"), 256)
 
@@ -164,4 +185,4 @@ def token_estimate(text: Column) -> Column:
 
 
 def similarity_label(score: Column) -> Column:
-    return F.format_string("similarity:%.2f", score)
+    return F.concat(F.lit("similarity:"), F.format_number(score, 2))

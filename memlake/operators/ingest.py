@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import scoring, text
-from memlake.operators import retrieve
+from memlake.operators import knn, retrieve
 
 MAX_MESSAGES, MAX_BYTES = 20, 200_000
 
@@ -32,43 +32,34 @@ def without_noise(messages: DataFrame) -> DataFrame:
 
 
 def like_prototypes(rows: DataFrame, prototypes: DataFrame, threshold: float = 0.82) -> DataFrame:
-    """Rows (vector) that are near a noise prototype (p_vector); prototypes number 200 at most."""
-    return rows.join(F.broadcast(prototypes.limit(200)), scoring.cosine(F.col("vector"), F.col("p_vector")) >= threshold, "left_semi")
+    """Rows (vector) that are near a noise prototype (p_vector). Learned prototypes number MAX_PROTOTYPES of a tenant at most (flows.learn_noise)."""
+    return rows.join(prototypes.select("p_vector"), scoring.cosine(F.col("vector"), F.col("p_vector")) >= threshold, "left_semi")
 
 
 def transcript(messages: DataFrame, by: str, order: str, keep: int = 10, longest: int = 2000) -> DataFrame:
     """The last user and assistant messages, cut to `longest` characters; conversations of one message go."""
-    rows = messages.where(F.col("role").isin("user", "assistant") & (F.trim("content") != ""))
+    rows = messages.where(F.col("role").isin("user", "assistant") & (text.strip(F.col("content")) != ""))
     n, back = F.count(F.lit(1)).over(Window.partitionBy(by)), F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))
     rows = rows.withColumns({"_total": n, "_back": back}).where((F.col("_back") <= keep) & (F.col("_total") >= 2))
     return rows.withColumn("content", F.substring("content", 1, longest)).drop("_total", "_back")
 
 
 def message_block(messages: DataFrame, by: str, order: str, longest: int = 8000) -> DataFrame:
-    """`role: content` lines of each conversation; of longer ones the last whole lines."""
-    line = F.concat("role", F.lit(": "), "content", F.lit("\n"))
+    """`role: content` lines of each conversation. Of one over `longest` bytes, its last bytes from the first line that starts within them, or all of these
+    if none does. Null roles and texts count as empty. A conversation is one value of the result, so it is gathered whole."""
+    line = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("content", F.lit("")), F.lit("\n"))
     rows = messages.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("line")))), lambda x: x["line"]), "").alias("block"))
-    tail = F.substring(F.col("block"), F.lit(-longest), F.lit(longest))
+    tail = text.last_bytes(F.col("block"), longest)
     at = F.locate("\n", tail)
-    return rows.withColumn("block", F.when(F.length("block") <= longest, F.col("block")).otherwise(F.substring(tail, at + 1, F.lit(longest))))
+    ended = F.when(at == F.char_length(tail), tail).otherwise(F.substring(tail, at + 1, F.lit(longest)))
+    return rows.withColumn("block", F.when(F.octet_length("block") <= longest, F.col("block")).otherwise(ended))
 
 
-def candidates(facts: DataFrame, memories: DataFrame, k: int = 5, min_score: float = 0.3, block: int = 4096) -> DataFrame:
-    """(fact_id, id, score, rank): the k nearest memories of each fact. Facts and memories meet in blocks of about `block`: each pair of blocks is a group of its own."""
-    left = facts.select("fact_id", F.col("vector").alias("f_vector"))
-    right = memories.where("state <> 'deleted' and vector is not null").select("id", F.col("vector").alias("m_vector"), "updated_at")
-    ways, met = zip(*(_blocks(rows, by, block) for rows, by in ((left, "fact_id"), (right, "id"))))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    pairs = left.select("*", met[0].alias("i"), every(ways[1]).alias("j")).join(right.select("*", every(ways[0]).alias("i"), met[1].alias("j")), ["i", "j"])
-    scored = pairs.select("fact_id", "id", "updated_at", F.round(scoring.cosine(F.col("f_vector"), F.col("m_vector")), 6).alias("score"))
-    order = Window.partitionBy("fact_id").orderBy(F.desc("score"), "id")
-    return scored.where(F.col("score") >= min_score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _blocks(rows: DataFrame, by: str, block: int) -> tuple[int, Column]:
-    """How many blocks of about `block` rows there are, and the block of a row."""
-    n = max(1, -(-rows.count() // block))
-    return n, F.pmod(F.xxhash64(by), F.lit(n)).cast("int")
+def candidates(facts: DataFrame, memories: DataFrame, k: int = 5, min_score: float = 0.3, block: int = knn.BLOCK) -> DataFrame:
+    """(fact_id, id, score, updated_at, rank): the k nearest memories of each fact."""
+    live = memories.where("state <> 'deleted'")
+    found = knn.topk(facts.select("fact_id", "vector"), live.select("id", "vector"), k, min_score, block)
+    return found.join(live.select("id", "updated_at"), "id").select("fact_id", "id", "score", "updated_at", "rank")
 
 
 def text_candidates(facts: DataFrame, memories: DataFrame, k: int = 5) -> DataFrame:
@@ -89,8 +80,9 @@ def support(fact: Column, message: Column) -> Column:
 
 
 def admission(facts: DataFrame, matches: DataFrame, now: Column, preset: str = "balanced") -> DataFrame:
-    """facts (fact_id, l0, category, source_text) with the scores of the five features, the composite and the decision."""
-    best = matches.groupBy("fact_id").agg(F.max("score").alias("max_sim"), F.max_by("updated_at", F.struct("score", F.expr("concat('~', id)"))).alias("best_at"))
+    """facts (fact_id, l0, category, source_text) with the scores of the five features, the composite and the decision. matches are the k nearest with a
+    score of 0 at least; of equal scores that of the smallest id is the best."""
+    best = matches.groupBy("fact_id").agg(F.max("score").alias("max_sim"), F.min_by("updated_at", F.struct(-F.col("score"), "id")).alias("best_at"))
     rows = facts.join(best, "fact_id", "left").withColumn("max_sim", F.coalesce("max_sim", F.lit(0.0)))
     days = F.floor(F.greatest((F.unix_seconds(now) - F.unix_seconds("best_at")) / 86400, F.lit(0)))
     rows = rows.withColumns({

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.functions import scoring
+from memlake.operators import scan
 from memlake.schema import DecayOptions, TierOptions
 
 #: Markers that end a memory's life, and after how many days.
@@ -33,14 +34,23 @@ def ttl_days(content: Column) -> Column:
     return out
 
 
+def _past(now: Column) -> Column:
+    return F.coalesce(F.timestamp_add("DAY", ttl_days(F.col("content")), F.col("created_at")) < now, F.lit(False))
+
+
 def expired(memories: DataFrame, now: Column) -> DataFrame:
-    rows = memories.where("state = 'active'").withColumn("ttl", ttl_days(F.col("content")))
-    return rows.where(F.timestamp_add("DAY", F.col("ttl"), F.col("created_at")) < now)
+    """Memories past the days that their text gives them; archived ones too."""
+    return memories.where("state <> 'deleted'").where(_past(now)).withColumn("ttl", ttl_days(F.col("content")))
+
+
+def cleanup_expired(memories: DataFrame, now: Column) -> DataFrame:
+    """The next snapshot: expired memories are deleted softly."""
+    return scan.soft_delete(memories, _past(now))
 
 
 def archive_superseded(memories: DataFrame, now: Column, days: int) -> DataFrame:
     """The next snapshot: superseded memories older than `days` are archived."""
-    hit = (F.col("state") == "active") & F.col("superseded_by").isNotNull() & (F.timestamp_add("DAY", F.lit(days), F.col("created_at")) < now)
+    hit = (F.col("state") != "deleted") & F.col("superseded_by").isNotNull() & (F.timestamp_add("DAY", F.lit(days), F.col("created_at")) < now)
     return memories.withColumn("state", F.when(hit, "archived").otherwise(F.col("state")))
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.functions import text
+from memlake.operators import retrieve
+
 
 def static_facts(memories: DataFrame, n: int = 20) -> DataFrame:
     rows = memories.where("state = 'active'").where(F.col("category").isin("profile", "preferences"))
@@ -24,3 +27,23 @@ def context_lines(memories: DataFrame, tokens: int) -> DataFrame:
     rows = memories.orderBy(F.desc("importance"), "id").limit(max(tokens, 0)).select("id", "category", "importance", line.alias("line"))
     rows = rows.withColumn("spent", F.sum(F.ceil(F.length("line") / 4)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.where(F.col("spent") <= tokens).select("id", "category", "line", F.col("spent").cast("long").alias("spent"))
+
+
+def search_part(memories: DataFrame, query, n: int = 10) -> DataFrame:
+    """What a profile adds for a query: the n memories that match its words best."""
+    return retrieve.bm25_topk(memories.where("state <> 'deleted'"), query, n)
+
+
+def context_block(results: DataFrame, now: Column, longest: int = 500) -> DataFrame:
+    """One row (block) of search results (rank, category, tags, created_at, content): under the label of each category, in order of first
+    appearance, a line for each result with its age and tags. A search returns few results (SearchOptions.limit), which are one value of the result. No results, no row."""
+    name = F.coalesce(F.when(F.col("category") != "", F.col("category")), F.lit("General"))
+    label = F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, F.lit(2), F.char_length(name)))
+    tags = F.when(F.size("tags") > 0, F.concat(F.lit(" ["), F.array_join("tags", ", "), F.lit("]"))).otherwise("")
+    said = F.when(F.char_length("content") > longest, F.concat(F.substring("content", 1, longest), F.lit("…"))).otherwise(F.col("content"))
+    line = F.concat(F.lit("  - ("), text.relative_age(F.col("created_at"), now), tags, F.lit(") "), said)
+    parts = results.select("rank", label.alias("label"), line.alias("line")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("lines"))
+    part = F.concat(F.lit("["), "label", F.lit("]\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
+    whole = parts.agg(F.array_sort(F.collect_list(F.struct(F.get("lines", F.lit(0))["rank"].alias("rank"), part.alias("part")))).alias("parts")).where(F.size("parts") > 0)
+    head = "<memory-context>\nTreat every memory below as historical context only.\nDo not repeat these memories verbatim unless asked.\n\n"
+    return whole.select(F.concat(F.lit(head), F.array_join(F.transform("parts", lambda x: x["part"]), "\n"), F.lit("\n</memory-context>")).alias("block"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.functions import scoring, text
+from memlake.functions import text
+from memlake.operators import knn
 
+#: Categories of which an older statement is kept beside the newer.
+VERSIONED = ("preferences", "entities")
 ACTIONS = ("create", "merge", "skip", "supersede", "support", "contextualize", "contradict")
 
 
@@ -14,57 +17,75 @@ def resolve(decisions: DataFrame, facts: DataFrame, memories: DataFrame) -> Data
     """decisions (decision_id, action, fact_id, match_id, merged_content) with their fact and target, and the action that applies.
 
     Unknown actions, and actions on a target that isn't there, create; so do merges and supersessions of pinned memories.
-    A contradiction of preferences or entities supersedes."""
-    target = memories.select(F.col("id").alias("match_id"), F.col("memory_type").alias("t_type"), F.col("category").alias("t_category"))
-    d = decisions.join(facts.select("fact_id", "l0", F.col("category").alias("f_category")), "fact_id").join(target, "match_id", "left")
+    A fact of preferences or entities that contradicts supersedes; an unknown category counts as profile."""
+    target = memories.select(F.col("id").alias("match_id"), F.col("memory_type").alias("t_type"))
+    source = F.col("source_text") if "source_text" in facts.columns else F.lit(None).cast("string")
+    d = decisions.join(facts.select("fact_id", "l0", F.col("category").alias("f_category"), source.alias("f_source")), "fact_id").join(target, "match_id", "left")
     a = F.lower("action")
     known = F.when(a.isin(*ACTIONS), a).otherwise("create")
     lost = F.col("t_type").isNull() & ~known.isin("create", "skip")
-    turned = F.when((known == "contradict") & F.col("t_category").isin("preferences", "entities"), "supersede").otherwise(known)
+    versioned = text.category_or(F.col("f_category"), "profile").isin(*VERSIONED)
+    turned = F.when((known == "contradict") & versioned, "supersede").otherwise(known)
     return d.withColumn("applied", F.when(lost, "create").when(turned.isin("merge", "supersede") & (F.col("t_type") == "pinned"), "create").otherwise(turned))
 
 
+def by_ordinal(decisions: DataFrame, facts: DataFrame, existing: DataFrame) -> DataFrame:
+    """decisions that name their fact and match by place (fact_index, match_index) with fact_id and match_id. facts (fact_id, ordinal) are those asked about, existing
+    (id, ordinal) the candidates shown. A fact_index that isn't there, or a match_index that isn't there where one is needed, ends the job."""
+    d = decisions.join(facts.select(F.col("ordinal").alias("fact_index"), "fact_id"), "fact_index", "left")
+    d = d.join(existing.select(F.col("ordinal").alias("match_index"), F.col("id").alias("match_id")), "match_index", "left")
+    needed = F.lower("action").isin("merge", "supersede", "support", "contextualize", "contradict")
+    fail = lambda what, c: F.raise_error(F.concat(F.lit(f"invalid {what}: "), F.coalesce(F.col(c).cast("string"), F.lit("none"))))
+    d = d.withColumn("fact_id", F.when(F.col("fact_id").isNull(), fail("fact_index", "fact_index").cast(d.schema["fact_id"].dataType)).otherwise(F.col("fact_id")))
+    return d.withColumn("match_id", F.when(needed & F.col("match_id").isNull(), fail("match_index", "match_index").cast("string")).otherwise(F.col("match_id")))
+
+
+def self_dedup(facts: DataFrame, by: str = "request", threshold: float = 0.85) -> DataFrame:
+    """facts (by, fact_id, l0) of a request without those that nearly repeat an earlier one of it: the stand-in for asking a model which to keep. The first of a
+    request always stays. Requests hold 50 facts at most (seams.sentence_facts), so a request's facts meet each other."""
+    words = facts.select(F.col(by).alias("_by"), F.col("fact_id").alias("_id"), text.trimmed_word_set(F.col("l0")).alias("_words"))
+    words = words.groupBy("_by").agg(F.array_sort(F.collect_list(F.struct("_id", "_words"))).alias("all"))
+    near = lambda x: F.exists("all", lambda o: (o["_id"] < x["_id"]) & (text.jaccard(x["_words"], o["_words"], 0.0) > threshold))
+    kept = words.select("_by", F.explode(F.filter("all", lambda x: ~near(x))["_id"]).alias("_id"))
+    return facts.join(kept, (F.col(by) == F.col("_by")) & (F.col("fact_id") == F.col("_id")), "left_semi")
+
+
 def inserts(resolved: DataFrame) -> DataFrame:
-    """New memories: (id, content, category, relation_type, target_id, version)."""
+    """New memories: (id, content, category, relation_type, target_id, version). The content is the fact's source text, or the fact where there is none."""
     relation = F.when(F.col("applied") == "contextualize", "contextualizes").when(F.col("applied") == "contradict", "contradicts")
     return resolved.where(F.col("applied").isin("create", "supersede", "contextualize", "contradict")).select(
-        F.concat(F.lit("n"), "decision_id").alias("id"), F.col("l0").alias("content"), text.category_or(F.col("f_category"), "profile").alias("category"),
+        F.concat(F.lit("n"), "decision_id").alias("id"), F.coalesce("f_source", "l0").alias("content"), text.category_or(F.col("f_category"), "profile").alias("category"),
         relation.alias("relation_type"), F.when(relation.isNotNull(), F.col("match_id")).alias("target_id"), F.when(F.col("applied") == "contextualize", 2).otherwise(1).cast("long").alias("version"),
     )
 
 
-def apply(memories: DataFrame, resolved: DataFrame) -> DataFrame:
-    """The next snapshot of (id, content, category, state, confidence, superseded_by, n_relations, version). Changes to one memory are summed
-    first, so each memory joins at most one row: of several merges the last counts, supports add up."""
-    last = F.struct("decision_id", "merged_content")
+def apply(memories: DataFrame, resolved: DataFrame, now: Column, embed=None) -> DataFrame:
+    """The next snapshot of (id, content, category, state, confidence, superseded_by, invalidated_at, n_relations, version). Changes to one memory are summed
+    first, so each memory joins at most one row: of several merges the last counts, supports add up. A merge without content takes the fact's. With
+    `embed`, a column function, there is a vector too: made again for what was merged or is new, kept for all else."""
+    last = F.struct("decision_id", F.coalesce("merged_content", "l0").alias("merged_content"))
     changes = resolved.where(F.col("applied").isin("merge", "supersede", "support", "contradict")).groupBy(F.col("match_id").alias("id")).agg(
         F.max(F.when(F.col("applied") == "merge", last)).alias("merged"), F.max(F.when(F.col("applied") == "supersede", F.col("decision_id"))).alias("over"),
         F.count_if(F.col("applied") == "support").alias("supports"), F.count_if(F.col("applied").isin("support", "contradict")).alias("links"), F.count(F.lit(1)).alias("n"),
     )
-    old = memories.select("id", "content", "category", "state", "confidence", "superseded_by", F.size("relations").cast("long").alias("n_relations"), "version").join(changes, "id", "left")
+    kept = ["vector"] if embed else []
+    invalidated = F.col("invalidated_at") if "invalidated_at" in memories.columns else F.lit(None).cast("timestamp")
+    old = memories.select("id", "content", "category", "state", "confidence", "superseded_by", invalidated.alias("invalidated_at"), F.size("relations").cast("long").alias("n_relations"), "version", *kept).join(changes, "id", "left")
     old = old.select(
-        "id", F.coalesce("merged.merged_content", "content").alias("content"), "category", "state",
+        "id", *(F.when(F.col("merged").isNotNull(), embed(F.col("merged.merged_content"))).otherwise(F.col(c)).alias(c) for c in kept), F.coalesce("merged.merged_content", "content").alias("content"), "category", "state",
         F.round(F.least(F.col("confidence") + 0.1 * F.coalesce("supports", F.lit(0)), F.greatest(F.lit(1.0), F.col("confidence"))), 6).alias("confidence"),
         F.when(F.col("over").isNotNull(), F.concat(F.lit("n"), "over")).otherwise(F.col("superseded_by")).alias("superseded_by"),
+        F.when(F.col("over").isNotNull(), now).otherwise(F.col("invalidated_at")).alias("invalidated_at"),
         (F.col("n_relations") + F.coalesce("links", F.lit(0))).alias("n_relations"), (F.col("version") + F.coalesce("n", F.lit(0))).alias("version"),
     )
-    new = inserts(resolved).select("id", "content", "category", F.lit("active").alias("state"), F.lit(0.5).alias("confidence"), F.lit(None).cast("string").alias("superseded_by"), F.col("target_id").isNotNull().cast("long").alias("n_relations"), "version")
+    new = inserts(resolved).select("id", "content", "category", F.lit("active").alias("state"), F.lit(0.5).alias("confidence"), F.lit(None).cast("string").alias("superseded_by"), F.lit(None).cast("timestamp").alias("invalidated_at"), F.col("target_id").isNotNull().cast("long").alias("n_relations"), "version", *(embed(F.col("content")).alias(c) for c in kept))
     return old.unionByName(new)
 
 
-def near_edges(memories: DataFrame, threshold: float, k: int = 5, block: int = 4096) -> DataFrame:
-    """Directed `supports` edges from each memory to its k nearest, at or above the threshold, unless there is an edge already.
-
-    A stated set (all rows) meets all rows in blocks of about `block`: each pair of blocks is a task of its own; the k best of each row come last.
-    """
+def near_edges(memories: DataFrame, threshold: float, k: int = 5, block: int = knn.BLOCK) -> DataFrame:
+    """Directed `supports` edges from each memory to its k nearest, at or above the threshold, unless there is an edge already."""
     rows = memories.where("state <> 'deleted' and vector is not null").select("id", "vector", "relations")
-    n = max(1, -(-rows.count() // block))
-    part = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = rows.select(F.col("id").alias("source_id"), F.col("vector").alias("a"), part.alias("i"), every.alias("j"))
-    b = rows.select(F.col("id").alias("target_id"), F.col("vector").alias("b"), every.alias("i"), part.alias("j"))
-    scored = a.join(b, ["i", "j"]).where("source_id <> target_id").select("source_id", "target_id", F.round(scoring.cosine(F.col("a"), F.col("b")), 6).alias("score")).where(F.col("score") >= threshold)
-    order = Window.partitionBy("source_id").orderBy(F.desc("score"), "target_id")
-    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    left, right = rows.select(F.col("id").alias("source_id"), "vector"), rows.select(F.col("id").alias("target_id"), "vector")
+    best = knn.topk(left, right, k, threshold, block, apart=True)
     held = rows.select(F.col("id").alias("source_id"), F.explode("relations").alias("r")).select("source_id", F.col("r.target_id").alias("target_id"))
     return best.join(held, ["source_id", "target_id"], "left_anti").select("source_id", "target_id", "score", text.similarity_label(F.col("score")).alias("label"))

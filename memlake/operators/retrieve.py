@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import scoring, text
+from memlake.operators.scan import space_weight
 from memlake.schema import SearchOptions
 
 K1, B = 1.2, 0.75
+#: The texts that are searched; their scores are summed.
+FIELDS = ("content", "l0_abstract")
 
 
 def vector_topk(memories: DataFrame, query: DataFrame, k: int, min_score: float = 0.0, where: Column | None = None) -> DataFrame:
@@ -23,40 +28,57 @@ def tokens(content: Column) -> Column:
     return F.filter(F.split(F.lower(content), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def bm25_scores(docs: DataFrame, query: str | list[str], id_: str = "id", content: str = "content") -> DataFrame:
-    """(id, score) of documents with a query term. Terms are counted inside each row, so no posting of other terms is ever made."""
-    asked = sorted(set(query if isinstance(query, list) else [w for w in __import__("re").split(r"[\W_]+", query.lower()) if w]))
-    rows = docs.select(id_, tokens(F.col(content)).alias("w"))
-    rows = rows.select(id_, F.size("w").alias("len"), F.filter("w", lambda x: x.isin(asked)).alias("hits"))
-    n, average = rows.agg(F.count(F.lit(1)), F.avg("len")).first()
-    found = rows.select(id_, "len", F.explode("hits").alias("term")).groupBy(id_, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # as many rows as query terms
-    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(average or 1.0))))
-    return found.join(F.broadcast(df), "term").groupBy(id_).agg(F.round(F.sum(idf * tf), 6).alias("score"))
+def bm25_scores(docs: DataFrame, query: str | list[str], id_: str = "id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(id, score) of documents with a query term, summed over the fields. Terms are counted inside each row, so no posting is ever made. The counts are dealt
+    once, and both the statistics (one row) and the scores read that one exchange: texts are read and split once."""
+    asked = sorted(set(query if isinstance(query, list) else re.findall(r"[^\W_]+", query.lower())))
+    if not asked:
+        return docs.select(id_, F.lit(0.0).alias("score")).limit(0)
+    rows = docs.select(id_, *(tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"w{i}") for i, f in enumerate(fields)))
+    counts = [c for i in range(len(fields)) for c in (F.size(f"w{i}").alias(f"len{i}"), F.array(*(_times(f"w{i}", t) for t in asked)).alias(f"tf{i}"))]
+    rows = rows.select(id_, *counts).repartition(F.col(id_))
+    at = lambda c, j: F.get(c, F.lit(j))
+    sums = [c for i in range(len(fields)) for c in (F.avg(f"len{i}").alias(f"avg{i}"), F.array(*(F.count_if(at(f"tf{i}", j) > 0) for j in range(len(asked)))).alias(f"df{i}"))]
+    found = rows.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n"), F.count(id_).alias("_ids"), *sums)))
+    score = F.lit(0.0)
+    for i in range(len(fields)):
+        for j in range(len(asked)):
+            score = score + _weight(at(f"df{i}", j), at(f"tf{i}", j), F.col(f"len{i}"), F.col(f"avg{i}"))
+    return found.select(id_, score.alias("score")).where("score > 0").select(id_, F.round("score", 6).alias("score"))
+
+
+def _times(words: str, term: str) -> Column:
+    return F.size(F.filter(words, lambda x: x == term))
+
 
+def _weight(df: Column, tf: Column, length: Column, average: Column) -> Column:
+    """BM25 of one term in one text of n (a column)."""
+    idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.greatest(F.coalesce(average, F.lit(1.0)), F.lit(1e-9))))
 
-def bm25_topk(docs: DataFrame, query, k: int, where: Column | None = None, id_: str = "id", content: str = "content") -> DataFrame:
+
+def bm25_topk(docs: DataFrame, query, k: int, where: Column | None = None, id_: str = "id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """The k best, then the filter: fewer than k rows may remain."""
-    top = bm25_scores(docs, query, id_, content).orderBy(F.desc("score"), id_).limit(k)
+    top = bm25_scores(docs, query, id_, fields).orderBy(F.desc("score"), id_).limit(k)
     return top if where is None else top.join(docs.where(where).select(id_), id_, "left_semi")
 
 
-def bm25_topk_each(docs: DataFrame, queries: DataFrame, k: int, by: str, block: int = 4096, id_: str = "id", content: str = "content") -> DataFrame:
+def bm25_topk_each(docs: DataFrame, queries: DataFrame, k: int, by: str, block: int = 4096, id_: str = "id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(`by`, id, score, rank): bm25_topk for each of many queries (`by`, query). Queries and documents meet in pairs of blocks, so a common term is dealt over all of them."""
     asked = queries.select(by, F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    rows = docs.select(id_, tokens(F.col(content)).alias("w")).select(id_, F.size("w").alias("len"), "w")
-    n, average = rows.agg(F.count(F.lit(1)), F.avg("len")).first()
-    found = rows.select(id_, "len", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy(id_, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(average or 1.0))))
-    d, q = max(1, -(-n // block)), max(1, -(-queries.count() // block))
+    texts = F.array(*(F.struct(F.lit(i).alias("field"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("w")) for i, f in enumerate(fields)))
+    rows = docs.select(id_, F.inline(texts)).select(id_, "field", F.size("w").alias("len"), "w")
+    sums = rows.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("average"))  # a row for each field
+    found = rows.select(id_, "field", "len", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy(id_, "field", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = found.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    weighed = found.join(df, ["field", "term"]).join(F.broadcast(sums), "field").select(id_, "term", _weight(F.col("df"), F.col("tf"), F.col("len"), F.col("average")).alias("weight"))
+    weighed = weighed.groupBy(id_, "term").agg(F.sum("weight").alias("weight"))
+    d, q = max(1, -(-docs.count() // block)), max(1, -(-queries.count() // block))
     part = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = asked.join(df, "term").select(by, "term", idf.alias("idf"), part(by, q).alias("i"), every(d).alias("j"))
-    right = found.select(id_, "term", tf.alias("weight"), every(q).alias("i"), part(id_, d).alias("j"))
-    scored = left.join(right, ["i", "j", "term"]).groupBy(by, id_).agg(F.round(F.sum(F.col("idf") * F.col("weight")), 6).alias("score"))
+    left = asked.select(by, "term", part(by, q).alias("i"), every(d).alias("j"))
+    right = weighed.select(id_, "term", "weight", every(q).alias("i"), part(id_, d).alias("j"))
+    scored = left.join(right, ["i", "j", "term"]).groupBy(by, id_).agg(F.round(F.sum("weight"), 6).alias("score"))
     order = Window.partitionBy(by).orderBy(F.desc("score"), id_)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -99,7 +121,16 @@ def diversify(rows: DataFrame, o: SearchOptions = SearchOptions(), by: list[str]
     return ranked.join(hit, [*by, "id"], "left").withColumn("score", F.when(F.col("_near"), F.col("score") * o.diversity_penalty).otherwise(F.col("score"))).drop("_rank", "_words", "_near")
 
 
-def stages(memories: DataFrame, vector: DataFrame, words: DataFrame, now: Column, o: SearchOptions = SearchOptions(), by: list[str] = (), reranked: DataFrame | None = None) -> list[tuple[str, DataFrame]]:
+def scoped(scope: str | None = None, tags: list[str] = (), source: str | None = None, agent: str | None = None) -> Column:
+    """The filters that a search request may name; none by default."""
+    out = F.lit(True) if scope is None else F.col("scope") == scope
+    for tag in tags:
+        out = out & F.array_contains("tags", tag)
+    out = out & (F.col("source") == source) if source else out
+    return out & (F.col("owner_agent_id") == agent) if agent else out
+
+
+def stages(memories: DataFrame, vector: DataFrame | None, words: DataFrame | None, now: Column, o: SearchOptions = SearchOptions(), by: list[str] = (), reranked: DataFrame | None = None) -> list[tuple[str, DataFrame]]:
     """Each stage's name and rows. Candidates are at most three times the limit in each leg, so all later stages are small."""
     out: list[tuple[str, DataFrame]] = []
 
@@ -107,12 +138,13 @@ def stages(memories: DataFrame, vector: DataFrame, words: DataFrame, now: Column
         out.append((name, rows))
         return rows
 
+    none = memories.select(*by, "id", F.lit(0.0).alias("score")).limit(0)
+    vector, words = (none if leg is None else leg for leg in (vector, words))  # a leg that failed is empty
     top = lambda rows, n: rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "id"))).where(F.col("_n") <= n).drop("_n")
     stage("parallel_search", vector.select("id", "score").unionByName(words.select("id", "score")))
     fused = fuse(vector, words, o, by)
     columns = [c for c in ("content", "memory_type", "tier", "importance", "confidence", "access_count", "created_at", "last_accessed_at", "category") if c not in by]
-    # at most 6 * limit rows a partition: kept, as the stages below read them several times and both legs scan the corpus
-    fused = fused.join(memories.select("id", *columns), "id").cache()
+    fused = fused.join(memories.select("id", *columns), "id")
     r = stage("rrf_fusion", fused.withColumn("score", F.when(F.col("memory_type") == "pinned", F.col("score") * o.pinned_boost).otherwise(F.col("score"))))
     r = stage("rrf_normalize", normalise(r, by))
     r = stage("min_score_filter", r.where(F.col("score") >= o.min_score))
@@ -128,7 +160,7 @@ def stages(memories: DataFrame, vector: DataFrame, words: DataFrame, now: Column
     return out
 
 
-def hybrid(memories: DataFrame, vector: DataFrame, words: DataFrame, now: Column, o: SearchOptions = SearchOptions(), by: list[str] = (), reranked: DataFrame | None = None) -> DataFrame:
+def hybrid(memories: DataFrame, vector: DataFrame | None, words: DataFrame | None, now: Column, o: SearchOptions = SearchOptions(), by: list[str] = (), reranked: DataFrame | None = None) -> DataFrame:
     return stages(memories, vector, words, now, o, by, reranked)[-1][1].select(*by, "id", F.round("score", 6).alias("score"))
 
 
@@ -145,8 +177,6 @@ def cross_space(ranked: DataFrame, spaces: DataFrame, limit: int) -> DataFrame:
     """Results of each space, brought to its best score, weighted by the kind of space, and merged."""
     best = F.max("score").over(Window.partitionBy("space_id"))
     kind = spaces.select(F.col("id").alias("space_id"), "space_type")
-    from memlake.operators.scan import space_weight
-
     rows = ranked.withColumn("best", best).join(kind, "space_id")
     rows = rows.withColumn("score", F.round(F.when(F.col("best") > 0, F.col("score") / F.col("best")).otherwise(0.0) * space_weight(F.col("space_type")), 6))
     return rows.orderBy(F.desc("score"), "space_id", "id").limit(limit).select("space_id", "id", "score")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from memlake.schema import CATEGORIES, MEMORY, MEMORY_TYPES, STATES, TIERS
 
 
 def live(memories: DataFrame) -> DataFrame:
@@ -91,3 +94,36 @@ def evolve(table: DataFrame, schema) -> DataFrame:
 
 def space_weight(space_type: Column) -> Column:
     return F.when(space_type == "personal", 1.0).when(space_type == "team", 0.8).otherwise(0.6)
+
+
+def encode(memories: DataFrame) -> DataFrame:
+    """Rows for a store that knows strings only: arrays and structs as JSON."""
+    flat = lambda f: F.to_json(f.name) if isinstance(f.dataType, (T.ArrayType, T.StructType)) and f.name != "vector" else F.col(f.name)
+    return memories.select(*(flat(f).alias(f.name) for f in memories.schema.fields))
+
+
+def decode(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(memories, refused): encoded rows read back. A row whose category, type, state or tier isn't known is refused, with the name of the first such column
+    as `bad`; a provenance or relations that don't parse are null."""
+    types = {f.name: f.dataType for f in MEMORY.fields}
+    read = lambda c: F.from_json(c, types[c]) if c in types and isinstance(types[c], (T.ArrayType, T.StructType)) and dict(rows.dtypes)[c] == "string" else F.col(c)
+    known = (("category", CATEGORIES), ("memory_type", MEMORY_TYPES), ("state", STATES), ("tier", TIERS))
+    bad = F.coalesce(*(F.when(~F.coalesce(F.col(c).isin(*values), F.lit(False)), F.lit(c)) for c, values in known if c in rows.columns))
+    checked = rows.withColumn("bad", bad)
+    return checked.where("bad is null").select(*(read(c).alias(c) for c in rows.columns)), checked.where("bad is not null")
+
+
+def delete_all(memories: DataFrame) -> DataFrame:
+    return soft_delete(memories, F.lit(True))
+
+
+def update(memories: DataFrame, changed: DataFrame, now: Column) -> DataFrame:
+    """The next snapshot: live rows named in `changed` (id and the columns to change) take its values, a higher version and `now` as updated_at. Vectors stay unless given."""
+    new = [c for c in changed.columns if c != "id"]
+    given = changed.select("id", F.lit(True).alias("_hit"), *(F.col(c).alias(f"_{c}") for c in new))
+    rows = memories.join(given, "id", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)) & (F.col("state") != "deleted"))
+    values = {c: F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)) for c in new}
+    values["version"] = F.col("version") + F.col("_hit").cast("long")
+    if "updated_at" in memories.columns:
+        values["updated_at"] = F.when(F.col("_hit"), now).otherwise(F.col("updated_at"))
+    return rows.withColumns(values).select(*memories.columns)

@@ -45,13 +45,15 @@ def top_categories(memories: DataFrame, by: str, n: int = 3) -> DataFrame:
 
 
 def space_overview(memories: DataFrame, spaces: DataFrame) -> DataFrame:
+    """One row for each space, also for those without memories."""
     sums = memories.groupBy("space_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("owner_agent_id").alias("n_agents"), *(F.count_if(F.col("tier") == t).alias(f"n_{t}") for t in ("core", "working", "peripheral")),
         F.date_format(F.max("created_at"), "yyyy-MM-dd").alias("last_created"), F.count("provenance_source_id").alias("n_shared"),
     )
     top = top_categories(memories, "space_id").groupBy("space_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "category"))), lambda x: x["category"]), ",").alias("top"))
-    members = spaces.select(F.col("id").alias("space_id"), F.size("members").cast("long").alias("n_members"))
-    return sums.join(top, "space_id").join(members, "space_id", "left").withColumn("n_members", F.coalesce("n_members", F.lit(0)))
+    rows = spaces.select(F.col("id").alias("space_id"), "space_type", "owner_id", F.size("members").cast("long").alias("n_members"))
+    rows = rows.join(sums, "space_id", "left").join(top, "space_id", "left")
+    return rows.fillna(0, [c for c in sums.columns if c.startswith("n")])
 
 
 def sharing_summary(events: DataFrame) -> DataFrame:
@@ -79,23 +81,35 @@ def recent_activity(events: DataFrame, n: int = 20) -> DataFrame:
 
 
 def agent_activity(memories: DataFrame, events: DataFrame) -> DataFrame:
-    sums = memories.groupBy("owner_agent_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("space_id").alias("n_spaces"), F.date_format(F.max("created_at"), "yyyy-MM-dd").alias("last_active"))
+    """For each owner agent: memories, their number by space, top categories, last day, shares."""
+    space = F.when(F.coalesce("space_id", F.lit("")) == "", "default").otherwise(F.col("space_id"))
+    in_space = memories.groupBy("owner_agent_id", space.alias("space")).agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("last"))
+    sums = in_space.groupBy("owner_agent_id").agg(F.sum("n").alias("n"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("space", "n")))).alias("by_space"), F.date_format(F.max("last"), "yyyy-MM-dd").alias("last_active"))
     top = top_categories(memories, "owner_agent_id").groupBy("owner_agent_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "category"))), lambda x: x["category"]), ",").alias("top"))
     shares = events.where(F.col("action").isin("share", "batch_share")).groupBy(F.col("agent_id").alias("owner_agent_id")).agg(F.count(F.lit(1)).alias("n_shares"))
     return sums.join(top, "owner_agent_id").join(shares, "owner_agent_id", "left").withColumn("n_shares", F.coalesce("n_shares", F.lit(0)))
 
 
 def edges(memories: DataFrame, min_importance: float = 0.0) -> DataFrame:
-    """Relations, supersessions and copies as edges between memories; a target that isn't there has the space ''."""
-    rows = memories.where(F.col("importance") >= min_importance)
-    said = rows.select(F.col("id").alias("source_id"), "space_id", F.explode("relations").alias("r")).select("source_id", "space_id", F.col("r.target_id").alias("target_id"), F.col("r.relation_type").alias("kind"))
-    over = rows.where("superseded_by is not null").select(F.col("superseded_by").alias("source_id"), "space_id", F.col("id").alias("target_id"), F.lit("supersedes").alias("kind"))
-    copied = rows.where("provenance_source_id is not null").select(F.col("id").alias("source_id"), "space_id", F.col("provenance_source_id").alias("target_id"), F.lit("shared_from").alias("kind"))
-    all_ = said.unionByName(over).unionByName(copied)
-    target = memories.select(F.col("id").alias("target_id"), F.col("space_id").alias("target_space"))
-    return all_.join(target, "target_id", "left").select("source_id", "target_id", "kind", F.coalesce("target_space", F.lit("")).alias("target_space"), (F.coalesce("target_space", F.lit("")) != F.col("space_id")).alias("cross_space"))
+    """(source, target, kind, context_label, cross_space): relations, supersessions (new to old) and copies (source to copy) of memories important enough.
+
+    A relation crosses spaces if both of its ends are such memories in two named spaces; a supersession never does."""
+    rows = memories.where(F.col("importance") >= min_importance).withColumn("space", F.coalesce("space_id", F.lit("")))
+    none = F.lit(None).cast("string").alias("context_label")
+    said = rows.select(F.col("id").alias("source"), "space", F.explode("relations").alias("r")).select("source", F.col("r.target_id").alias("target"), F.col("r.relation_type").alias("kind"), F.col("r.context_label").alias("context_label"), "space")
+    ends = rows.select(F.col("id").alias("target"), F.col("space").alias("to"))
+    crosses = (F.col("space") != "") & (F.col("to") != "") & (F.col("space") != F.col("to"))
+    said = said.join(ends, "target", "left").select("source", "target", "kind", "context_label", F.coalesce(crosses, F.lit(False)).alias("cross_space"))
+    over = rows.where("superseded_by is not null").select(F.col("superseded_by").alias("source"), F.col("id").alias("target"), F.lit("supersedes").alias("kind"), none, F.lit(False).alias("cross_space"))
+    label = F.concat("shared_from_space", F.lit(" → "), "space").alias("context_label")
+    copied = rows.where("provenance_source_id is not null").select(F.col("provenance_source_id").alias("source"), F.col("id").alias("target"), F.lit("shared_from").alias("kind"), label, (F.col("shared_from_space") != F.col("space")).alias("cross_space"))
+    return said.unionByName(over).unionByName(copied)
 
 
 def nodes(memories: DataFrame, min_importance: float, limit: int) -> DataFrame:
+    """The most important memories that an edge touches; edges are not limited."""
+    found = edges(memories, min_importance)
+    touched = found.select(F.explode(F.array("source", "target")).alias("id")).distinct()
     label = F.when(F.coalesce("l0_abstract", F.lit("")) != "", F.col("l0_abstract")).otherwise(F.col("content"))
-    return memories.where(F.col("importance") >= min_importance).orderBy(F.desc("importance"), "id").limit(limit).select("id", label.alias("label"), "category", F.round("importance", 6).alias("importance"))
+    rows = memories.where(F.col("importance") >= min_importance).join(touched, "id", "left_semi").orderBy(F.desc("importance"), "id").limit(limit)
+    return rows.select("id", label.alias("label"), "category", F.round("importance", 6).alias("importance"))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memlake.functions import scoring, text
+from memlake.functions import scoring, seams, text
 from memlake.operators import chunk, ingest, lifecycle, profile, reconcile, retrieve, scan, sharing, stats
 from memlake.plans import sql
 from memlake.schema import SearchOptions
-from memlake.sources import views, webhook
+from memlake.sources import tables, views, webhook
+from memlake.streaming import flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,7 +37,7 @@ def _probe(spark, d):
     """The first benchmark item's first five words (bounded: one row), and vector 0 as a one-row frame."""
     words = views.read(spark, d, "benchmark").where("item_id = 0").select(F.slice(text.words(F.col("text")), 1, 5).alias("w")).first()["w"]
     vector = views.read(spark, d, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("qv"))
-    return [t for w in words for t in __import__("re").findall(r"[^\W_]+", w.lower())], vector
+    return [t for w in words for t in re.findall(r"[^\W_]+", w.lower())], vector
 
 
 # --- scans and filters
@@ -100,6 +102,19 @@ def space_union(spark, d):
     return scan.space_rows(m.unionByName(copy), ["personal/u0", "team/a", "org/x"]).select("id", "space_id")
 
 
+@query(sql.UPDATED)
+def update_rows(spark, d):
+    m = _m(spark, d)
+    return scan.update(m, m.where("i % 3 = 1").select("id", F.lit("cases").alias("category")), views.as_of()).select("id", "category", "version")
+
+
+@query(sql.CODEC)
+def row_codec(spark, d):
+    m = _m(spark, d).withColumn("memory_type", F.when(F.col("i") % 10 == 9, "odd").otherwise(F.col("memory_type"))).drop("created_at", "last_accessed_at")
+    good, bad = scan.decode(scan.encode(m))
+    return good.select("id", "category", F.lit(None).cast("string").alias("bad"), F.size("tags").cast("long").alias("n_tags")).unionByName(bad.select("id", "category", "bad", F.lit(None).cast("long").alias("n_tags")))
+
+
 # --- statistics
 
 
@@ -171,7 +186,8 @@ def sharing_event_list(spark, d):
 
 @query(sql.AGENTS)
 def stats_agents(spark, d):
-    return stats.agent_activity(scan.live(_m(spark, d)), views.sharing_events(spark, d))
+    rows = stats.agent_activity(scan.live(_m(spark, d)), views.sharing_events(spark, d))
+    return rows.withColumn("by_space", F.array_join(F.transform(F.map_entries("by_space"), lambda x: F.concat_ws(":", x["key"], x["value"])), ","))
 
 
 @query(sql.EDGES)
@@ -189,7 +205,7 @@ def relation_nodes(spark, d):
 
 @query(sql.COMPOSITE)
 def decay_composite(spark, d):
-    return lifecycle.with_composite(scan.live(_m(spark, d)), views.as_of()).select("id", F.round(scoring.recency(views.as_of()), 6).alias("recency"), F.round(scoring.frequency(views.as_of()), 6).alias("frequency"), F.round("composite", 6).alias("composite"))
+    return lifecycle.with_composite(scan.live(_m(spark, d)), views.as_of()).select("id", F.round(scoring.recency(views.as_of()), 6).alias("recency"), F.round(scoring.frequency(), 6).alias("frequency"), F.round("composite", 6).alias("composite"))
 
 
 @query(sql.CURVE)
@@ -215,6 +231,11 @@ def ttl_expired(spark, d):
     return lifecycle.expired(_m(spark, d), views.as_of()).select("id", F.col("ttl").cast("long").alias("ttl"))
 
 
+@query(sql.EXPIRED)
+def cleanup_expired(spark, d):
+    return lifecycle.cleanup_expired(_m(spark, d), views.as_of()).select("id", "state", "version")
+
+
 @query(sql.ARCHIVE)
 def archive_superseded(spark, d):
     return lifecycle.archive_superseded(_m(spark, d), views.as_of(), 30).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
@@ -273,17 +294,15 @@ def retrieval_trace(spark, d):
 
 @query(sql.DIVERSITY)
 def diversity_penalty(spark, d):
-    m = scan.live(_m(spark, d)).where("category = 'profile'").select("id", "content", (F.col("importance") + F.col("confidence") + 0.1).alias("score"))
-    top = m.orderBy(F.desc("score"), "id").limit(60)
-    return retrieve.diversify(top).select("id", F.round("score", 6).alias("score"))
+    m = scan.live(_m(spark, d)).select("id", "category", "content", (F.col("importance") + F.col("confidence") + 0.1).alias("score"))
+    top = m.withColumn("_n", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("score"), "id"))).where(F.col("_n") <= 2 * SearchOptions().limit).drop("_n")
+    return retrieve.diversify(top, by=["category"]).select("category", "id", F.round("score", 6).alias("score"))
 
 
 @query(sql.CROSS_SPACE)
 def cross_space_search(spark, d):
     words, vector = _probe(spark, d)
     m = _m(spark, d, True).where("state <> 'deleted'")
-    from pyspark.sql import Window
-
     scored = m.where("vector is not null").join(F.broadcast(vector)).select("space_id", "id", F.round(scoring.cosine(F.col("vector"), F.col("qv")), 6).alias("score"))
     top = lambda rows: rows.withColumn("_n", F.row_number().over(Window.partitionBy("space_id").orderBy(F.desc("score"), "id"))).where("_n <= 30").drop("_n")
     t = retrieve.bm25_scores(m, words).join(m.select("id", "space_id"), "id").select("space_id", "id", "score")
@@ -297,7 +316,20 @@ def cross_space_search(spark, d):
 @query(sql.DEDUP)
 def session_dedup(spark, d):
     s = views.sessions(spark, d)
-    return ingest.new_messages(s.where("conv_id % 3 = 0"), s.where("conv_id % 2 = 0")).select("id", "content_hash")
+    again = F.sha2(F.concat("session_id", "role", "content", F.lit(" again")).cast("binary"), 256)
+    return ingest.new_messages(s.withColumn("content_hash", F.when(F.col("turn") % 3 == 0, again).otherwise(F.col("content_hash"))), s).select("id", "content_hash")
+
+
+@query(sql.SESSION_DELETE)
+def session_delete(spark, d):
+    s = views.sessions(spark, d)
+    return tables.drop_sessions(s, s.where("conv_id % 5 = 2").select("session_id").distinct()).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(sql.HASHES)
+def session_hashes(spark, d):
+    s = views.sessions(spark, d).select("content_hash")
+    return tables.has_hash(s, s.union(s.select(F.sha2(F.col("content_hash").cast("binary"), 256)))).distinct()
 
 
 @query(sql.SESSION_COUNTS)
@@ -307,7 +339,7 @@ def session_counts(spark, d):
 
 @query(sql.BUDGET)
 def message_budget(spark, d):
-    return ingest.budget(views.sessions(spark, d), "conv_id", "turn", max_bytes=2000).select("conv_id", "turn")
+    return ingest.budget(views.sessions(spark, d), "conv_id", "turn").select("conv_id", "turn")
 
 
 @query(sql.REDACT)
@@ -328,12 +360,12 @@ def envelope_strip(spark, d):
 
 @query(sql.TRANSCRIPT)
 def transcript_tail(spark, d):
-    return ingest.transcript(views.sessions(spark, d), "conv_id", "turn", 4, 200).select("conv_id", "turn", F.length("content").cast("long").alias("n"))
+    return ingest.transcript(views.sessions(spark, d), "conv_id", "turn").select("conv_id", "turn", F.length("content").cast("long").alias("n"))
 
 
 @query(sql.BLOCKS)
 def message_blocks(spark, d):
-    return ingest.message_block(views.sessions(spark, d), "conv_id", "turn", 1000).select("conv_id", F.sha2(F.col("block").cast("binary"), 256).alias("sha"))
+    return ingest.message_block(views.sessions(spark, d), "conv_id", "turn").select("conv_id", F.sha2(F.col("block").cast("binary"), 256).alias("sha"))
 
 
 def _facts(spark, d):
@@ -352,18 +384,18 @@ def gather_existing(spark, d):
     return ingest.candidates(facts, _with_update(spark, d)).select("fact_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(sql.GATHER_BOTH)
 def gather_both_legs(spark, d):
     """Each fact is a request of its own, so all keep their candidates of both legs."""
     facts, m = _facts(spark, d), _with_update(spark, d)
-    legs = [leg.withColumn("request", F.col("fact_id")) for leg in (ingest.candidates(facts, m), ingest.text_candidates(facts, m))]
+    legs = [leg.select(F.col("fact_id").alias("request"), "fact_id", "id", "rank") for leg in (ingest.candidates(facts, m), ingest.text_candidates(facts, m))]
     return ingest.gather(*legs, by=["request"]).select(F.col("request").alias("fact_id"), "id", F.col("ordinal").cast("long").alias("ordinal"))
 
 
 @query(sql.ADMISSION)
 def admission_score(spark, d):
     facts = _facts(spark, d)
-    out = ingest.admission(facts.drop("vector"), ingest.candidates(facts, _with_update(spark, d), 5, -1.0), views.as_of())
+    out = ingest.admission(facts.drop("vector"), ingest.candidates(facts, _with_update(spark, d), 5, 0.0), views.as_of())
     return out.select("fact_id", "score", "decision")
 
 
@@ -382,7 +414,7 @@ def preference_guard(spark, d):
 
 def _decisions(spark, d):
     b = views.read(spark, d, "benchmark")
-    return b.select(F.concat(F.lit("d"), "item_id").alias("decision_id"), F.get(F.array(*map(F.lit, (*reconcile.ACTIONS, "unknown"))), (F.col("item_id") % 8).cast("int")).alias("action"), F.col("item_id").alias("fact_id"), F.concat(F.lit("m"), (F.col("item_id") * 3) % 50).alias("match_id"), F.concat(F.lit("merged "), "text").alias("merged_content"))
+    return b.select(F.concat(F.lit("d"), "item_id").alias("decision_id"), F.get(F.array(*map(F.lit, (*reconcile.ACTIONS, "unknown"))), (F.col("item_id") % 8).cast("int")).alias("action"), F.col("item_id").alias("fact_id"), F.concat(F.lit("m"), (F.col("item_id") * 37) % views.read(spark, d, "documents").count()).alias("match_id"), F.concat(F.lit("merged "), "text").alias("merged_content"))
 
 
 @query(sql.RECONCILE)
@@ -390,8 +422,8 @@ def reconcile_apply(spark, d):
     m = _m(spark, d)
     b = views.read(spark, d, "benchmark")
     facts = b.select(F.col("item_id").alias("fact_id"), F.col("text").alias("l0"), F.get(F.array(*map(F.lit, ("profile", "preferences", "entities", "events", "cases", "odd"))), (F.col("item_id") % 6).cast("int")).alias("category"))
-    out = reconcile.apply(m, reconcile.resolve(_decisions(spark, d), facts, m))
-    return out.select("id", F.sha2(F.col("content").cast("binary"), 256).alias("sha"), "category", "state", F.round("confidence", 6).alias("confidence"), "superseded_by", "n_relations", "version")
+    out = reconcile.apply(m, reconcile.resolve(_decisions(spark, d), facts, m), views.as_of())
+    return out.select("id", F.sha2(F.col("content").cast("binary"), 256).alias("sha"), "category", "state", F.round("confidence", 6).alias("confidence"), "superseded_by", F.col("invalidated_at").isNotNull().alias("invalidated"), "n_relations", "version")
 
 
 @query(sql.CROSS_RECONCILE)
@@ -415,15 +447,55 @@ def spaces_for_user(spark, d):
     return sharing.spaces_of(views.spaces(spark), "u1").select("id", "space_type")
 
 
+def _copied(rows):
+    p = lambda c: F.col(f"provenance.{c}")
+    return rows.select(
+        "id", "space_id", "provenance_source_id", p("source_version").alias("source_version"), p("shared_from_space").alias("from_space"), p("shared_by_user").alias("by_user"), p("original_created_at").alias("original_created_at"),
+        F.col("access_count").cast("long").alias("access_count"), "version", "visibility", "superseded_by", F.date_format("created_at", "yyyy-MM-dd").alias("created"),
+    )
+
+
 @query(sql.SHARE_FILTERED)
 def share_filtered(spark, d):
-    m = scan.live(_m(spark, d)).where("space_id = 'personal/u2'").where(sharing.share_filter(["preferences", "events", "cases"], ["en", "t6"], 0.3))
-    return sharing.copies(m, F.lit("team/a")).select("id", "space_id", "provenance_source_id", "source_version", F.col("access_count").cast("long").alias("access_count"), "version", "visibility")
+    return _copied(sharing.shared_all(_m(spark, d), "u2", "team/a", views.as_of(), sharing.share_filter(["preferences", "events", "cases"], ["en", "t6"], 0.3)))
+
+
+@query(sql.PULL)
+def pull_memories(spark, d):
+    m = _m(spark, d)
+    return _copied(sharing.pulled(m, m.where("version = 2"), "org/x", "u1", views.as_of()))
+
+
+@query(sql.SHARE_EVENTS)
+def share_events(spark, d):
+    made = sharing.shared_all(_m(spark, d), "u2", "team/a", views.as_of(), F.lit(True))
+    return sharing.events_of(made, "share").select("id", "action", "from_space", "to_space", "user_id", "preview")
+
+
+@query(sql.UNSHARED)
+def unshare(spark, d):
+    m = _m(spark, d).withColumn("provenance", F.struct(F.lit("u0").alias("shared_by_user")))
+    return sharing.unshared(m, m.select("id"), "personal/u2", views.spaces(spark), "u2").select("id", "state", "version")
+
+
+@query(sql.RESHARED)
+def reshare(spark, d):
+    m = _m(spark, d).where("true")
+    return sharing.reshared(m, m.select("id"), views.as_of(), "u1").select("id", F.when(F.col("id").contains("@"), "active").otherwise(F.col("state")).alias("state"), "source_version")
+
+
+@query(sql.BRIDGE)
+def bridge_space(spark, d):
+    """u0 and u1 share a space already, u2 and u4 get one."""
+    return sharing.with_bridge(sharing.with_bridge(views.spaces(spark), "u1", "u0"), "u2", "u4").select("id", "space_type", "owner_id")
 
 
 @query(sql.AUTO_SHARE)
 def auto_share(spark, d):
-    return sharing.matched_rules(scan.live(_m(spark, d)), views.rules(spark))
+    m = scan.live(_m(spark, d))
+    hit = sharing.matched_rules(m, views.rules(spark)).select(F.col("id").alias("source_id"), "to_space", "rule_id")
+    made = sharing.auto_copies(m, views.rules(spark), views.as_of(), "u0").select("id", F.col("provenance_source_id").alias("source_id"), F.col("space_id").alias("to_space"))
+    return made.join(hit, ["source_id", "to_space"]).select("id", "source_id", "to_space", "rule_id")
 
 
 @query(sql.IDEMPOTENT)
@@ -435,10 +507,32 @@ def share_idempotent(spark, d):
 @query(sql.OUTCOME)
 def share_outcome(spark, d):
     m = _m(spark, d)
-    ids = spark.range(120).select(F.concat(F.lit("m"), F.col("id") * 12 + 5).alias("id"))
+    ids = m.select("id").union(m.where("i % 7 = 0").select(F.concat("id", F.lit("?"))))
     return sharing.share_outcome(m, ids, "personal/u1")
 
 
+@query(sql.TENANTS)
+def tenant_gate(spark, d):
+    tenants = spark.createDataFrame([(f"u{i}", "suspended" if i % 3 == 2 else "active") for i in range(6)], "id string, status string")
+    return tables.active_tenants(tenants, spark.range(8).select(F.concat(F.lit("u"), "id").alias("id")))
+
+
+@query(sql.TASKS)
+def import_tasks(spark, d):
+    """Tasks of every conversation: pending, running, completed or failed, each asked to complete, except that pending ones are asked to run."""
+    ids = views.read(spark, d, "conversations").select("conv_id").distinct()
+    status = F.get(F.array(*map(F.lit, ("pending", "running", "completed", "failed"))), (F.col("conv_id") % 4).cast("int"))
+    t = ids.where("conv_id >= 0").select(F.concat(F.lit("t"), "conv_id").alias("id"), status.alias("status"), F.lit(None).cast("timestamp").alias("completed_at"))
+    moved = tables.move_tasks(t, t.select("id", F.when(F.col("status") == "pending", "running").otherwise("completed").alias("to")), views.as_of())
+    return moved.select("id", "status", F.col("completed_at").isNotNull().alias("stamped"))
+
+
+@query(sql.SELF_DEDUP)
+def batch_self_dedup(spark, d):
+    b = views.read(spark, d, "benchmark").select(F.col("item_id").alias("fact_id"), F.floor(F.col("item_id") / 10).alias("request"), F.when(F.col("item_id") % 5 == 4, "the same words each time").otherwise(F.col("text")).alias("l0"))
+    return reconcile.self_dedup(b).select("fact_id")
+
+
 @query(sql.STALE_COPIES)
 def stale_copies(spark, d):
     return sharing.stale_copies(_m(spark, d))
@@ -497,6 +591,28 @@ def split_sections(spark, d):
     return chunk.sections(docs, "doc_id", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.max(F.length("section")).cast("long").alias("longest"))
 
 
+@query()
+def context_text(spark, d):
+    """What a search for the probe adds to a prompt."""
+    ranked = retrieve.hybrid(*_legs(spark, d), views.as_of()).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+    return profile.context_block(ranked.join(_m(spark, d).select("id", "category", "tags", "created_at", "content"), "id"), views.as_of())
+
+
+@query()
+def ingest_conversations(spark, d):
+    """All conversations as one batch against all memories: facts are sentences, vectors hashed words."""
+    embed = seams.embedder(seams.hashing_vectors)
+    m = _m(spark, d).withColumns({"updated_at": F.col("created_at"), "vector": embed(F.col("l0_abstract"))})
+    out = flows.ingest(views.sessions(spark, d), m, views.as_of(), embed, seams.completer(seams.sentence_facts))
+    return out.select("id", F.sha2(F.col("content").cast("binary"), 256).alias("sha"), "category", "state", F.round("confidence", 6).alias("confidence"), "n_relations", "version")
+
+
+@query()
+def import_routing(spark, d):
+    docs = views.read(spark, d, "documents").select("doc_id", "text")
+    return chunk.import_chunks(docs, "doc_id", "text").select("doc_id", "hint", "part", F.octet_length("chunk").cast("long").alias("bytes"))
+
+
 @query()
 def smart_split(spark, d):
     return chunk.chunked(views.read(spark, d, "documents"), "doc_id", "text", 4000, 200).select("doc_id", "part", F.length("chunk").cast("long").alias("n"))
@@ -518,8 +634,6 @@ def webhook_commits(spark, d):
 
 @query()
 def noise_learning(spark, d):
-    from memlake.streaming import flows
-
     e = views.read(spark, d, "embeddings")
     rows = e.select(F.concat(F.lit("u"), F.col("vec_id") % 5).alias("tenant_id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vector"), (F.col("vec_id") % 11 == 0).alias("noisy"))
     return flows.noise_by_tenant(rows)

@@ -49,9 +49,10 @@ def _top(by: str) -> str:
 TOP_CATEGORIES = f"{LIVE}, {_top('space_id')} SELECT space_id, category, n, rank FROM top_space_id"
 SPACES = f"""{LIVE}, {_top("space_id")}, {SPACES_SQL},
 t AS (SELECT space_id, string_agg(category, ',' ORDER BY rank) AS top FROM top_space_id GROUP BY 1), mm AS (SELECT space_id, count(*) AS n_members FROM members GROUP BY 1)
-SELECT s.*, t.top, coalesce(n_members, 0) AS n_members FROM (
+SELECT k.space_id, k.space_type, k.owner_id, n_members, coalesce(n, 0) AS n, coalesce(n_agents, 0) AS n_agents, coalesce(n_core, 0) AS n_core, coalesce(n_working, 0) AS n_working, coalesce(n_peripheral, 0) AS n_peripheral, last_created, coalesce(n_shared, 0) AS n_shared, t.top
+FROM (SELECT DISTINCT space_id, space_type, owner_id FROM members) k JOIN mm USING (space_id) LEFT JOIN (
   SELECT space_id, count(*) AS n, count(DISTINCT owner_agent_id) AS n_agents, count(*) FILTER (tier = 'core') AS n_core, count(*) FILTER (tier = 'working') AS n_working, count(*) FILTER (tier = 'peripheral') AS n_peripheral,
-    strftime(max(created_at), '%Y-%m-%d') AS last_created, count(provenance_source_id) AS n_shared FROM live GROUP BY space_id) s JOIN t USING (space_id) LEFT JOIN mm USING (space_id)"""
+    strftime(max(created_at), '%Y-%m-%d') AS last_created, count(provenance_source_id) AS n_shared FROM live GROUP BY space_id) s USING (space_id) LEFT JOIN t USING (space_id)"""
 E_ = f"WITH {EVENTS_SQL}"
 SHARED = "action IN ('share', 'batch_share', 'reshare')"
 SHARING_SUMMARY = f"{E_} SELECT count(*) FILTER ({SHARED}) AS shares, count(*) FILTER (action = 'pull') AS pulls, count(*) FILTER (action = 'unshare') AS unshares, count(DISTINCT user_id) FILTER ({SHARED}) AS sharers FROM share_events"
@@ -63,18 +64,25 @@ EVENT_LIST = f"{E_} SELECT id, action, to_space FROM share_events WHERE from_spa
 AGENTS = f"""{LIVE}, {EVENTS_SQL}, {_top("owner_agent_id")},
 t AS (SELECT owner_agent_id, string_agg(category, ',' ORDER BY rank) AS top FROM top_owner_agent_id GROUP BY 1),
 sh AS (SELECT agent_id AS owner_agent_id, count(*) AS n_shares FROM share_events WHERE action IN ('share', 'batch_share') GROUP BY 1)
-SELECT s.*, t.top, coalesce(n_shares, 0) AS n_shares FROM (SELECT owner_agent_id, count(*) AS n, count(DISTINCT space_id) AS n_spaces, strftime(max(created_at), '%Y-%m-%d') AS last_active FROM live GROUP BY 1) s JOIN t USING (owner_agent_id) LEFT JOIN sh USING (owner_agent_id)"""
-EDGES = f"""{LIVE}, r AS (SELECT * FROM live WHERE importance >= 0.2), e AS (
-  SELECT id AS source_id, space_id, supports_id AS target_id, 'supports' AS kind FROM r WHERE supports_id IS NOT NULL
-  UNION ALL SELECT superseded_by, space_id, id, 'supersedes' FROM r WHERE superseded_by IS NOT NULL
-  UNION ALL SELECT id, space_id, provenance_source_id, 'shared_from' FROM r WHERE provenance_source_id IS NOT NULL)
-SELECT source_id, target_id, kind, coalesce(l.space_id, '') AS target_space, coalesce(l.space_id, '') <> e.space_id AS cross_space FROM e LEFT JOIN live l ON l.id = e.target_id"""
-NODES = f"{LIVE} SELECT id, CASE WHEN l0_abstract <> '' THEN l0_abstract ELSE content END AS label, category, round(importance, 6) AS importance FROM live WHERE importance >= 0.5 ORDER BY live.importance DESC, id LIMIT 60"
+SELECT s.*, t.top, coalesce(n_shares, 0) AS n_shares FROM (SELECT owner_agent_id, CAST(sum(n) AS BIGINT) AS n, string_agg(space_id || ':' || n, ',' ORDER BY space_id) AS by_space, strftime(max(last), '%Y-%m-%d') AS last_active FROM (SELECT owner_agent_id, space_id, count(*) AS n, max(created_at) AS last FROM live GROUP BY 1, 2) GROUP BY 1) s JOIN t USING (owner_agent_id) LEFT JOIN sh USING (owner_agent_id)"""
+
+
+def _edges(least: float) -> str:
+    """Filtered memories only: their relations, what supersedes them, what they were shared from."""
+    return f"""kept AS (SELECT * FROM live WHERE importance >= {least}), e AS (
+  SELECT k.id AS source, k.supports_id AS target, 'supports' AS kind, NULL AS context_label, k.space_id <> '' AND coalesce(t.space_id, '') <> '' AND k.space_id <> t.space_id AS cross_space FROM kept k LEFT JOIN kept t ON t.id = k.supports_id WHERE k.supports_id IS NOT NULL
+  UNION ALL SELECT superseded_by, id, 'supersedes', NULL, false FROM kept WHERE superseded_by IS NOT NULL
+  UNION ALL SELECT provenance_source_id, id, 'shared_from', shared_from_space || ' → ' || space_id, shared_from_space <> space_id FROM kept WHERE provenance_source_id IS NOT NULL)"""
+
+
+EDGES = f"{LIVE}, {_edges(0.2)} SELECT source, target, kind, context_label, coalesce(cross_space, false) AS cross_space FROM e"
+NODES = f"{LIVE}, {_edges(0.5)}, touched AS (SELECT source AS id FROM e UNION SELECT target FROM e) SELECT id, CASE WHEN l0_abstract <> '' THEN l0_abstract ELSE content END AS label, category, round(importance, 6) AS importance FROM kept WHERE id IN (SELECT id FROM touched) ORDER BY kept.importance DESC, id LIMIT 60"
 
 AGE = f"greatest(epoch({NOW} - coalesce(last_accessed_at, created_at)) / 86400.0, 0)"
 RECENCY = f"exp(-(0.6931471805599453 / (30.0 * exp(1.5 * importance))) * pow({AGE}, CASE tier WHEN 'core' THEN 0.8 WHEN 'working' THEN 1.0 ELSE 1.3 END))"
 BASE = "(1 - exp(-access_count / 5.0))"
-FREQUENCY = f"CASE WHEN access_count > 1 THEN {BASE} * (0.5 + 0.5 * exp(-{AGE} / 30)) ELSE {BASE} END"
+GAP = "greatest(epoch(coalesce(last_accessed_at, created_at) - created_at) / 86400.0, 0) / (access_count - 1)"
+FREQUENCY = f"CASE WHEN access_count > 1 THEN {BASE} * (0.5 + 0.5 * exp(-({GAP}) / 30)) ELSE {BASE} END"
 RAW = f"(0.4 * {RECENCY} + 0.3 * ({FREQUENCY}) + 0.3 * importance * confidence)"
 COMPOSITE_ = f"greatest({RAW}, CASE tier WHEN 'core' THEN 0.9 WHEN 'working' THEN 0.7 ELSE 0.5 END)"
 COMPOSITE = f"{LIVE} SELECT id, round({RECENCY}, 6) AS recency, round({FREQUENCY}, 6) AS frequency, round({COMPOSITE_}, 6) AS composite FROM live"
@@ -98,21 +106,32 @@ def _has(*words: str) -> str:
     return " OR ".join(f"contains(lower(content), '{w}')" for w in words)
 
 
-TTL = f"""{M}, t AS (SELECT *, CASE WHEN {_has("today", "今天", "tomorrow", "明天")} THEN 2 WHEN {_has("next week", "下周")} THEN 10 WHEN {_has("this month", "这个月")} THEN 35 END AS ttl FROM memories WHERE state = 'active')
+TTL = f"""{M}, t AS (SELECT *, CASE WHEN {_has("today", "今天", "tomorrow", "明天")} THEN 2 WHEN {_has("next week", "下周")} THEN 10 WHEN {_has("this month", "这个月")} THEN 35 END AS ttl FROM memories WHERE state <> 'deleted')
 SELECT id, CAST(ttl AS BIGINT) AS ttl FROM t WHERE created_at + to_days(CAST(ttl AS INTEGER)) < {NOW}"""
-ARCHIVE = f"{M} SELECT s AS state, count(*) AS n FROM (SELECT CASE WHEN state = 'active' AND superseded_by IS NOT NULL AND created_at + INTERVAL 30 DAY < {NOW} THEN 'archived' ELSE state END AS s FROM memories) GROUP BY s"
+EXPIRED = f"""{M}, t AS (SELECT *, CASE WHEN {_has("today", "今天")} THEN 2 WHEN {_has("tomorrow", "明天")} THEN 2 WHEN {_has("next week", "下周")} THEN 10 WHEN {_has("this month", "这个月")} THEN 35 END AS ttl FROM memories),
+x AS (SELECT id, version, state, state <> 'deleted' AND ttl IS NOT NULL AND created_at + to_days(CAST(ttl AS INTEGER)) < {NOW} AS hit FROM t)
+SELECT id, CASE WHEN hit THEN 'deleted' ELSE state END AS state, version + CASE WHEN hit THEN 1 ELSE 0 END AS version FROM x"""
+ARCHIVE = f"{M} SELECT s AS state, count(*) AS n FROM (SELECT CASE WHEN state <> 'deleted' AND superseded_by IS NOT NULL AND created_at + INTERVAL 30 DAY < {NOW} THEN 'archived' ELSE state END AS s FROM memories) GROUP BY s"
 
 DOUBLES = "list_transform({}, lambda x: CAST(x AS DOUBLE))"
 COSINE = f"round(list_cosine_similarity({DOUBLES.format('e.embedding')}, {DOUBLES.format('q.embedding')}), 6)"
 SCORED = f"scored AS (SELECT id, space_id, {COSINE} AS score FROM live JOIN embeddings e USING (vec_id), (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"
 VECTOR_TOPK = f"{LIVE}, {SCORED} SELECT id, score FROM (SELECT id, score FROM scored ORDER BY score DESC, id LIMIT 20) WHERE score >= 0"
 VECTOR_TOPK_FILTERED = f"{LIVE}, {SCORED} SELECT id, score FROM (SELECT id, score FROM scored WHERE space_id = 'team/a' ORDER BY score DESC, id LIMIT 20) WHERE score >= 0.1"
-BM25_ALL = """
-asked AS (SELECT DISTINCT t FROM (SELECT unnest(regexp_extract_all(lower(array_to_string(list_slice(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), 1, 5), ' ')), '[\\p{L}\\p{N}]+')) AS t FROM benchmark WHERE item_id = 0)),
-w AS (SELECT id, space_id, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') AS ws FROM live),
-tf AS (SELECT id, space_id, len, t, count(*) AS tf FROM (SELECT id, space_id, len(ws) AS len, unnest(ws) AS t FROM w) JOIN asked USING (t) GROUP BY ALL),
-df AS (SELECT t, count(*) AS df FROM tf GROUP BY t), st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(ws)) AS a FROM w),
-bm25 AS (SELECT id, any_value(space_id) AS space_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM tf JOIN df USING (t), st GROUP BY id)"""
+
+
+def _bm25(f: str) -> str:
+    """Scores of one field of all live memories: s_<field>(id, space_id, s)."""
+    return f"""w_{f} AS (SELECT id, space_id, regexp_extract_all(lower({f}), '[\\p{{L}}\\p{{N}}]+') AS ws FROM live),
+tf_{f} AS (SELECT id, space_id, len, t, count(*) AS tf FROM (SELECT id, space_id, len(ws) AS len, unnest(ws) AS t FROM w_{f}) JOIN asked USING (t) GROUP BY ALL),
+df_{f} AS (SELECT t, count(*) AS df FROM tf_{f} GROUP BY t), st_{f} AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(ws)) AS a FROM w_{f}),
+s_{f} AS (SELECT id, space_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a)) AS s FROM tf_{f} JOIN df_{f} USING (t), st_{f})"""
+
+
+BM25_ALL = f"""
+asked AS (SELECT DISTINCT t FROM (SELECT unnest(regexp_extract_all(lower(array_to_string(list_slice(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), 1, 5), ' ')), '[\\p{{L}}\\p{{N}}]+')) AS t FROM benchmark WHERE item_id = 0)),
+{_bm25("content")}, {_bm25("l0_abstract")},
+bm25 AS (SELECT id, any_value(space_id) AS space_id, round(sum(s), 6) AS score FROM (SELECT * FROM s_content UNION ALL SELECT * FROM s_l0_abstract) GROUP BY id)"""
 BM25 = f"{LIVE}, {BM25_ALL} SELECT id, score FROM bm25 ORDER BY score DESC, id LIMIT 20"
 BM25_POST = f"{LIVE}, {BM25_ALL} SELECT id, score FROM (SELECT id, score FROM bm25 ORDER BY score DESC, id LIMIT 20) JOIN memories USING (id) WHERE category = 'profile'"
 LEGS = f"""{LIVE}, {SCORED}, {BM25_ALL},
@@ -153,9 +172,9 @@ HYBRID = f"{LEGS}, {_pipeline(10)} SELECT id, round(score, 6) AS score FROM s12"
 STAGES = ("parallel_search", "rrf_fusion", "rrf_normalize", "min_score_filter", "topk_cap", "cross_encoder_rerank", "bm25_floor", "decay_boost", "importance_weight", "length_normalization", "hard_cutoff", "mmr_diversity")
 TRACE = f"{LEGS}, s1 AS (SELECT score FROM v UNION ALL SELECT bm25 FROM t), {_pipeline(10)} " + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS pos, '{n}' AS stage, count(*) AS output_count, round(min(score), 6) AS low, round(max(score), 6) AS high FROM s{i}" for i, n in enumerate(STAGES, 1))
 WORDS = "list_distinct(list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> ''))"
-DIVERSITY = f"""{LIVE}, t AS (SELECT id, content, importance + confidence + 0.1 AS score FROM live WHERE category = 'profile' ORDER BY score DESC, id LIMIT 60),
-r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rk, {WORDS.format("content")} AS w FROM t)
-SELECT id, round(CASE WHEN EXISTS (SELECT 1 FROM r b WHERE b.rk < a.rk AND (CASE WHEN len(a.w) + len(b.w) = 0 THEN 1.0 ELSE CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / len(list_distinct(list_concat(a.w, b.w))) END) > 0.85) THEN score * 0.5 ELSE score END, 6) AS score FROM r a"""
+DIVERSITY = f"""{LIVE}, t AS (SELECT * FROM (SELECT id, category, content, importance + confidence + 0.1 AS score, row_number() OVER (PARTITION BY category ORDER BY importance + confidence + 0.1 DESC, id) AS rk FROM live) WHERE rk <= 20),
+r AS (SELECT *, {WORDS.format("content")} AS w FROM t)
+SELECT category, id, round(CASE WHEN EXISTS (SELECT 1 FROM r b WHERE b.category = a.category AND b.rk < a.rk AND (CASE WHEN len(a.w) + len(b.w) = 0 THEN 1.0 ELSE CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / len(list_distinct(list_concat(a.w, b.w))) END) > 0.85) THEN score * 0.5 ELSE score END, 6) AS score FROM r a"""
 CROSS_SPACE = f"""{LIVE}, {SCORED}, {BM25_ALL}, {SPACES_SQL},
 v AS (SELECT * FROM (SELECT space_id, id, score, row_number() OVER (PARTITION BY space_id ORDER BY score DESC, id) AS r FROM scored) WHERE r <= 30),
 t AS (SELECT * FROM (SELECT space_id, id, score AS bm25, row_number() OVER (PARTITION BY space_id ORDER BY score DESC, id) AS r FROM bm25) WHERE r <= 30),
@@ -166,10 +185,13 @@ SELECT space_id, id, score FROM (SELECT space_id, id, round(CASE WHEN max(score)
 
 S = f"WITH {SESSIONS_SQL}"
 MSG = f"WITH {MESSAGES_SQL}"
-DEDUP = f"{S} SELECT id, content_hash FROM sess WHERE conv_id % 3 = 0 AND content_hash NOT IN (SELECT content_hash FROM sess WHERE conv_id % 2 = 0)"
+DEDUP = f"""{S}, incoming AS (SELECT id, CASE WHEN turn % 3 = 0 THEN sha256(session_id || role || content || ' again') ELSE content_hash END AS content_hash FROM sess)
+SELECT id, content_hash FROM incoming WHERE content_hash NOT IN (SELECT content_hash FROM sess)"""
+SESSION_DELETE = f"{S} SELECT session_id, count(*) AS n FROM sess WHERE conv_id % 5 <> 2 GROUP BY 1"
+HASHES = f"{S} SELECT content_hash, true AS stored FROM sess UNION SELECT sha256(content_hash), false FROM sess"
 SESSION_COUNTS = f"{S} SELECT session_id, count(*) AS n, count(DISTINCT role) AS roles FROM sess GROUP BY 1"
 BUDGET = f"""{S} SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER w AS n, sum(strlen(content)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS b FROM sess WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC))
-WHERE n <= 20 AND (n = 1 OR b <= 2000)"""
+WHERE n <= 20 AND (n = 1 OR b <= 200000)"""
 REDACTED = f"regexp_replace(content, '{PRIVATE}', '[REDACTED]', 'g')"
 REDACT = f"{MSG} SELECT id, sha256({REDACTED}) AS sha FROM msgs WHERE trim(replace({REDACTED}, '[REDACTED]', '')) <> ''"
 NOISE = f"{MSG} SELECT id FROM msgs WHERE trim(content) <> '' AND NOT (" + " OR ".join(f"regexp_matches(trim(content), {_quoted(p)})" for p in NOISE) + ")"
@@ -177,13 +199,29 @@ _ENVELOPED = "'bot: System: [10:00] Channel general' || chr(10) || content || ch
 for _p in ENVELOPES:
     _ENVELOPED = f"regexp_replace({_ENVELOPED}, {_quoted(_p)}, '', 'g')"
 ENVELOPE = f"{S} SELECT id, sha256({_ENVELOPED}) AS sha FROM sess"
-TRANSCRIPT = f"""{S} SELECT conv_id, turn, CAST(length(left(content, 200)) AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b, count(*) OVER (PARTITION BY conv_id) AS t FROM sess WHERE role IN ('user', 'assistant') AND trim(content) <> '') WHERE b <= 4 AND t >= 2"""
-BLOCKS = f"""{S}, b AS (SELECT conv_id, string_agg(role || ': ' || content || chr(10), '' ORDER BY turn) AS b FROM sess GROUP BY 1)
-SELECT conv_id, sha256(CASE WHEN length(b) <= 1000 THEN b ELSE substr(right(b, 1000), CAST(strpos(right(b, 1000), chr(10)) AS BIGINT) + 1) END) AS sha FROM b"""
-FACTS = "facts AS (SELECT item_id AS fact_id, b.text AS l0, ['profile', 'preferences', 'entities', 'events', 'cases', 'patterns'][item_id % 6 + 1] AS category, b.text || ' and more words' AS source_text, e.embedding FROM benchmark b JOIN embeddings e ON e.vec_id = item_id WHERE item_id < 50)"
+TRANSCRIPT = f"""{S} SELECT conv_id, turn, CAST(length(left(content, 2000)) AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b, count(*) OVER (PARTITION BY conv_id) AS t FROM sess WHERE role IN ('user', 'assistant') AND trim(content) <> '') WHERE b <= 10 AND t >= 2"""
+BLOCKS = f"""{S}, b AS (SELECT conv_id, string_agg(role || ': ' || content || chr(10), '' ORDER BY turn) AS b FROM sess GROUP BY 1),
+c AS (SELECT conv_id, b, CASE WHEN strlen(b) <= 8000 THEN b ELSE right(b, list_max(list_filter(range(1, 8001), lambda k: strlen(right(b, CAST(k AS BIGINT))) <= 8000))) END AS t FROM b)
+SELECT conv_id, sha256(CASE WHEN strlen(b) <= 8000 OR strpos(t, chr(10)) = length(t) THEN t ELSE substr(t, strpos(t, chr(10)) + 1) END) AS sha FROM c"""
+FACTS = "facts AS (SELECT item_id AS fact_id, b.text AS l0, ['profile', 'preferences', 'entities', 'events', 'cases', 'patterns'][item_id % 6 + 1] AS category, b.text || ' and more words' AS source_text, e.embedding FROM benchmark b JOIN embeddings e ON e.vec_id = item_id)"
 PAIRS = f"""pairs AS (SELECT fact_id, id, created_at, round(list_cosine_similarity({DOUBLES.format("f.embedding")}, {DOUBLES.format("e.embedding")}), 6) AS score FROM facts f, live JOIN embeddings e USING (vec_id)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY score DESC, id) AS rank FROM pairs WHERE score >= {{}})"""
 GATHER = f"{LIVE}, {FACTS}, {PAIRS.format(0.3)} SELECT fact_id, id, score, rank FROM ranked WHERE rank <= 5"
+
+
+def _leg(f: str) -> str:
+    return f"""w_{f} AS (SELECT id, regexp_extract_all(lower({f}), '[\\p{{L}}\\p{{N}}]+') AS ws FROM live),
+tf_{f} AS (SELECT id, len, t, count(*) AS tf FROM (SELECT id, len(ws) AS len, unnest(ws) AS t FROM w_{f}) SEMI JOIN words USING (t) GROUP BY ALL),
+df_{f} AS (SELECT t, count(*) AS df FROM tf_{f} GROUP BY t), st_{f} AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(ws)) AS a FROM w_{f}),
+s_{f} AS (SELECT id, t, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a)) AS s FROM tf_{f} JOIN df_{f} USING (t), st_{f})"""
+
+
+GATHER_BOTH = f"""{LIVE}, {FACTS}, {PAIRS.format(0.3)}, words AS (SELECT DISTINCT fact_id, unnest(regexp_extract_all(lower(left(source_text, 200)), '[\\p{{L}}\\p{{N}}]+')) AS t FROM facts),
+{_leg("content")}, {_leg("l0_abstract")},
+hits AS (SELECT fact_id, id, round(sum(s), 6) AS score FROM words JOIN (SELECT * FROM s_content UNION ALL SELECT * FROM s_l0_abstract) USING (t) GROUP BY 1, 2),
+legs AS (SELECT fact_id, id, 0 AS leg, rank FROM ranked WHERE rank <= 5 UNION ALL SELECT fact_id, id, 1, rank FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY score DESC, id) AS rank FROM hits) WHERE rank <= 5),
+firsts AS (SELECT fact_id, id, min(leg * 10 + rank) AS place FROM legs GROUP BY 1, 2)
+SELECT fact_id, id, row_number() OVER (PARTITION BY fact_id ORDER BY place, id) - 1 AS ordinal FROM firsts"""
 TRIMMED = "list_distinct(list_filter(list_transform(regexp_split_to_array({}, '\\s+'), lambda w: regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')), lambda w: w <> ''))"
 
 
@@ -197,8 +235,8 @@ def _utility(c: str) -> str:
     return f"CAST(CASE WHEN strlen(trim({c})) <= 5 THEN 0.2 WHEN strlen(trim({c})) <= 20 THEN 0.3 ELSE {long} END AS DOUBLE)"
 
 
-ADMISSION = f"""{LIVE}, {FACTS}, {PAIRS.format(-1.0)},
-best AS (SELECT fact_id, max(score) AS max_sim, arg_max(created_at, (score, '~' || id)) AS best_at FROM ranked WHERE rank <= 5 GROUP BY 1),
+ADMISSION = f"""{LIVE}, {FACTS}, {PAIRS.format(0.0)},
+best AS (SELECT fact_id, max(score) AS max_sim, arg_min(created_at, (-score, id)) AS best_at FROM ranked WHERE rank <= 5 GROUP BY 1),
 a AS (SELECT f.fact_id, coalesce(max_sim, 0) AS sim, round(0.1 * ({_utility("l0")} + {_jaccard(TRIMMED.format("l0"), TRIMMED.format("source_text"), "0.0")} + 1 - coalesce(max_sim, 0) +
     CASE WHEN best_at IS NULL THEN 1 ELSE 1 - exp(-floor(greatest(epoch({NOW} - best_at) / 86400, 0)) / 30.0) END)
   + 0.6 * CASE category WHEN 'profile' THEN 0.95 WHEN 'preferences' THEN 0.90 WHEN 'entities' THEN 0.75 WHEN 'events' THEN 0.45 WHEN 'cases' THEN 0.80 WHEN 'patterns' THEN 0.85 ELSE 0.45 END, 6) AS score FROM facts f LEFT JOIN best USING (fact_id))
@@ -221,34 +259,58 @@ SELECT fact_id FROM n WHERE EXISTS (SELECT 1 FROM h WHERE h.brand = n.brand AND
 SLOTS = f"{MSG}, {SLOTS_OF} SELECT id, brand, item FROM slots WHERE brand IS NOT NULL"
 
 RECONCILE = f"""{M}, f AS (SELECT 'd' || item_id AS decision_id, ['create', 'merge', 'skip', 'supersede', 'support', 'contextualize', 'contradict', 'unknown'][item_id % 8 + 1] AS action,
-  text AS l0, ['profile', 'preferences', 'entities', 'events', 'cases', 'odd'][item_id % 6 + 1] AS f_category, 'm' || (item_id * 3 % 50) AS match_id, 'merged ' || text AS merged FROM benchmark),
-j AS (SELECT f.*, m.memory_type AS tt, m.category AS tc, CASE WHEN action = 'unknown' THEN 'create' WHEN action = 'contradict' AND m.category IN ('preferences', 'entities') THEN 'supersede' ELSE action END AS a FROM f LEFT JOIN memories m ON m.id = match_id),
+  text AS l0, ['profile', 'preferences', 'entities', 'events', 'cases', 'odd'][item_id % 6 + 1] AS f_category, 'm' || (item_id * 37 % (SELECT count(*) FROM documents)) AS match_id, 'merged ' || text AS merged FROM benchmark),
+j AS (SELECT f.*, m.memory_type AS tt, CASE WHEN action = 'unknown' THEN 'create' WHEN action = 'contradict' AND f_category IN ('preferences', 'entities') THEN 'supersede' ELSE action END AS a FROM f LEFT JOIN memories m ON m.id = match_id),
 r AS (SELECT *, CASE WHEN tt IS NULL AND a NOT IN ('create', 'skip') THEN 'create' WHEN a IN ('merge', 'supersede') AND tt = 'pinned' THEN 'create' ELSE a END AS ap FROM j),
 c AS (SELECT match_id AS id, arg_max(merged, decision_id) FILTER (ap = 'merge') AS mc, max(decision_id) FILTER (ap = 'supersede') AS ov, count(*) FILTER (ap = 'support') AS su, count(*) FILTER (ap IN ('support', 'contradict')) AS li, count(*) AS n
   FROM r WHERE ap IN ('merge', 'supersede', 'support', 'contradict') GROUP BY 1)
-SELECT id, sha256(coalesce(mc, content)) AS sha, category, state, round(least(confidence + 0.1 * coalesce(su, 0), greatest(1.0, confidence)), 6) AS confidence, CASE WHEN ov IS NOT NULL THEN 'n' || ov ELSE superseded_by END AS superseded_by,
+SELECT id, sha256(coalesce(mc, content)) AS sha, category, state, round(least(confidence + 0.1 * coalesce(su, 0), greatest(1.0, confidence)), 6) AS confidence, CASE WHEN ov IS NOT NULL THEN 'n' || ov ELSE superseded_by END AS superseded_by, ov IS NOT NULL AS invalidated,
   CAST(CASE WHEN supports_id IS NOT NULL THEN 1 ELSE 0 END + coalesce(li, 0) AS BIGINT) AS n_relations, version + coalesce(n, 0) AS version FROM memories LEFT JOIN c USING (id)
-UNION ALL SELECT 'n' || decision_id, sha256(l0), CASE WHEN f_category = 'odd' THEN 'profile' ELSE f_category END, 'active', 0.5, NULL, CASE WHEN ap IN ('contextualize', 'contradict') THEN 1 ELSE 0 END, CASE WHEN ap = 'contextualize' THEN 2 ELSE 1 END
+UNION ALL SELECT 'n' || decision_id, sha256(l0), CASE WHEN f_category = 'odd' THEN 'profile' ELSE f_category END, 'active', 0.5, NULL, false, CASE WHEN ap IN ('contextualize', 'contradict') THEN 1 ELSE 0 END, CASE WHEN ap = 'contextualize' THEN 2 ELSE 1 END
   FROM r WHERE ap IN ('create', 'supersede', 'contextualize', 'contradict')"""
 CROSS_RECONCILE = f"""WITH p AS (SELECT 'm' || a.vec_id AS source_id, 'm' || b.vec_id AS target_id, round(list_cosine_similarity({DOUBLES.format("a.embedding")}, {DOUBLES.format("b.embedding")}), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)
 SELECT source_id, target_id, score, printf('similarity:%.2f', score) AS label FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) AS n FROM p WHERE score >= 0.3) WHERE n <= 5"""
 
 ACCESS = f"WITH {SPACES_SQL} SELECT space_id, user_id, true AS can_read, bool_or(role IN ('admin', 'member') OR owner_id = user_id) AS can_write FROM members GROUP BY 1, 2"
 SPACES_OF = f"WITH {SPACES_SQL} SELECT DISTINCT space_id AS id, space_type FROM members WHERE owner_id = 'u1' OR user_id = 'u1'"
-SHARE_FILTERED = f"""{LIVE} SELECT id || '@team/a' AS id, 'team/a' AS space_id, id AS provenance_source_id, version AS source_version, CAST(0 AS BIGINT) AS access_count, CAST(1 AS BIGINT) AS version, 'global' AS visibility FROM live
-WHERE space_id = 'personal/u2' AND category IN ('preferences', 'events', 'cases') AND list_has_any(tags, ['en', 't6']) AND importance >= 0.3"""
+STAMP = f"CAST(epoch({NOW}) AS BIGINT)"
+
+
+def _copied(space: str, visibility: str, user: str, source: str) -> str:
+    """Copies of the rows of `source` in a space."""
+    return f"""SELECT id || '@' || {space} || '#' || {STAMP} AS id, {space} AS space_id, id AS provenance_source_id, version AS source_version, space_id AS from_space, '{user}' AS by_user, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS original_created_at,
+  CAST(0 AS BIGINT) AS access_count, CAST(1 AS BIGINT) AS version, '{visibility}' AS visibility, CAST(NULL AS VARCHAR) AS superseded_by, strftime({NOW}, '%Y-%m-%d') AS created FROM {source}"""
+
+
+SHARE_FILTERED = f"""{LIVE}, w AS (SELECT * FROM live WHERE space_id = 'personal/u2' AND category IN ('preferences', 'events', 'cases') AND list_has_any(tags, ['en', 't6']) AND importance >= 0.3
+  AND id NOT IN (SELECT provenance_source_id FROM live WHERE space_id = 'team/a' AND provenance_source_id IS NOT NULL)) {_copied("'team/a'", "global", "u2", "w")}"""
+PULL = f"{M}, w AS (SELECT * FROM memories WHERE space_id = 'org/x' AND version = 2) {_copied(repr('personal/u1'), 'private', 'u1', 'w')}"
+SHARE_EVENTS = f"""{LIVE}, w AS (SELECT * FROM live WHERE space_id = 'personal/u2')
+SELECT 'share:' || id || '@team/a#' || {STAMP} AS id, 'share' AS action, space_id AS from_space, 'team/a' AS to_space, 'u2' AS user_id, CASE WHEN strlen(content) > 100 THEN left(content, 97) || '...' ELSE content END AS preview FROM w"""
+UNSHARED = f"""{M}, f AS (SELECT min(id) AS id FROM memories WHERE space_id = 'personal/u2' AND state <> 'deleted' AND provenance_source_id IS NOT NULL GROUP BY provenance_source_id)
+SELECT m.id, CASE WHEN f.id IS NOT NULL THEN 'deleted' ELSE state END AS state, version + CASE WHEN f.id IS NOT NULL THEN 1 ELSE 0 END AS version FROM memories m LEFT JOIN f USING (id)"""
+RESHARED = f"""{M}, o AS (SELECT c.id AS copy, c.space_id AS target, s.id, s.version FROM memories c JOIN memories s ON s.id = c.provenance_source_id WHERE c.state <> 'deleted' AND s.state <> 'deleted')
+SELECT id, CASE WHEN id IN (SELECT copy FROM o) THEN 'deleted' ELSE state END AS state, CAST(source_version AS BIGINT) AS source_version FROM memories
+UNION ALL SELECT id || '@' || target || '#' || {STAMP}, 'active', version FROM o"""
+BRIDGE = f"WITH {SPACES_SQL} SELECT DISTINCT space_id AS id, space_type, owner_id FROM members UNION ALL SELECT 'team/u2-u4', 'team', 'u2'"
+TENANTS = "SELECT 'u' || i AS id, i < 6 AND i % 3 <> 2 AS allowed FROM range(8) t(i)"
+TASKS = f"""SELECT 't' || conv_id AS id, CASE conv_id % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'completed' WHEN 2 THEN 'completed' ELSE 'failed' END AS status, conv_id % 4 = 1 AS stamped FROM (SELECT DISTINCT conv_id FROM conversations)"""
+CODEC = f"{M} SELECT id, category, CASE WHEN i % 10 = 9 THEN 'memory_type' END AS bad, CASE WHEN i % 10 <> 9 THEN CAST(len(tags) AS BIGINT) END AS n_tags FROM memories"
+SELF_DEDUP = f"""WITH f AS (SELECT item_id AS fact_id, item_id // 10 AS request, CASE WHEN item_id % 5 = 4 THEN 'the same words each time' ELSE text END AS l0 FROM benchmark)
+SELECT fact_id FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.request = a.request AND b.fact_id < a.fact_id AND {_jaccard(TRIMMED.format("a.l0"), TRIMMED.format("b.l0"), "0.0")} > 0.85)"""
+UPDATED = f"""{M} SELECT id, CASE WHEN i % 3 = 1 AND state <> 'deleted' THEN 'cases' ELSE category END AS category, version + CASE WHEN i % 3 = 1 AND state <> 'deleted' THEN 1 ELSE 0 END AS version FROM memories"""
 AUTO_SHARE = f"""{LIVE}, {RULES_SQL}
-SELECT id, to_space, rule_id FROM (SELECT id, to_space, rule_id, row_number() OVER (PARTITION BY id, to_space ORDER BY pos) AS n FROM live m JOIN rules r ON m.space_id = r.source_space AND (len(r.categories) = 0 OR list_contains(r.categories, m.category))
+SELECT id || '@' || to_space || '#' || {STAMP} AS id, id AS source_id, to_space, rule_id FROM (SELECT id, to_space, rule_id, row_number() OVER (PARTITION BY id, to_space ORDER BY pos) AS n FROM live m JOIN rules r ON m.space_id = r.source_space AND (len(r.categories) = 0 OR list_contains(r.categories, m.category))
   AND (len(r.tags) = 0 OR list_has_any(m.tags, r.tags)) AND m.importance >= r.min_importance AND NOT require_approval) WHERE n = 1"""
 IDEMPOTENT = f"{LIVE} SELECT id FROM live WHERE space_id = 'org/x' AND id NOT IN (SELECT provenance_source_id FROM live WHERE space_id = 'team/a' AND provenance_source_id IS NOT NULL)"
-OUTCOME = f"""{LIVE}, ids AS (SELECT 'm' || (i * 12 + 5) AS id FROM range(120) t(i)),
+OUTCOME = f"""{LIVE}, ids AS (SELECT id FROM memories UNION ALL SELECT id || '?' FROM memories WHERE i % 7 = 0),
 k AS (SELECT ids.id, ids.id IN (SELECT id FROM live) AS known, ids.id IN (SELECT provenance_source_id FROM live WHERE space_id = 'personal/u1' AND provenance_source_id IS NOT NULL) AS held FROM ids)
 SELECT count(*) FILTER (known AND NOT held) AS shared, count(*) FILTER (known AND held) AS skipped_existing, count(*) FILTER (NOT known) AS failed FROM k"""
 STALE_COPIES = f"{LIVE} SELECT c.id, c.provenance_source_id AS source_id, s.id IS NULL OR coalesce(c.source_version, 0) < coalesce(s.version, 0) AS stale, s.id IS NULL AS source_deleted FROM live c LEFT JOIN memories s ON s.id = c.provenance_source_id WHERE c.provenance_source_id IS NOT NULL"
 
 PROFILE_STATIC = f"{M} SELECT id, round(importance, 6) AS importance FROM memories WHERE state = 'active' AND category IN ('profile', 'preferences') ORDER BY memories.importance DESC, id LIMIT 20"
 PROFILE_DYNAMIC = f"{M} SELECT id, {DAY} AS day FROM memories WHERE state = 'active' AND category IN ('events', 'cases', 'patterns') AND created_at + INTERVAL 7 DAY >= {NOW} ORDER BY created_at DESC, id LIMIT 10"
-CONTEXT = f"""{LIVE}, t AS (SELECT id, category, importance, '- ' || CASE WHEN l0_abstract <> '' THEN l0_abstract ELSE content END AS line FROM live ORDER BY importance DESC, id LIMIT 200)
+CONTEXT = f"""{LIVE}, t AS (SELECT id, category, importance, '- ' || CASE WHEN l0_abstract <> '' THEN l0_abstract ELSE content END AS line FROM live)
 SELECT * FROM (SELECT id, category, CAST(sum(ceil(length(line) / 4.0)) OVER (ORDER BY importance DESC, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM t) WHERE spent <= 600"""
 LABELS = f"""{LIVE}, a AS (SELECT *, CAST(floor(epoch({NOW} - created_at) / 86400) AS BIGINT) AS d, CAST(floor(epoch({NOW} - created_at) / 60) AS BIGINT) AS mi FROM live)
 SELECT id, CASE WHEN d < 1 THEN 'today' WHEN d = 1 THEN '1 day ago' WHEN d < 30 THEN d || ' days ago' WHEN d // 30 = 1 THEN '1 month ago' WHEN d // 30 < 12 THEN (d // 30) || ' months ago' ELSE 'years' END AS age,

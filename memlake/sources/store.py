@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from memlake.operators.scan import evolve
+from memlake.operators.scan import evolve, soft_delete
+from memlake.sources.tables import drop
 
 
 def uri(options: dict) -> str:
@@ -72,7 +73,7 @@ def imports(spark: SparkSession, glob: str, stored: DataFrame, force: bool = Fal
     return rows if force else rows.join(stored.select("content_hash"), "content_hash", "left_anti")
 
 
-def rollback(memories: DataFrame, started) -> DataFrame:
-    """The next snapshot without what an import made since it started."""
-    hit = (F.col("source") == "intelligence") & (F.col("created_at") >= started) & (F.col("state") != "deleted")
-    return memories.withColumn("state", F.when(hit, "deleted").otherwise(F.col("state")))
+def rollback(memories: DataFrame, sessions: DataFrame, task: str, started) -> tuple[DataFrame, DataFrame]:
+    """The next snapshots of memories and sessions without what an import task made since it started."""
+    hit = (F.col("source") == "intelligence") & (F.col("created_at") >= started)
+    return soft_delete(memories, F.coalesce(hit, F.lit(False))), drop(sessions, F.col("session_id") == f"import-{task}")

@@ -58,6 +58,7 @@ def memories(spark: SparkSession, sf_dir: str, vector: bool = False) -> DataFram
         (1 + i % 4).cast("long").alias("version"),
         F.when(i % 12 == 6, F.concat(F.lit("m"), i - 1)).alias("provenance_source_id"),
         F.when(i % 12 == 6, (1 + F.floor(i / 12) % 3).cast("long")).alias("source_version"),
+        F.when(i % 12 == 6, F.when(i % 5 == 0, F.concat(F.lit("personal/u"), i % 5)).otherwise("org/x")).alias("shared_from_space"),
         F.when(i % 9 == 4, F.array(F.struct(F.lit("supports").alias("relation_type"), F.concat(F.lit("m"), (i + 5) % n).alias("target_id"), F.lit(None).cast("string").alias("context_label")))).otherwise(F.array().cast("array<struct<relation_type:string,target_id:string,context_label:string>>")).alias("relations"),
     )
     if not vector:
@@ -85,6 +86,7 @@ MEMORIES_SQL = """memories AS (
     1 + i % 4 AS version,
     CASE WHEN i % 12 = 6 THEN 'm' || (i - 1) END AS provenance_source_id,
     CASE WHEN i % 12 = 6 THEN 1 + (i // 12) % 3 END AS source_version,
+    CASE WHEN i % 12 = 6 THEN CASE WHEN i % 5 = 0 THEN 'personal/u' || (i % 5) ELSE 'org/x' END END AS shared_from_space,
     CASE WHEN i % 9 = 4 THEN 'm' || ((i + 5) % (SELECT count(*) FROM documents)) END AS supports_id,
     i % (SELECT count(*) FROM embeddings) AS vec_id
   FROM (SELECT doc_id AS i, text, lang, source FROM documents) d)"""
@@ -135,6 +137,7 @@ def spaces(spark: SparkSession) -> DataFrame:
     rows = [
         ("team/a", "team", "Team A", "u0", [("u0", "admin"), ("u1", "member"), ("u2", "reader")]),
         ("org/x", "organization", "Org X", "u3", [("u3", "admin"), ("u1", "reader"), ("u4", "member")]),
+        ("team/new", "team", "New", "u4", [("u4", "admin")]),  # holds no memory
         *((f"personal/u{i}", "personal", f"Own {i}", f"u{i}", [(f"u{i}", "admin")]) for i in range(5)),
     ]
     return spark.createDataFrame(rows, "id string, space_type string, name string, owner_id string, members array<struct<user_id:string,role:string>>")
@@ -143,7 +146,7 @@ def spaces(spark: SparkSession) -> DataFrame:
 SPACES_SQL = """members(space_id, space_type, owner_id, user_id, role) AS (VALUES
   ('team/a', 'team', 'u0', 'u0', 'admin'), ('team/a', 'team', 'u0', 'u1', 'member'), ('team/a', 'team', 'u0', 'u2', 'reader'),
   ('org/x', 'organization', 'u3', 'u3', 'admin'), ('org/x', 'organization', 'u3', 'u1', 'reader'), ('org/x', 'organization', 'u3', 'u4', 'member'),
-  ('personal/u0', 'personal', 'u0', 'u0', 'admin'), ('personal/u1', 'personal', 'u1', 'u1', 'admin'), ('personal/u2', 'personal', 'u2', 'u2', 'admin'), ('personal/u3', 'personal', 'u3', 'u3', 'admin'), ('personal/u4', 'personal', 'u4', 'u4', 'admin'))"""
+  ('team/new', 'team', 'u4', 'u4', 'admin'), ('personal/u0', 'personal', 'u0', 'u0', 'admin'), ('personal/u1', 'personal', 'u1', 'u1', 'admin'), ('personal/u2', 'personal', 'u2', 'u2', 'admin'), ('personal/u3', 'personal', 'u3', 'u3', 'admin'), ('personal/u4', 'personal', 'u4', 'u4', 'admin'))"""
 
 
 def rules(spark: SparkSession) -> DataFrame:

@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.functions import text
+from memlake.functions import seams, text
+from memlake.operators import ingest as operators
+from memlake.operators import reconcile
+from memlake.sources import webhook
 
 MAX_PROTOTYPES, KNOWN, NOISY = 200, 0.95, 0.82
 
@@ -34,6 +37,48 @@ def two_paths(stream: DataFrame, checkpoint: str, raw: Callable[[DataFrame], Non
     return stream.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint)
 
 
+def ingest(messages: DataFrame, memories: DataFrame, now, embed, extract, decide=seams.ruled_decisions) -> DataFrame:
+    """The next snapshot of memories (vector included) after a batch of messages (conv_id, turn, role, content): the newest messages of each conversation, without
+    private parts, give facts; noise goes; admission, what exists and the preference guard decide which are asked about; decisions are applied.
+
+    embed and extract are column functions (text to vector, text to the JSON of seams.FACTS), decide a rule over the best match's score. Facts of one conversation
+    are one request. Each conversation's facts are compared with the memories before the batch, so the order of conversations doesn't matter."""
+    kept = reconcile_input(messages, embed, extract)
+    live = memories.where("state <> 'deleted'")
+    near = operators.candidates(kept, live, 5, 0.0)
+    admitted = operators.admission(kept.drop("vector"), near, now).where("decision <> 'reject'")
+    guarded = operators.guarded(admitted, live.withColumn("content", F.col("l0_abstract")) if "l0_abstract" in live.columns else live).select("fact_id", F.lit(True).alias("_guarded"))
+    best = near.where(F.col("score") >= 0.3).groupBy("fact_id").agg(F.max_by("id", F.struct("score", -F.col("rank"))).alias("match_id"), F.max("score").alias("best"))
+    asked = admitted.join(best, "fact_id", "left").join(guarded, "fact_id", "left")
+    action = F.when(F.coalesce("_guarded", F.lit(False)) | F.col("match_id").isNull(), "CREATE").otherwise(decide(F.col("best")))
+    decisions = asked.select(F.concat(F.lit("i"), "fact_id").alias("decision_id"), action.alias("action"), "fact_id", "match_id", F.lit(None).cast("string").alias("merged_content"))
+    return reconcile.apply(memories, reconcile.resolve(decisions, admitted.drop("source_text"), memories), now, embed)
+
+
+def reconcile_input(messages: DataFrame, embed, extract) -> DataFrame:
+    """(fact_id, request, l0, category, source_text, vector): the facts of each conversation's newest messages that aren't noise and don't repeat one before."""
+    rows = operators.redacted(operators.budget(messages, "conv_id", "turn"))
+    block = operators.message_block(rows, "conv_id", "turn")
+    found = block.select("conv_id", "block", F.posexplode(F.from_json(extract(F.col("block")), seams.FACTS)["memories"]).alias("at", "m"))
+    facts = found.select(F.concat_ws("-", "conv_id", F.lpad(F.col("at").cast("string"), 3, "0")).alias("fact_id"), F.col("conv_id").alias("request"), F.col("m.l0_abstract").alias("l0"), F.col("m.category").alias("category"), F.col("block").alias("source_text"))
+    facts = facts.where(F.coalesce(text.strip(F.col("l0")) != "", F.lit(False))).where(~text.is_noise(F.col("l0")))
+    return reconcile.self_dedup(facts).withColumn("vector", embed(F.col("l0")))
+
+
+def upserts(stream: DataFrame, checkpoint: str, table, now, embed, extract):
+    """Each batch of messages is merged into a versioned table (store.Table) by one writer; a batch that comes again after a failure finds its facts stored and skips them."""
+
+    def merge(batch: DataFrame, _: int) -> None:
+        table.replace(ingest(batch, table.read(), now, embed, extract))
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
+def webhook_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Memories of pushes, from files of (event, payload) as they come."""
+    return webhook.commits(spark.readStream.schema("event string, payload string").json(path))
+
+
 def learn_noise(vectors: np.ndarray, noisy: np.ndarray, known: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Which rows are noise, in order of arrival, and the prototypes afterwards: first in, first out, and none nearly equal to another."""
     hits = np.zeros(len(vectors), dtype=bool)
