@@ -3,9 +3,10 @@
 A document is the set of its 5-word shingles (lower case, words between white space; a shorter text is one shingle). Documents of equal
 sets are one node. Nodes meet in the buckets of BANDS bands of their MinHash values (a pair at similarity 0.8 misses all of them
 once in 300,000 times). In a bucket, values are compared ROUND at a time, and a pair is dropped as soon as the posterior probability that its similarity
-reaches the threshold, given so many equal values, is under TOLERANCE. What survives is verified on the whole shingle sets.
+reaches the threshold, given so many equal values, is under TOLERANCE. A pair that meets in several buckets belongs to that of its first equal band. What survives
+joins nodes into components, and in each the pairs are verified on the whole shingle sets.
 
-No pair is emitted: buckets and candidate components are cut into blocks of BLOCK nodes by hash, a task compares two blocks in memory, and
+No pair is emitted: buckets and candidate components are cut into blocks by hash, of BLOCK nodes or BLOCK_BYTES of sets, a task compares two blocks in memory, and
 only a spanning forest of the surviving pairs and counts of links leave it. So a bucket or component of any size is dealt over many tasks, whole.
 
 Result: one row for each document with class_id (smallest doc_id of its connected class), n_links (how many other documents are at or
@@ -30,12 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import cut, small_batches, table, text_of
+from .shared import cut, remove, small_batches, table, text_of
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
-ROUND, TOLERANCE, BLOCK = 16, 1e-6, 256
-BROADCAST_NODES = 400_000
+ROUND, TOLERANCE, BLOCK, BLOCK_BYTES = 16, 1e-6, 1024, 8 << 20
+#: Nodes to be read again are sent to every task if they take so many bytes at most (NODE_BYTES each), else texts are joined to them by a shuffle.
+BROADCAST_BYTES, NODE_BYTES = 32 << 20, 96
 
 _BASE = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
@@ -155,13 +157,11 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(made, f"doc_id {kind}, node binary, n long, signature binary")
 
 
-def _blocks(rows: DataFrame, group: str, sizes: DataFrame) -> DataFrame:
-    """Deals the members of each group (with `size`, its number of nodes) over pairs of blocks: every two members meet in exactly one pair."""
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.join(sizes, group).withColumn("parts", n).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    rows = rows.select("*", other).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
-    return rows.drop("other", "parts", "size")
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Deals rows of groups of `parts` blocks over pairs of blocks: every two rows of a group meet in exactly one pair (i, j)."""
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other", "parts")
 
 
 def _each_group(rows: DataFrame, keys: list[str], columns: list[str], work, schema: str) -> DataFrame:
@@ -206,12 +206,24 @@ def _sides(g: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
     return g[g["part"] == i], g[g["part"] == j], False
 
 
+def _first_shared(left: np.ndarray, right: np.ndarray, pairs: np.ndarray, band: int) -> np.ndarray:
+    """Which pairs agree in no band before `band`."""
+    a, b = (np.ascontiguousarray(x[:, : band * ROWS]).reshape(len(x), band, ROWS) for x in (left, right))
+    own = np.ones(len(pairs), dtype=bool)
+    for k in range(band):
+        at = np.flatnonzero(own)
+        for x in range(0, len(at), 65536):
+            some = at[x : x + 65536]
+            own[some] = (a[pairs[some, 0], k] != b[pairs[some, 1], k]).any(axis=1)
+    return own
+
+
 def candidate_edges(nodes: DataFrame) -> DataFrame:
     """A spanning forest (a, b) of the pairs in each bucket that pruning leaves, from (node, signature)."""
-    band = lambda b: F.xxhash64(F.lit(b), F.substring("signature", F.lit(1 + 4 * ROWS * b), F.lit(4 * ROWS)))
-    keys = nodes.select("node", F.explode(F.array(*(band(b) for b in range(BANDS)))).alias("bucket"))
-    sizes = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = cut(_blocks(keys, "bucket", sizes), "buckets")
+    band = lambda b: F.struct(F.lit(b).cast("long").alias("band"), F.xxhash64(F.lit(b), F.substring("signature", F.lit(1 + 4 * ROWS * b), F.lit(4 * ROWS))).alias("bucket"))
+    keys = nodes.select("node", F.inline(F.array(*(band(b) for b in range(BANDS)))))
+    sizes = keys.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    members = cut(_blocks(keys.join(sizes, "bucket")), "buckets")
     rows = members.join(nodes, "node")
 
     def work(g: pd.DataFrame) -> list[tuple]:
@@ -219,32 +231,31 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
         if not len(left) or not len(right):
             return []
         read = lambda x: np.frombuffer(b"".join(x["signature"]), dtype=np.uint32).reshape(len(x), -1)
-        pairs = surviving(read(left), read(right))
-        pairs = pairs[pairs[:, 0] < pairs[:, 1]] if same else pairs + (0, len(left))
+        a, b = read(left), read(right)
+        pairs = surviving(a, b)
+        pairs = pairs[pairs[:, 0] < pairs[:, 1]] if same else pairs
+        pairs = pairs[_first_shared(a, b, pairs, int(g["band"].iloc[0]))] + (0, 0 if same else len(left))
         names = list(left["node"]) if same else [*left["node"], *right["node"]]
-        return [(names[a], names[b]) for a, b in forest(len(names), pairs)]
+        return [(names[x], names[y]) for x, y in forest(len(names), pairs)]
 
-    return _each_group(rows, ["bucket", "i", "j"], ["part", "node", "signature"], work, "a binary, b binary").distinct()
+    found = cut(_each_group(rows, ["bucket", "i", "j"], ["part", "band", "node", "signature"], work, "a binary, b binary").distinct(), "candidate-edges")
+    remove(members)
+    return found
 
 
 def verified(members: DataFrame) -> DataFrame:
-    """From (comp, node, copies, signature, shingles), dealt in blocks: rows (a, b, links): node a has so many links found in this task; b is another node of a
+    """From (comp, node, copies, shingles), dealt in blocks: rows (a, b, links): node a has so many links found in this task; b is another node of a
     spanning forest of the links, or null."""
 
     def work(g: pd.DataFrame) -> list[tuple]:
         left, right, same = _sides(g)
         if not len(left) or not len(right):
             return []
-        read = lambda x: np.frombuffer(b"".join(x["signature"]), dtype=np.uint32).reshape(len(x), -1)
-        pairs = surviving(read(left), read(right))
-        if same:
-            pairs = pairs[pairs[:, 0] < pairs[:, 1]]
-        if not len(pairs):
-            return []
         sets = lambda x: [np.frombuffer(s, dtype=np.uint64) for s in x["shingles"]]
         a_sets = sets(left)
-        b_sets = a_sets if same else sets(right)
-        linked = pairs[exact(a_sets, b_sets, pairs)]
+        linked = np.argwhere(similar(a_sets, a_sets if same else sets(right)))
+        if same:
+            linked = linked[linked[:, 0] < linked[:, 1]]
         if not len(linked):
             return []
         copies = np.asarray(left["copies"]), np.asarray(right["copies"])
@@ -256,29 +267,35 @@ def verified(members: DataFrame) -> DataFrame:
         out = [(names[x], names[y], 0) for x, y in forest(len(names), linked + (0, shift))]
         return out + [(names[x], None, int(links[x])) for x in np.flatnonzero(links)]
 
-    return _each_group(members, ["comp", "i", "j"], ["part", "node", "copies", "signature", "shingles"], work, "a binary, b binary, links long")
-
-
-def exact(a_sets: list[np.ndarray], b_sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
-    """Whether each pair's Jaccard similarity reaches the threshold, counted on the whole sets."""
-    out = np.zeros(len(pairs), dtype=bool)
-    a_sizes, b_sizes = np.array([len(x) for x in a_sets]), np.array([len(x) for x in b_sets])
-    na, nb = a_sizes[pairs[:, 0]], b_sizes[pairs[:, 1]]
-    possible = np.minimum(na, nb) >= THRESHOLD * np.maximum(na, nb)
-    order = np.flatnonzero(possible)
-    order = order[np.argsort(pairs[order, 0], kind="stable")]
-    at = 0
-    while at < len(order):
-        i = pairs[order[at], 0]
-        end = at + int(np.searchsorted(pairs[order[at:], 0], i, side="right"))
-        own, partners = a_sets[i], pairs[order[at:end], 1]
-        joined = np.concatenate([b_sets[j] for j in partners])
-        place = np.minimum(np.searchsorted(own, joined), len(own) - 1)
-        hits = np.add.reduceat(own[place] == joined, np.append(0, np.cumsum(b_sizes[partners])[:-1]), dtype=np.int64)
-        union = len(own) + b_sizes[partners] - hits
-        out[order[at:end]] = hits * 5 >= union * 4 if THRESHOLD == 0.8 else hits >= THRESHOLD * union
-        at = end
-    return out
+    return _each_group(members, ["comp", "i", "j"], ["part", "node", "copies", "shingles"], work, "a binary, b binary, links long")
+
+
+def similar(a_sets: list[np.ndarray], b_sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
+    """Matrix of which sets reach the threshold, counted on the whole sets: shingles that both sides hold become columns of 0 and 1, and products of
+    such matrices, `columns` at a time, add up to the sizes of all intersections (exact in floats, as no product passes 2^24)."""
+    sizes = [np.array([len(x) for x in sets]) for sets in (a_sets, b_sets)]
+    known = np.intersect1d(np.unique(np.concatenate(a_sets)), np.unique(np.concatenate(b_sets)), assume_unique=True)
+    entries = []
+    for sets, n in zip((a_sets, b_sets), sizes, strict=True):
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        place = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
+        hit = known[place] == flat if len(known) else np.zeros(len(flat), dtype=bool)
+        order = np.argsort(place[hit], kind="stable")
+        entries.append((row[hit][order], place[hit][order]))
+    shared = np.zeros((len(a_sets), len(b_sets)), dtype=np.int64)
+    for low in range(0, len(known), columns):
+        width = min(columns, len(known) - low)
+        sides = []
+        for (row, place), sets in zip(entries, (a_sets, b_sets), strict=True):
+            x, y = np.searchsorted(place, [low, low + width])
+            rows, at = np.unique(row[x:y], return_inverse=True)  # sets that hold none of these columns stay out of the product
+            side = np.zeros((len(rows), width), dtype=np.float32)
+            side[at, place[x:y] - low] = 1
+            sides.append((rows, side))
+        (r, left), (c, right) = sides
+        shared[np.ix_(r, c)] += (left @ right.T).astype(np.int64)
+    union = sizes[0][:, None] + sizes[1][None, :] - shared
+    return shared * 5 >= union * 4 if THRESHOLD == 0.8 else shared >= THRESHOLD * union
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
@@ -303,19 +320,27 @@ def _classes(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     signed = cut(signatures(docs), "signatures")
     reps = signed.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    own = signed.where("node is not null").select("node", F.col("doc_id").alias("rep"), "signature")
+    own = signed.where("node is not null").select("node", F.col("doc_id").alias("rep"), "n", "signature")
     nodes = cut(reps.join(own, ["node", "rep"]).dropDuplicates(["node"]), "nodes")
-    near = components(candidate_edges(nodes.select("node", "signature")))
-    sizes = near.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    dealt = near.join(nodes, "node").dropDuplicates(["node"])
-    dealt = cut(dealt, "candidates")
-    whole = _sets(docs, dealt, dealt.count() <= BROADCAST_NODES).dropDuplicates(["node"])
-    found = cut(verified(_blocks(whole, "comp", sizes)), "links")
+    edges = candidate_edges(nodes.select("node", "signature"))
+    near = components(edges).join(nodes.select("node", "rep", "copies", "n"), "node")
+    near = cut(near, "candidates")
+    bytes_ = F.sum(F.col("n") * 8)
+    sizes = near.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(bytes_ / BLOCK_BYTES)).cast("int").alias("parts"))
+    dealt = near.drop("n").join(sizes, "comp")
+    whole = _sets(docs, dealt, near.count() * NODE_BYTES <= BROADCAST_BYTES).drop("rep")
+    repeated = signed.where("node is not null").groupBy("doc_id").count().where("count > 1").limit(1)
+    if not repeated.isEmpty():  # only then can a representative's text be read twice
+        whole = whole.dropDuplicates(["node"])
+    found = cut(verified(_blocks(whole)), "links")
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     classes = components(found.where("b is not null").select("a", "b")).join(nodes.select("node", "rep"), "node")
     tops = classes.groupBy("comp").agg(F.min("rep").alias("class_id"))
     by_node = nodes.select("node", "rep", "copies").join(classes.select("node", "comp"), "node", "left").join(tops, "comp", "left").join(links, "node", "left")
     by_node = by_node.select("node", F.coalesce("comp", "node").alias("class"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    by_node = cut(by_node, "node-classes")
+    for done in (edges, near, found, nodes):
+        remove(done)
     out = signed.select("doc_id", "node", F.col("n").alias("n_shingles")).join(by_node, "node", "left")
     return out.select("doc_id", "node", "class", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_shingles")
 
@@ -335,7 +360,7 @@ def _node(texts: pd.Series) -> pd.Series:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class: that with the smallest doc_id; of rows that repeat it, one. Other texts under the same doc_id are documents of their own."""
+    """docs with one document of each class: that with the smallest doc_id; of its repeated rows, one. A doc_id with several texts is several documents, each in the class of its text."""
     found = cut(_classes(docs).select("doc_id", "node", "class", "class_id"), "classes")
     gone = found.where("doc_id <> class_id").select("doc_id").distinct()
     repeated = cut(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")

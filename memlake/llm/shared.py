@@ -20,6 +20,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a local one only where none is set, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = getattr(spark, "_memlake_folder", None) or tempfile.mkdtemp(prefix="memlake-")
         spark._memlake_folder = folder
     return folder.rstrip("/")
@@ -77,6 +79,9 @@ def bounded_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, as single texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches of so many bytes at most, as single texts may be long. A bound of the session's own stays, and numbers of rows aren't touched."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.removesuffix("b").isdigit() or not 0 < int(now.removesuffix("b")) <= most:
+        spark.conf.set(key, str(most))

@@ -11,6 +11,7 @@ from brute import brute_links
 from pyspark.sql import functions as F
 
 from memlake.llm import ann, html, licenses, mixing, neighbours, packing, quality, toxicity
+from memlake.llm import components as components_
 from memlake.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -126,7 +127,7 @@ def test_join_equals_brute_force(spark, documents):
 
 def test_blocks_of_large_groups_meet(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 8)
-    monkeypatch.setattr(neighbours, "BROADCAST_NODES", 0)
+    monkeypatch.setattr(neighbours, "BROADCAST_BYTES", 0)
     r = np.random.RandomState(4)
     rows = []
     for i in range(50):
@@ -138,6 +139,21 @@ def test_blocks_of_large_groups_meet(spark, monkeypatch):
     assert {x.doc_id: (x.class_id, x.n_links, x.n_shingles) for x in out} == brute_links(rows)
 
 
+def test_whole_sets_compared_in_products():
+    r = np.random.RandomState(5)
+    sets = lambda n: [np.unique(r.choice(4000, r.randint(1, 3000), replace=False)).astype(np.uint64) for _ in range(n)]
+    a, b = sets(20), sets(30)
+    b[0], b[1] = a[3], np.append(a[4][: len(a[4]) * 9 // 10], np.uint64(9000))
+    want = [[5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y)) for y in b] for x in a]
+    assert neighbours.similar(a, b, columns=257).tolist() == want and want[3][0] and want[4][1]
+    assert not neighbours.similar([np.array([1], dtype=np.uint64)], [np.array([2], dtype=np.uint64)]).any()
+
+
+def test_query_equals_brute_force(spark, documents):
+    out = neighbours.op10_ngram_jaccard_join(spark, SF).collect()
+    assert {x.doc_id: (x.class_id, x.n_links, x.n_shingles) for x in out} == brute_links([tuple(r) for r in documents.select("doc_id", "text").collect()])
+
+
 def test_odd_and_empty_tables(spark, documents):
     out = neighbours.near_duplicates(odd_documents(spark)).collect()
     assert len(out) == 7 and {r.n_links for r in out if r.doc_id in (4, 5)} == {2}
@@ -161,7 +177,11 @@ def test_pruning_keeps_pairs_at_the_threshold():
     assert list(fewest) == sorted(fewest) and fewest[0] < 0.8 * neighbours.ROUND and fewest[-1] > 0.4 * neighbours.ROUND * len(fewest)
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
+    star = [(7, i) for i in range(1000, 1700)] + [(i, i + 1) for i in range(1690, 1750)]
+    monkeypatch.setattr(components_, "HUB", 4)
+    out = {r.node: r.comp for r in components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert set(out.values()) == {7} and set(out) == {7, *range(1000, 1751)}
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (100, 102), (200, 200)]
     out = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100}
