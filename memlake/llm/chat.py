@@ -5,7 +5,7 @@
 
 A turn is rendered as it is, read back by the parser, and compared with its source; a turn that does not come
 back (its text or role holds a control string) is rendered again with its content escaped. The whole conversation is then
-parsed and compared once more; should it differ, all its turns are escaped.
+parsed and compared once more; should it differ, all its turns are escaped, and the loss mask is that of this rendering.
 
 Escaped content writes a backslash as \\b, "<|" as \\l and, in roles, a newline as \\n; roles are always escaped, which leaves plain
 roles as they are.
@@ -60,9 +60,9 @@ def parse(formatted: Column) -> Column:
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
-    """(conv_id, formatted, turns, loss_spans, identical): turns are those read back from formatted; loss_spans are the code-point spans
-    [start, length] in formatted that bear loss, the bodies of assistant turns without their escape mark; identical says
-    that the turns read back are the source's."""
+    """(conv_id, formatted, turns, loss_spans, mask, identical): turns are those read back from formatted; loss_spans are the code-point spans
+    [start, length] in formatted that bear loss, the bodies of assistant turns without their escape mark; mask says the same by turn, with the turn's
+    own start and whether it is escaped; identical says that the turns read back are the source's."""
     rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text_of().alias("text"))
     source = F.array(F.struct("role", "text"))
     raw = render_turn(F.col("role"), F.col("text"), False)
@@ -73,19 +73,39 @@ def format_conversations(rows: DataFrame) -> DataFrame:
 def _gather(rows: DataFrame) -> DataFrame:
     """One row for each conversation. The pieces' places are a running sum over its turns; a conversation is one value of the result, so it is gathered whole."""
     order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
-    n = F.char_length("piece")
-    rows = rows.withColumns({"at": F.row_number().over(order), "start": F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0)) - n})
-    head = len(START) + F.char_length(escape(F.col("role"), True)) + 1 + F.when(F.col("escaped"), len(ESCAPED)).otherwise(0)
-    span = F.struct((F.col("start") + head).cast("long").alias("start"), (n - head - len(END) - 1).cast("long").alias("length"))
-    item = F.struct("at", "role", "text", "piece", F.when(F.col("role") == "assistant", span).alias("span"))
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+
+    def placed(piece: str, escaped: Column) -> Column:
+        """Where the turn starts in the whole, the span of its body if it bears loss, and whether that is escaped."""
+        n, head = F.char_length(piece), len(START) + F.char_length(escape(F.col("role"), True)) + 1 + F.when(escaped, len(ESCAPED)).otherwise(0)
+        start = (F.sum(n).over(so_far) - n).cast("long")
+        span = F.struct((start + head).cast("long").alias("start"), (n - head - len(END) - 1).cast("long").alias("length"))
+        return F.struct(start.alias("turn"), F.when(F.col("role") == "assistant", span).alias("span"), escaped.alias("escaped"))
+
+    rows = rows.withColumn("safe", render_turn(F.col("role"), F.col("text"), True))
+    rows = rows.withColumns({"at": F.row_number().over(order), "place": placed("piece", F.col("escaped")), "safe_place": placed("safe", F.lit(True))})
+    item = F.struct("at", "role", "text", "piece", "place", "safe_place")
     made = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     whole = F.array_join(F.transform("items", lambda x: x["piece"]), "")
     again = F.array_join(F.transform("items", lambda x: render_turn(x["role"], x["text"], True)), "")
     made = made.withColumns({"said": F.transform("items", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))), "formatted": whole})
-    made = made.withColumn("formatted", F.when(parse(F.col("formatted")).eqNullSafe(F.col("said")), F.col("formatted")).otherwise(again))
-    made = made.withColumn("turns", parse(F.col("formatted")))
-    spans = F.filter(F.transform("items", lambda x: x["span"]), lambda x: x.isNotNull())
-    return made.select("conv_id", "formatted", "turns", spans.alias("loss_spans"), F.col("turns").eqNullSafe(F.col("said")).alias("identical"))
+    made = made.withColumn("fine", parse(F.col("formatted")).eqNullSafe(F.col("said")))
+    made = made.withColumn("formatted", F.when(F.col("fine"), F.col("formatted")).otherwise(again))
+    made = made.withColumns({"turns": parse(F.col("formatted")), "mask": F.transform("items", lambda x: F.when(F.col("fine"), x["place"]).otherwise(x["safe_place"]))})
+    spans = F.filter(F.transform("mask", lambda x: x["span"]), lambda x: x.isNotNull())
+    return made.select("conv_id", "formatted", "turns", spans.alias("loss_spans"), "mask", F.col("turns").eqNullSafe(F.col("said")).alias("identical"))
+
+
+def masked_texts(formatted: Column, mask: Column) -> Column:
+    """The texts under the loss mask, cut out of the formatted conversation and unescaped. It is split into turns once, so that no cut starts from its beginning."""
+    blocks = F.slice(F.split(formatted, r"<\|im_start\|>"), F.lit(2), F.greatest(F.size(mask), F.lit(1)))
+
+    def body(block: Column, m: Column) -> Column:
+        span = m["span"]
+        text = F.substring(block, (span["start"] - m["turn"] - len(START) + 1).cast("int"), span["length"].cast("int"))
+        return F.when(span.isNotNull(), F.when(m["escaped"], unescape(text)).otherwise(text))
+
+    return F.filter(F.zip_with(blocks, mask, body), lambda x: x.isNotNull())
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +113,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONFLICTING).alias("text"))
     made = format_conversations(rows.unionByName(extra))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = F.array_join(masked_texts(F.col("formatted"), F.col("mask")), "")
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     return made.select("conv_id", F.size("turns").cast("long").alias("n_turns"), sha(said).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), sha(loss).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"), "identical")
 

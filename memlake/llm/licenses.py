@@ -1,11 +1,11 @@
 """Licence scans by a canonical digest: entire texts are normalised, hashed and joined to the digests of known licences.
 
 An entire text is a whole document, or one of its lines or paragraphs (documents quote short notices as lines), or the full text of a licence at any place
-of a document, however it is broken into lines and paragraphs. Normalising lowers the case, drops copyright statements, brings equivalent spellings together and turns all that is no letter or digit into one space. The known texts pass through the same
+of a document, however it is broken into lines and paragraphs: a run of as many words. Units that lie in each other count once. Normalising lowers the case, drops copyright statements, brings equivalent spellings together and turns all that is no letter or digit into one space. The known texts pass through the same
 expressions. Every known text holds one of ANCHORS, so texts without any can't match and are not normalised.
 
 Defined cases: null and empty texts match nothing; a document may match several licences, one row each; repeated rows count together, by doc_id;
-a full text that is also a line, paragraph or document counts as those; an empty table gives no rows; other columns are ignored. The known table is fixed and small, so it is broadcast.
+an empty table gives no rows; other columns are ignored. The known table is fixed and small, so it is broadcast.
 """
 
 from __future__ import annotations
@@ -48,6 +48,8 @@ TITLES = ("the mit license", "mit license", "mit no attribution", "isc license",
 #: Full texts as published, one file each; of the licences in NOTICES those of AGPL-3.0, CC-BY-4.0 and CC-BY-NC-4.0 are missing.
 FILES = Path(__file__).parent / "license_texts"
 BSD_TITLES = ("bsd 2 clause license", "bsd 3 clause license", "the 2 clause bsd license", "the 3 clause bsd license", "simplified bsd license", "new bsd license", "bsd license")
+#: Words by which a place is looked up before its digest is made.
+HEAD = 8
 ANCHORS = ("licen", "permission", "mit no attribution", "redistribution and use", "redistribution\nand use")
 #: Spellings that count as equal.
 SPELLINGS = (("sublicence", "sublicense"), ("licence", "license"), ("acknowledgement", "acknowledgment"), ("acknowledgment", "acknowledgment"), ("judgement", "judgment"), ("non commercial", "noncommercial"), ("sub license", "sublicense"), ("and or", "and/or"), ("whilst", "while"), ("organisation", "organization"), ("https", "http"), ("copyright owner", "copyright holder"), ("version 2 0", "2 0"), ("v 2 0", "2 0"), ("version 3", "3"), ("v3", "3"))
@@ -61,12 +63,13 @@ STATEMENT = (
 
 
 def normalised(text: Column) -> Column:
+    """Words between single spaces. While spellings are brought together each word has spaces of its own on both sides, so neighbours are all met."""
     out = F.lower(F.regexp_replace(text, STATEMENT, " "))
-    out = F.concat(F.lit(" "), F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    out = F.concat(F.lit("  "), F.regexp_replace(out, r"[^\p{L}\p{N}]+", "  "), F.lit("  "))
     for old, new in SPELLINGS:
         if old != new:
-            out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(out)
+            out = F.replace(out, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
+    return F.trim(F.regexp_replace(out, " +", " "))
 
 
 def full_texts() -> list[tuple[str, str]]:
@@ -93,25 +96,43 @@ def known(spark: SparkSession) -> DataFrame:
     return made.select(F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("digest"), "license", "kind").dropDuplicates(["digest"])
 
 
-def _padded(text: Column) -> Column:
-    """Each word between spaces of its own, so texts that follow each other are all found."""
-    return F.concat(F.lit(" "), F.replace(normalised(text), F.lit(" "), F.lit("  ")), F.lit(" "))
+def _windows(spark: SparkSession) -> DataFrame:
+    """(license, head, words, digest) of the full texts: their first HEAD words, their length and the digest of all."""
+    rows = spark.createDataFrame(full_texts(), "license string, text string").select("license", F.split(normalised(F.col("text")), " ").alias("w"))
+    return rows.select("license", _head(F.col("w"), F.lit(1)).alias("head"), F.get("w", F.lit(0)).alias("first"), F.size("w").alias("words"), F.sha2(F.array_join("w", " ").cast("binary"), 256).alias("digest")).dropDuplicates(["digest"])
+
+
+def _head(words: Column, at: Column) -> Column:
+    return F.xxhash64(F.array_join(F.slice(words, at, F.lit(HEAD)), " "))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, license, n_units, whole): how many entire texts of a document are a known licence or notice, and whether the document is one."""
+    """(doc_id, license, n_units, whole): how many entire texts of a document are a known licence or notice, and whether the document is one.
+
+    Units are the document, its paragraphs (runs of lines that aren't blank), and its lines; what lies inside a unit that is a licence doesn't count for it
+    again. Full texts are also looked up at any place: where the first words of one stand, the digest of as many words as it has is joined to the known ones."""
     held = lambda c: F.greatest(*(F.contains(F.lower(c), F.lit(a)) for a in ANCHORS))
-    docs = docs.select("doc_id", text_of().alias("text")).where(held(F.col("text")))
-    parts = F.filter(F.concat(F.split("text", "\n"), F.split("text", r"\n[ \t]*\n")), lambda x: held(x) & (x != F.col("text")))
-    units = F.concat(F.array(F.struct(F.col("text").alias("unit"), F.lit(True).alias("whole"))), F.transform(parts, lambda x: F.struct(x.alias("unit"), F.lit(False).alias("whole"))))
-    units = docs.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.whole", F.sha2(normalised(F.col("u.unit")).cast("binary"), 256).alias("digest"))
-    found = units.join(F.broadcast(known(docs.sparkSession)), "digest").groupBy("doc_id", "license").agg(F.count(F.lit(1)).alias("n"), F.max("whole").alias("whole"))
-    full = docs.sparkSession.createDataFrame([(i, *row) for i, row in enumerate(full_texts())], "variant int, license string, text string").select("variant", "license", _padded(F.col("text")).alias("known"))
-    shortest = min(len(t) for _, t in full_texts()) // 2
-    inside = docs.where(F.length("text") >= shortest).select("doc_id", _padded(F.col("text")).alias("unit")).join(F.broadcast(full), F.contains("unit", "known"))
-    times = (F.length("unit") - F.length(F.replace("unit", "known", F.lit("")))) / F.length("known")
-    inside = inside.groupBy("doc_id", "license", "variant").agg(F.sum(times).cast("long").alias("n")).groupBy("doc_id", "license").agg(F.max("n").alias("n"))
-    both = found.unionByName(inside.withColumn("whole", F.lit(False)))
+    docs = docs.select("doc_id", text_of().alias("text")).where(held(F.col("text"))).select("doc_id", "text", F.xxhash64("text").alias("t"))
+    digest = lambda c: F.sha2(normalised(c).cast("binary"), 256).alias("digest")
+    table_ = F.broadcast(known(docs.sparkSession))
+    paragraphs = docs.select("doc_id", "t", F.posexplode(F.split("text", r"\n(?:[ \t]*\n)+")).alias("at", "unit")).where(held(F.col("unit")))
+    lines = paragraphs.where(F.contains("unit", F.lit("\n"))).select("doc_id", "t", "at", F.explode(F.split("unit", "\n")).alias("unit")).where(held(F.col("unit")))
+    units = docs.select("doc_id", "t", F.lit(-1).alias("at"), F.lit(2).alias("size"), digest(F.col("text")))
+    units = units.unionByName(paragraphs.select("doc_id", "t", "at", F.lit(1).alias("size"), digest(F.col("unit")))).unionByName(lines.select("doc_id", "t", "at", F.lit(0).alias("size"), digest(F.col("unit"))))
+    found = units.join(table_, "digest").groupBy("doc_id", "t", "license", "at", "size").agg(F.count(F.lit(1)).alias("n"))
+    found = found.groupBy("doc_id", "t", "license", "at").agg(F.max_by("n", "size").alias("n"), F.max("size").alias("size"))
+    # one row in rows that repeat a document: their units count for each
+    found = found.groupBy("doc_id", "t", "license").agg(F.max(F.when(F.col("size") == 2, F.col("n"))).alias("w"), F.sum("n").alias("n"))
+    found = found.select("doc_id", "license", F.coalesce("w", "n").alias("n"), F.col("w").isNotNull().alias("whole"))
+    full = _windows(docs.sparkSession)
+    heads = {r.head: r.first for r in full.select("head", "first").distinct().collect()}  # a row for each full text
+    first, at_head = (lambda x: x.isin(sorted(set(heads.values())))), (lambda i: _head(F.col("w"), i).isin(sorted(heads)))
+    words = docs.where(F.length("text") >= min(len(t) for _, t in full_texts()) // 2).select("doc_id", F.split(normalised(F.col("text")), " ").alias("w"))
+    starts = F.filter(F.transform("w", lambda x, i: F.when(first(x), i + 1)), lambda i: i.isNotNull())
+    places = words.select("doc_id", "w", F.explode(F.filter(starts, at_head)).alias("at")).withColumn("head", _head(F.col("w"), F.col("at"))).join(F.broadcast(full), "head")
+    inside = places.where(F.sha2(F.array_join(F.slice("w", F.col("at"), F.col("words")), " ").cast("binary"), 256) == F.col("digest"))
+    inside = inside.groupBy("doc_id", "license", "digest").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id", "license").agg(F.max("n").alias("n"))
+    both = found.groupBy("doc_id", "license").agg(F.sum("n").alias("n"), F.max("whole").alias("whole")).unionByName(inside.withColumn("whole", F.lit(False)))
     return both.groupBy("doc_id", "license").agg(F.max("n").alias("n_units"), F.max("whole").alias("whole"))
 
 
@@ -120,11 +141,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_normalised(x: str) -> str:
-    out = f"' ' || regexp_replace(regexp_replace(lower({x}), '{COPYRIGHT}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
+    out = f"'  ' || regexp_replace(regexp_replace(lower({x}), '{COPYRIGHT}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || '  '"
     for old, new in SPELLINGS:
         if old != new:
-            out = f"replace({out}, ' {old} ', ' {new} ')"
-    return f"trim({out}, ' ')"
+            out = f"replace({out}, ' {old.replace(' ', '  ')} ', ' {new.replace(' ', '  ')} ')"
+    return f"trim(regexp_replace({out}, ' +', ' ', 'g'), ' ')"
 
 
 def _oracle() -> str:
@@ -133,12 +154,14 @@ def _oracle() -> str:
     values = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in rows)
     return f"""
 WITH k AS (SELECT DISTINCT {_sql_normalised("t")} AS canon, n AS license FROM (VALUES {values}) v(n, t)),
+p AS (SELECT doc_id, unnest(ps) AS unit, generate_subscripts(ps, 1) AS place FROM (SELECT doc_id, regexp_split_to_array(text, '\\n(?:[ \\t]*\\n)+') AS ps FROM documents WHERE text IS NOT NULL)),
 u AS (
-  SELECT doc_id, text AS unit, true AS whole FROM documents WHERE text IS NOT NULL
-  UNION ALL SELECT doc_id, unit, false FROM (SELECT doc_id, text, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\\n[ \\t]*\\n'))) AS unit FROM documents) WHERE unit <> text)
-SELECT doc_id, license, count(*) AS n_units, bool_or(whole) AS whole
-FROM (SELECT doc_id, whole, {_sql_normalised("unit")} AS canon FROM u WHERE contains(lower(unit), 'licen') OR contains(lower(unit), 'permission') OR contains(lower(unit), 'mit no attribution')) c JOIN k USING (canon)
-GROUP BY doc_id, license
+  SELECT doc_id, text AS unit, 0 AS place, 2 AS size FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, unit, place, 1 FROM p
+  UNION ALL SELECT doc_id, unnest(string_split(unit, chr(10))), place, 0 FROM p WHERE contains(unit, chr(10))),
+f AS (SELECT doc_id, license, place, size, count(*) AS n FROM (SELECT doc_id, place, size, {_sql_normalised("unit")} AS canon FROM u WHERE contains(lower(unit), 'licen') OR contains(lower(unit), 'permission') OR contains(lower(unit), 'mit no attribution')) c JOIN k USING (canon) GROUP BY ALL),
+g AS (SELECT doc_id, license, place, arg_max(n, size) AS n, max(size) AS size FROM f GROUP BY ALL)
+SELECT doc_id, license, CASE WHEN bool_or(size = 2) THEN max(n) FILTER (size = 2) ELSE CAST(sum(n) AS BIGINT) END AS n_units, bool_or(size = 2) AS whole FROM g GROUP BY doc_id, license
 """
 
 

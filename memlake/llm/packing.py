@@ -23,8 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .shared import small_batches, table, text_of
 
-LIMIT, SEGMENTS, POOL, END_ID = 1024, 64, 256, 0
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+LIMIT, POOL, END_ID = 1024, 256, 0
+#: A pool isn't packed before it holds so many sequences' tokens, however short its examples are.
+DEPTH = 4
+SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 @functools.lru_cache(maxsize=2)
@@ -67,8 +69,8 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
 class Packer:
     """Packs examples (key, tokens, loss tokens). add() and finish() yield (key, start, length, sequence, offset)."""
 
-    def __init__(self, limit: int = LIMIT, segments: int = SEGMENTS, loss: int | None = None, cut: bool = True, pool: int = POOL):
-        self.limits = np.array([limit, segments, loss or limit], dtype=float)
+    def __init__(self, limit: int = LIMIT, segments: int | None = None, loss: int | None = None, cut: bool = True, pool: int = POOL):
+        self.limits = np.array([limit, segments or limit, loss or limit], dtype=float)  # without a limit on segments there can be as many as tokens
         self.cut, self.pool, self.sequence = cut, pool, 0
         self.keys: list = []
         self.starts = np.zeros(0, dtype=np.int64)
@@ -80,7 +82,7 @@ class Packer:
         if self.cut:
             if loss != tokens:
                 raise ValueError("examples with tokens that bear no loss aren't cut")
-            while tokens - start >= limit <= self.limits[2]:
+            while tokens - start >= limit <= self.limits[2] and self.limits[1] >= 1:
                 yield key, start, limit, self.sequence, 0
                 self.sequence, start = self.sequence + 1, start + limit
         elif tokens > limit or loss > self.limits[2]:
@@ -89,8 +91,8 @@ class Packer:
             self.waiting.append((key, start, tokens - start, tokens - start if self.cut else loss))
         if len(self.waiting) >= self.pool:
             self._take()
-            while len(self.keys) > self.pool // 2:
-                yield from self._fill(int(self.limits[0]))
+            while len(self.keys) > self.pool // 2 and self.sizes[:, 0].sum() >= DEPTH * limit:
+                yield from self._fill(limit)
 
     def _take(self) -> None:
         if self.waiting:
@@ -140,8 +142,8 @@ class Packer:
 
 
 def pack_texts(docs: DataFrame, path: str) -> DataFrame:
-    """One row for each piece of each document (doc_id, text)."""
-    fields = pa.schema([(f.split()[0], pa.int64()) for f in SCHEMA.split(", ")])
+    """One row for each piece of each document (doc_id, text); doc_id keeps its type."""
+    names = ["doc_id", *(f.split()[0] for f in SCHEMA.split(", "))]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer, base = encoder(path), Packer(), TaskContext.get().partitionId() << 32
@@ -156,25 +158,30 @@ def pack_texts(docs: DataFrame, path: str) -> DataFrame:
                 if not entry[2]:
                     del ids[key]
 
-        count = 0
+        def made(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+            first, *rest = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(first, kind), *(pa.array(x, pa.int64()) for x in rest)], names=names)
+
+        count, kind = 0, pa.int64()
         for batch in batches:
+            kind = batch.column(0).type
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = np.append(encode(text), np.uint32(END_ID)).astype("<u4")
                 ids[count] = [doc, own, len(own)]
                 rows(packer.add(count, len(own)))
                 count += 1
                 if len(out) >= 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=fields)
+                    yield made(out, kind)
                     out.clear()
         rows(packer.finish())
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=fields)
+            yield made(out, kind)
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(packed, SCHEMA)
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(packed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
 
 
-def pack_examples(examples: DataFrame, limit: int = LIMIT, segments: int = SEGMENTS, loss: int | None = None) -> DataFrame:
+def pack_examples(examples: DataFrame, limit: int = LIMIT, segments: int | None = None, loss: int | None = None) -> DataFrame:
     """Whole examples (example_id, tokens, loss_tokens), for instruction data: (example_id, sequence_id, offset). One that exceeds a sequence is an error."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
