@@ -1,25 +1,28 @@
 """Approximate nearest neighbours by collision counting over single random projections, with virtual rehashing.
 
-Each block of vectors holds one sorted array for each of PROJECTIONS random directions. A query takes in every array the window around its own
-projection; a vector collides once for each array in whose window it lies. Windows that hold too few vectors are widened step by step (virtual
-rehashing: no array is built anew) until at least VERIFIED of a block's vectors (and 20 k) collide THRESHOLD of PROJECTIONS times; exactly these are
-verified by their inner product in double precision. As all arrays of a block are sorted once, a window is a range of ranks, and collisions are counted by
-comparing ranks.
+Vectors are dealt once, by hash, into blocks; each block holds one sorted array for each of PROJECTIONS random directions. A query opens in every array a window around its
+own projection, and a vector collides once for each array in whose window it lies. Windows are widened step by step (virtual rehashing: no array is built
+anew, both ends walk outwards and only the ranks they pass are counted) until enough of a block's vectors collide THRESHOLD of PROJECTIONS times or more; those of the
+highest threshold that enough of them pass are verified by their inner product in double precision.
+
+Enough is SHARE * n ** -FALL of n vectors (and 20 k at least): the more vectors there are, the nearer are a query's k nearest, and the smaller the part
+in which they are found. So the vectors verified for a query grow as n ** (1 - FALL).
 
 Largest inner product is brought to nearest distance by one more component: sqrt(M^2 - |x|^2) for vectors, 0 for queries, M the
 largest norm, queries scaled to M.
 
-Queries and vectors are dealt by hash into blocks, and each block of queries meets each block of vectors in one task, so no task holds more than a
-block of either; the best k of all blocks are then ranked. The stated set of queries meets all rows: work grows with both.
+The stated set of queries meets all rows: every query is read once in each block, as part of a stream, after the block's arrays are built. A task holds one block and a batch of
+queries; vectors are never copied. The best k of all blocks are then ranked.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part; vectors meet those of equal length only; of equal
 scores the smaller vec_id comes first; rows that repeat a vec_id are candidates of their own, except for their own query; fewer
-candidates than k: all of them; an empty table gives no rows.
+candidates than k: all of them; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +31,10 @@ from pyspark.sql import functions as F
 
 from .shared import table
 
-PROJECTIONS, THRESHOLD, VERIFIED, K = 240, 104, 0.12, 20
-FIRST, WIDER = 0.45, 1.12
-VECTORS, QUERIES, TILE = 8192, 4096, 64
+PROJECTIONS, THRESHOLD, K = 240, 104, 20
+SHARE, FALL = 4.5, 0.37
+FIRST, WIDER = 0.3, 1.2
+BLOCK = 8192
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -47,95 +51,99 @@ def _directions(dim: int) -> np.ndarray:
 
 
 class Block:
-    """Sorted arrays of a block of vectors."""
+    """Sorted arrays of a block of vectors. `share` of them are verified for a query."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, largest: float):
-        self.ids, self.x, self.largest = ids, x, largest
+    def __init__(self, ids: np.ndarray, x: np.ndarray, largest: float, share: float):
+        self.ids, self.x, self.share, self.first = ids, x, share, FIRST
         scaled = x / largest
         tail = np.sqrt(np.maximum(0, 1 - (scaled**2).sum(1)))
         projected = np.hstack([scaled, tail[:, None]]) @ _directions(x.shape[1] + 1)
         order = np.argsort(projected, axis=0, kind="stable")
         self.sorted = np.ascontiguousarray(np.take_along_axis(projected, order, axis=0).T)
-        self.ranks = np.empty((PROJECTIONS, len(x)), dtype=np.uint16)
-        for j in range(PROJECTIONS):
-            self.ranks[j, order[:, j]] = np.arange(len(x), dtype=np.uint16)
-
-    def collisions(self, projected: np.ndarray, half: np.ndarray) -> np.ndarray:
-        """For queries (projections, half widths of their windows): how often each vector collides."""
-        n, m = len(projected), len(self.ids)
-        counts = np.zeros((n, m), dtype=np.uint8)
-        shifted, inside = np.empty((n, m), dtype=np.uint16), np.empty((n, m), dtype=bool)
-        for j in range(PROJECTIONS):
-            low = np.searchsorted(self.sorted[j], projected[:, j] - half, side="left")
-            length = np.searchsorted(self.sorted[j], projected[:, j] + half, side="right") - low
-            np.subtract(self.ranks[j][None, :], low.astype(np.uint16)[:, None], out=shifted)
-            np.less(shifted, length.astype(np.uint16)[:, None], out=inside)
-            np.add(counts, inside.view(np.uint8), out=counts)
-        return counts
-
-    def search(self, ids: np.ndarray, q: np.ndarray, k: int):
-        """(query, vector, score) arrays of the best k verified vectors of each query."""
-        projected = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ _directions(q.shape[1] + 1)[:-1]
-        needed = min(len(self.ids), max(20 * k + 1, int(np.ceil(VERIFIED * len(self.ids)))))
-        widths = np.full(len(q), FIRST)
-        out = []
-        for at in range(0, len(q), TILE):
-            todo = np.arange(at, min(at + TILE, len(q)))
-            while len(todo):
-                counts = self.collisions(projected[todo], widths[todo])
-                colliding = counts >= THRESHOLD
-                enough = (colliding.sum(1) >= needed) | (widths[todo] > 1e3)
-                for i in np.flatnonzero(enough):
-                    mine = todo[i]
-                    found = np.flatnonzero(colliding[i] & (self.ids != ids[mine])) if widths[mine] <= 1e3 else np.flatnonzero(self.ids != ids[mine])
-                    scores = np.einsum("ij,j->i", self.x[found], q[mine])
-                    if len(found) > 4 * k:  # ties at the k-th score stay
-                        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-                        found, scores = found[scores >= edge], scores[scores >= edge]
-                    best = np.lexsort((self.ids[found], -scores))[:k]
-                    out.append((np.full(len(best), ids[mine]), self.ids[found[best]], scores[best]))
-                todo = todo[~enough]
-                if len(todo):  # the next widths start from how far the counts fell short
-                    short = colliding[~enough].sum(1) < needed // 8
-                    widths[todo] *= np.where(short, WIDER**3, WIDER)
-            if len(q) > at + TILE:
-                widths[at + TILE :] = max(FIRST, float(np.median(widths[: at + TILE])) / WIDER)
-        return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, dtype=np.int64)] * 3
+        self.order = np.ascontiguousarray(order.T)  # the vector at each rank
+
+    def colliding(self, projected: np.ndarray, needed: int) -> np.ndarray:
+        """Places of the vectors that collide often enough with a query, given its projections: the windows walk outwards until `needed` are found."""
+        n = len(self.ids)
+        if needed >= n:
+            return np.arange(n)
+        counts = np.zeros(n, dtype=np.int64)
+        low = high = np.array([np.searchsorted(a, p) for a, p in zip(self.sorted, projected, strict=True)])
+        half = self.first
+        while True:
+            left = np.array([np.searchsorted(a, p - half, side="left") for a, p in zip(self.sorted, projected, strict=True)])
+            right = np.array([np.searchsorted(a, p + half, side="right") for a, p in zip(self.sorted, projected, strict=True)])
+            passed = [o[a:b] for o, a, b in zip(self.order, left, low, strict=True)] + [o[a:b] for o, a, b in zip(self.order, high, right, strict=True)]
+            counts += np.bincount(np.concatenate(passed), minlength=n)
+            low, high = left, right
+            found = np.flatnonzero(counts >= THRESHOLD)
+            if len(found) >= needed:
+                self.first = max(FIRST, 0.9 * self.first + 0.1 * half / WIDER**2)  # the next query starts nearer to where this one ended
+                # a step may pass by what is needed: then the threshold rises to where it is met
+                return np.flatnonzero(counts >= np.partition(counts, n - needed)[n - needed])
+            half *= WIDER
+
+    def search(self, query: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(vec_ids, scores) of the best k verified vectors, and how many were verified."""
+        needed = max(20 * k + 1, int(np.ceil(self.share * len(self.ids))))
+        found = self.colliding((q / np.linalg.norm(q)) @ _directions(len(q) + 1)[:-1], needed)
+        found = found[self.ids[found] != query]
+        scores = np.einsum("ij,j->i", self.x[found], q)
+        verified = len(found)
+        if verified > 4 * k:  # ties at the k-th score stay
+            edge = np.partition(scores, verified - k)[verified - k]
+            found, scores = found[scores >= edge], scores[scores >= edge]
+        best = np.lexsort((self.ids[found], -scores))[:k]
+        return self.ids[found[best]], scores[best], verified
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score): rows and queries hold (vec_id, embedding)."""
+    """(query_id, rank, vec_id, score, verified): rows and queries hold (vec_id, embedding); verified is how many vectors of the block
+    that a neighbour comes from were verified for the query."""
     data, asked = usable(rows), usable(queries)
     n, largest = data.agg(F.count(F.lit(1)), F.max("norm2")).first()
-    n_q = asked.count()
-    schema = "query_id long, vec_id long, score double"
-    if not n or not n_q:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    largest = float(np.sqrt(largest))
-    d_blocks, q_blocks = max(1, -(-n // VECTORS)), max(1, -(-n_q // QUERIES))
-    part = lambda blocks, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id", "v"), F.lit(blocks)).cast("int")
-    # blocks are by hash, so their sizes vary little; a vector that repeats everywhere under one id would share one block, which search() cuts
-    left = data.select("vec_id", "v", "dim", part(d_blocks, "d").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q"))
-    right = asked.select("vec_id", "v", "dim", part(q_blocks, "q").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1))).alias("d"))
-
-    def meet(x: pa.Table, q: pa.Table) -> pa.Table:
-        found = [[], [], []]
-        if x.num_rows and q.num_rows:
-            dim = x.column("dim")[0].as_py()
-            read = lambda t: (t.column("vec_id").to_numpy(), t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim))
-            (ids, vectors), (q_ids, q_vectors) = read(x), read(q)
-            for at in range(0, len(ids), 2 * VECTORS):
-                part = Block(ids[at : at + 2 * VECTORS], vectors[at : at + 2 * VECTORS], largest).search(q_ids, q_vectors, k)
-                for a, b in zip(found, part, strict=True):
-                    a.append(b)
-        a, b, c = (np.concatenate(f) if f else np.zeros(0) for f in found)
-        return pa.table({"query_id": pa.array(a.astype(np.int64)), "vec_id": pa.array(b.astype(np.int64)), "score": pa.array(c.astype(np.float64))})
-
-    keys = ["dim", "q", "d"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema)
+    if not n or not asked.count():
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double, verified long")
+    largest, share, blocks = float(np.sqrt(largest)), min(1.0, SHARE * n**-FALL), max(1, -(-n // BLOCK))
+    d = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")
+    left = data.select("dim", d.alias("d"), F.lit(0).alias("kind"), "vec_id", "v")
+    right = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("d"), F.lit(1).alias("kind"), "vec_id", "v")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, held, built = None, [], [], []
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            out: list[tuple] = []
+            for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if a == b:
+                    continue
+                dim, _, kind = keys[a]
+                if tuple(keys[a, :2]) != key:
+                    key, ids, held, built = tuple(keys[a, :2]), [], [], []
+                own = batch.column(3).slice(a, b - a).to_numpy()
+                vectors = batch.column(4).slice(a, b - a).flatten().to_numpy().reshape(-1, dim)
+                if kind == 0:
+                    ids.append(own)
+                    held.append(vectors)
+                    continue
+                if ids:
+                    all_ids, all_vectors = np.concatenate(ids), np.concatenate(held)
+                    ids, held = [], []
+                    built = [Block(all_ids[x : x + 2 * BLOCK], all_vectors[x : x + 2 * BLOCK], largest, share) for x in range(0, len(all_ids), 2 * BLOCK)]
+                for query, q in zip(own, vectors, strict=True):
+                    for part in built:
+                        found, scores, verified = part.search(query, q, k)
+                        out.append((np.full(len(found), query), found, scores, np.full(len(found), verified)))
+            if out:
+                columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.float64, np.int64), strict=True)], names=["query_id", "vec_id", "score", "verified"])
+
+    dealt = left.unionByName(right).repartition(4 * blocks, "dim", "d").sortWithinPartitions("dim", "d", "kind")
+    met = dealt.mapInArrow(meet, "query_id long, vec_id long, score double, verified long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return ranked.select("query_id", "rank", "vec_id", "score", "verified")
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

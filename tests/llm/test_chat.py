@@ -2,6 +2,7 @@ import hashlib
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from memlake.llm import chat
 
@@ -20,6 +21,8 @@ def test_round_trip_of_hostile_texts(spark):
         bodies = [r.formatted[s.start : s.start + s.length] for s in r.loss_spans]
         back = [b.replace("\\l", "<|").replace("\\b", "\\") if "<|escaped|>" + b in r.formatted else b for b in bodies]
         assert back == [b for _, a, b in want if a == "assistant"]
+    cut = chat.format_conversations(spark.createDataFrame(rows, SCHEMA)).select("conv_id", chat.masked_texts(F.col("formatted"), F.col("mask")).alias("t")).collect()
+    assert {r.conv_id: r.t for r in cut} == {c: [x.text for x in r.turns if x.role == "assistant"] for c, r in out.items()}
 
 
 def test_query_digests_and_empty_table(spark, tmp_path):

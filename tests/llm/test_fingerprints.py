@@ -4,6 +4,7 @@ import unicodedata
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from memlake.llm import fingerprints as fp
 
@@ -40,6 +41,24 @@ def test_against_brute_force(spark):
     assert out == brute(ROWS)
 
 
+def test_wide_repeated_and_outlying_ids(spark, monkeypatch):
+    monkeypatch.setattr(fp, "RANGE_ROWS", 40)
+    wide = [(-6 * 10**18, "low"), (0, "mid"), (6 * 10**18, "high")]
+    rows = wide + [(i, f"text {i % 90}") for i in range(1, 900)] + [(2**60, "outlier")]
+    assert {r.doc_id: tuple(r)[1:] for r in fp.edited_fingerprints(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows)
+    asked = fp.with_next(spark.createDataFrame([(i, "t") for i in range(20_000)] + [(2**60, "t")], SCHEMA), lambda x: x, ())
+    sizes = [r["count"] for r in asked.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 20_001 and max(sizes) < 8000
+    same = [(5, f"x{i}") for i in range(600)] + [(6, "y"), (4, "z")]  # one id with many texts
+    out = fp.with_next(spark.createDataFrame(same, SCHEMA), lambda x: x, ()).collect()
+    after = {r.text: r.next_text for r in out}
+    seen, at = [], "y"
+    for _ in range(602):
+        seen.append(at)
+        at = after[at]
+    assert at == "y" and sorted(seen) == sorted(t for _, t in same) and seen[-1] == "z"
+
+
 def test_query_on_all_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     out = {r.doc_id: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in fp.op2_document_fingerprints(spark, "/root/testdata/sf0.001").collect()}

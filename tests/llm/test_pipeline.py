@@ -25,23 +25,26 @@ def plain_quality(docs, labels):
     w = quality.fit_logistic((x[fit] - mean) / deviation, np.array([known[docs[i].doc_id] for i in fit], dtype=float))
     p = 1 / (1 + np.exp(-np.clip(((x - mean) / deviation) @ w[:-1] + w[-1], -6, 6)))
 
-    def shrunk(groups, above, everything):
+    def variances(groups, above):
         n = np.array([len(g) for g in groups])
         means = np.array([g.mean() for g in groups])
         sigma2 = max(sum(((g - m) ** 2).sum() for g, m in zip(groups, means, strict=True)) / max(n.sum() - len(n), 1), 1e-6)
-        tau2 = max(((n * (means - above) ** 2).sum() - (len(n) - 1) * sigma2) / max(n.sum() - (n**2).sum() / n.sum(), 1), 1e-6)
-        return above_of(everything) + tau2 / (tau2 + sigma2 / n) * (means - above_of(everything))
+        return sigma2, max(((n * (means - above) ** 2).sum() - (len(n) - 1) * sigma2) / max(n.sum() - (n**2).sum() / n.sum(), 1), 1e-6)
+
+    def shrunk(others, above, sigma2, tau2):
+        return above + tau2 / (tau2 + sigma2 / len(others)) * (others.mean() - above) if len(others) else above
 
-    above_of = lambda z: z
     hosts = sorted({r.source for r in docs})
-    of_host = {h: p[[i for i, r in enumerate(docs) if r.source == h]] for h in hosts}
-    host = dict(zip(hosts, shrunk([of_host[h] for h in hosts], p.mean(), p.mean()), strict=True))
+    of_host = {h: [i for i, r in enumerate(docs) if r.source == h] for h in hosts}
     paths = sorted({(r.source, r.lang) for r in docs})
-    of_path = [p[[i for i, r in enumerate(docs) if (r.source, r.lang) == q]] for q in paths]
-    raw = np.array([of_host[h].mean() for h, _ in paths])
-    path = dict(zip(paths, shrunk(of_path, raw, np.array([host[h] for h, _ in paths])), strict=True))
+    of_path = {q: [i for i, r in enumerate(docs) if (r.source, r.lang) == q] for q in paths}
+    host_spread = variances([p[of_host[h]] for h in hosts], p.mean())
+    path_spread = variances([p[of_path[q]] for q in paths], np.array([p[of_host[h]].mean() for h, _ in paths]))
+    without = lambda members, i: p[[j for j in members if j != i]]
+    host = [shrunk(without(of_host[r.source], i), p.mean(), *host_spread) for i, r in enumerate(docs)]
+    path = [shrunk(without(of_path[(r.source, r.lang)], i), host[i], *path_spread) for i, r in enumerate(docs)]
     logit = lambda v: np.log(np.clip(v, 0.02, 0.98) / (1 - np.clip(v, 0.02, 0.98)))
-    f = logit(p) + logit(np.array([path[(r.source, r.lang)] for r in docs])) - logit(p.mean())
+    f = logit(p) + logit(np.array(path)) - logit(p.mean())
     return 1 / (1 + np.exp(-f))
 
 
@@ -69,8 +72,8 @@ def test_stages(spark):
     classes = brute_links([(r.doc_id, r.text) for r in rows])
     assert counted(made["ngram_jaccard_join"].collect()) == counted([r for r in rows if classes[r.doc_id][0] == r.doc_id])
 
-    domains, steps, table = mixing.rates(made["ngram_jaccard_join"], labels)
-    copies = {r.doc_id: r.n for r in table.select("doc_id", mixing.copies_of(mixing.rate_of(steps)).alias("n")).collect()}
+    domains, solution, table = mixing.rates(made["ngram_jaccard_join"], labels)
+    copies = {r.doc_id: r.n for r in table.select("doc_id", mixing.copies_of(mixing.rate_of(solution.steps)).alias("n")).collect()}
     got = collections.Counter(r.doc_id for r in made["source_mixing"].collect())
     assert got == copies and min(copies.values()) >= 1
     import public_tokenizers
@@ -80,3 +83,20 @@ def test_stages(spark):
     assert sum(r.length for r in made["packing"].collect()) == want
     key = lambda rows: collections.Counter((r.doc_id, r.doc_tokens) for r in rows if r.start == 0)
     assert key(corpus_pipeline.run(spark, SF).collect()) == key(made["packing"].collect())
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    long = " ".join(f"w{i % 5000}" for i in range(30_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, long, "en", "s", 1), (4, "same text here now ok", "en", None, 1), (4, "same text here now ok", "en", None, 1), (4, "an other text under this id", "en", None, 1), (5, "same text here now ok", None, "s", 1), (None, "no id", "en", "s", 5)]
+    made = spark.createDataFrame([(*r, "clash", 1.0, 2) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _p string, quality double, n int")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", made), ("empty", made.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        none.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        at = docs
+        for stage, apply in corpus_pipeline.STAGES[:-1]:
+            at = cut(apply(spark, at, f"{tmp_path}/{name}"), stage)
+            assert at.columns == docs.columns
+        kept = [(r.doc_id, r.text) for r in at.collect()]
+        assert sorted(map(str, kept)) == (sorted(map(str, {(1, None), (2, ""), (3, long), (4, "same text here now ok"), (4, "an other text under this id"), (None, "no id")})) if name == "odd" else [])
+        assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").where("start = 0").count() == len(kept)
