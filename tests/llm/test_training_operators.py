@@ -296,6 +296,67 @@ def test_main_text():
     assert html.main_text(None) == "" and html.main_text("<" * 5000) is not None
 
 
+def test_names_alone_decide_nothing():
+    text = "A text of the article that is long enough to be the main text of its page, in one paragraph."
+    menu = "".join(f"<li><a href=/{i}>Menu entry {i} here</a></li>" for i in range(9))
+    said = "<p>I disagree with all of this, as it seems to me rather wrong.</p>"
+    body = f"<h1>Title</h1><p>{text}</p>"
+    only = f"Title\n{text}"
+    pages = {
+        f"<body><div class='x7k'><ul>{menu}</ul></div><div>{body}</div></body>": only,
+        f"<body><div class='x7k'>{menu.replace('li>', 'div>').replace('<a href=', '<i x=').replace('/a>', '/i>')}</div><div>{body}</div></body>": only,
+        f"<article><div class='x7k'><ul>{menu}</ul></div>{body}</article>": only,
+        f"<body><nav>{menu}</nav><div class='content ad-free'>{body}</div></body>": only,
+        f"<body><div class='share-price-table'>{body}</div></body>": only,
+        f"<article>{body}<div class='share-price-table'><table><tr><td>Acme<td>12</table></div></article>": only + "\nAcme\n12",
+        f"<article>{body}</article><article class='comment'>{said}</article>": only,
+        f"<main>{body}<article class='comment'>{said}</article><div class='post-comments'>{said}</div></main>": only,
+        f"<article>{body}</article><article class='advert'>{said}</article>": only,
+        f"<article hidden><p>{said}</p></article><article>{body}</article>": only,
+        f"<body><div class='menue'><ul>{menu}</ul></div><div class='inhalt'>{body}</div><div class='kommentare'>{said}{said}</div></body>": only,
+        f"<body><form id=all><nav>{menu}</nav><div>{body}</div></form></body>": only,
+        "<article><p>" + "<b>" * 12 + "one two three four<div>five six seven eight</div></article>": "one two three four\nfive six seven eight",
+    }
+    assert {p: html.main_text(p) for p in pages} == pages
+
+
+def test_weights_learned_from_the_table(spark):
+    text = "A text of the article that is long enough to be the main text of its page, number {}."
+    said = "<div class='qqrest'><p>Some words that stand beside the text of every page, and tell nothing of it.</p></div>"
+    rows = [(i, "u", f"<body>{said}<article><div class='zztext'><p>{text.format(i)}</p></div></article></body>", "clash") for i in range(60)]
+    weights = html.learn(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
+    assert weights.element["name qqrest"] < html.BOILERPLATE and weights.element["name zztext"] > html.CONTENT and weights.taught == {"name qqrest", "name zztext"}
+    page = f"<body><div class='zztext'><p>{text.format(7)}</p></div>{said}</body>"
+    assert html.main_text(page, weights) == text.format(7) and "beside" in html.main_text(page)
+    wrapped = f"<body><div class='qqrest'><article><p>{text.format(1)}</p></article></div></body>"  # what holds an article is not dropped by such a name
+    assert html.main_text(wrapped, weights) == text.format(1)
+
+
+def best_region(scores):
+    """All regions, by their sums."""
+    sums = [(sum(scores[a : b + 1]), -a, -b) for a in range(len(scores)) for b in range(a, len(scores))]
+    best = max(sums, default=(0, 0, 0))
+    return best[0] if best[0] > 0 else 0.0
+
+
+def test_region_against_all_regions():
+    r = np.random.RandomState(6)
+    for _ in range(60):
+        scores = (r.normal(size=r.randint(0, 30)) * 3).round(3).tolist()
+        best, region = html._best(scores)
+        assert abs(best - best_region(scores)) < 1e-9 and (region is None) == (best == 0)
+        assert region is None or abs(sum(scores[region[0] : region[1] + 1]) - best) < 1e-9
+
+
+def test_odd_pages(spark):
+    long = "<article>" + "<p>word and word again.</p>" * 20_000 + "</article>"
+    rows = [(1, None, None), (2, "u", ""), (3, "u", "<article><p>One two three.</p></article>"), (3, "u", "<article><p>One two three.</p></article>"), (None, "u", "plain words alone"), (4, "u", long), (5, "u", "<div>" * 6000 + "</x>" * 6000), (6, "u", "</p></div>< <> &amp; <!--")]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    out = sorted((str(r.page_id), r.text) for r in html.extract(df).collect())
+    assert out == sorted([("1", ""), ("2", ""), ("3", "One two three."), ("3", "One two three."), ("None", "plain words alone"), ("4", "\n".join(["word and word again."] * 20_000)), ("5", ""), ("6", "< <> &")])
+    assert html.extract(df.limit(0)).count() == 0
+
+
 def test_pages_of_the_table(spark):
     import re
     from html import unescape
