@@ -2,16 +2,18 @@
 
 A text is put into Unicode NFKC, its case folded in full, each run of white space made one space and its ends trimmed; 128 bits
 of xxhash64 (two differently salted passes) name its bucket. Whether the members of a bucket are equal is then decided
-by comparing their canonical bytes with those of the bucket's first member; a text that differs (a collision) gets a
+by grouping them by their canonical bytes: of the different texts in a bucket (a collision) all but the smallest get a
 suffix, so two fingerprints are equal exactly if the canonical texts are.
 
 Defined cases: a null text counts as empty; empty texts share one fingerprint; rows that repeat a doc_id are rows
-of their own, ordered by text; an empty table gives an empty result; other columns are ignored by the query and
-kept by fingerprint().
+of their own, ordered by a hash of their text, then the text; any ids, however far apart; null ids come last; an empty table gives an empty result; other columns
+are ignored by the query and kept by fingerprint().
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ from .shared import cut, remove, table, text_of
 
 #: Up to so many members of shared buckets are sent to every task as ids (24 bytes a row); more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
-#: Rows of a window partition, and how many partitions there are at most (this bounds the broadcast of their ends).
-BUCKET_ROWS, MAX_BUCKETS, CELLS = 2048, 100_000, 1024
+#: Rows of a range of doc_ids, and how many ranges there are at most (this bounds the broadcast of their ends).
+RANGE_ROWS, MAX_RANGES = 4096, 8192
 
 
 def canonical(text: Column) -> Column:
@@ -39,84 +41,104 @@ def bucket_key(canonical_text: Column, bits: int = 128) -> Column:
 
 
 def _suffixes(keyed: DataFrame, texts) -> DataFrame | None:
-    """keyed: (id, kind, key), kind 0 or 1 for which text of the row; texts(members) adds `canonical` to such rows.
-    Returns (id, kind, suffix) of the rows whose canonical bytes differ from the first member's of their bucket; None if no bucket is shared."""
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "kind")).alias("first")).where("n > 1")
-    members = cut(keyed.join(shared.select("key", "first"), "key"), "members")
-    count = members.count()
-    if count == 0:
+    """keyed: (id, kind, key), kind 0 or 1 for which text of the row; texts(members) gives (id, kind, key, canonical) of such rows.
+    Returns (id, kind, suffix, canonical_hash) of the rows whose canonical text isn't the smallest of its bucket; None if all members of each bucket are equal.
+
+    Members are grouped by their bytes, and equal ones are counted together before they are dealt, so no bucket is ever gathered in one task."""
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    members = cut(keyed.join(shared, "key"), "members")
+    if members.isEmpty():
+        return None
+    held = texts(members)
+    different = held.select("key", "canonical").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    different = cut(different, "differing")  # collisions alone are left
+    if different.isEmpty():
+        remove(members)
         return None
-    held = cut(texts(members, count), "canonical")
-    firsts = held.where((F.col("id") == F.col("first.id")) & (F.col("kind") == F.col("first.kind")))
-    firsts = firsts.groupBy("key").agg(F.min("canonical").alias("first_text"))
-    odd = held.join(firsts, "key").where(F.col("canonical") != F.col("first_text")).select("id", "kind", "key", "canonical")
-    odd = cut(odd, "differing")  # written first, so that Spark may split a hot bucket in the join above; only collisions are left
-    rank = F.dense_rank().over(Window.partitionBy("key").orderBy("canonical"))
-    out = cut(odd.select("id", "kind", F.concat(F.lit("-"), rank.cast("string")).alias("suffix"), F.xxhash64("canonical").alias("canonical_hash")).distinct(), "collisions")
+    odd = held.join(F.broadcast(different.select("key")) if different.count() <= BROADCAST_ROWS else different.select("key"), "key").select("id", "kind", "key", "canonical")
+    odd = cut(odd, "collisions")
+    ranks = odd.select("key", "canonical").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("canonical"))).where("rank > 1")
+    out = odd.join(ranks, ["key", "canonical"]).select("id", "kind", F.concat(F.lit("-"), F.col("rank").cast("string")).alias("suffix"), F.xxhash64(F.lit("third"), "canonical").alias("canonical_hash"))
+    out = cut(out.distinct(), "suffixes")
     remove(members)
-    remove(held)
-    return None if out.isEmpty() else out
+    return out
 
 
-def _named(docs: DataFrame, bits: int) -> DataFrame:
-    own = docs.select(F.col("doc_id").alias("own_id"), canonical(text_of()).alias("canonical"))
-    return own.withColumn("own_key", bucket_key(F.col("canonical"), bits))
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are computed after what makes the rows: a generator of one element, which no filter, join or projection moves past."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
-def fingerprint(docs: DataFrame, bits: int = 128) -> DataFrame:
-    """docs with a column `fingerprint`, equal exactly for rows whose canonical texts are equal."""
-    keyed = docs.select(F.col("doc_id").alias("id"), F.lit(0).alias("kind"), bucket_key(canonical(text_of()), bits).alias("key"))
+def _canonical_of(docs: DataFrame, members: DataFrame, bits: int) -> DataFrame:
+    """(id, kind, key, canonical) of members: documents are found by id first, so that only they are made canonical again; a repeated id's other texts go by their key."""
+    wanted = members.select("id", "kind", "key").dropDuplicates(["id", "key"])
+    wanted = F.broadcast(wanted) if members.count() <= BROADCAST_ROWS else wanted
+    own = docs.select(F.col("doc_id").alias("own_id"), text_of().alias("own_text"))
+    rows = own.join(wanted, own["own_id"].eqNullSafe(wanted["id"])).select("id", "kind", "key", "own_text")
+    return _once(rows, canonical=canonical(F.col("own_text"))).where(bucket_key(F.col("canonical"), bits) == F.col("key")).select("id", "kind", "key", "canonical")
 
-    def texts(members: DataFrame, count: int) -> DataFrame:
-        wanted = members.dropDuplicates(["id", "key"])
-        wanted = F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted
-        own = _named(docs, bits)
-        return own.join(wanted, own["own_id"].eqNullSafe(wanted["id"]) & (own["own_key"] == wanted["key"])).select("id", "kind", "key", "first", "canonical")
 
-    odd = _suffixes(keyed, texts)
-    kept = [c for c in docs.columns if c not in ("fingerprint", "canonical_hash", "odd_id", "suffix")]
-    with_key = docs.select(*kept, bucket_key(canonical(text_of()), bits).alias("fingerprint"))
+def fingerprint(docs: DataFrame, bits: int = 128) -> DataFrame:
+    """docs with a column `fingerprint`, equal exactly for rows whose canonical texts are equal."""
+    kept = [c for c in docs.columns if c not in ("fingerprint", "canonical_hash", "odd_id", "suffix", "_c")]
+    named = _once(docs.select(*kept), _c=canonical(text_of()))
+    keyed = cut(named.select(F.col("doc_id").alias("id"), F.lit(0).alias("kind"), bucket_key(F.col("_c"), bits).alias("key")), "keys")
+    odd = _suffixes(keyed, lambda members: _canonical_of(docs, members, bits))
+    with_key = named.select(*kept, bucket_key(F.col("_c"), bits).alias("fingerprint"), F.xxhash64(F.lit("third"), "_c").alias("canonical_hash"))
     if odd is None:
-        return with_key
-    odd = odd.where("kind = 0").select(F.col("id").alias("odd_id"), "suffix", "canonical_hash")
-    with_key = with_key.withColumn("canonical_hash", F.xxhash64(canonical(text_of())))
-    same = with_key["doc_id"].eqNullSafe(odd["odd_id"]) & (with_key["canonical_hash"] == odd["canonical_hash"])
+        return with_key.drop("canonical_hash")
+    odd = odd.where("kind = 0").select(F.col("id").alias("odd_id"), "suffix", F.col("canonical_hash").alias("odd_hash"))
+    same = with_key["doc_id"].eqNullSafe(odd["odd_id"]) & (with_key["canonical_hash"] == odd["odd_hash"])
     joined = with_key.join(odd, same, "left")
     return joined.withColumn("fingerprint", F.concat("fingerprint", F.coalesce("suffix", F.lit("")))).select(*kept, "fingerprint")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text, next_id): beside each row the next one by descending doc_id, the first after the last.
-
-    Rows go to ranges of doc_id of about BUCKET_ROWS rows, found by a histogram of CELLS equal cells whose full ones are
-    cut further. Inside a range, lead() finds the next row; the first row of the following range stands in as a
-    last row. Null ids come last. One shuffle moves the texts once.
-    """
-    docs = docs.select("doc_id", text_of().alias("text"))
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    if n == 0:
-        return docs.select("doc_id", "text", F.col("text").alias("next_text"), F.col("doc_id").alias("next_id"))
-    low, high = (0, 0) if low is None else (low, high)
-    width = (high - low) // CELLS + 1
-    per = max(BUCKET_ROWS, -(-n // MAX_BUCKETS))
-    cell = F.coalesce(F.floor((F.col("doc_id") - low) / F.lit(width)), F.lit(-1))  # null ids: below all others
-    counts = dict(docs.groupBy(cell.alias("cell")).count().collect())  # at most CELLS + 1 rows
-    parts = [min(width, -(-counts.get(i, 0) // per)) or 1 for i in range(-1, CELLS)]
-    before = [sum(parts[:i]) for i in range(CELLS + 1)]
-    at = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (cell + 2).cast("int"))
-    inside = F.coalesce(F.col("doc_id") - low, F.lit(0)) % width
-    bucket = (at(before) + F.floor(inside * at(parts) / F.lit(width))).cast("long")
-    ranged = docs.withColumn("bucket", bucket)
-
-    ends = ranged.groupBy("bucket").agg(F.max("doc_id").alias("top"))  # at most MAX_BUCKETS + CELLS + 1 rows of 16 bytes
-    down = Window.orderBy(F.desc("bucket"))
-    ends = ends.select(F.lag("bucket").over(down).alias("above"), "top", F.min("bucket").over(Window.partitionBy()).alias("lowest"))
-    ends = ends.select(F.coalesce("above", "lowest").alias("for_bucket"), "top")
-    stand_in = ranged.join(F.broadcast(ends), F.col("doc_id").eqNullSafe(F.col("top"))).select("doc_id", "text", F.col("for_bucket").alias("bucket"), F.lit(1).alias("stand_in"))
-    rows = ranged.select("doc_id", "text", "bucket", F.lit(0).alias("stand_in")).unionByName(stand_in)
-    order = Window.partitionBy("bucket").orderBy("stand_in", F.desc_nulls_last("doc_id"), "text")
-    rows = rows.withColumns({"next_text": F.lead("text").over(order), "next_id": F.lead("doc_id").over(order)})
-    return rows.where("stand_in = 0").drop("bucket", "stand_in")
+def _range(id_: Column, order: Column, ends: list, id_type: str) -> Column:
+    """The place of a row among the ends of ranges, which ascend: how many lie under its id, found in two steps of about sqrt(len(ends)) comparisons. An id that
+    fills several ranges is dealt over them by its `order`, from 0 up to 1."""
+    none = F.lit(-1).cast("long")
+    if not ends:
+        return F.when(id_.isNull(), none).otherwise(0)
+    step = max(1, int(len(ends) ** 0.5))
+    as_array = lambda xs: F.array(*(F.lit(x) for x in xs)).cast(f"array<{id_type}>")
+    below = lambda xs, test: F.size(F.filter(xs, test))
+    coarse, fine = as_array(ends[::step]), as_array(ends)
+    at = F.greatest(below(coarse, lambda x: x < id_) - 1, F.lit(0)) * step
+    under = at + below(F.slice(fine, at + 1, F.lit(step)), lambda x: x < id_)
+    held = {x: ends.count(x) for x in set(ends) if ends.count(x) > 1}
+    if not held:
+        return F.when(id_.isNull(), none).otherwise(under)
+    several = F.coalesce(*(F.when(id_ == F.lit(x), F.lit(n)) for x, n in sorted(held.items())), F.lit(0))  # an id that holds several quantiles: there are few
+    return F.when(id_.isNull(), none).otherwise(under + F.floor(order * (several + 1)))
+
+
+def with_next(docs: DataFrame, beside: Callable[[DataFrame], DataFrame], names: tuple[str, ...]) -> DataFrame:
+    """(doc_id, text, next_text, next_id, and each of `names` with its next_): beside each row the next one by descending doc_id, the first after the last. `beside` adds
+    the columns `names` to rows (doc_id, text); it sees each row once.
+
+    Rows go to ranges of doc_id with about RANGE_ROWS rows, whose ends are quantiles, so that neither gaps nor outliers matter; an id with very many rows is dealt over several by a
+    hash of its texts. Inside a range, lead() finds the next row; the first row of the following range stands in as a last row. Null ids come last. One shuffle moves the texts once."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", text_of().alias("text")).withColumn("h", F.xxhash64("text"))
+    n = docs.count()
+    ranges = max(1, min(MAX_RANGES, -(-n // RANGE_ROWS)))
+    shares = [(i + 1) / ranges for i in range(ranges - 1)]
+    ends = sorted(docs.agg(F.percentile_approx("doc_id", shares, max(1000, 4 * ranges))).first()[0] or []) if shares else []
+    order = F.pmod(F.floor(F.col("h") / F.lit(float(1 << 34))), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    ranged = docs.withColumn("order", order)
+    ranged = _once(ranged, range=_range(F.col("doc_id"), F.col("order"), ends, id_type))
+
+    firsts = cut(ranged.groupBy("range").agg(F.max(F.struct("doc_id", "order", "h")).alias("top")), "ranges")  # MAX_RANGES + 1 rows at most
+    down = Window.orderBy(F.desc("range"))
+    firsts = firsts.select(F.lag("range").over(down).alias("above"), "top", F.min("range").over(Window.partitionBy()).alias("lowest"))
+    firsts = firsts.select(F.coalesce("above", "lowest").alias("for_range"), F.col("top.doc_id").alias("top_id"), F.col("top.h").alias("top_h"))
+    stand_in = docs.withColumn("order", order).join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("top_id")) & (F.col("h") == F.col("top_h")))
+    stand_in = stand_in.select("doc_id", "text", "h", "order", F.col("for_range").alias("range")).dropDuplicates(["range"])  # rows that repeat as a whole stand in once
+    both = [beside(rows).withColumn("stand_in", F.lit(i)) for i, rows in enumerate((ranged, stand_in))]
+    rows = both[0].unionByName(both[1])
+    down = Window.partitionBy("range").orderBy("stand_in", F.desc_nulls_last("doc_id"), F.desc("order"), F.desc("h"), "text")
+    rows = rows.withColumns({"next_text": F.lead("text").over(down), "next_id": F.lead("doc_id").over(down), **{f"next_{c}": F.lead(c).over(down) for c in names}})
+    return rows.where("stand_in = 0").drop("range", "stand_in", "order", "h")
 
 
 def _edited(text: Column, next_text: Column) -> Column:
@@ -126,34 +148,43 @@ def _edited(text: Column, next_text: Column) -> Column:
 
 
 def edited_fingerprints(docs: DataFrame, bits: int = 128) -> DataFrame:
-    """One row for each document: its fingerprint and that of its edited text."""
-    rows = with_next(docs).withColumn("edited", _edited(F.col("text"), F.col("next_text")))
-    rows = rows.withColumns({"c0": canonical(F.col("text")), "c1": canonical(F.col("edited"))})
+    """One row for each document: its fingerprint and that of its edited text. Each text is made canonical once before it is dealt, and its edited text once after."""
+    texts_ = docs.select("doc_id", text_of().alias("text"))
+
+    def own(rows: DataFrame) -> DataFrame:
+        rows = _once(rows, _c=canonical(F.col("text")))
+        return rows.withColumns({"key0": bucket_key(F.col("_c"), bits), "hash0": F.xxhash64(F.lit("third"), "_c")}).drop("_c")
+
+    rows = with_next(docs, own, ("key0", "hash0"))
+    rows = rows.withColumnsRenamed({"next_key0": "key2", "next_hash0": "hash2"})
+    rows = _once(rows, edited=_edited(F.col("text"), F.col("next_text")))
+    rows = _once(rows, c1=canonical(F.col("edited")))
     base = cut(
         rows.select(
             "doc_id", "next_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-            bucket_key(F.col("c0"), bits).alias("key0"), bucket_key(F.col("c1"), bits).alias("key1"), F.xxhash64("c0").alias("hash0"), F.xxhash64("c1").alias("hash1"), bucket_key(canonical(F.col("next_text")), bits).alias("key2"), F.xxhash64(canonical(F.col("next_text"))).alias("hash2"),
+            "key0", "hash0", bucket_key(F.col("c1"), bits).alias("key1"), F.xxhash64(F.lit("third"), "c1").alias("hash1"), "key2", "hash2",
         ),
         "fingerprints",
     )
-    keyed = base.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("key0").alias("key")), F.struct(F.lit(1).alias("kind"), F.col("key1").alias("key")))).alias("x")).select(F.col("doc_id").alias("id"), "x.*")
-
-    def texts(members: DataFrame, count: int) -> DataFrame:
-        small = count <= BROADCAST_ROWS
-        hint = (lambda x: F.broadcast(x)) if small else (lambda x: x)
-        own = _named(docs, bits)
-        zero = hint(members.where("kind = 0").dropDuplicates(["id", "key"]))
-        first = own.join(zero, own["own_id"].eqNullSafe(zero["id"]) & (own["own_key"] == zero["key"])).select("id", "kind", "key", "first", "canonical")
+    keyed = base.select(F.col("doc_id").alias("id"), F.inline(F.array(F.struct(F.lit(0).alias("kind"), F.col("key0").alias("key")), F.struct(F.lit(1).alias("kind"), F.col("key1").alias("key")))))
+
+    def texts(members: DataFrame) -> DataFrame:
+        first = _canonical_of(docs, members.where("kind = 0"), bits)
         # edited texts in a shared bucket: seldom; made again from the two documents
         one = members.where("kind = 1").dropDuplicates(["id", "key"])
-        if one.isEmpty():
+        count = one.count()
+        if count == 0:
             return first
-        pair = base.join(hint(one), base["doc_id"].eqNullSafe(one["id"]) & (base["key1"] == one["key"])).select("id", "kind", "key", "first", "next_id", "hash0", "hash2")
-        plain = docs.select(F.col("doc_id").alias("own_id"), text_of().alias("own_text"), F.xxhash64(canonical(text_of())).alias("own_hash"))
-        made = plain.join(hint(pair), plain["own_id"].eqNullSafe(pair["id"]) & (plain["own_hash"] == pair["hash0"])).drop("own_id", "own_hash")
-        heads = docs.select(F.col("doc_id").alias("head_id"), text_of().alias("head_text"), F.xxhash64(canonical(text_of())).alias("head_hash"))
-        made = heads.join(made, heads["head_id"].eqNullSafe(made["next_id"]) & (heads["head_hash"] == made["hash2"]))
-        return first.unionByName(made.select("id", "kind", "key", "first", canonical(_edited(F.col("own_text"), F.col("head_text"))).alias("canonical")))
+        hint = (lambda x: F.broadcast(x)) if count <= BROADCAST_ROWS else (lambda x: x)
+        pair = base.join(hint(one), base["doc_id"].eqNullSafe(one["id"]) & (base["key1"] == one["key"])).select("id", "kind", "key", "next_id", "key0", "key2")
+        plain = texts_.select(F.col("doc_id").alias("own_id"), F.col("text").alias("own_text"))
+        made = plain.join(hint(pair), plain["own_id"].eqNullSafe(pair["id"])).drop("own_id")
+        made = _once(made, c0=canonical(F.col("own_text"))).where(bucket_key(F.col("c0"), bits) == F.col("key0")).drop("c0")
+        heads = texts_.select(F.col("doc_id").alias("head_id"), F.col("text").alias("head_text"))
+        made = heads.join(made, heads["head_id"].eqNullSafe(made["next_id"]))
+        made = _once(made, c2=canonical(F.col("head_text"))).where(bucket_key(F.col("c2"), bits) == F.col("key2")).drop("c2")
+        made = _once(made.select("id", "kind", "key", _edited(F.col("own_text"), F.col("head_text")).alias("_e")), canonical=canonical(F.col("_e")))
+        return first.unionByName(made.where(bucket_key(F.col("canonical"), bits) == F.col("key")).select("id", "kind", "key", "canonical"))
 
     odd = _suffixes(keyed, texts)
     for kind, id_, h in ((0, "doc_id", "hash0"), (1, "doc_id", "hash1"), (2, "next_id", "hash2")):
@@ -161,8 +192,8 @@ def edited_fingerprints(docs: DataFrame, bits: int = 128) -> DataFrame:
         if odd is None:
             base = base.withColumn(name, F.col(f"key{kind}"))
             continue
-        own = odd.where(F.col("kind") == kind % 2).select(F.col("id").alias("odd_id"), "suffix", F.col("canonical_hash").alias("odd_hash"))
-        base = base.join(own, base[id_].eqNullSafe(own["odd_id"]) & (base[h] == own["odd_hash"]), "left").withColumn(name, F.concat(f"key{kind}", F.coalesce("suffix", F.lit("")))).drop("odd_id", "suffix", "odd_hash")
+        named = odd.where(F.col("kind") == kind % 2).select(F.col("id").alias("odd_id"), "suffix", F.col("canonical_hash").alias("odd_hash"))
+        base = base.join(named, base[id_].eqNullSafe(named["odd_id"]) & (base[h] == named["odd_hash"]), "left").withColumn(name, F.concat(f"key{kind}", F.coalesce("suffix", F.lit("")))).drop("odd_id", "suffix", "odd_hash")
     like = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")  # noqa: E731  an exact digest is alike or not
     return base.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fingerprint").alias("near_next"))
 
