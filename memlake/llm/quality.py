@@ -7,18 +7,23 @@ variances found from the groups themselves by moments. A site with few documents
 
     logit(quality) = logit(p) + logit(path posterior) - logit(global mean)
 
+where the posteriors are those of the document's site without the document itself, so that no evidence counts twice: a document alone on its path has its
+host's, one alone on its host the global mean.
+
 Defined cases: null text counts as empty; null hosts and paths are groups of their own; rows that repeat score alike; without labels all
 evidence is 0.5; an empty table gives an empty result; other columns are kept by with_quality().
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_sample, cut, small_batches, table, text_of
+from .shared import bounded_sample, cut, remove, small_batches, table, text_of
 
 LABELLED, SITES_BROADCAST, THRESHOLD = 8000, 100_000, 0.5
 MARKS = b"#$%&*|!?.,:;-_=<>/\\\"'()[]{}@+~^"
@@ -63,7 +68,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.
     small_batches(docs.sparkSession)
     labels = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     labels = bounded_sample(labels, "doc_id", LABELLED)  # its size is bounded
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(labels), "doc_id").select("quality", _figures("text").alias("x")).collect()
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(labels), "doc_id").dropDuplicates(["doc_id", "text"])
+    rows = cut(rows.withColumn("_key", F.xxhash64("doc_id", "text")), "labelled")  # a doc_id may repeat with any number of texts, so they are bounded once more
+    taken = bounded_sample(rows, "_key", LABELLED).select("quality", "_key", _figures("text").alias("x")).collect()
+    remove(rows)
+    rows = sorted(taken, key=lambda r: r._key)
     y = np.array([r.quality for r in rows], dtype=float)
     if len(set(y)) < 2:
         return None
@@ -85,9 +94,10 @@ def evidence(model, text: Column) -> Column:
     return p(text)
 
 
-def _shrunk(groups: DataFrame, mean: Column, n: str, total: str, sigma2: float, tau2: float) -> Column:
-    b = F.lit(tau2) / (F.lit(tau2) + F.lit(sigma2) / F.col(n))
-    return mean + b * (F.col(total) / F.col(n) - mean)
+def _shrunk(above: Column, n: Column, total: Column, sigma2: float, tau2: float) -> Column:
+    """Posterior mean of a group of n that sum up to total; that of what stands above it if n is 0."""
+    b = F.lit(tau2) / (F.lit(tau2) + F.lit(sigma2) / n)
+    return F.when(n > 0, above + b * (total / n - above)).otherwise(above)
 
 
 def _variances(groups: DataFrame, above: Column, n: str, total: str, squares: str) -> tuple[float, float]:
@@ -98,20 +108,27 @@ def _variances(groups: DataFrame, above: Column, n: str, total: str, squares: st
     return sigma2, max((between - (k - 1) * sigma2) / max(N - n2 / N, 1), 1e-6)
 
 
-def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """From (host, path, p): (host, path, host_posterior, path_posterior), one row for each site, and the global mean."""
+class Spread(NamedTuple):
+    """The global mean, and variances (within, between) of hosts and of paths."""
+
+    mean: float
+    hosts: tuple[float, float]
+    paths: tuple[float, float]
+
+
+def site_posteriors(scored: DataFrame) -> tuple[DataFrame, Spread]:
+    """From (host, path, p): (host, path, n, s, hn, hs, host_posterior, path_posterior), one row for each site with its counts and sums and its host's, and their spread."""
     paths = cut(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") ** 2).alias("ss")), "sites")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("ss").alias("hss"))
     n, s = hosts.agg(F.sum("hn"), F.sum("hs")).first()
-    if not n:
-        return paths.select("host", "path", F.lit(0.5).alias("host_posterior"), F.lit(0.5).alias("path_posterior")), 0.5
-    mean = s / n
-    hosts = hosts.withColumn("host_posterior", _shrunk(hosts, F.lit(mean), "hn", "hs", *_variances(hosts, F.lit(mean), "hn", "hs", "hss")))
+    mean = s / n if n else 0.5
+    of_hosts = _variances(hosts, F.lit(mean), "hn", "hs", "hss") if n else (1e-6, 1e-6)
+    hosts = hosts.withColumn("host_posterior", _shrunk(F.lit(mean), F.col("hn"), F.col("hs"), *of_hosts))
     right = hosts.select(F.col("host").alias("host_"), "host_posterior", "hn", "hs")
     both = paths.join(right, paths["host"].eqNullSafe(right["host_"])).drop("host_")
-    variances = _variances(both, F.col("hs") / F.col("hn"), "n", "s", "ss")
-    both = both.withColumn("path_posterior", _shrunk(both, F.col("host_posterior"), "n", "s", *variances))
-    return both.select("host", "path", "host_posterior", "path_posterior"), mean
+    of_paths = _variances(both, F.col("hs") / F.col("hn"), "n", "s", "ss") if n else (1e-6, 1e-6)
+    both = both.withColumn("path_posterior", _shrunk(F.col("host_posterior"), F.col("n"), F.col("s"), *of_paths))
+    return both.select("host", "path", "n", "s", "hn", "hs", "host_posterior", "path_posterior"), Spread(mean, of_hosts, of_paths)
 
 
 def _logit(p: Column) -> Column:
@@ -119,22 +136,26 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def combine(scored: DataFrame, sites: DataFrame, mean: float) -> DataFrame:
-    """scored (with _host, _path, _p) and its sites' posteriors. Few sites are sent to all tasks; many are joined by a shuffle, where Spark splits a hot site."""
-    sites = sites.withColumnsRenamed({"host": "site_host", "path": "site_path"})
+def combine(scored: DataFrame, sites: DataFrame, spread: Spread) -> DataFrame:
+    """scored (with _host, _path, _p) with host_posterior and path_posterior of its site without the row itself, and quality. Few sites are sent to all tasks; many
+    are joined by a shuffle, where Spark splits a hot site."""
+    sites = sites.select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "n", "s", "hn", "hs")
     sites = F.broadcast(sites) if sites.count() <= SITES_BROADCAST else sites
-    joined = scored.join(sites, scored["_host"].eqNullSafe(sites["site_host"]) & scored["_path"].eqNullSafe(sites["site_path"])).drop("site_host", "site_path")
-    f = _logit(F.col("_p")) + _logit(F.col("path_posterior")) - _logit(F.lit(mean))
-    return joined.withColumn("quality", 1 / (1 + F.exp(-f)))
+    joined = scored.drop("n", "s", "hn", "hs", "host_posterior", "path_posterior", "quality").join(sites, scored["_host"].eqNullSafe(sites["site_host"]) & scored["_path"].eqNullSafe(sites["site_path"]))
+    p, mean = F.col("_p"), F.lit(spread.mean)
+    joined = joined.withColumn("host_posterior", _shrunk(mean, F.col("hn") - 1, F.col("hs") - p, *spread.hosts))
+    joined = joined.withColumn("path_posterior", _shrunk(F.col("host_posterior"), F.col("n") - 1, F.col("s") - p, *spread.paths))
+    f = _logit(p) + _logit(F.col("path_posterior")) - _logit(mean)
+    return joined.drop("site_host", "site_path", "n", "s", "hn", "hs").withColumn("quality", 1 / (1 + F.exp(-f)))
 
 
 def with_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """docs with _host, _path, _p (the evidence), host_posterior, path_posterior and quality. The texts are read twice rather than moved."""
+    """docs with _host, _path, _p (the evidence), host_posterior, path_posterior and quality; columns of docs that bear these names are replaced. The evidence is found
+    once and written beside the rows."""
     model = fit(docs, labels)
-    first = docs.select(F.col(host).alias("host"), F.concat_ws("/", host, path).alias("path"), evidence(model, text_of()).alias("p"))
-    sites, mean = site_posteriors(first)
-    scored = docs.withColumns({"_host": F.col(host), "_path": F.concat_ws("/", host, path), "_p": evidence(model, text_of())})
-    return combine(scored, sites, mean)
+    scored = cut(docs.withColumns({"_host": F.col(host), "_path": F.concat_ws("/", host, path), "_p": evidence(model, text_of())}), "evidence")
+    sites, spread = site_posteriors(scored.select(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_p").alias("p")))
+    return combine(scored, sites, spread)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,11 +164,16 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", F.col("source").alias("_host"), F.concat_ws("/", "source", "lang").alias("_path"), evidence(model, text_of()).alias("_p"))
     scored = cut(scored, "evidence")
-    sites, mean = site_posteriors(scored.select(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_p").alias("p")))
-    out = combine(scored, sites, mean)
+    sites, spread = site_posteriors(scored.select(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_p").alias("p")))
+    out = combine(scored, sites, spread)
     return out.select("doc_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_p").alias("evidence"), "host_posterior", "path_posterior", "quality", (F.col("quality") >= THRESHOLD).alias("keep"))
 
 
 def remove_poor(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those whose posterior quality is under THRESHOLD."""
-    return with_quality(docs, labels).where(F.col("quality") >= THRESHOLD).select(*docs.columns)
+    """docs without those whose posterior quality is under THRESHOLD. Columns of docs named as those of with_quality() keep their own values."""
+    own = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)), F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("text"), F.col("doc_id"))
+    model = fit(docs, labels)
+    scored = cut(own.withColumns({"_host": F.col("_s"), "_path": F.concat_ws("/", "_s", "_l"), "_p": evidence(model, text_of())}).drop("_s", "_l", "text", "doc_id"), "evidence")
+    sites, spread = site_posteriors(scored.select(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_p").alias("p")))
+    kept = combine(scored, sites, spread).where(F.col("quality") >= THRESHOLD)
+    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
