@@ -18,13 +18,17 @@ gives an empty result; without labels there is one domain and all rates are 1; o
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_sample, cut, remove, table, text_of
+from .shared import bounded_sample, cut, table, text_of
 
 LABELLED, BUCKETS, TEMPERATURE, ROUNDS, MAX_DOMAINS = 4000, 4096, 0.7, 50, 64
+#: The domain of what the MAX_DOMAINS - 1 largest domains leave.
+OTHER = "other"
 
 
 def _words(text: Column) -> Column:
@@ -63,18 +67,19 @@ def _softmax(logs: Column) -> Column:
 def fit_domains(docs: DataFrame, labelled: DataFrame, domain: str = "lang") -> Domains:
     """labelled: doc_id of the rows to learn from; their domain is a column of docs."""
     ids = bounded_sample(labelled.select("doc_id").where("doc_id is not null").distinct(), "doc_id", LABELLED)  # its size is bounded
-    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").where(F.col(domain).isNotNull())
+    rows = docs.select("doc_id", "text", domain).join(F.broadcast(ids), "doc_id", "left_semi").where(F.col(domain).isNotNull())
     rows = rows.select(F.col(domain).cast("string").alias("domain"), _buckets(_words(text_of())).alias("buckets"))
     counts = rows.select("domain", F.explode("buckets").alias("bucket")).groupBy("domain", "bucket").count()
-    sizes = dict(rows.groupBy("domain").count().limit(MAX_DOMAINS + 1).collect())
+    sizes = dict(rows.groupBy("domain").count().collect())  # LABELLED rows at most
     if len(sizes) > MAX_DOMAINS:
-        raise ValueError(f"more than {MAX_DOMAINS} domains")
+        large = sorted(sizes, key=lambda x: (-sizes[x], x))[: MAX_DOMAINS - 1]
+        sizes = {x: sizes[x] for x in large} | {OTHER: sum(n for x, n in sizes.items() if x not in large or x == OTHER)}
     names = sorted(sizes)
     if not names:
         return Domains(["all"], np.zeros(1), np.zeros((1, BUCKETS)))
     table_ = np.full((len(names), BUCKETS), 0.5)
     for r in counts.collect():  # at most MAX_DOMAINS * BUCKETS rows
-        table_[names.index(r["domain"]), r["bucket"]] += r["count"]
+        table_[names.index(r["domain"] if r["domain"] in sizes else OTHER), r["bucket"]] += r["count"]
     n = np.array([sizes[x] for x in names], dtype=float)
     return Domains(names, np.log(n / n.sum()), np.log(table_ / table_.sum(1, keepdims=True)))
 
@@ -99,12 +104,20 @@ def rate_of(steps: list[np.ndarray], posterior: str = "_posterior") -> Column:
     return F.expr(rate)
 
 
-def solve(rows: DataFrame, k: int, weights: list[float] | None = None) -> list[np.ndarray]:
-    """The steps that lead from rates of 1 to the solution, for rows of _tokens and _posterior."""
+class Solution(NamedTuple):
+    """The steps that lead from rates of 1 to the solution, and how far its totals are from the targets at most, as a share of their sum. That is 0 but for rounding where
+    nonnegative rates can meet the targets; else no further step brought them nearer (or ROUNDS were taken)."""
+
+    steps: list[np.ndarray]
+    residual: float
+
+
+def solve(rows: DataFrame, k: int, weights: list[float] | None = None) -> Solution:
+    """For rows of _tokens and _posterior."""
     p = [F.get("_posterior", F.lit(i)) for i in range(k)]
     sums = rows.agg(*(F.sum(F.col("_tokens") * p[i] * p[j]) for i in range(k) for j in range(i, k)), *(F.sum(F.col("_tokens") * x) for x in p)).first()
     if sums[0] is None or sum(sums[-k:]) == 0:
-        return []
+        return Solution([], 0.0)
     g = np.zeros((k, k))
     g[np.triu_indices(k)] = sums[: -k or None]
     g = g + np.triu(g, 1).T
@@ -118,41 +131,39 @@ def solve(rows: DataFrame, k: int, weights: list[float] | None = None) -> list[n
         target = target / lowest
     steps: list[np.ndarray] = []
     before = None
-    for _ in range(ROUNDS):
+    while True:
         now = np.array(rows.select(rate_of(steps).alias("r"), "_tokens", "_posterior").agg(*(F.sum(F.col("r") * F.col("_tokens") * x) for x in p)).first()) if steps else natural
-        if np.abs(now - target).max() <= 1e-9 * target.sum() or before is not None and np.abs(now - before).max() <= 1e-6 * target.sum():
-            break  # the targets are met, or as near as nonnegative rates come
+        if np.abs(now - target).max() <= 1e-9 * target.sum() or before is not None and np.abs(now - before).max() <= 1e-6 * target.sum() or len(steps) == ROUNDS:
+            return Solution(steps, float(np.abs(now - target).max() / target.sum()))  # the targets are met, or as near as nonnegative rates come
         before = now
         steps.append(inverse @ (now - target))
-    return steps
 
 
-def rates(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: list[float] | None = None) -> tuple[Domains, list[np.ndarray], DataFrame]:
-    """The domains, the steps, and the written table (doc_id, _tokens, _posterior)."""
+def rates(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: list[float] | None = None, kept: list[str] | None = None) -> tuple[Domains, Solution, DataFrame]:
+    """The domains, the solution, and a written table of docs (of the columns `kept`, if given) with _tokens and _posterior."""
     domains = fit_domains(docs, labelled, domain)
-    rows = cut(with_posteriors(docs.select("doc_id", "text"), domains).drop("text"), "posteriors")
+    rows = with_posteriors(docs.drop("_tokens", "_posterior"), domains)
+    rows = cut(rows.select(*kept, "_tokens", "_posterior") if kept else rows, "posteriors")
     return domains, solve(rows, len(domains.names), weights), rows
 
 
 def copies_of(rate: Column) -> Column:
-    """A whole number of copies whose mean is the rate: the fraction is settled by a hash of the document."""
+    """A whole number of copies whose mean is the rate: the fraction is settled by a hash of the document. A rate under 1, which given weights may ask for, can give none."""
     u = F.pmod(F.xxhash64(F.lit("copies"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return F.floor(F.round(rate, 6) + u).cast("int")
 
 
-def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Domains are languages, learned from the documents in `labels`; one row for each document."""
-    domains, steps, rows = rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    rate = rate_of(steps)
+def op3_source_mixing(spark: SparkSession, sf_dir: str, domain: str = "lang", weights: list[float] | None = None) -> DataFrame:
+    """One row for each document. Domains are the values of a column (`lang`, which texts tell, or `source`), learned from the documents in `labels`."""
+    docs = table(spark, sf_dir, "documents")
+    domains, solution, rows = rates(docs.select("doc_id", "text", domain), table(spark, sf_dir, "labels"), domain, weights, ["doc_id"])
     named = F.map_from_arrays(F.array(*map(F.lit, domains.names)), F.col("_posterior"))
     best = F.get(F.array(*map(F.lit, domains.names)), (F.array_position("_posterior", F.array_max("_posterior")) - 1).cast("int"))
-    out = rows.withColumn("rate", rate)
-    return out.select("doc_id", F.col("_tokens").alias("tokens"), best.alias("domain"), F.map_entries(named).alias("posterior"), "rate", copies_of(F.col("rate")).alias("copies"))
+    out = rows.withColumn("rate", rate_of(solution.steps))
+    return out.select("doc_id", F.col("_tokens").alias("tokens"), best.alias("domain"), F.map_entries(named).alias("posterior"), "rate", copies_of(F.col("rate")).alias("copies"), F.lit(solution.residual).alias("residual"))
 
 
-def mixed(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """docs repeated so that the domains' expected tokens meet the targets."""
-    domains, steps, rows = rates(docs, labelled)
-    remove(rows)
-    copies = copies_of(rate_of(steps))
-    return with_posteriors(docs, domains).select(*docs.columns, F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy")).select(*docs.columns)
+def mixed(docs: DataFrame, labelled: DataFrame, domain: str = "lang") -> DataFrame:
+    """docs repeated so that the domains' expected tokens meet the targets. Posteriors are found once and written beside the rows."""
+    _, solution, rows = rates(docs, labelled, domain)
+    return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), copies_of(rate_of(solution.steps)))).alias("_copy")).select(*docs.columns)

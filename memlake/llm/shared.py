@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """cut(make()), after which the tables that make() wrote on its way are deleted."""
+    before = len(_written)
+    out = cut(make(), name)
+    for spark, path in _written[before:-1]:
+        _delete(spark, path)
+    del _written[before:-1]
+    return out
+
+
 def remove(df: DataFrame) -> None:
     """Delete the files of a cut() table that nothing will read again."""
     files = df.inputFiles()
