@@ -90,9 +90,10 @@ def bounded_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
-def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
-    """Arrow batches of so many bytes at most, as single texts may be long. A bound of the session's own stays, and numbers of rows aren't touched."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key)
-    if not now.removesuffix("b").isdigit() or not 0 < int(now.removesuffix("b")) <= most:
-        spark.conf.set(key, str(most))
+def small_batches(spark: SparkSession, rows: int = 1024, most: int = 4 << 20) -> None:
+    """Arrow batches of so many rows and bytes at most, as single texts may be long. These are bounds of memory alone: no result depends on them, and lower ones of the
+    session's own stay."""
+    for key, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", most)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= bound:
+            spark.conf.set(key, str(bound))

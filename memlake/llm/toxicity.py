@@ -3,8 +3,8 @@
 Fitting. Confirmed toxic documents (at most POSITIVES, picked by a hash of doc_id) and all documents without their labels, freed of equal texts, are turned into
 sets of words and of their beginnings (inflected words share those). One is a feature if the probability of being
 toxic that it alone tells, prior * (its rate in toxic documents) / (its rate in unlabelled ones), is over MIN_POSTERIOR at the lower bound of Z deviations;
-of nested ones with equal counts one is kept. Rates are counted over all unlabelled documents, for every term whose rate in the sample of UNLABELLED of them leaves
-it a probability over SCREEN. The risk is that of the confirmed documents and of this sample. A feature's value is log(1 + 10 n / sqrt(words)) for n occurrences: a stem that
+of nested ones with equal counts one is kept. Rates are counted over all unlabelled documents, for every term that has such a probability in the sample of UNLABELLED of them without
+any deviation off. The risk is that of the confirmed documents and of this sample. A feature's value is log(1 + 10 n / sqrt(words)) for n occurrences: a stem that
 a long text holds once by chance says less than two in a short one. A logistic model over these then minimises
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .shared import bounded_sample, cut, fold, remove, small_batches, table, text_of
 
 POSITIVES, UNLABELLED = 4000, 12000
-MIN_POSTERIOR, SCREEN, Z, MIN_DOCS, THRESHOLD = 0.25, 0.05, 2.5, 3, 0.3
+MIN_POSTERIOR, Z, MIN_DOCS, THRESHOLD = 0.25, 2.5, 3, 0.3
 WORD = re.compile(r"\w+")
 
 
@@ -134,12 +134,21 @@ def _bound(a, b, n_p: int, n_u: int, prior: float, z: float):
 def document_counts(rows: DataFrame, known: list[str]) -> tuple[DataFrame, int]:
     """(word, b): how many distinct texts of rows hold each of the known terms; and the number of distinct texts. Only the texts that hold one leave their task, as a hash
     and the places of the terms, so a text that repeats without end is counted where it is first found."""
-    index = {w: i for i, w in enumerate(known)}
+    whole = {w: i for i, w in enumerate(known) if not w.endswith("*")}
+    stems = {w[:-1]: i for i, w in enumerate(known) if w.endswith("*")}
+    heads, longer = {w[: STEMS[0]] for w in stems}, sorted({len(w) for w in stems})
+
+    def terms_in(text: str) -> list[int]:
+        words = set(WORD.findall(text.lower()))
+        found = {whole[w] for w in words & whole.keys()}
+        for w in words:
+            if w[: STEMS[0]] in heads:
+                found.update(stems[w[:k]] for k in longer if len(w) >= k and w[:k] in stems)
+        return sorted(found)
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = reader(index)
         for batch in batches:
-            found = [sorted(read(t)) for t in batch.column(1).to_pylist()]
+            found = [terms_in(t) for t in batch.column(1).to_pylist()]
             some = [i for i, x in enumerate(found) if x]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some, pa.int64())), pa.array([found[i] for i in some], pa.list_(pa.int32()))], names=["h", "terms"])
 
@@ -171,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
     if not n_p or not n_u:
         return {}, bias
     counts = sample.select("positive", F.explode(_terms("text")).alias("word")).groupBy("word").agg(F.sum("positive").alias("a"), F.sum(1 - F.col("positive")).alias("b")).where(F.col("a") >= MIN_DOCS)
-    screened = {r.word: r.a for r in counts.where(_bound(F.col("a"), F.col("b"), n_p, n_u, prior, 0) > float(np.log(SCREEN))).select("word", "a").collect()}  # terms of the bounded sample
+    screened = {r.word: r.a for r in counts.where(_bound(F.col("a"), F.col("b"), n_p, n_u, prior, 0) > float(np.log(MIN_POSTERIOR))).select("word", "a").collect()}  # terms of the bounded sample
     in_all, n_all = document_counts(rows, sorted(screened))
     counts = in_all.join(in_all.sparkSession.createDataFrame([(w, int(a)) for w, a in sorted(screened.items())], "word string, a long"), "word")
     chosen = counts.withColumn("bound", _bound(F.col("a"), F.col("b"), n_p, n_all, prior, Z)).where(F.col("bound") > float(np.log(MIN_POSTERIOR))).orderBy(F.desc("bound"), F.length("word"), "word")
