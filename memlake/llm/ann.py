@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by collision counting over single random projections, with virtual rehashing.
 
 Vectors are dealt once, by hash, into blocks; each block holds one sorted array for each of PROJECTIONS random directions. A query opens in every array a window around its
-own projection, and a vector collides once for each array in whose window it lies. Windows are widened step by step (virtual rehashing: no array is built
-anew, both ends walk outwards and only the ranks they pass are counted) until enough of a block's vectors collide THRESHOLD of PROJECTIONS times or more; those of the
+own projection, and a vector collides once for each array in whose window it lies. Windows are ranges of ranks and are widened step by step (virtual rehashing: no array is built
+anew, both ends move outwards) until enough of a block's vectors collide THRESHOLD of PROJECTIONS times or more; those of the
 highest threshold that enough of them pass are verified by their inner product in double precision.
 
 Enough is SHARE * n ** -FALL of n vectors (and 20 k at least): the more vectors there are, the nearer are a query's k nearest, and the smaller the part
@@ -33,8 +33,8 @@ from .shared import table
 
 PROJECTIONS, THRESHOLD, K = 240, 104, 20
 SHARE, FALL = 4.5, 0.37
-FIRST, WIDER = 0.3, 1.2
-BLOCK = 8192
+FIRST, WIDER = 0.3, 1.15
+BLOCK, TILE = 8192, 64
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -51,50 +51,64 @@ def _directions(dim: int) -> np.ndarray:
 
 
 class Block:
-    """Sorted arrays of a block of vectors. `share` of them are verified for a query."""
+    """Sorted arrays of a block of vectors (of 65536 at most), and each vector's rank in them. `share` of the vectors are verified for a query."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, largest: float, share: float):
-        self.ids, self.x, self.share, self.first = ids, x, share, FIRST
+    def __init__(self, ids: np.ndarray, x: np.ndarray, largest: float, share: float, k: int):
+        self.ids, self.x, self.share, self.k, self.first = ids, x, share, k, FIRST
         scaled = x / largest
         tail = np.sqrt(np.maximum(0, 1 - (scaled**2).sum(1)))
         projected = np.hstack([scaled, tail[:, None]]) @ _directions(x.shape[1] + 1)
         order = np.argsort(projected, axis=0, kind="stable")
         self.sorted = np.ascontiguousarray(np.take_along_axis(projected, order, axis=0).T)
-        self.order = np.ascontiguousarray(order.T)  # the vector at each rank
-
-    def colliding(self, projected: np.ndarray, needed: int) -> np.ndarray:
-        """Places of the vectors that collide often enough with a query, given its projections: the windows walk outwards until `needed` are found."""
+        self.ranks = np.empty((PROJECTIONS, len(x)), dtype=np.uint16)
+        for j in range(PROJECTIONS):
+            self.ranks[j, order[:, j]] = np.arange(len(x), dtype=np.uint16)
+
+    def collisions(self, projected: np.ndarray, half: np.ndarray) -> np.ndarray:
+        """For queries (projections, half widths of their windows): how often each vector collides. A window is a range of ranks, found at both of its ends."""
+        n, m = len(projected), len(self.ids)
+        counts = np.zeros((n, m), dtype=np.uint8)
+        shifted, inside = np.empty((n, m), dtype=np.uint16), np.empty((n, m), dtype=bool)
+        for j in range(PROJECTIONS):
+            low = np.searchsorted(self.sorted[j], projected[:, j] - half, side="left")
+            length = np.searchsorted(self.sorted[j], projected[:, j] + half, side="right") - low
+            np.subtract(self.ranks[j][None, :], low.astype(np.uint16)[:, None], out=shifted)
+            np.less(shifted, length.astype(np.uint16)[:, None], out=inside)
+            np.add(counts, inside.view(np.uint8), out=counts)
+        return counts
+
+    def colliding(self, projected: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(query, places of the vectors that collide often enough with it) for queries given by their projections: windows widen until enough are found."""
         n = len(self.ids)
+        needed = max(20 * self.k + 1, int(np.ceil(self.share * n)))
         if needed >= n:
-            return np.arange(n)
-        counts = np.zeros(n, dtype=np.int64)
-        low = high = np.array([np.searchsorted(a, p) for a, p in zip(self.sorted, projected, strict=True)])
-        half = self.first
-        while True:
-            left = np.array([np.searchsorted(a, p - half, side="left") for a, p in zip(self.sorted, projected, strict=True)])
-            right = np.array([np.searchsorted(a, p + half, side="right") for a, p in zip(self.sorted, projected, strict=True)])
-            passed = [o[a:b] for o, a, b in zip(self.order, left, low, strict=True)] + [o[a:b] for o, a, b in zip(self.order, high, right, strict=True)]
-            counts += np.bincount(np.concatenate(passed), minlength=n)
-            low, high = left, right
-            found = np.flatnonzero(counts >= THRESHOLD)
-            if len(found) >= needed:
-                self.first = max(FIRST, 0.9 * self.first + 0.1 * half / WIDER**2)  # the next query starts nearer to where this one ended
+            yield from ((i, np.arange(n)) for i in range(len(projected)))
+            return
+        todo, half = np.arange(len(projected)), np.full(len(projected), self.first)
+        while len(todo):
+            counts = self.collisions(projected[todo], half[todo])
+            enough = (counts >= THRESHOLD).sum(1) >= needed
+            for own, i in zip(counts[enough], todo[enough], strict=True):
                 # a step may pass by what is needed: then the threshold rises to where it is met
-                return np.flatnonzero(counts >= np.partition(counts, n - needed)[n - needed])
-            half *= WIDER
-
-    def search(self, query: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """(vec_ids, scores) of the best k verified vectors, and how many were verified."""
-        needed = max(20 * k + 1, int(np.ceil(self.share * len(self.ids))))
-        found = self.colliding((q / np.linalg.norm(q)) @ _directions(len(q) + 1)[:-1], needed)
-        found = found[self.ids[found] != query]
-        scores = np.einsum("ij,j->i", self.x[found], q)
-        verified = len(found)
-        if verified > 4 * k:  # ties at the k-th score stay
-            edge = np.partition(scores, verified - k)[verified - k]
-            found, scores = found[scores >= edge], scores[scores >= edge]
-        best = np.lexsort((self.ids[found], -scores))[:k]
-        return self.ids[found[best]], scores[best], verified
+                yield i, np.flatnonzero(own >= np.partition(own, n - needed)[n - needed])
+            todo = todo[~enough]
+            half[todo] *= WIDER
+        self.first = max(FIRST, float(np.quantile(half, 0.2)))  # the next queries start nearer to where these ended
+
+    def search(self, queries: np.ndarray, q: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+        """(query, vec_ids, scores, verified): the best k verified vectors of each query, and how many were verified."""
+        projected = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ _directions(q.shape[1] + 1)[:-1]
+        for at in range(0, len(q), TILE):
+            for i, found in self.colliding(projected[at : at + TILE]):
+                query = queries[at + i]
+                found = found[self.ids[found] != query]
+                scores = np.einsum("ij,j->i", self.x[found], q[at + i])
+                verified = len(found)
+                if verified > 4 * self.k:  # ties at the k-th score stay
+                    edge = np.partition(scores, verified - self.k)[verified - self.k]
+                    found, scores = found[scores >= edge], scores[scores >= edge]
+                best = np.lexsort((self.ids[found], -scores))[: self.k]
+                yield query, self.ids[found[best]], scores[best], verified
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -130,10 +144,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                 if ids:
                     all_ids, all_vectors = np.concatenate(ids), np.concatenate(held)
                     ids, held = [], []
-                    built = [Block(all_ids[x : x + 2 * BLOCK], all_vectors[x : x + 2 * BLOCK], largest, share) for x in range(0, len(all_ids), 2 * BLOCK)]
-                for query, q in zip(own, vectors, strict=True):
-                    for part in built:
-                        found, scores, verified = part.search(query, q, k)
+                    built = [Block(all_ids[x : x + 2 * BLOCK], all_vectors[x : x + 2 * BLOCK], largest, share, k) for x in range(0, len(all_ids), 2 * BLOCK)]
+                for part in built:
+                    for query, found, scores, verified in part.search(own, vectors):
                         out.append((np.full(len(found), query), found, scores, np.full(len(found), verified)))
             if out:
                 columns = [np.concatenate(c) for c in zip(*out, strict=True)]
