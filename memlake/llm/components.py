@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,24 +24,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star until nothing changes: each round, every node links its larger neighbours to its smallest one, then its
     smaller ones. The edges never grow in number, and become stars around the smallest nodes after about log^2 rounds. The smallest neighbours are
-    found by partial sums, and the edges of hubs stay where they are. Each round's edges are written, which cuts lineage; what leads from one round to the next is
-    kept on the executors' disks meanwhile, and made again where one is lost.
+    found by partial sums, whose exchange is made once and read again, and the edges of hubs stay where they are.
     """
     edges = cut(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
     while True:
         n = edges.count()
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n").persist(StorageLevel.DISK_ONLY)
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
         large = _with_least(both, least, n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.unionByName(least.where("a > m").select("a", F.col("m").alias("b"))).where("a <> b").distinct().persist(StorageLevel.DISK_ONLY)
-        lower = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).persist(StorageLevel.DISK_ONLY)
+        large = cut(large.unionByName(least.where("a > m").select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "large-star")
+        lower = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         small = _with_least(large, lower, n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = cut(small.unionByName(lower.select("a", F.col("m").alias("b"))).distinct(), "small-star")
         now = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        for done in (least, large, lower):
-            done.unpersist()
         remove(edges)
+        remove(large)
         edges = small
         if now == state:
             break
