@@ -10,7 +10,8 @@ which is a gradient step scaled by 1 / tokens_d (so rates don't depend on length
 the driver; as the steps are few and short, a document's rate is folded from them wherever it is needed, without a join.
 
 Targets: weights of the domains, or by default their natural shares to the power TEMPERATURE. With these, the token budget is the
-least at which every rate is 1 or more, so no document is lost; with given weights, the least at which no domain's tokens shrink.
+least at which every rate is 1 or more, so no document is lost; with given weights, the least at which no domain's tokens shrink. That budget exists where texts tell domains
+apart, so that documents wholly of any domain keep a positive rate; for domains that texts don't tell, rates may fall to 0.
 
 Defined cases: null text counts as empty and has 0 tokens; null labels are not learned from; documents that repeat get equal rates; an empty table
 gives an empty result; without labels there is one domain and all rates are 1; other columns are kept by mixed().
