@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from memlake.operators.scan import space_weight
 from memlake.schema import SearchOptions
 
 K1, B = 1.2, 0.75
+#: So many distinct terms of queries are sent to every task at most; more are joined by a shuffle.
+BROADCAST_TERMS = 200_000
 #: The texts that are searched; their scores are summed.
 FIELDS = ("content", "l0_abstract")
 
@@ -63,22 +67,50 @@ def bm25_topk(docs: DataFrame, query, k: int, where: Column | None = None, id_:
     return top if where is None else top.join(docs.where(where).select(id_), id_, "left_semi")
 
 
-def bm25_topk_each(docs: DataFrame, queries: DataFrame, k: int, by: str, block: int = 4096, id_: str = "id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """(`by`, id, score, rank): bm25_topk for each of many queries (`by`, query). Queries and documents meet in pairs of blocks, so a common term is dealt over all of them."""
+def bm25_topk_each(docs: DataFrame, queries: DataFrame, k: int, by: str, block: int = 2048, id_: str = "id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(`by`, id, score, rank): bm25_topk for each of many queries (`by`, query). Queries and documents meet in pairs of blocks, where postings are
+    summed up by document, so a common term is dealt over all of them and no pair leaves a block but the best k of each query."""
     asked = queries.select(by, F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    terms = asked.select("term").distinct()
+    few = terms.count() <= BROADCAST_TERMS
+    terms = F.broadcast(terms) if few else terms  # then no other token is dealt
     texts = F.array(*(F.struct(F.lit(i).alias("field"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("w")) for i, f in enumerate(fields)))
     rows = docs.select(id_, F.inline(texts)).select(id_, "field", F.size("w").alias("len"), "w")
     sums = rows.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("average"))  # a row for each field
-    found = rows.select(id_, "field", "len", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy(id_, "field", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = rows.select(id_, "field", "len", F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy(id_, "field", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = found.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    df = F.broadcast(df) if few else df
     weighed = found.join(df, ["field", "term"]).join(F.broadcast(sums), "field").select(id_, "term", _weight(F.col("df"), F.col("tf"), F.col("len"), F.col("average")).alias("weight"))
-    weighed = weighed.groupBy(id_, "term").agg(F.sum("weight").alias("weight"))
     d, q = max(1, -(-docs.count() // block)), max(1, -(-queries.count() // block))
     part = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = asked.select(by, "term", part(by, q).alias("i"), every(d).alias("j"))
     right = weighed.select(id_, "term", "weight", every(q).alias("i"), part(id_, d).alias("j"))
-    scored = left.join(right, ["i", "j", "term"]).groupBy(by, id_).agg(F.round(F.sum("weight"), 6).alias("score"))
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if x.num_rows and y.num_rows:
+            ids, doc = np.unique(np.array(y.column(id_).to_pylist()), return_inverse=True)
+            terms, term = np.unique(np.array(y.column("term").to_pylist()), return_inverse=True)
+            order = np.argsort(term, kind="stable")
+            doc, weight, ends = doc[order], y.column("weight").to_numpy()[order], np.append(0, np.cumsum(np.bincount(term, minlength=len(terms))))
+            place = {t: n for n, t in enumerate(terms.tolist())}
+            wanted: dict = {}
+            for key, t in zip(x.column(by).to_pylist(), x.column("term").to_pylist(), strict=True):
+                if t in place:
+                    wanted.setdefault(key, []).append(place[t])
+            for key, own in wanted.items():
+                at = np.concatenate([np.arange(ends[t], ends[t + 1]) for t in sorted(own)])
+                scores = np.round(np.bincount(doc[at], weight[at], len(ids)), 6)
+                edge = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0.0
+                hit = np.flatnonzero((scores >= edge) & (scores > 0))
+                hit = hit[np.argsort(-scores[hit], kind="stable")][:k]  # ids are in order
+                best.append((np.full(len(hit), key), ids[hit], scores[hit]))
+        columns = [np.concatenate(c).tolist() for c in zip(*best, strict=True)] if best else [[], [], []]
+        return pa.table({by: pa.array(columns[0], x.schema.field(by).type), id_: pa.array(columns[1], y.schema.field(id_).type), "score": pa.array(columns[2], pa.float64())})
+
+    kinds = [queries.schema[by].dataType.simpleString(), docs.schema[id_].dataType.simpleString()]
+    scored = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, f"{by} {kinds[0]}, {id_} {kinds[1]}, score double")
     order = Window.partitionBy(by).orderBy(F.desc("score"), id_)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
