@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -68,46 +69,67 @@ def bm25_topk(docs: DataFrame, query, k: int, where: Column | None = None, id_:
 
 
 def bm25_topk_each(docs: DataFrame, queries: DataFrame, k: int, by: str, block: int = 2048, id_: str = "id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """(`by`, id, score, rank): bm25_topk for each of many queries (`by`, query). Queries and documents meet in pairs of blocks, where postings are
-    summed up by document, so a common term is dealt over all of them and no pair leaves a block but the best k of each query."""
-    asked = queries.select(by, F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    terms = asked.select("term").distinct()
-    few = terms.count() <= BROADCAST_TERMS
-    terms = F.broadcast(terms) if few else terms  # then no other token is dealt
-    texts = F.array(*(F.struct(F.lit(i).alias("field"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("w")) for i, f in enumerate(fields)))
-    rows = docs.select(id_, F.inline(texts)).select(id_, "field", F.size("w").alias("len"), "w")
-    sums = rows.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("average"))  # a row for each field
-    found = rows.select(id_, "field", "len", F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy(id_, "field", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = found.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    df = F.broadcast(df) if few else df
-    weighed = found.join(df, ["field", "term"]).join(F.broadcast(sums), "field").select(id_, "term", _weight(F.col("df"), F.col("tf"), F.col("len"), F.col("average")).alias("weight"))
+    """(`by`, id, score, rank): bm25_topk for each of many queries (`by`, query). Queries and documents meet in pairs of blocks. A document is dealt as its words, once for
+    each block of queries, and they are counted where they meet the queries' terms: no posting is dealt, and no pair leaves a block but the best k of each query."""
     d, q = max(1, -(-docs.count() // block)), max(1, -(-queries.count() // block))
-    part = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    part = lambda m, *c: F.pmod(F.xxhash64(*c), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = asked.select(by, "term", part(by, q).alias("i"), every(d).alias("j"))
-    right = weighed.select(id_, "term", "weight", every(q).alias("i"), part(id_, d).alias("j"))
+    asked = queries.select(by, part(q, by).alias("i"), F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    asked = asked.groupBy("i", "term").agg(F.collect_list(by).alias("asked_by"))  # a block's queries at most
+    # no text holds the empty term: it stands for all texts, and carries their number and length to each block
+    asked = asked.unionByName(queries.sparkSession.range(q).select(F.col("id").cast("int").alias("i"), F.lit("").alias("term"), F.array().cast(asked.schema["asked_by"].dataType).alias("asked_by")))
+    terms = asked.select("term").distinct()
+    few = terms.count() <= BROADCAST_TERMS
+    rows = docs.select(id_, *(tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"w{i}") for i, f in enumerate(fields)))
+    words = [F.struct(F.lit(i).alias("field"), F.size(f"w{i}").alias("len"), F.concat(F.array(F.lit("")), F.array_distinct(f"w{i}")).alias("w")) for i in range(len(fields))]
+    words = rows.select(F.inline(F.array(*words))).select("field", "len", F.explode("w").alias("term"))
+    held = lambda i: F.col("field") == i
+    counts = words.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(
+        F.array(*(F.count_if(held(i)) for i in range(len(fields)))).alias("texts"),
+        F.array(*(F.sum(F.when(held(i) & (F.col("term") == ""), F.col("len")).otherwise(0)) for i in range(len(fields)))).alias("total"),
+    )
+    left = asked.join(F.broadcast(counts) if few else counts, "term").select("i", every(d).alias("j"), "term", "asked_by", "texts", "total")
+    right = rows.select(id_, every(q).alias("i"), part(d, id_, *(f"w{i}" for i in range(len(fields)))).alias("j"), F.array(*(F.array_join(f"w{i}", " ") for i in range(len(fields)))).alias("words"))
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
-        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        best: list[tuple] = []
         if x.num_rows and y.num_rows:
-            ids, doc = np.unique(np.array(y.column(id_).to_pylist()), return_inverse=True)
-            terms, term = np.unique(np.array(y.column("term").to_pylist()), return_inverse=True)
+            y = y.sort_by(id_)
+            terms = x.column("term").to_pylist()
+            place = {t: n for n, t in enumerate(terms) if t}
+            texts, total = (np.array(x.column(c).to_pylist(), dtype=float) for c in ("texts", "total"))
+            n, average = texts[terms.index("")], np.maximum((total / np.maximum(texts, 1))[terms.index("")], 1e-9)
+            doc, term, weight = [], [], []
+            for f in range(len(fields)):
+                found, ends, lengths = array("q"), [], []
+                for own in y.column("words").to_pylist():
+                    own = own[f].split()
+                    found.extend(place[w] for w in own if w in place)
+                    ends.append(len(found))
+                    lengths.append(len(own))
+                at = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+                pairs, tf = np.unique(at * len(terms) + np.array(found, dtype=np.int64), return_counts=True)
+                doc.append(pairs // len(terms))
+                term.append(pairs % len(terms))
+                df = texts[term[f], f]
+                weight.append(np.log(1 + (n[f] - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.array(lengths)[doc[f]] / average[f])))
+            doc, term, weight = (np.concatenate(c) for c in (doc, term, weight))
             order = np.argsort(term, kind="stable")
-            doc, weight, ends = doc[order], y.column("weight").to_numpy()[order], np.append(0, np.cumsum(np.bincount(term, minlength=len(terms))))
-            place = {t: n for n, t in enumerate(terms.tolist())}
+            doc, weight, ends = doc[order], weight[order], np.append(0, np.cumsum(np.bincount(term, minlength=len(terms))))
             wanted: dict = {}
-            for key, t in zip(x.column(by).to_pylist(), x.column("term").to_pylist(), strict=True):
-                if t in place:
-                    wanted.setdefault(key, []).append(place[t])
+            for t, keys in zip(terms, x.column("asked_by").to_pylist(), strict=True):
+                for key in keys:
+                    wanted.setdefault(key, []).append(t)
+            ids = y.column(id_).to_pylist()
             for key, own in wanted.items():
-                at = np.concatenate([np.arange(ends[t], ends[t + 1]) for t in sorted(own)])
+                at = np.concatenate([np.arange(ends[place[t]], ends[place[t] + 1]) for t in sorted(own)])
                 scores = np.round(np.bincount(doc[at], weight[at], len(ids)), 6)
                 edge = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0.0
                 hit = np.flatnonzero((scores >= edge) & (scores > 0))
                 hit = hit[np.argsort(-scores[hit], kind="stable")][:k]  # ids are in order
-                best.append((np.full(len(hit), key), ids[hit], scores[hit]))
-        columns = [np.concatenate(c).tolist() for c in zip(*best, strict=True)] if best else [[], [], []]
-        return pa.table({by: pa.array(columns[0], x.schema.field(by).type), id_: pa.array(columns[1], y.schema.field(id_).type), "score": pa.array(columns[2], pa.float64())})
+                best += [(key, ids[h], scores[h]) for h in hit]
+        columns = list(zip(*best, strict=True)) if best else [[], [], []]
+        return pa.table({by: pa.array(columns[0], x.schema.field("asked_by").type.value_type), id_: pa.array(columns[1], y.schema.field(id_).type), "score": pa.array(columns[2], pa.float64())})
 
     kinds = [queries.schema[by].dataType.simpleString(), docs.schema[id_].dataType.simpleString()]
     scored = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, f"{by} {kinds[0]}, {id_} {kinds[1]}, score double")
