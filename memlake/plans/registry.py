@@ -387,8 +387,9 @@ def gather_existing(spark, d):
 @query(sql.GATHER_BOTH)
 def gather_both_legs(spark, d):
     """Each fact is a request of its own, so all keep their candidates of both legs."""
-    facts, m = _facts(spark, d), _with_update(spark, d)
-    legs = [leg.select(F.col("fact_id").alias("request"), "fact_id", "id", "rank") for leg in (ingest.candidates(facts, m), ingest.text_candidates(facts, m))]
+    facts = _facts(spark, d)
+    found = ingest.candidates(facts, _with_update(spark, d)), ingest.text_candidates(facts.drop("vector"), _m(spark, d))  # words need no vectors
+    legs = [leg.select(F.col("fact_id").alias("request"), "fact_id", "id", "rank") for leg in found]
     return ingest.gather(*legs, by=["request"]).select(F.col("request").alias("fact_id"), "id", F.col("ordinal").cast("long").alias("ordinal"))
 
 
