@@ -105,6 +105,19 @@ def test_text_leg_like_one_search_for_each_fact(spark):
         assert {(r.fact_id, r.id) for r in got} == {w[:2] for w in want} and sorted((r.fact_id, r.id, r.score) for r in got) == [(*w[:2], pytest.approx(w[2], abs=2e-6)) for w in sorted(want)]
 
 
+def test_text_leg_of_odd_tables(spark):
+    schema = "id string, content string, l0_abstract string"
+    rows = spark.createDataFrame([("b", "red fish", None), ("a", "red fish", None), ("c", None, None), ("d", "", "fish"), ("a", "blue", "")], schema)
+    queries = spark.createDataFrame([(1, "Fish!"), (2, "fish, fish BLUE"), (3, None), (4, "none")], "fact_id int, query string")
+    got = retrieve.bm25_topk_each(rows, queries, 2, "fact_id", 2).orderBy("fact_id", "rank").collect()
+    one = lambda q: [(r.id, r.score) for r in retrieve.bm25_topk(rows, q, 2).orderBy(F.desc("score"), "id").collect()]
+    assert [(r.id, pytest.approx(r.score, abs=2e-6)) for r in got if r.fact_id == 1] == one("fish")
+    assert [(r.id, pytest.approx(r.score, abs=2e-6)) for r in got if r.fact_id == 2] == one("fish blue")
+    assert {r.fact_id for r in got} == {1, 2}
+    assert retrieve.bm25_topk_each(rows.limit(0), queries, 2, "fact_id").count() == 0
+    assert retrieve.bm25_topk_each(rows, queries.limit(0), 2, "fact_id").count() == 0
+
+
 def test_gather_takes_both_legs_by_first_appearance(spark):
     leg = lambda rows: spark.createDataFrame(rows, "request int, fact_id long, id string, rank int")
     v = leg([(1, 1, "a", 1), (1, 1, "b", 2), (1, 2, "c", 1), (2, 3, "a", 1)])
