@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import ann, chat, fingerprints, html, licenses, mixing, neighbours, packing, quality, toxicity
+from . import ann, audit, chat, fingerprints, html, licenses, mixing, neighbours, packing, quality, tokens, toxicity, trie
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -17,9 +17,14 @@ QUERIES = {
     "op8_html_extraction": html.op8_html_extraction,
     "op9_nearest_neighbours": ann.op9_nearest_neighbours,
     "op10_ngram_jaccard_join": neighbours.op10_ngram_jaccard_join,
+    "op11_token_counts": tokens.op11_token_counts,
+    "op12_conversation_trie": trie.op12_conversation_trie,
+    "op13_filter_interactions": audit.op13_filter_interactions,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_chat_formatting": chat.ORACLE_SQL,
     "op6_license_scan": licenses.ORACLE_SQL,
+    "op12_conversation_trie": trie.ORACLE_SQL,
+    "op13_filter_interactions": audit.ORACLE_SQL,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
