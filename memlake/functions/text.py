@@ -50,9 +50,8 @@ def strip(text: Column) -> Column:
 def last_bytes(text: Column, n: int) -> Column:
     """The last characters of a text that take n bytes at most."""
     raw = F.substring(text.cast("binary"), F.greatest(F.octet_length(text) - n + 1, F.lit(1)), F.lit(n))
-    for _ in range(3):  # a character that was cut has up to three bytes left
-        raw = F.when(F.hex(F.substring(raw, F.lit(1), F.lit(1))).between("80", "BF"), F.substring(raw, F.lit(2), F.lit(n))).otherwise(raw)
-    return raw.cast("string")
+    cut = F.regexp_extract(F.hex(F.substring(raw, F.lit(1), F.lit(3))), "^((?:[89AB][0-9A-F])*)", 1)  # what is left of a character that was cut: three bytes at most
+    return F.substring(raw, (F.length(cut) / 2 + 1).cast("int"), F.lit(n)).cast("string")
 
 
 def redact(text: Column) -> Column:

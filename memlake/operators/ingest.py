@@ -49,10 +49,9 @@ def message_block(messages: DataFrame, by: str, order: str, longest: int = 8000)
     if none does. Null roles and texts count as empty. A conversation is one value of the result, so it is gathered whole."""
     line = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("content", F.lit("")), F.lit("\n"))
     rows = messages.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("line")))), lambda x: x["line"]), "").alias("block"))
-    tail = text.last_bytes(F.col("block"), longest)
-    at = F.locate("\n", tail)
-    ended = F.when(at == F.char_length(tail), tail).otherwise(F.substring(tail, at + 1, F.lit(longest)))
-    return rows.withColumn("block", F.when(F.octet_length("block") <= longest, F.col("block")).otherwise(ended))
+    rows = rows.withColumn("_tail", text.last_bytes(F.col("block"), longest)).withColumn("_at", F.locate("\n", F.col("_tail")))
+    ended = F.when(F.col("_at") == F.char_length("_tail"), F.col("_tail")).otherwise(F.substring("_tail", F.col("_at") + 1, F.lit(longest)))
+    return rows.withColumn("block", F.when(F.octet_length("block") <= longest, F.col("block")).otherwise(ended)).drop("_tail", "_at")
 
 
 def candidates(facts: DataFrame, memories: DataFrame, k: int = 5, min_score: float = 0.3, block: int = knn.BLOCK) -> DataFrame:

@@ -420,11 +420,11 @@ def _decisions(spark, d):
 
 @query(sql.RECONCILE)
 def reconcile_apply(spark, d):
-    m = _m(spark, d)
+    m = _m(spark, d).withColumn("invalidated_at", F.lit(None).cast("timestamp"))
     b = views.read(spark, d, "benchmark")
     facts = b.select(F.col("item_id").alias("fact_id"), F.col("text").alias("l0"), F.get(F.array(*map(F.lit, ("profile", "preferences", "entities", "events", "cases", "odd"))), (F.col("item_id") % 6).cast("int")).alias("category"))
     out = reconcile.apply(m, reconcile.resolve(_decisions(spark, d), facts, m), views.as_of())
-    return out.select("id", F.sha2(F.col("content").cast("binary"), 256).alias("sha"), "category", "state", F.round("confidence", 6).alias("confidence"), "superseded_by", F.col("invalidated_at").isNotNull().alias("invalidated"), "n_relations", "version")
+    return out.select("id", F.sha2(F.col("content").cast("binary"), 256).alias("sha"), "category", "state", F.round("confidence", 6).alias("confidence"), "superseded_by", F.col("invalidated_at").isNotNull().alias("invalidated"), F.size("relations").cast("long").alias("n_relations"), "version")
 
 
 @query(sql.CROSS_RECONCILE)
@@ -604,8 +604,8 @@ def ingest_conversations(spark, d):
     """All conversations as one batch against all memories: facts are sentences, vectors hashed words."""
     embed = seams.embedder(seams.hashing_vectors)
     m = _m(spark, d).withColumns({"updated_at": F.col("created_at"), "vector": embed(F.col("l0_abstract"))})
-    out = flows.ingest(views.sessions(spark, d), m, views.as_of(), embed, seams.completer(seams.sentence_facts))
-    return out.select("id", F.sha2(F.col("content").cast("binary"), 256).alias("sha"), "category", "state", F.round("confidence", 6).alias("confidence"), "n_relations", "version")
+    out, _ = flows.ingest(views.sessions(spark, d), m, views.as_of(), embed, seams.completer(seams.sentence_facts))
+    return out.select("id", F.sha2(F.col("content").cast("binary"), 256).alias("sha"), "category", "state", F.round("confidence", 6).alias("confidence"), F.size("relations").cast("long").alias("n_relations"), "version")
 
 
 @query()

@@ -266,7 +266,7 @@ c AS (SELECT match_id AS id, arg_max(merged, decision_id) FILTER (ap = 'merge')
   FROM r WHERE ap IN ('merge', 'supersede', 'support', 'contradict') GROUP BY 1)
 SELECT id, sha256(coalesce(mc, content)) AS sha, category, state, round(least(confidence + 0.1 * coalesce(su, 0), greatest(1.0, confidence)), 6) AS confidence, CASE WHEN ov IS NOT NULL THEN 'n' || ov ELSE superseded_by END AS superseded_by, ov IS NOT NULL AS invalidated,
   CAST(CASE WHEN supports_id IS NOT NULL THEN 1 ELSE 0 END + coalesce(li, 0) AS BIGINT) AS n_relations, version + coalesce(n, 0) AS version FROM memories LEFT JOIN c USING (id)
-UNION ALL SELECT 'n' || decision_id, sha256(l0), CASE WHEN f_category = 'odd' THEN 'profile' ELSE f_category END, 'active', 0.5, NULL, false, CASE WHEN ap IN ('contextualize', 'contradict') THEN 1 ELSE 0 END, CASE WHEN ap = 'contextualize' THEN 2 ELSE 1 END
+UNION ALL SELECT 'n' || decision_id, sha256(l0), CASE WHEN f_category = 'odd' THEN 'profile' ELSE f_category END, 'active', 0.5, NULL, false, CASE WHEN ap IN ('contextualize', 'contradict') THEN 1 ELSE 0 END, CASE WHEN ap IN ('contextualize', 'contradict') THEN 2 ELSE 1 END
   FROM r WHERE ap IN ('create', 'supersede', 'contextualize', 'contradict')"""
 CROSS_RECONCILE = f"""WITH p AS (SELECT 'm' || a.vec_id AS source_id, 'm' || b.vec_id AS target_id, round(list_cosine_similarity({DOUBLES.format("a.embedding")}, {DOUBLES.format("b.embedding")}), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)
 SELECT source_id, target_id, score, printf('similarity:%.2f', score) AS label FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) AS n FROM p WHERE score >= 0.3) WHERE n <= 5"""

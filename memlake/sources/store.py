@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -18,41 +20,66 @@ def uri(options: dict) -> str:
 
 
 class Table:
-    """A Parquet table of a declared schema. A snapshot is written beside the old one and named by a version, so readers never see half of it."""
+    """A Parquet table of a declared schema. A snapshot (v=N) or what is appended to it (a=N) is written to a folder of its own, which counts once its mark is there, so readers see a change whole
+    or not at all. N is claimed by creating a file, so two writers never share a folder. A snapshot can have parts besides its rows (a ledger, say), which count with it."""
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, partition: str | None = None):
         self.spark, self.path, self.schema, self.partition = spark, path, schema, partition
+        self._at = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._at(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(where):
+    def _names(self) -> list[tuple[int, str]]:
+        """Numbers and names of all folders and claims."""
+        if not self._fs.exists(self._at(self.path)):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(where)]
-        done = [n for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted(int(n[2:]) for n in done)
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._at(self.path))]
+        return sorted((int(n.partition("=")[2]), n) for n in names if n.startswith(("v=", "a=", "_claim=")))
+
+    def _done(self) -> list[tuple[int, str]]:
+        """The latest whole snapshot and what was appended since."""
+        whole = [(n, name) for n, name in self._names() if name[0] in "va" and self._fs.exists(self._at(f"{self.path}/{name}/_DONE"))]
+        first = max((n for n, name in whole if name[0] == "v"), default=0)
+        return [(n, name) for n, name in whole if n >= first]
+
+    def _claim(self) -> int:
+        n = max((n for n, _ in self._names()), default=0) + 1
+        while not self._fs.createNewFile(self._at(f"{self.path}/_claim={n}")):  # another writer has it
+            n += 1
+        return n
+
+    def _write(self, name: str, rows: DataFrame, parts: dict[str, DataFrame]) -> None:
+        out = evolve(rows, self.schema).write
+        (out.partitionBy(self.partition) if self.partition else out).parquet(f"{self.path}/{name}/rows")
+        for part, frame in parts.items():
+            frame.write.parquet(f"{self.path}/{name}/{part}")
+        self._fs.createNewFile(self._at(f"{self.path}/{name}/_DONE"))
 
     def read(self) -> DataFrame:
-        """The latest snapshot; columns that its files lack are null."""
-        versions = self._versions()
-        if not versions:
+        """The latest snapshot with what was appended to it; columns that its files lack are null."""
+        done = self._done()
+        if not done:
             return self.spark.createDataFrame([], self.schema)
-        return evolve(self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/v={versions[-1]}"), self.schema)
-
-    def replace(self, rows: DataFrame) -> None:
-        versions = self._versions()
-        out = evolve(rows, self.schema).write
-        out = out.partitionBy(self.partition) if self.partition else out
-        out.parquet(f"{self.path}/v={(versions[-1] if versions else 0) + 1}")
+        each = [evolve(self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/{name}/rows"), self.schema) for _, name in done]
+        return functools.reduce(DataFrame.unionByName, each)
+
+    def part(self, name: str) -> DataFrame | None:
+        """A part of the latest snapshot, if it has one of that name."""
+        at = next((f"{self.path}/{folder}/{name}" for _, folder in self._done() if folder[0] == "v"), None)
+        return self.spark.read.parquet(at) if at and self._fs.exists(self._at(at)) else None
+
+    def replace(self, rows: DataFrame, **parts: DataFrame) -> None:
+        """The next snapshot. The one before stays for those who read it; older ones, and folders of writers that failed before it, go."""
+        before = self._done()
+        n = self._claim()
+        self._write(f"v={n}", rows, parts)
+        for old, name in self._names():
+            if before and old < before[0][0]:
+                self._fs.delete(self._at(f"{self.path}/{name}"), True)
 
     def append(self, rows: DataFrame) -> None:
-        versions = self._versions()
-        if not versions:
+        if not self._done():
             return self.replace(rows)
-        out = evolve(rows, self.schema).write.mode("append")
-        out = out.partitionBy(self.partition) if self.partition else out
-        return out.parquet(f"{self.path}/v={versions[-1]}")
+        return self._write(f"a={self._claim()}", rows, {})
 
 
 def files(spark: SparkSession, glob: str, longest: int = 50 << 20) -> DataFrame:

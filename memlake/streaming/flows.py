@@ -37,39 +37,67 @@ def two_paths(stream: DataFrame, checkpoint: str, raw: Callable[[DataFrame], Non
     return stream.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint)
 
 
-def ingest(messages: DataFrame, memories: DataFrame, now, embed, extract, decide=seams.ruled_decisions) -> DataFrame:
-    """The next snapshot of memories (vector included) after a batch of messages (conv_id, turn, role, content): the newest messages of each conversation, without
-    private parts, give facts; noise goes; admission, what exists and the preference guard decide which are asked about; decisions are applied.
+def ingest(messages: DataFrame, memories: DataFrame, now, embed, extract, decide=seams.ruled_decisions, tenant: str = "", ledger: DataFrame | None = None, held: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The next snapshot of a tenant's memories (all columns, vector included) after a batch of messages (conv_id, turn, role, content), and the ledger's new rows: the newest messages of
+    each conversation, without private parts, give facts; noise goes; admission, what exists and the preference guard decide which are asked about; decisions are applied.
 
     embed and extract are column functions (text to vector, text to the JSON of seams.FACTS), decide a rule over the best match's score. Facts of one conversation
-    are one request. Each conversation's facts are compared with the memories before the batch, so the order of conversations doesn't matter."""
+    are one request. Each conversation's facts are compared with the memories before the batch, so the order of conversations doesn't matter; decisions on one memory
+    count in the order of conversations and of their facts.
+
+    A decision's id is made from its conversation and the fact's words, so a later batch of a conversation makes ids of its own, and a batch that runs again makes the same. Facts whose
+    id is in the ledger (decision_id) were decided before, whatever was decided, and take no part.
+
+    Facts, their matches and decisions are read several times, so they are kept meanwhile; they are added to `held` for the caller to let go."""
+    held = [] if held is None else held
+
+    def keep(rows: DataFrame) -> DataFrame:
+        held.append(rows.persist())
+        return rows
+
     kept = reconcile_input(messages, embed, extract)
+    if ledger is not None:
+        kept = kept.join(ledger.select(F.expr("substring(decision_id, 2)").alias("fact_id")), "fact_id", "left_anti")
+    kept = keep(kept)
     live = memories.where("state <> 'deleted'")
-    near = operators.candidates(kept, live, 5, 0.0)
-    admitted = operators.admission(kept.drop("vector"), near, now).where("decision <> 'reject'")
+    near = keep(operators.candidates(kept, live, 5, 0.0))
+    judged = keep(operators.admission(kept.drop("vector"), near, now))
+    admitted = judged.where("decision <> 'reject'")
     guarded = operators.guarded(admitted, live.withColumn("content", F.col("l0_abstract")) if "l0_abstract" in live.columns else live).select("fact_id", F.lit(True).alias("_guarded"))
     best = near.where(F.col("score") >= 0.3).groupBy("fact_id").agg(F.max_by("id", F.struct("score", -F.col("rank"))).alias("match_id"), F.max("score").alias("best"))
-    asked = admitted.join(best, "fact_id", "left").join(guarded, "fact_id", "left")
-    action = F.when(F.coalesce("_guarded", F.lit(False)) | F.col("match_id").isNull(), "CREATE").otherwise(decide(F.col("best")))
-    decisions = asked.select(F.concat(F.lit("i"), "fact_id").alias("decision_id"), action.alias("action"), "fact_id", "match_id", F.lit(None).cast("string").alias("merged_content"))
-    return reconcile.apply(memories, reconcile.resolve(decisions, admitted.drop("source_text"), memories), now, embed)
+    asked = judged.join(best, "fact_id", "left").join(guarded, "fact_id", "left")
+    action = F.when(F.col("decision") == "reject", "REJECT").when(F.coalesce("_guarded", F.lit(False)) | F.col("match_id").isNull(), "CREATE").otherwise(decide(F.col("best")))
+    decisions = asked.select(F.concat(F.lit("i"), "fact_id").alias("decision_id"), action.alias("action"), "fact_id", "match_id", F.lit(None).cast("string").alias("merged_content"), F.struct("request", "at").alias("seq"))
+    decisions = keep(decisions)
+    made = keep(reconcile.resolve(decisions.where("action <> 'REJECT'"), admitted.drop("source_text"), memories))
+    return reconcile.apply(memories, made, now, embed, tenant), decisions.select("decision_id", "action", now.alias("decided_at"))
 
 
 def reconcile_input(messages: DataFrame, embed, extract) -> DataFrame:
-    """(fact_id, request, l0, category, source_text, vector): the facts of each conversation's newest messages that aren't noise and don't repeat one before."""
+    """(fact_id, request, at, l0, l1_overview, l2_content, tags, category, source_text, vector): the facts of each conversation's newest messages that aren't noise and don't repeat one
+    before. fact_id is a digest of the conversation and the fact's words; of equal facts of a conversation the first one counts."""
     rows = operators.redacted(operators.budget(messages, "conv_id", "turn"))
     block = operators.message_block(rows, "conv_id", "turn")
-    found = block.select("conv_id", "block", F.posexplode(F.from_json(extract(F.col("block")), seams.FACTS)["memories"]).alias("at", "m"))
-    facts = found.select(F.concat_ws("-", "conv_id", F.lpad(F.col("at").cast("string"), 3, "0")).alias("fact_id"), F.col("conv_id").alias("request"), F.col("m.l0_abstract").alias("l0"), F.col("m.category").alias("category"), F.col("block").alias("source_text"))
+    found = block.select(F.col("conv_id").alias("request"), "block", F.posexplode(F.from_json(extract(F.col("block")), seams.FACTS)["memories"]).alias("at", "m"))
+    facts = found.select("request", "at", F.col("m.l0_abstract").alias("l0"), "m.l1_overview", "m.l2_content", "m.tags", F.col("m.category").alias("category"), F.col("block").alias("source_text"))
     facts = facts.where(F.coalesce(text.strip(F.col("l0")) != "", F.lit(False))).where(~text.is_noise(F.col("l0")))
-    return reconcile.self_dedup(facts).withColumn("vector", embed(F.col("l0")))
+    digest = F.substring(F.sha2(F.concat_ws("\x1f", F.col("request").cast("string"), F.col("l0")).cast("binary"), 256), 1, 32)
+    facts = facts.withColumn("fact_id", digest).groupBy("fact_id", "request").agg(F.min_by(F.struct("at", "l0", "l1_overview", "l2_content", "tags", "category", "source_text"), "at").alias("f"))
+    return reconcile.self_dedup(facts.select("fact_id", "request", "f.*"), order="at").withColumn("vector", embed(F.col("l0")))
 
 
-def upserts(stream: DataFrame, checkpoint: str, table, now, embed, extract):
-    """Each batch of messages is merged into a versioned table (store.Table) by one writer; a batch that comes again after a failure finds its facts stored and skips them."""
+def upserts(stream: DataFrame, checkpoint: str, table, now, embed, extract, decide=seams.ruled_decisions, tenant: str = ""):
+    """Each batch of messages is merged into a versioned table (store.Table) by one writer. The ledger of decisions is a part of the same version, so a batch counts with its ledger or not at
+    all, and one that comes again after a failure changes nothing."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        table.replace(ingest(batch, table.read(), now, embed, extract))
+        known, held = table.part("ledger"), []
+        try:
+            rows, decided = ingest(batch, table.read(), now, embed, extract, decide, tenant, known, held)
+            table.replace(rows, ledger=decided if known is None else known.unionByName(decided))
+        finally:
+            for rows in held:
+                rows.unpersist()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
