@@ -1,13 +1,21 @@
-"""Exact nearest rows by cosine: blocks of both sides meet in pairs, one matrix product each."""
+"""Exact nearest rows by cosine: blocks of both sides meet in pairs, one matrix product each; or, by pivots, each row meets those cells alone that can hold a neighbour."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.sources import scratch
+
 BLOCK, TILE = 4096, 256
+#: At most so many pivots, and as many cells; they and figures of their cells are all that the driver sees.
+PIVOTS = 2048
+#: Scores are rounded to six places, so rows within that of a bound can still be among the best.
+SLACK = 2e-6
 
 
 def topk(left: DataFrame, right: DataFrame, k: int, min_score: float, block: int = BLOCK, apart: bool = False) -> DataFrame:
@@ -59,3 +67,162 @@ def topk(left: DataFrame, right: DataFrame, k: int, min_score: float, block: int
     met = left.groupBy("dim", "i", "j").cogroup(right.groupBy("dim", "i", "j")).applyInArrow(meet, f"{a} {types[0]}, {b} {types[1]}, score double")
     order = Window.partitionBy(a).orderBy(F.desc("score"), b)
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def units(vectors: np.ndarray) -> np.ndarray:
+    """Rows of unit length; zero rows stay."""
+    norms = np.sqrt((vectors * vectors).sum(1, keepdims=True))
+    return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of vectors of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def best(scores: np.ndarray, k: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, columns) of the k largest scores of each row, at or above `least`, largest first and of equal ones the first column."""
+    for r, own in enumerate(scores):
+        edge = max(least, np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else -np.inf)
+        hit = np.flatnonzero(own >= edge)
+        yield r, hit[np.argsort(-own[hit], kind="stable")][:k]
+
+
+def meet(data: DataFrame, asked: DataFrame, k: int, least: float, read: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """(key, id, score): the k best rows of data (cell, part, way, id, and what `read` makes unit vectors from) for each row of asked (cell, part, way, key, vector), of those of equal
+    (cell, part, way). Both sides are dealt by these three and sorted, data first: a task holds BLOCK rows or so of one part and lets those asked for stream by."""
+    at = ["cell", "part", "way"]
+    payload = [c for c in data.columns if c not in (*at, "id")]
+    kinds = {c: data.schema[c].dataType for c in ("id", *payload)} | {c: asked.schema[c].dataType for c in ("key", "vector")}
+    null = lambda names: [F.lit(None).cast(kinds[c]).alias(c) for c in names]
+    both = data.select(*at, F.lit(0).alias("kind"), "id", *payload, *null(c for c in ("key", "vector") if c not in payload))
+    both = both.unionByName(asked.select(*at, F.lit(1).alias("kind"), *null(c for c in ("id", *payload) if c != "vector"), "key", "vector"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, ids, parts, ready = None, [], [], None
+        for batch in batches:
+            marks = np.stack([batch.column(c).to_numpy() for c in (*at, "kind")], axis=1)
+            cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
+            out: list[tuple] = []
+            for a, b in zip([0, *cuts], [*cuts, len(marks)], strict=True):
+                if a == b:
+                    continue
+                own = batch.slice(a, b - a)
+                if tuple(marks[a, :3]) != place:
+                    place, ids, parts, ready = tuple(marks[a, :3]), [], [], None
+                if marks[a, 3] == 0:
+                    ids.append(own.column("id"))
+                    parts.append(read(own))
+                    continue
+                if not ids:
+                    continue
+                if ready is None:
+                    held = pa.chunked_array(ids).to_pylist()
+                    order = np.array(sorted(range(len(held)), key=held.__getitem__), dtype=np.int64)
+                    ready = pa.array([held[i] for i in order], ids[0].type), np.concatenate(parts)[order].T
+                vectors = units(matrix(own.column("vector")))
+                for x in range(0, len(vectors), TILE):
+                    scores = np.round(vectors[x : x + TILE] @ ready[1], 6)
+                    for r, hit in best(scores, k, least):
+                        out.append((np.full(len(hit), x + r + a), ready[0].take(pa.array(hit)), scores[r, hit]))
+            if out:
+                rows, found, scores = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(np.concatenate(rows))), pa.concat_arrays(found), pa.array(np.concatenate(scores))], names=["key", "id", "score"])
+
+    dealt = both.repartition(*at).sortWithinPartitions(*at, "kind")
+    return dealt.mapInArrow(run, f"key {kinds['key'].simpleString()}, id {kinds['id'].simpleString()}, score double")
+
+
+def pivot_topk(rows: DataFrame, k: int, min_score: float, pivots: int | None = None, block: int = BLOCK, report: list | None = None) -> DataFrame:
+    """(source_id, target_id, score, rank): topk of rows (id, vector) with themselves, each apart from its own id; the same rows as topk gives, without all pairs of blocks. Ids are unique.
+
+    Some rows are pivots; each row belongs to its nearest pivot's cell. A first pass finds k rows of each row's own cell, and so how far its k nearest can be at most. The
+    triangle inequality between it, a pivot and the range of angles in that pivot's cell, and the distance to the plane between two pivots, then tell which cells can hold a nearer row, and the row is sent to those
+    alone. Vectors that lie in groups meet few cells, however many rows there are; those without any structure meet all, which is as much as blocks would do: cells are dealt in bins of a
+    block's size, and a row goes to a bin once.
+
+    Equal vectors ask once, and no more than the k + 1 smallest ids of them can be anyone's neighbours, so a large group of copies costs as much as one row. `report` gets the number of parts
+    that each asking vector was sent to on average. Vectors of several lengths, which no pivot spans, go by blocks."""
+    rows = rows.select("id", "vector").where("vector is not null")
+    dims, n = rows.agg(F.count_distinct(F.size("vector")), F.count(F.lit(1))).first()
+    if dims != 1:
+        found = topk(rows.withColumnRenamed("id", "source_id"), rows.withColumnRenamed("id", "target_id"), k, min_score, block, apart=True)
+        return found.select("source_id", "target_id", "score", "rank")
+    copies = Window.partitionBy("vector").orderBy("id")
+    held = rows.withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= k + 1)
+    chosen = held.orderBy(F.xxhash64("id"), "id").limit(pivots or min(PIVOTS, max(1, int(n**0.5)))).select("vector").collect()  # PIVOTS rows at most
+    points = units(np.array([r[0] for r in chosen], dtype=np.float64))
+    kind = rows.schema["id"].dataType.simpleString()
+    zero_cell = len(points)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = units(matrix(batch.column("vector")))
+            cos = np.clip(x @ points.T, -1, 1)
+            cell = cos.argmax(1)
+            angle = np.arccos(cos[np.arange(len(cell)), cell])
+            cell[~x.any(1)] = zero_cell  # a zero vector has a cosine of 0 with all
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angle)], names=["id", "vector", "_n", "cell", "angle"])
+
+    held = scratch.held(held.select("id", "vector", "_n").mapInArrow(placed, f"id {kind}, vector {rows.schema['vector'].dataType.simpleString()}, _n int, cell int, angle double"), "cells")
+    figures = held.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect()  # a row for each cell
+    size, low, high = np.zeros(zero_cell + 1, dtype=np.int64), np.zeros(zero_cell + 1), np.zeros(zero_cell + 1)
+    for r in figures:
+        size[r["cell"]], low[r["cell"]], high[r["cell"]] = r["n"], r["low"], r["high"]
+    # cells of near pivots share a bin of a block's size, and a row is sent to a bin once; a cell that is larger is a bin of several parts
+    near = (points @ points[: max(1, -(-int(size.sum()) // block))].T).argmax(1)
+    bin_of, filled = np.zeros(zero_cell + 1, dtype=np.int32), [0]
+    for c in [*np.lexsort((np.arange(zero_cell), near)), zero_cell]:
+        if filled[-1] and filled[-1] + size[c] > block:
+            filled.append(0)
+        bin_of[c] = len(filled) - 1
+        filled[-1] += int(size[c])
+    n_parts = np.maximum(1, -(-np.array(filled) // block))
+    spread = lambda c, ways: F.pmod(F.xxhash64(c), ways).cast("int")
+    small = lambda rows_, schema: F.broadcast(rows.sparkSession.createDataFrame(rows_, schema))
+    bins = small([(c, int(b), int(n_parts[b])) for c, b in enumerate(bin_of)], "cell int, bin int, parts int")  # PIVOTS + 1 at most
+    held = held.join(bins, "cell").select("id", "vector", "_n", F.col("bin").alias("cell"), spread("id", F.col("parts")).alias("part"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    read = lambda batch: units(matrix(batch.column("vector")))
+    asking = held.where("_n = 1")
+    data = held.select("cell", "part", F.lit(0).alias("way"), "id", "vector")
+    first = asking.select("cell", "part", F.lit(0).alias("way"), F.col("id").alias("key"), "vector")
+    bound = meet(data, first, k + 1, -2.0, read).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+    bound = bound.select(F.col("key").alias("id"), F.when(F.col("n") > k, F.col("least")).alias("least"))
+    far = np.sqrt(np.maximum(0, 2 - 2 * points @ points.T))
+
+    def reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = units(matrix(batch.column("vector")))
+            least = np.maximum(batch.column("least").to_numpy(zero_copy_only=False).astype(np.float64), min_score)
+            least = np.where(np.isnan(least), min_score, least) - SLACK
+            cos = np.clip(x @ points.T, -1, 1)
+            own, angle = cos.argmax(1), np.arccos(cos)
+            most = np.cos(np.maximum(0, np.maximum(angle - high[None, :-1], low[None, :-1] - angle)))
+            apart = far[own]
+            plane = np.divide(cos[np.arange(len(own)), own][:, None] - cos, apart, out=np.zeros_like(cos), where=apart > 1e-9)
+            most = np.minimum(most, 1 - plane * plane / 2)
+            most[~x.any(1)] = 1.0
+            most = np.concatenate([most, np.zeros((len(x), 1))], axis=1)
+            cells = [np.unique(bin_of[hit & (size > 0)]) for hit in most >= least[:, None]]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), pa.array(cells, pa.list_(pa.int32()))], names=["id", "vector", "cells"])
+
+    reach = asking.join(bound, "id", "left").select("id", "vector", "least").mapInArrow(reaching, f"id {kind}, vector {rows.schema['vector'].dataType.simpleString()}, cells array<int>")
+    reach = scratch.held(reach, "reach")
+    arrivals = np.zeros(len(n_parts), dtype=np.int64)
+    for r in reach.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each bin
+        arrivals[r["cell"]] = r["n"]
+    if report is not None:
+        report.append(float((arrivals * n_parts).sum() / max(1, reach.count())))
+    ways = np.maximum(1, -(-arrivals // (16 * block)))
+    dealt = small([(b, int(n_parts[b]), int(ways[b])) for b in range(len(n_parts))], "cell int, parts int, ways int")
+    data = held.join(dealt, "cell").select("cell", "part", every(F.col("ways")).alias("way"), "id", "vector")
+    asked = reach.select("id", "vector", F.explode("cells").alias("cell")).join(dealt, "cell")
+    asked = asked.select("cell", every(F.col("parts")).alias("part"), spread("id", F.col("ways")).alias("way"), F.col("id").alias("key"), "vector")
+    order = Window.partitionBy("key").orderBy(F.desc("score"), "id")
+    found = meet(data, asked, k + 1, min_score, read).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1)
+    near = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("_n", "id", "score"))).alias("near"))  # k + 1 of them
+    asker = rows.groupBy("vector").agg(F.min("id").alias("key"))
+    members = rows.join(asker, "vector").select(F.col("id").alias("source_id"), "key")
+    own = F.slice(F.filter("near", lambda x: x["id"] != F.col("source_id")), 1, k)
+    return members.join(near, "key").select("source_id", F.posexplode(own).alias("rank", "x")).select("source_id", F.col("x.id").alias("target_id"), F.col("x.score").alias("score"), (F.col("rank") + 1).alias("rank"))

@@ -120,7 +120,6 @@ def apply(memories: DataFrame, resolved: DataFrame, now: Column, embed=None, ten
 def near_edges(memories: DataFrame, threshold: float, k: int = 5, block: int = knn.BLOCK) -> DataFrame:
     """Directed `supports` edges from each memory to its k nearest, at or above the threshold, unless there is an edge already."""
     rows = memories.where("state <> 'deleted' and vector is not null").select("id", "vector", "relations")
-    left, right = rows.select(F.col("id").alias("source_id"), "vector"), rows.select(F.col("id").alias("target_id"), "vector")
-    best = knn.topk(left, right, k, threshold, block, apart=True)
+    best = knn.pivot_topk(rows, k, threshold, block=block)
     held = rows.select(F.col("id").alias("source_id"), F.explode("relations").alias("r")).select("source_id", F.col("r.target_id").alias("target_id"))
     return best.join(held, ["source_id", "target_id"], "left_anti").select("source_id", "target_id", "score", text.similarity_label(F.col("score")).alias("label"))

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import scoring, seams, text
-from memlake.operators import chunk, ingest, lifecycle, profile, reconcile, retrieve, scan, sharing, stats
+from memlake.operators import chunk, ingest, lifecycle, profile, reconcile, retrieve, scan, sharing, stats, text_index, vector_index
 from memlake.plans import sql
 from memlake.schema import SearchOptions
-from memlake.sources import tables, views, webhook
+from memlake.sources import scratch, tables, views, webhook
 from memlake.streaming import flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -264,6 +264,38 @@ def bm25_postfilter(spark, d):
     return retrieve.bm25_topk(scan.live(_m(spark, d)), _probe(spark, d)[0], 20, F.col("category") == "profile")
 
 
+@query(sql.BM25)
+def text_index_topk(spark, d):
+    """The same rows from a stored index: two thirds of the memories are indexed, the rest are added as a second segment."""
+    live = scan.live(_m(spark, d))
+    index = text_index.TextIndex(spark, scratch.place(spark, "text-index"))
+    index.add(live.where("i % 3 <> 1"))
+    index.add(live.where("i % 3 = 1"))
+    return index.search(_probe(spark, d)[0], 20)
+
+
+@query(sql.BM25)
+def text_index_merged(spark, d):
+    """All memories are indexed, deleted ones are removed again, and segments merged."""
+    m = _m(spark, d)
+    index = text_index.TextIndex(spark, scratch.place(spark, "text-index"))
+    index.add(m)
+    index.remove(m.where("state = 'deleted'").select("id"))
+    index.merge()
+    return index.search(_probe(spark, d)[0], 20)
+
+
+@query()
+def vector_index_topk(spark, d):
+    """The ten memories nearest to each benchmark item's vector, by an approximate index over all memories' vectors. Vectors of these tables have no structure, so half the cells are read."""
+    index = vector_index.VectorIndex(spark, scratch.place(spark, "vector-index"))
+    rows = views.read(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    index.build(rows.select(F.concat(F.lit("m"), "vec_id").alias("id"), "vector"))
+    asked = views.read(spark, d, "benchmark").join(rows, F.col("item_id") == F.col("vec_id"), "left").select(F.col("item_id").alias("key"), "vector")
+    probes = max(1, index.lists.part("centres").count() // 2)
+    return index.search(asked, 10, probes).select(F.col("key").alias("fact_id"), "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def _legs(spark, d, limit=10):
     words, vector = _probe(spark, d)
     m = _m(spark, d, True)

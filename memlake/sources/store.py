@@ -63,9 +63,10 @@ class Table:
         return functools.reduce(DataFrame.unionByName, each)
 
     def part(self, name: str) -> DataFrame | None:
-        """A part of the latest snapshot, if it has one of that name."""
-        at = next((f"{self.path}/{folder}/{name}" for _, folder in self._done() if folder[0] == "v"), None)
-        return self.spark.read.parquet(at) if at and self._fs.exists(self._at(at)) else None
+        """A part of the latest snapshot and of what was appended to it, if they have one of that name."""
+        each = [f"{self.path}/{folder}/{name}" for _, folder in self._done()]
+        each = [self.spark.read.parquet(at) for at in each if self._fs.exists(self._at(at))]
+        return functools.reduce(DataFrame.unionByName, each) if each else None
 
     def replace(self, rows: DataFrame, **parts: DataFrame) -> None:
         """The next snapshot. The one before stays for those who read it; older ones, and folders of writers that failed before it, go."""
@@ -76,10 +77,10 @@ class Table:
             if before and old < before[0][0]:
                 self._fs.delete(self._at(f"{self.path}/{name}"), True)
 
-    def append(self, rows: DataFrame) -> None:
+    def append(self, rows: DataFrame, **parts: DataFrame) -> None:
         if not self._done():
-            return self.replace(rows)
-        return self._write(f"a={self._claim()}", rows, {})
+            return self.replace(rows, **parts)
+        return self._write(f"a={self._claim()}", rows, parts)
 
 
 def files(spark: SparkSession, glob: str, longest: int = 50 << 20) -> DataFrame:
