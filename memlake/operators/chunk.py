@@ -135,13 +135,14 @@ def import_chunks(docs: DataFrame, id_: str, content: str, strategy: str = "auto
     forced = {"atomic": "conversation", "section": "structured_doc", "document": "short_note"}.get(strategy)
     rows = docs.select(id_, F.coalesce(F.col(content), F.lit("")).alias(content))
     rows = rows.withColumn("hint", F.lit(forced) if forced else content_type(F.col(content)))
-    atomic = chunked(rows.where(F.col("hint").isin("conversation", "large_doc")), id_, content)
+    key = F.struct(F.col(id_).alias("id"), (F.octet_length(content) > MAX_BYTES).alias("large")).alias(id_)  # a document's size goes with its id, so rows that repeat an id stay apart
+    atomic = chunked(rows.where(F.col("hint").isin("conversation", "large_doc")).select(key, content), id_, content)
     whole = rows.where("hint = 'short_note'").select(id_, F.lit(0).alias("part"), F.col(content).alias("chunk"))
     parts = sections(rows.where("hint = 'structured_doc'"), id_, content).withColumnRenamed("section", "chunk")
     named = lambda x, hint: x.select(id_, hint.alias("hint"), "part", "chunk")
-    size = F.lit(forced) if forced else F.when(F.col("whole") > MAX_BYTES, "large_doc").otherwise("conversation")
-    sizes = rows.where(F.col("hint").isin("conversation", "large_doc")).select(id_, F.octet_length(content).alias("whole"))
-    return named(whole, F.lit("short_note")).unionByName(named(parts, F.lit("structured_doc"))).unionByName(named(atomic.join(sizes, id_), size))
+    size = F.lit(forced) if forced else F.when(F.col(f"{id_}.large"), "large_doc").otherwise("conversation")
+    atomic = atomic.select(F.col(f"{id_}.id").alias(id_), size.alias("hint"), "part", "chunk")
+    return named(whole, F.lit("short_note")).unionByName(named(parts, F.lit("structured_doc"))).unionByName(atomic)
 
 
 def chunked(docs: DataFrame, id_: str, text: str, size: int = MAX_BYTES, overlap: int = OVERLAP) -> DataFrame:
@@ -152,8 +153,10 @@ def chunked(docs: DataFrame, id_: str, text: str, size: int = MAX_BYTES, overlap
 
     def cut(frames):
         for frame in frames:
-            rows = [(i, n, c) for i, t in zip(frame[id_], frame[text], strict=True) for n, c in enumerate(smart_chunks(t, size, overlap))]
-            yield frame.__class__(rows, columns=[id_, "part", "chunk"])
+            ids = frame[[id_]]
+            pieces = [(at, n, c) for at, t in enumerate(frame[text]) for n, c in enumerate(smart_chunks(t, size, overlap))]
+            out = ids.iloc[[at for at, _, _ in pieces]].reset_index(drop=True)
+            yield out.assign(part=[n for _, n, _ in pieces], chunk=[c for _, _, c in pieces])
 
     return short.unionByName(docs.where(F.octet_length(text) > size).mapInPandas(cut, f"{id_} {kind}, part int, chunk string"))
 

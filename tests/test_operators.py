@@ -614,3 +614,10 @@ def test_context_block(spark):
     df = spark.createDataFrame(rows, "rank int, category string, tags array<string>, c string, content string").withColumn("created_at", F.col("c").cast("timestamp"))
     assert profile.context_block(df, now()).first().block.split("\n")[4:] == ["[Events]", "  - (1d [x]) first", "  - (3mo) third", "[Cases]", "  - (0m) " + "y" * 500 + "…", "[General]", "  - (0m) none", "</memory-context>"]
     assert profile.context_block(df.limit(0), now()).count() == 0
+
+
+def test_import_chunks_of_rows_that_repeat_an_id(spark):
+    long = "word " * 20_000
+    rows = [(1, long), (1, long), (2, "user: a\nassistant: b\nuser: c\nassistant: d")]
+    out = sorted((r.i, r.hint, r.part) for r in chunk.import_chunks(spark.createDataFrame(rows, "i int, t string"), "i", "t").collect())
+    assert out == [(1, "large_doc", 0), (1, "large_doc", 0), (1, "large_doc", 1), (1, "large_doc", 1), (2, "conversation", 0)]
