@@ -64,6 +64,12 @@ class Block:
         for j in range(PROJECTIONS):
             self.ranks[j, order[:, j]] = np.arange(len(x), dtype=np.uint16)
 
+        own = (x[:TILE] / np.linalg.norm(x[:TILE], axis=1, keepdims=True)) @ _directions(x.shape[1] + 1)[:-1]
+        self.ended = np.full(len(own), FIRST)
+        for _ in self.colliding(own):
+            pass
+        self.first = max(FIRST, float(np.quantile(self.ended, 0.2)))  # windows start near to where those of the block's first vectors end, whatever is asked
+
     def collisions(self, projected: np.ndarray, half: np.ndarray) -> np.ndarray:
         """For queries (projections, half widths of their windows): how often each vector collides. A window is a range of ranks, found at both of its ends."""
         n, m = len(projected), len(self.ids)
@@ -93,7 +99,7 @@ class Block:
                 yield i, np.flatnonzero(own >= np.partition(own, n - needed)[n - needed])
             todo = todo[~enough]
             half[todo] *= WIDER
-        self.first = max(FIRST, float(np.quantile(half, 0.2)))  # the next queries start nearer to where these ended
+        self.ended = half
 
     def search(self, queries: np.ndarray, q: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
         """(query, vec_ids, scores, verified): the best k verified vectors of each query, and how many were verified."""
@@ -152,7 +158,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                 columns = [np.concatenate(c) for c in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.float64, np.int64), strict=True)], names=["query_id", "vec_id", "score", "verified"])
 
-    dealt = left.unionByName(right).repartition(4 * blocks, "dim", "d").sortWithinPartitions("dim", "d", "kind")
+    dealt = left.unionByName(right).repartition(4 * blocks, "dim", "d").sortWithinPartitions("dim", "d", "kind", "vec_id", "v")  # so a block is the same in every run
     met = dealt.mapInArrow(meet, "query_id long, vec_id long, score double, verified long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -139,14 +139,15 @@ def _logit(p: Column) -> Column:
 def combine(scored: DataFrame, sites: DataFrame, spread: Spread) -> DataFrame:
     """scored (with _host, _path, _p) with host_posterior and path_posterior of its site without the row itself, and quality. Few sites are sent to all tasks; many
     are joined by a shuffle, where Spark splits a hot site."""
-    sites = sites.select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "n", "s", "hn", "hs")
+    own = ["_site_host", "_site_path", "_site_n", "_site_s", "_host_n", "_host_s"]
+    sites = sites.select(*(F.col(c).alias(name) for c, name in zip(("host", "path", "n", "s", "hn", "hs"), own, strict=True)))
     sites = F.broadcast(sites) if sites.count() <= SITES_BROADCAST else sites
-    joined = scored.drop("n", "s", "hn", "hs", "host_posterior", "path_posterior", "quality").join(sites, scored["_host"].eqNullSafe(sites["site_host"]) & scored["_path"].eqNullSafe(sites["site_path"]))
+    joined = scored.drop("host_posterior", "path_posterior", "quality").join(sites, scored["_host"].eqNullSafe(sites["_site_host"]) & scored["_path"].eqNullSafe(sites["_site_path"]))
     p, mean = F.col("_p"), F.lit(spread.mean)
-    joined = joined.withColumn("host_posterior", _shrunk(mean, F.col("hn") - 1, F.col("hs") - p, *spread.hosts))
-    joined = joined.withColumn("path_posterior", _shrunk(F.col("host_posterior"), F.col("n") - 1, F.col("s") - p, *spread.paths))
+    joined = joined.withColumn("host_posterior", _shrunk(mean, F.col("_host_n") - 1, F.col("_host_s") - p, *spread.hosts))
+    joined = joined.withColumn("path_posterior", _shrunk(F.col("host_posterior"), F.col("_site_n") - 1, F.col("_site_s") - p, *spread.paths))
     f = _logit(p) + _logit(F.col("path_posterior")) - _logit(mean)
-    return joined.drop("site_host", "site_path", "n", "s", "hn", "hs").withColumn("quality", 1 / (1 + F.exp(-f)))
+    return joined.drop(*own).withColumn("quality", 1 / (1 + F.exp(-f)))
 
 
 def with_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+#: Of each thread: the paths that each settled() under way has written so far, the innermost last.
+_calls = threading.local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,16 +37,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/memlake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
+    for call in getattr(_calls, "open", []):
+        call.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """cut(make()), after which the tables that make() wrote on its way are deleted."""
-    before = len(_written)
-    out = cut(make(), name)
-    for spark, path in _written[before:-1]:
-        _delete(spark, path)
-    del _written[before:-1]
+    """cut(make()), after which the tables that make() wrote on its way, in this thread, are deleted."""
+    own: list[str] = []
+    _calls.open = [*getattr(_calls, "open", []), own]
+    try:
+        out = cut(make(), name)
+    finally:
+        _calls.open = _calls.open[:-1]
+    for item in [x for x in _written if x[1] in own[:-1]]:
+        _delete(*item)
+        _written.remove(item)
     return out
 
 
