@@ -80,23 +80,23 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def best(scores: np.ndarray, k: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, columns) of the k largest scores of each row, at or above `least`, largest first and of equal ones the first column."""
+def best(scores: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, columns) of the k largest scores of each row, at or above its `least`, largest first and of equal ones the first column."""
     for r, own in enumerate(scores):
-        edge = max(least, np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else -np.inf)
+        edge = max(least[r], np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else -np.inf)
         hit = np.flatnonzero(own >= edge)
         yield r, hit[np.argsort(-own[hit], kind="stable")][:k]
 
 
-def meet(data: DataFrame, asked: DataFrame, k: int, least: float, read: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
-    """(key, id, score): the k best rows of data (cell, part, way, id, and what `read` makes unit vectors from) for each row of asked (cell, part, way, key, vector), of those of equal
-    (cell, part, way). Both sides are dealt by these three and sorted, data first: a task holds BLOCK rows or so of one part and lets those asked for stream by."""
+def meet(data: DataFrame, asked: DataFrame, k: int, read: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """(key, id, score): the k best rows of data (cell, part, way, id, and what `read` makes unit vectors from) for each row of asked (cell, part, way, key, vector, least), of those of equal
+    (cell, part, way) whose score is `least` or more. Both sides are dealt by these three and sorted, data first: a task holds BLOCK rows or so of one part and lets those asked for stream by."""
     at = ["cell", "part", "way"]
     payload = [c for c in data.columns if c not in (*at, "id")]
-    kinds = {c: data.schema[c].dataType for c in ("id", *payload)} | {c: asked.schema[c].dataType for c in ("key", "vector")}
+    kinds = {c: data.schema[c].dataType for c in ("id", *payload)} | {c: asked.schema[c].dataType for c in ("key", "vector", "least")}
     null = lambda names: [F.lit(None).cast(kinds[c]).alias(c) for c in names]
-    both = data.select(*at, F.lit(0).alias("kind"), "id", *payload, *null(c for c in ("key", "vector") if c not in payload))
-    both = both.unionByName(asked.select(*at, F.lit(1).alias("kind"), *null(c for c in ("id", *payload) if c != "vector"), "key", "vector"))
+    both = data.select(*at, F.lit(0).alias("kind"), "id", *payload, *null(c for c in ("key", "vector", "least") if c not in payload))
+    both = both.unionByName(asked.select(*at, F.lit(1).alias("kind"), *null(c for c in ("id", *payload) if c != "vector"), "key", "vector", "least"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, ids, parts, ready = None, [], [], None
@@ -120,10 +120,10 @@ def meet(data: DataFrame, asked: DataFrame, k: int, least: float, read: Callable
                     held = pa.chunked_array(ids).to_pylist()
                     order = np.array(sorted(range(len(held)), key=held.__getitem__), dtype=np.int64)
                     ready = pa.array([held[i] for i in order], ids[0].type), np.concatenate(parts)[order].T
-                vectors = units(matrix(own.column("vector")))
+                vectors, least = units(matrix(own.column("vector"))), own.column("least").to_numpy()
                 for x in range(0, len(vectors), TILE):
                     scores = np.round(vectors[x : x + TILE] @ ready[1], 6)
-                    for r, hit in best(scores, k, least):
+                    for r, hit in best(scores, k, least[x : x + TILE]):
                         out.append((np.full(len(hit), x + r + a), ready[0].take(pa.array(hit)), scores[r, hit]))
             if out:
                 rows, found, scores = zip(*out, strict=True)
@@ -136,9 +136,9 @@ def meet(data: DataFrame, asked: DataFrame, k: int, least: float, read: Callable
 def pivot_topk(rows: DataFrame, k: int, min_score: float, pivots: int | None = None, block: int = BLOCK, report: list | None = None) -> DataFrame:
     """(source_id, target_id, score, rank): topk of rows (id, vector) with themselves, each apart from its own id; the same rows as topk gives, without all pairs of blocks. Ids are unique.
 
-    Some rows are pivots; each row belongs to its nearest pivot's cell. A first pass finds k rows of each row's own cell, and so how far its k nearest can be at most. The
-    triangle inequality between it, a pivot and the range of angles in that pivot's cell, and the distance to the plane between two pivots, then tell which cells can hold a nearer row, and the row is sent to those
-    alone. Vectors that lie in groups meet few cells, however many rows there are; those without any structure meet all, which is as much as blocks would do: cells are dealt in bins of a
+    Some rows are pivots; each row belongs to its nearest pivot's cell. The triangle inequality between a row, a pivot and the range of angles in that pivot's cell, and the distance to the
+    plane between two pivots, tell how near a row of each cell can be. A row goes to the cells that can hold its nearest first, in rounds of 1, 1, 2, 4 ... bins: the k found so far bound
+    how far its k nearest can be, and cells beyond that are never sent to. Vectors that lie in groups meet few cells, however many rows there are; those without any structure meet all, which is as much as blocks would do: cells are dealt in bins of a
     block's size, and a row goes to a bin once.
 
     Equal vectors ask once, and no more than the k + 1 smallest ids of them can be anyone's neighbours, so a large group of copies costs as much as one row. `report` gets the number of parts
@@ -185,17 +185,12 @@ def pivot_topk(rows: DataFrame, k: int, min_score: float, pivots: int | None = N
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     read = lambda batch: units(matrix(batch.column("vector")))
     asking = held.where("_n = 1")
-    data = held.select("cell", "part", F.lit(0).alias("way"), "id", "vector")
-    first = asking.select("cell", "part", F.lit(0).alias("way"), F.col("id").alias("key"), "vector")
-    bound = meet(data, first, k + 1, -2.0, read).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
-    bound = bound.select(F.col("key").alias("id"), F.when(F.col("n") > k, F.col("least")).alias("least"))
     far = np.sqrt(np.maximum(0, 2 - 2 * points @ points.T))
 
     def reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each row the bins, and the largest cosine that a row of each can have, largest first."""
         for batch in batches:
             x = units(matrix(batch.column("vector")))
-            least = np.maximum(batch.column("least").to_numpy(zero_copy_only=False).astype(np.float64), min_score)
-            least = np.where(np.isnan(least), min_score, least) - SLACK
             cos = np.clip(x @ points.T, -1, 1)
             own, angle = cos.argmax(1), np.arccos(cos)
             most = np.cos(np.maximum(0, np.maximum(angle - high[None, :-1], low[None, :-1] - angle)))
@@ -204,23 +199,47 @@ def pivot_topk(rows: DataFrame, k: int, min_score: float, pivots: int | None = N
             most = np.minimum(most, 1 - plane * plane / 2)
             most[~x.any(1)] = 1.0
             most = np.concatenate([most, np.zeros((len(x), 1))], axis=1)
-            cells = [np.unique(bin_of[hit & (size > 0)]) for hit in most >= least[:, None]]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), pa.array(cells, pa.list_(pa.int32()))], names=["id", "vector", "cells"])
-
-    reach = asking.join(bound, "id", "left").select("id", "vector", "least").mapInArrow(reaching, f"id {kind}, vector {rows.schema['vector'].dataType.simpleString()}, cells array<int>")
+            most[:, size == 0] = -np.inf
+            by_bin = np.maximum.reduceat(most[:, by], np.flatnonzero(np.diff(bin_of[by], prepend=-1)), axis=1)
+            by_bin[np.arange(len(x)), np.where(x.any(1), bin_of[own], bin_of[zero_cell])] += 1  # its own bin comes first
+            order = np.argsort(-by_bin, axis=1, kind="stable")
+            reach = [(o[b[o] >= min_score - SLACK].astype(np.int32), b[o][b[o] >= min_score - SLACK]) for o, b in zip(order, by_bin, strict=True)]
+            columns = [pa.array([r[0] for r in reach], pa.list_(pa.int32())), pa.array([r[1] for r in reach], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), *columns], names=["id", "vector", "cells", "most"])
+
+    by = np.lexsort((np.arange(zero_cell + 1), bin_of))
+    reach = asking.select("id", "vector").mapInArrow(reaching, f"id {kind}, vector {rows.schema['vector'].dataType.simpleString()}, cells array<int>, most array<double>")
     reach = scratch.held(reach, "reach")
-    arrivals = np.zeros(len(n_parts), dtype=np.int64)
-    for r in reach.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each bin
-        arrivals[r["cell"]] = r["n"]
-    if report is not None:
-        report.append(float((arrivals * n_parts).sum() / max(1, reach.count())))
-    ways = np.maximum(1, -(-arrivals // (16 * block)))
-    dealt = small([(b, int(n_parts[b]), int(ways[b])) for b in range(len(n_parts))], "cell int, parts int, ways int")
-    data = held.join(dealt, "cell").select("cell", "part", every(F.col("ways")).alias("way"), "id", "vector")
-    asked = reach.select("id", "vector", F.explode("cells").alias("cell")).join(dealt, "cell")
-    asked = asked.select("cell", every(F.col("parts")).alias("part"), spread("id", F.col("ways")).alias("way"), F.col("id").alias("key"), "vector")
     order = Window.partitionBy("key").orderBy(F.desc("score"), "id")
-    found = meet(data, asked, k + 1, min_score, read).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1)
+    found, sent, lo = None, 0, 0
+    while lo < len(n_parts):  # rounds of 1, 1, 2, 4 ... bins: each leaves about k rows more of each row, as its bound has risen with the bins before
+        hi = min(len(n_parts), max(1, 2 * lo))
+        own = reach.select(F.col("id").alias("key"), "vector", F.slice(F.arrays_zip("cells", "most"), lo + 1, hi - lo).alias("bins")).where(F.size("bins") > 0)
+        if found is not None:
+            bound = found.groupBy("key").agg(F.when(F.count(F.lit(1)) > k, F.min("score")).alias("least"))
+            own = own.join(bound, "key", "left")
+        else:
+            own = own.withColumn("least", F.lit(None).cast("double"))
+        own = own.withColumn("least", F.coalesce("least", F.lit(float(min_score)))).select("key", "vector", "least", F.explode(F.filter("bins", lambda b: b["most"] >= F.col("least") - SLACK)).alias("b"))
+        own = scratch.held(own.select("key", "vector", "least", F.col("b.cells").alias("cell")), "asked")
+        arrivals = np.zeros(len(n_parts), dtype=np.int64)
+        for r in own.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each bin
+            arrivals[r["cell"]] = r["n"]
+        sent, lo = sent + int((arrivals * n_parts).sum()), hi
+        if not arrivals.any():
+            continue
+        ways = np.maximum(1, -(-arrivals // (16 * block)))
+        dealt = small([(b, int(n_parts[b]), int(ways[b])) for b in range(len(n_parts)) if arrivals[b]], "cell int, parts int, ways int")
+        data = held.join(dealt, "cell").select("cell", "part", every(F.col("ways")).alias("way"), "id", "vector")
+        asked = own.join(dealt, "cell").select("cell", every(F.col("parts")).alias("part"), spread("key", F.col("ways")).alias("way"), "key", "vector", "least")
+        new = meet(data, asked, k + 1, read)
+        new = (new if found is None else new.unionByName(found)).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1)
+        found = scratch.held(new.select("key", "id", "score"), "found")
+    if report is not None:
+        report.append(sent / max(1, reach.count()))
+    if found is None:
+        return rows.select(F.col("id").alias("source_id"), F.col("id").alias("target_id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+    found = found.withColumn("_n", F.row_number().over(order))
     near = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("_n", "id", "score"))).alias("near"))  # k + 1 of them
     asker = rows.groupBy("vector").agg(F.min("id").alias("key"))
     members = rows.join(asker, "vector").select(F.col("id").alias("source_id"), "key")

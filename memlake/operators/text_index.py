@@ -1,6 +1,6 @@
 """A stored inverted index for BM25: postings are written once, a search reads those of its terms alone.
 
-Postings of a term and field are kept in blocks of equal level: alike in how often the term occurs and how long the text is, so alike in weight. A block is a row with its documents,
+Tasks invert some thousand documents at a time. Postings of a term and field are kept in blocks of equal level: alike in how often the term occurs and how long the text is, so alike in weight. A block is a row with its documents,
 their counts and lengths, and the bounds of both. Tables are partitioned by a hash of the term and sorted by it. What is added later is a segment of its own; merge() makes one of all.
 
 A search first reads the levels of its terms (at most LEVELS a term and field). They tell how many texts have a term, the most that a level can give, and a score that k documents have at least:
@@ -9,28 +9,73 @@ levels whose most, with the most that all other terms can give, stays under that
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import itertools
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memlake.operators.retrieve import B, FIELDS, K1, tokens
 from memlake.sources.store import Table
 
-#: Postings of a term are dealt over parts of so many documents, which bounds a block.
-SHARD = 4096
+#: A task inverts so many documents, or so many bytes of them, at a time, which bounds a block and its memory.
+SHARD, BYTES = 4096, 8 << 20
 #: Counts from TOP on are one class, and lengths go by powers of two: a term and field has LEVELS levels at most.
 TOP, LENGTHS = 7, 32
 LEVELS = (TOP + 1) * LENGTHS
+#: So many removed documents are a set that a merge compares with; more are joined.
+FEW = 5000
+#: What stands for all texts of a field: no text holds the empty term.
+ALL = ""
+POST = T.StructType([T.StructField("id", T.StringType()), T.StructField("tf", T.IntegerType()), T.StructField("len", T.IntegerType())])
+FIGURES = ("min_tf", "max_tf", "min_len", "max_len")
 POSTINGS = T.StructType([
     T.StructField("bucket", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("field", T.IntegerType()), T.StructField("level", T.IntegerType()),
-    T.StructField("posts", T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("tf", T.IntegerType()), T.StructField("len", T.IntegerType())]))), T.StructField("n", T.LongType()),
-    *(T.StructField(c, T.IntegerType()) for c in ("min_tf", "max_tf", "min_len", "max_len")),
+    T.StructField("posts", T.ArrayType(POST)), T.StructField("n", T.LongType()), T.StructField("total", T.LongType()), *(T.StructField(c, T.IntegerType()) for c in FIGURES),
 ])
 
 
-def weight(df, tf, length, n: float, average: float) -> Column:
-    idf = F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5))
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(average)))
+def inverted(batches: Iterator[pa.RecordBatch], fields: int) -> Iterator[pa.RecordBatch]:
+    """Rows of POSTINGS (without bucket) of documents (id, words of each field, joined by blanks), some thousands at a time."""
+    kind = pa.struct([("id", pa.string()), ("tf", pa.int32()), ("len", pa.int32())])
+
+    def rows(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        ids = table.column(0).combine_chunks()
+        for f in range(fields):
+            words = [t.split() for t in table.column(1 + f).to_pylist()]
+            lengths = np.array([len(w) for w in words], dtype=np.int64)
+            codes, terms = pd.factorize(np.array([*itertools.chain.from_iterable(words)], dtype=object))
+            pairs, tf = np.unique(np.repeat(np.arange(len(words)), lengths) * max(1, len(terms)) + codes, return_counts=True)
+            doc, term = np.append(pairs // max(1, len(terms)), np.arange(len(words))), np.append(pairs % max(1, len(terms)), np.full(len(words), len(terms)))
+            tf, names = np.append(tf, np.zeros(len(words), dtype=np.int64)), pa.array([*terms, ALL], pa.string())
+            level = np.minimum(tf, TOP) * LENGTHS + np.minimum(np.floor(np.log2(lengths[doc] + 1)).astype(np.int64), LENGTHS - 1)
+            level[len(pairs) :] = 0
+            order = np.lexsort((doc, level, term))
+            doc, term, tf, level = doc[order], term[order], tf[order], level[order]
+            start = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (level[1:] != level[:-1])]))
+            size, length = np.diff(np.append(start, len(doc))), lengths[doc]
+            posts = pa.StructArray.from_arrays([ids.take(pa.array(doc)), pa.array(tf.astype(np.int32)), pa.array(length.astype(np.int32))], fields=list(kind))
+            posts = pa.ListArray.from_arrays(pa.array(np.append(start, len(doc)).astype(np.int32)), posts)
+            ends = [op.reduceat(c, start).astype(np.int32) for c in (tf, length) for op in (np.minimum, np.maximum)]
+            columns = [names.take(pa.array(term[start])), pa.array(np.full(len(start), f, dtype=np.int32)), pa.array(level[start].astype(np.int32)), posts, pa.array(size.astype(np.int64)), pa.array(np.add.reduceat(length, start).astype(np.int64)), *map(pa.array, ends)]
+            out = pa.RecordBatch.from_arrays(columns, names=["term", "field", "level", "posts", "n", "total", *FIGURES])
+            yield from (out.slice(x, 4096) for x in range(0, len(out), 4096))
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for x in range(0, len(batch), 256):
+            held.append(batch.slice(x, 256))
+            if sum(map(len, held)) >= SHARD or sum(b.nbytes for b in held) >= BYTES:
+                yield from rows(held)
+                held = []
+    if held:
+        yield from rows(held)
 
 
 class TextIndex:
@@ -40,30 +85,17 @@ class TextIndex:
         self.spark, self.fields, self.buckets = spark, fields, buckets
         self.table, self.removed = Table(spark, f"{path}/postings", POSTINGS, "bucket"), Table(spark, f"{path}/removed", T.StructType([T.StructField("id", T.StringType())]))
 
-    def _bucket(self, term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
-
-    def _blocks(self, postings: DataFrame, n: int) -> DataFrame:
-        """Rows of POSTINGS from (id, term, field, tf, len) of n documents."""
-        level = F.least("tf", F.lit(TOP)) * LENGTHS + F.least(F.floor(F.log2(F.col("len") + 1)), F.lit(LENGTHS - 1)).cast("int")
-        shard = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // SHARD))))
-        blocks = postings.groupBy("term", "field", level.cast("int").alias("level"), shard.alias("shard")).agg(
-            F.sort_array(F.collect_list(F.struct("id", "tf", "len"))).alias("posts"), F.count(F.lit(1)).alias("n"),  # SHARD documents or so
-            F.min("tf").alias("min_tf"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.max("len").alias("max_len"),
-        )
-        blocks = blocks.withColumn("bucket", self._bucket(F.col("term")))
-        return blocks.repartition("bucket", "shard").sortWithinPartitions("bucket", "term", "field", "level").drop("shard")
-
-    def _stats(self, lengths: DataFrame) -> DataFrame:
-        return lengths.agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(f"len{i}"), F.lit(0)).alias(f"len{i}") for i in range(len(self.fields))))
+    def _placed(self, blocks: DataFrame) -> DataFrame:
+        """Blocks by bucket, sorted by term; Spark splits a bucket that is large."""
+        blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
+        return blocks.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "field", "level")
 
     def add(self, docs: DataFrame) -> None:
-        """Documents (id and the fields) as a new segment."""
-        rows = docs.select(F.col("id").cast("string").alias("id"), *(tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"w{i}") for i, f in enumerate(self.fields)))
-        words = F.inline(F.array(*(F.struct(F.lit(i).alias("field"), F.size(f"w{i}").alias("len"), F.col(f"w{i}").alias("w")) for i in range(len(self.fields)))))
-        counts = rows.select("id", words).select("id", "field", "len", F.explode("w").alias("term")).groupBy("id", "field", "len", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        lengths = rows.select("id", *(F.size(f"w{i}").cast("long").alias(f"len{i}") for i in range(len(self.fields))))
-        self.table.append(self._blocks(counts, docs.count()), documents=lengths, stats=self._stats(lengths))
+        """Documents (id and the fields) as a new segment: one pass over their texts, and one exchange of blocks."""
+        n = len(self.fields)
+        rows = docs.select(F.col("id").cast("string").alias("id"), *(F.array_join(tokens(F.coalesce(F.col(f), F.lit(""))), " ").alias(f"w{i}") for i, f in enumerate(self.fields)))
+        schema = T.StructType([f for f in POSTINGS.fields if f.name != "bucket"])
+        self.table.append(self._placed(rows.mapInArrow(lambda batches: inverted(batches, n), schema)))
 
     def remove(self, ids: DataFrame) -> None:
         """Documents (id) that no search finds from now on. Statistics count them until the next merge."""
@@ -72,22 +104,28 @@ class TextIndex:
     def merge(self) -> None:
         """One segment of all, without what was removed."""
         gone = self.removed.read().distinct()
-        lengths = self.table.part("documents").join(gone, "id", "left_anti")
-        postings = self.table.read().select("term", "field", F.inline("posts")).join(gone, "id", "left_anti")
-        self.table.replace(self._blocks(postings, lengths.count()), documents=lengths, stats=self._stats(lengths))
+        few = [r["id"] for r in gone.limit(FEW + 1).collect()]
+        rows = self.table.read().select("term", "field", "level", "posts")
+        if len(few) > FEW:
+            rows = rows.select("term", "field", "level", F.explode("posts").alias("p")).select("*", F.col("p.id").alias("id")).join(gone, "id", "left_anti").select("term", "field", "level", F.array("p").alias("posts"))
+        elif few:
+            rows = rows.withColumn("posts", F.filter("posts", lambda p: ~p["id"].isin(few))).where(F.size("posts") > 0)
+        parts = max(1, -(-int(self.table.read().where(F.col("term") == ALL).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // (SHARD * len(self.fields))))
+        rows = rows.groupBy("term", "field", "level", F.pmod(F.xxhash64(F.col("posts")[0]["id"]), F.lit(parts)).alias("part")).agg(F.flatten(F.collect_list("posts")).alias("posts"))  # a few shards
+        ends = [op(F.col(f"posts.{c}")).alias(f"{name}_{c}") for c in ("tf", "len") for name, op in (("min", F.array_min), ("max", F.array_max))]
+        total = F.aggregate("posts", F.lit(0).cast("long"), lambda a, p: a + p["len"]).alias("total")
+        self.table.replace(self._placed(rows.select("term", "field", "level", "posts", F.size("posts").cast("long").alias("n"), total, *ends)))
         self.removed.replace(gone.limit(0))
 
     def plan(self, asked: list[str], k: int) -> tuple[DataFrame, float, int, int]:
         """(term, field, level, df, most, read) of each level of the asked terms; the score that k documents have at least; the number of documents, and of blocks that are there. A level isn't
         read if its documents can't be among the k best."""
-        stats = self.table.part("stats")
-        sums = stats.agg(F.sum("n").alias("n"), *(F.sum(f"len{i}").alias(f"len{i}") for i in range(len(self.fields)))).first() if stats is not None else None
-        if not sums or not sums["n"]:
+        found = self._asked([*asked, ALL]).groupBy("term", "field", "level").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.count(F.lit(1)).alias("blocks"), *(getattr(F, c[:3])(c).alias(c) for c in FIGURES)).collect()  # LEVELS rows for each term and field
+        every_text = {r["field"]: r for r in found if r["term"] == ALL}
+        if not every_text:
             return self.spark.createDataFrame([], "term string, field int, level int, df long, average double, read boolean"), 0.0, 0, 0
-        n, average = sums["n"], [max(sums[f"len{i}"] / sums["n"], 1e-9) for i in range(len(self.fields))]
-        found = self._asked(asked).groupBy("term", "field", "level").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks"), F.min("min_tf").alias("min_tf"), F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"), F.max("max_len").alias("max_len")).collect()  # LEVELS rows for each term and field
-        import math
-
+        found = [r for r in found if r["term"] != ALL]
+        n, average = every_text[0]["n"], {f: max(r["total"] / r["n"], 1e-9) for f, r in every_text.items()}
         df: dict = {}
         for r in found:
             df[r["term"], r["field"]] = df.get((r["term"], r["field"]), 0) + r["n"]
@@ -109,9 +147,13 @@ class TextIndex:
         rows = [(r["term"], r["field"], r["level"], df[r["term"], r["field"]], average[r["field"]], value(r, "max_tf", "min_len") + every - most[r["term"], r["field"]] >= least - 1e-5) for r in found]
         return self.spark.createDataFrame(rows, "term string, field int, level int, df long, average double, read boolean"), least, n, sum(r["blocks"] for r in found)
 
+    def _buckets(self, asked: list[str]) -> list[int]:
+        row = self.spark.range(1).select(*(F.pmod(F.xxhash64(F.lit(t)), F.lit(self.buckets)).cast("int").alias(f"b{i}") for i, t in enumerate(asked))).first()
+        return sorted(set(row))
+
     def _asked(self, asked: list[str]) -> DataFrame:
         """Blocks of the asked terms: their buckets are partitions, their terms a filter that the scan knows."""
-        return self.table.read().where(F.col("bucket").isin([r[0] for r in self.spark.createDataFrame([(t,) for t in asked], "t string").select(self._bucket(F.col("t"))).distinct().collect()]) & F.col("term").isin(asked))
+        return self.table.read().where(F.col("bucket").isin(self._buckets(asked)) & F.col("term").isin(asked))
 
     def search(self, query: str | list[str], k: int) -> DataFrame:
         """(id, score) of the k best documents, scores summed over the fields and rounded to six places; of equal ones the smaller id."""

@@ -89,10 +89,10 @@ class VectorIndex:
         wanted = [r["cell"] for r in asked.select("cell").distinct().collect()]
         lists = self.lists.read().where(F.col("cell").isin(wanted))  # their partitions alone are read
         data = lists.join(F.broadcast(layout), "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("way"), "id", "code")
-        asked = asked.join(F.broadcast(layout), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("way"), "key", "vector")
+        asked = asked.join(F.broadcast(layout), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("way"), "key", "vector", F.lit(-2.0).alias("least"))
         read = lambda batch: units(np.array([np.frombuffer(c, dtype=np.int8) for c in batch.column("code").to_pylist()], dtype=np.float64))
         order = Window.partitionBy("key").orderBy(F.desc("score"), "id")
         top = lambda rows, n: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-        found = top(meet(data, asked, again * k, -2.0, read), again * k).select("key", "id")
+        found = top(meet(data, asked, again * k, read), again * k).select("key", "id")
         found = found.join(self.lists.part("vectors").withColumnRenamed("vector", "own"), "id").join(queries.select("key", "vector"), "key")
         return top(found.select("key", "id", F.round(scoring.cosine(F.col("own"), F.col("vector")), 6).alias("score")), k)

@@ -1,6 +1,7 @@
 """Stored indexes and joins by pivots against plain versions."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from memlake.operators import knn, prefix, retrieve, text_index, vector_index
@@ -76,8 +77,7 @@ def test_text_index_gives_the_same_as_a_scan(spark, tmp_path):
     assert same(docs.where("id not like 'd1%' or id = 'd100'"), "w5 rare", 12)
 
 
-def test_text_index_reads_what_can_matter(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(text_index, "SHARD", 16)
+def test_text_index_reads_what_can_matter(spark, tmp_path):
     index = text_index.TextIndex(spark, f"{tmp_path}/i", buckets=8)
     index.add(_texts(spark, 600))
     levels, least, n, blocks = index.plan(["the", "rare"], 5)
@@ -85,7 +85,15 @@ def test_text_index_reads_what_can_matter(spark, tmp_path, monkeypatch):
     scan = index._asked(["rare"])
     assert {r.term for r in scan.select("term").distinct().collect()} == {"rare"}
     assert "PartitionFilters: [isnotnull(bucket" in scan._jdf.queryExecution().executedPlan().toString() and "PushedFilters: [IsNotNull(term), EqualTo(term,rare)]" in scan._jdf.queryExecution().executedPlan().toString()
-    assert index.table.read().agg(F.max(F.size("posts"))).first()[0] <= 64
+
+
+def test_documents_are_inverted_some_at_a_time(monkeypatch):
+    monkeypatch.setattr(text_index, "SHARD", 50)
+    batch = pa.RecordBatch.from_pydict({"id": [f"d{i}" for i in range(1000)], "w0": ["a b a" if i % 2 else "" for i in range(1000)]})
+    rows = [r for out in text_index.inverted(iter([batch, batch.slice(0, 10)]), 1) for r in out.to_pylist()]
+    assert max(r["n"] for r in rows) <= 256 and all(r["n"] == len(r["posts"]) and r["total"] == sum(p["len"] for p in r["posts"]) for r in rows)
+    assert sum(r["n"] for r in rows if r["term"] == "") == 1010 and sum(p["tf"] for r in rows if r["term"] == "a" for p in r["posts"]) == 2 * 505
+    assert {(r["min_tf"], r["max_tf"], r["min_len"], r["max_len"]) for r in rows if r["term"] == "b"} == {(1, 1, 3, 3)}
 
 
 def test_vector_index_recall(spark, tmp_path):
