@@ -80,12 +80,19 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def best(scores: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, columns) of the k largest scores of each row, at or above its `least`, largest first and of equal ones the first column."""
-    for r, own in enumerate(scores):
+def best(scores: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, columns, scores) of the k largest scores of each row, rounded, that are at or above its `least`, largest first and of equal ones the first column."""
+    rows, columns = np.nonzero(scores >= (least - 1e-6)[:, None])  # few, once a row's bound has risen
+    start = np.searchsorted(rows, np.arange(len(scores) + 1))
+    for r, (a, b) in enumerate(zip(start[:-1], start[1:], strict=True)):
+        if a == b:
+            continue
+        hit = columns[a:b]
+        own = np.round(scores[r, hit], 6)
         edge = max(least[r], np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else -np.inf)
-        hit = np.flatnonzero(own >= edge)
-        yield r, hit[np.argsort(-own[hit], kind="stable")][:k]
+        hit, own = hit[own >= edge], own[own >= edge]
+        order = np.argsort(-own, kind="stable")[:k]
+        yield r, hit[order], own[order]
 
 
 def meet(data: DataFrame, asked: DataFrame, k: int, read: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
@@ -122,9 +129,10 @@ def meet(data: DataFrame, asked: DataFrame, k: int, read: Callable[[pa.RecordBat
                     ready = pa.array([held[i] for i in order], ids[0].type), np.concatenate(parts)[order].T
                 vectors, least = units(matrix(own.column("vector"))), own.column("least").to_numpy()
                 for x in range(0, len(vectors), TILE):
-                    scores = np.round(vectors[x : x + TILE] @ ready[1], 6)
-                    for r, hit in best(scores, k, least[x : x + TILE]):
-                        out.append((np.full(len(hit), x + r + a), ready[0].take(pa.array(hit)), scores[r, hit]))
+                    found = list(best(vectors[x : x + TILE] @ ready[1], k, least[x : x + TILE]))
+                    if found:
+                        rows = np.repeat([x + r + a for r, _, _ in found], [len(hit) for _, hit, _ in found])
+                        out.append((rows, ready[0].take(pa.array(np.concatenate([hit for _, hit, _ in found]))), np.concatenate([own for _, _, own in found])))
             if out:
                 rows, found, scores = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(np.concatenate(rows))), pa.concat_arrays(found), pa.array(np.concatenate(scores))], names=["key", "id", "score"])

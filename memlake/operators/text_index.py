@@ -27,7 +27,9 @@ from memlake.sources.store import Table
 SHARD, BYTES = 4096, 8 << 20
 #: Counts from TOP on are one class, and lengths go by powers of two: a term and field has LEVELS levels at most.
 TOP, LENGTHS = 7, 32
-LEVELS = (TOP + 1) * LENGTHS
+LEVELS = (TOP + 1) * LENGTHS + 1
+#: Fewer postings of a term among the documents that a task inverts at a time are one block, of level -1.
+RARE = 32
 #: So many removed documents are a set that a merge compares with; more are joined.
 FEW = 5000
 #: What stands for all texts of a field: no text holds the empty term.
@@ -55,6 +57,7 @@ def inverted(batches: Iterator[pa.RecordBatch], fields: int) -> Iterator[pa.Reco
             doc, term = np.append(pairs // max(1, len(terms)), np.arange(len(words))), np.append(pairs % max(1, len(terms)), np.full(len(words), len(terms)))
             tf, names = np.append(tf, np.zeros(len(words), dtype=np.int64)), pa.array([*terms, ALL], pa.string())
             level = np.minimum(tf, TOP) * LENGTHS + np.minimum(np.floor(np.log2(lengths[doc] + 1)).astype(np.int64), LENGTHS - 1)
+            level[np.bincount(term)[term] < RARE] = -1
             level[len(pairs) :] = 0
             order = np.lexsort((doc, level, term))
             doc, term, tf, level = doc[order], term[order], tf[order], level[order]
@@ -81,17 +84,17 @@ def inverted(batches: Iterator[pa.RecordBatch], fields: int) -> Iterator[pa.Reco
 class TextIndex:
     """An index in a folder over string ids and text fields. Null texts count as empty; ids are unique: one that was removed may be added again after a merge."""
 
-    def __init__(self, spark: SparkSession, path: str, fields: tuple[str, ...] = FIELDS, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, fields: tuple[str, ...] = FIELDS, buckets: int = 16):
         self.spark, self.fields, self.buckets = spark, fields, buckets
         self.table, self.removed = Table(spark, f"{path}/postings", POSTINGS, "bucket"), Table(spark, f"{path}/removed", T.StructType([T.StructField("id", T.StringType())]))
 
-    def _placed(self, blocks: DataFrame) -> DataFrame:
-        """Blocks by bucket, sorted by term; Spark splits a bucket that is large."""
+    def _placed(self, blocks: DataFrame, gather: bool = False) -> DataFrame:
+        """Blocks sorted by bucket and term; to gather them by bucket, they are exchanged, and Spark splits a bucket that is large."""
         blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
-        return blocks.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "field", "level")
+        return (blocks.hint("rebalance", F.col("bucket")) if gather else blocks).sortWithinPartitions("bucket", "term", "field", "level")
 
     def add(self, docs: DataFrame) -> None:
-        """Documents (id and the fields) as a new segment: one pass over their texts, and one exchange of blocks."""
+        """Documents (id and the fields) as a new segment: one pass over their texts without any exchange; each task writes a file for each bucket, which merge() gathers."""
         n = len(self.fields)
         rows = docs.select(F.col("id").cast("string").alias("id"), *(F.array_join(tokens(F.coalesce(F.col(f), F.lit(""))), " ").alias(f"w{i}") for i, f in enumerate(self.fields)))
         schema = T.StructType([f for f in POSTINGS.fields if f.name != "bucket"])
@@ -114,7 +117,7 @@ class TextIndex:
         rows = rows.groupBy("term", "field", "level", F.pmod(F.xxhash64(F.col("posts")[0]["id"]), F.lit(parts)).alias("part")).agg(F.flatten(F.collect_list("posts")).alias("posts"))  # a few shards
         ends = [op(F.col(f"posts.{c}")).alias(f"{name}_{c}") for c in ("tf", "len") for name, op in (("min", F.array_min), ("max", F.array_max))]
         total = F.aggregate("posts", F.lit(0).cast("long"), lambda a, p: a + p["len"]).alias("total")
-        self.table.replace(self._placed(rows.select("term", "field", "level", "posts", F.size("posts").cast("long").alias("n"), total, *ends)))
+        self.table.replace(self._placed(rows.select("term", "field", "level", "posts", F.size("posts").cast("long").alias("n"), total, *ends), True))
         self.removed.replace(gone.limit(0))
 
     def plan(self, asked: list[str], k: int) -> tuple[DataFrame, float, int, int]:

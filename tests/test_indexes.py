@@ -79,9 +79,9 @@ def test_text_index_gives_the_same_as_a_scan(spark, tmp_path):
 
 def test_text_index_reads_what_can_matter(spark, tmp_path):
     index = text_index.TextIndex(spark, f"{tmp_path}/i", buckets=8)
-    index.add(_texts(spark, 600))
+    index.add(_texts(spark, 3000).coalesce(2))
     levels, least, n, blocks = index.plan(["the", "rare"], 5)
-    assert n == 602 and least > 0 and levels.where("read").count() < levels.count() < blocks
+    assert n == 3002 and least > 0 and levels.where("read").count() < levels.count() < blocks
     scan = index._asked(["rare"])
     assert {r.term for r in scan.select("term").distinct().collect()} == {"rare"}
     assert "PartitionFilters: [isnotnull(bucket" in scan._jdf.queryExecution().executedPlan().toString() and "PushedFilters: [IsNotNull(term), EqualTo(term,rare)]" in scan._jdf.queryExecution().executedPlan().toString()
