@@ -68,6 +68,27 @@ def strip_envelope(text: Column) -> Column:
     return text
 
 
+#: What noise is compared with by meaning before any has been learned.
+NOISE_TEXTS = (
+    "Do you remember what I told you?",
+    "你还记得我喜欢什么吗",
+    "I don't have any information about that",
+    "我没有相关的记忆",
+    "Hello, how are you doing today?",
+    "新的一天开始了",
+    "No relevant memories found for this query",
+    "I couldn't find any matching records",
+    "What do you know about me?",
+    "你知道我是谁吗",
+    "Thanks for letting me know",
+    "好的，我知道了",
+    "HEARTBEAT",
+    "query -> none, no results",
+    "I don't have specific details about that topic",
+    "没有找到相关的信息",
+)
+
+
 def is_noise(text: Column) -> Column:
     t = strip(text)
     out = t == ""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
@@ -13,7 +14,7 @@ from memlake.operators import chunk, ingest, lifecycle, profile, reconcile, retr
 from memlake.plans import sql
 from memlake.schema import SearchOptions
 from memlake.sources import scratch, tables, views, webhook
-from memlake.streaming import flows
+from memlake.streaming import flows, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -560,6 +561,27 @@ def import_tasks(spark, d):
     return moved.select("id", "status", F.col("completed_at").isNotNull().alias("stamped"))
 
 
+@query(sql.TASK_RECORDS)
+def import_task_records(spark, d):
+    """Every conversation as an import task that a stream of events moves: a turn is a chunk, every fourth fails; events of even turns come twice; some tasks need no processing, fail, are rolled back or hear no more."""
+    turns = views.read(spark, d, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.max(F.coalesce(F.length("text"), F.lit(0)) % 3).alias("f"))
+    c, none = F.col("conv_id"), F.lit(None).cast("string")
+    event = lambda rows, kind, after, part, n, message=none: rows.select(c.cast("string").alias("task_id"), F.lit(kind).alias("kind"), part.cast("long").alias("part"), n.cast("long").alias("n"), message.alias("message"), F.timestamp_seconds(c * 60 + after).alias("at"))
+    tasks = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("chunks"))
+    at = lambda kind, where, after, n=F.lit(0), message=none: event(tasks.where(where), kind, after, F.lit(0), n, message)
+    good = turns.where("turn % 4 <> 3")
+    parts = [
+        at("created", "true", 0, (c % 7 != 3).cast("long")), at("chunked", "true", 10, F.col("chunks")), event(good, "extracted", 20, F.col("turn"), F.col("f")), event(good.where("turn % 2 = 0"), "extracted", 20, F.col("turn"), F.col("f")),
+        event(turns.where("turn % 4 = 3"), "chunk_failed", 20, F.col("turn"), F.lit(0), F.lit("no answer")), at("failed", "conv_id % 13 = 5", 25, message=F.lit("store gone")), at("reconciled", "conv_id % 3 = 0", 30, c % 5),
+        at("reconcile_failed", "conv_id % 3 = 1", 30, message=F.lit("no answer")), at("rolled_back", "conv_id % 11 = 0", 40),
+    ]
+    events = scratch.place(spark, "task-events")
+    functools.reduce(DataFrame.unionByName, parts).write.parquet(events)
+    stream = spark.readStream.schema(state.EVENTS).parquet(events)
+    records = state.latest(state.finished(state.task_records(stream, "1 hour", "601 seconds"), scratch.place(spark, "task-checkpoint"), scratch.place(spark, "task-records")))
+    return records.select("task_id", "status", "extraction_status", "extraction_chunks", "extraction_facts", "extraction_progress", "reconcile_status", "reconcile_merged", F.size("errors").cast("long").alias("n_errors"))
+
+
 @query(sql.SELF_DEDUP)
 def batch_self_dedup(spark, d):
     b = views.read(spark, d, "benchmark").select(F.col("item_id").alias("fact_id"), F.floor(F.col("item_id") / 10).alias("request"), F.when(F.col("item_id") % 5 == 4, "the same words each time").otherwise(F.col("text")).alias("l0"))

@@ -295,6 +295,13 @@ UNION ALL SELECT id || '@' || target || '#' || {STAMP}, 'active', version FROM o
 BRIDGE = f"WITH {SPACES_SQL} SELECT DISTINCT space_id AS id, space_type, owner_id FROM members UNION ALL SELECT 'team/u2-u4', 'team', 'u2'"
 TENANTS = "SELECT 'u' || i AS id, i < 6 AND i % 3 <> 2 AS allowed FROM range(8) t(i)"
 TASKS = f"""SELECT 't' || conv_id AS id, CASE conv_id % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'completed' WHEN 2 THEN 'completed' ELSE 'failed' END AS status, conv_id % 4 = 1 AS stamped FROM (SELECT DISTINCT conv_id FROM conversations)"""
+TASK_RECORDS = """WITH c AS (SELECT conv_id, turn, max(coalesce(length(text), 0) % 3) AS f FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+t AS (SELECT conv_id AS k, count(*) AS chunks, coalesce(sum(f) FILTER (turn % 4 <> 3), 0) AS facts, coalesce(max(turn + 1) FILTER (turn % 4 <> 3), 0) AS progress, count(*) FILTER (turn % 4 = 3) AS bad, conv_id % 7 = 3 AS skipped FROM c GROUP BY conv_id),
+w AS (SELECT max(k * 60 + CASE WHEN k % 11 = 0 THEN 40 WHEN k % 3 < 2 THEN 30 WHEN k % 13 = 5 THEN 25 ELSE 20 END) - 601 AS mark FROM t),
+s AS (SELECT *, CASE WHEN skipped OR facts = 0 THEN 'completed' WHEN k % 13 = 5 THEN 'failed' WHEN k % 3 < 2 THEN 'completed' WHEN k % 11 <> 0 AND k * 60 + 20 + 3600 <= mark THEN 'timed out' ELSE 'processing' END AS state FROM t, w)
+SELECT CAST(k AS VARCHAR) AS task_id, CASE WHEN k % 11 = 0 THEN 'rolled_back' WHEN state = 'timed out' THEN 'failed' ELSE state END AS status, CASE WHEN skipped THEN 'skipped' ELSE 'completed' END AS extraction_status, CASE WHEN skipped THEN 0 ELSE chunks END AS extraction_chunks,
+  CAST(CASE WHEN skipped THEN 0 ELSE facts END AS BIGINT) AS extraction_facts, CASE WHEN skipped THEN 0 ELSE progress END AS extraction_progress, CASE WHEN skipped OR facts = 0 THEN 'skipped' WHEN state = 'completed' THEN 'completed' ELSE 'running' END AS reconcile_status,
+  CASE WHEN NOT skipped AND facts > 0 AND state = 'completed' AND k % 3 = 0 THEN k % 5 ELSE 0 END AS reconcile_merged, CASE WHEN skipped THEN 0 ELSE bad + CAST(state IN ('failed', 'timed out') OR (state = 'completed' AND facts > 0 AND k % 3 = 1) AS BIGINT) END AS n_errors FROM s"""
 CODEC = f"{M} SELECT id, category, CASE WHEN i % 10 = 9 THEN 'memory_type' END AS bad, CASE WHEN i % 10 <> 9 THEN CAST(len(tags) AS BIGINT) END AS n_tags FROM memories"
 SELF_DEDUP = f"""WITH f AS (SELECT item_id AS fact_id, item_id // 10 AS request, CASE WHEN item_id % 5 = 4 THEN 'the same words each time' ELSE text END AS l0 FROM benchmark)
 SELECT fact_id FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.request = a.request AND b.fact_id < a.fact_id AND {_jaccard(TRIMMED.format("a.l0"), TRIMMED.format("b.l0"), "0.0")} > 0.85)"""

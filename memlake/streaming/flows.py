@@ -107,15 +107,26 @@ def webhook_stream(spark: SparkSession, path: str) -> DataFrame:
     return webhook.commits(spark.readStream.schema("event string, payload string").json(path))
 
 
-def learn_noise(vectors: np.ndarray, noisy: np.ndarray, known: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Which rows are noise, in order of arrival, and the prototypes afterwards: first in, first out, and none nearly equal to another."""
+def learn_noise(vectors, noisy: np.ndarray, known: list[np.ndarray], fixed: list[np.ndarray] = ()) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which rows are noise, in order of arrival, and the prototypes learned afterwards: first in, first out, and none nearly equal to another or a fixed one. A null vector teaches nothing."""
     hits = np.zeros(len(vectors), dtype=bool)
+
+    def unit() -> np.ndarray | None:
+        every = np.array([*fixed, *known], dtype=float)
+        return every / np.maximum(np.linalg.norm(every, axis=1, keepdims=True), np.finfo(float).tiny) if len(every) else None
+
+    held = unit()
     for i, v in enumerate(vectors):
+        if v is None:
+            hits[i] = noisy[i]
+            continue
+        v = np.asarray(v, dtype=float)
         n = np.linalg.norm(v)
-        near = max((float(v @ p) / (n * np.linalg.norm(p)) if n and np.linalg.norm(p) else 0.0 for p in known), default=-1.0)
+        near = -1.0 if held is None else float((held @ v).max() / n) if n else 0.0
         hits[i] = noisy[i] or near >= NOISY
         if hits[i] and near < KNOWN:
             known = [*known, v][-MAX_PROTOTYPES:]
+            held = unit()
     return hits, known
 
 
