@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -184,8 +185,10 @@ def scoped(scope: str | None = None, tags: list[str] = (), source: str | None =
     return out & (F.col("owner_agent_id") == agent) if agent else out
 
 
-def stages(memories: DataFrame, vector: DataFrame | None, words: DataFrame | None, now: Column, o: SearchOptions = SearchOptions(), by: list[str] = (), reranked: DataFrame | None = None) -> list[tuple[str, DataFrame]]:
-    """Each stage's name and rows. Candidates are at most three times the limit in each leg, so all later stages are small."""
+def stages(memories: DataFrame, vector: DataFrame | None, words: DataFrame | None, now: Column, o: SearchOptions = SearchOptions(), by: list[str] = (), reranked: DataFrame | None = None, hold: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> list[tuple[str, DataFrame]]:
+    """Each stage's name and rows. Candidates are at most three times the limit in each leg, so all later stages are small.
+
+    `hold` may write the legs and the candidates with their columns somewhere: who reads many stages then searches once, and all stages tell of the same candidates."""
     out: list[tuple[str, DataFrame]] = []
 
     def stage(name: str, rows: DataFrame) -> DataFrame:
@@ -193,12 +196,12 @@ def stages(memories: DataFrame, vector: DataFrame | None, words: DataFrame | Non
         return rows
 
     none = memories.select(*by, "id", F.lit(0.0).alias("score")).limit(0)
-    vector, words = (none if leg is None else leg for leg in (vector, words))  # a leg that failed is empty
+    vector, words = (none if leg is None else hold(leg) for leg in (vector, words))  # a leg that failed is empty
     top = lambda rows, n: rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "id"))).where(F.col("_n") <= n).drop("_n")
     stage("parallel_search", vector.select("id", "score").unionByName(words.select("id", "score")))
     fused = fuse(vector, words, o, by)
     columns = [c for c in ("content", "memory_type", "tier", "importance", "confidence", "access_count", "created_at", "last_accessed_at", "category") if c not in by]
-    fused = fused.join(memories.select("id", *columns), "id")
+    fused = hold(fused.join(memories.select("id", *columns), "id"))
     r = stage("rrf_fusion", fused.withColumn("score", F.when(F.col("memory_type") == "pinned", F.col("score") * o.pinned_boost).otherwise(F.col("score"))))
     r = stage("rrf_normalize", normalise(r, by))
     r = stage("min_score_filter", r.where(F.col("score") >= o.min_score))

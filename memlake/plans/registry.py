@@ -322,7 +322,8 @@ def hybrid_search(spark, d):
 
 @query(sql.TRACE)
 def retrieval_trace(spark, d):
-    return retrieve.trace(retrieve.stages(*_legs(spark, d), views.as_of())).select(F.col("pos").cast("long").alias("pos"), "stage", "output_count", "low", "high")
+    all_stages = retrieve.stages(*_legs(spark, d), views.as_of(), hold=lambda rows: scratch.held(rows, "trace"))
+    return retrieve.trace(all_stages).select(F.col("pos").cast("long").alias("pos"), "stage", "output_count", "low", "high")
 
 
 @query(sql.DIVERSITY)
