@@ -93,8 +93,9 @@ class _Tasks(StatefulProcessor):
     def _end(self, task: dict, status: str, at: int) -> None:
         task["status"], task["completed"] = status, at
 
-    def _step(self, task: dict, e) -> None:
-        """What an event does. Chunks count once each, however often and in whatever order their events come; a task that has ended only rolls back."""
+    def _step(self, task: dict, e, old: bool, new: dict[int, int]) -> None:
+        """What an event does to a task, which is `old` if earlier batches had some of it, and which chunks the batch adds to those handled (`new`). Chunks count once each, however often and in whatever order their
+        events come; a task that has ended only rolls back."""
         if e.kind == "rolled_back":
             task["status"] = "rolled_back"
             return
@@ -108,8 +109,8 @@ class _Tasks(StatefulProcessor):
         elif e.kind == "chunked" and task["extraction_status"] == "pending":
             task["extraction_status"], task["extraction_chunks"] = "running", e.n
         elif e.kind in ("extracted", "chunk_failed"):
-            if not self.parts.containsKey((e.part,)):
-                self.parts.updateValue((e.part,), (e.n if e.kind == "extracted" else -1,))
+            if e.part not in new and not (old and self.parts.containsKey((e.part,))):
+                new[e.part] = e.n if e.kind == "extracted" else -1
                 task["handled"] += 1
                 if e.kind == "extracted":
                     task["extraction_facts"] += e.n
@@ -143,11 +144,16 @@ class _Tasks(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["at", "rank", "part"], kind="stable")
-        task, due = self._read(), None
+        task, due, new = self._read(), None, {}
+        old = task["version"] > 0
         for e in frame.itertuples(index=False):
-            self._step(task, e)
+            self._step(task, e, old, new)
         if task["status"] == "processing":
             due = max(int(frame["at"].max()) + self.timeout, task["due"] or 0)
+            for part, facts in new.items():
+                self.parts.updateValue((part,), (facts,))
+        elif old:  # a task that has ended counts no more chunks
+            self.parts.clear()
         if due != task["due"]:
             if task["due"] is not None:
                 self.handle.deleteTimer(task["due"])
@@ -162,6 +168,7 @@ class _Tasks(StatefulProcessor):
             task["errors"].append("timed out")
             self._end(task, "failed", task["due"])
             task["due"] = None
+            self.parts.clear()
             yield self._out(key, task)
 
     def close(self) -> None:
