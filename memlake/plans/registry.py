@@ -9,11 +9,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memlake.functions import scoring, seams, text
+from memlake.functions import scoring, seams, table_functions, text
 from memlake.operators import chunk, ingest, lifecycle, profile, reconcile, retrieve, scan, sharing, stats, text_index, vector_index
 from memlake.plans import sql
 from memlake.schema import SearchOptions
-from memlake.sources import scratch, tables, views, webhook
+from memlake.sources import files, scratch, tables, views, webhook
 from memlake.streaming import flows, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -397,6 +397,18 @@ def transcript_tail(spark, d):
     return ingest.transcript(views.sessions(spark, d), "conv_id", "turn").select("conv_id", "turn", F.length("content").cast("long").alias("n"))
 
 
+@query(sql.TRANSCRIPT)
+def transcript_source(spark, d):
+    """Conversations as transcript files that Spark writes, read back by the data source; its sessions' tails are those of transcript_tail."""
+    files.register(spark)
+    at = scratch.place(spark, "transcripts")
+    entry = F.to_json(F.struct("session_id", "conv_id", "turn", "role", "content"))
+    views.sessions(spark, d).select(entry.alias("value")).write.text(at)
+    field = lambda name: F.col("fields")[name].cast("long")
+    messages = spark.read.format("transcripts").load(at).select("session", field("conv_id").alias("conv_id"), field("turn").alias("turn"), "role", "content")
+    return ingest.transcript(messages, "session", "turn").select("conv_id", "turn", F.length("content").cast("long").alias("n"))
+
+
 @query(sql.BLOCKS)
 def message_blocks(spark, d):
     return ingest.message_block(views.sessions(spark, d), "conv_id", "turn").select("conv_id", F.sha2(F.col("block").cast("binary"), 256).alias("sha"))
@@ -679,6 +691,29 @@ def code_chunks(spark, d):
     return chunk.blocks(views.read(spark, d, "pages").select("page_id", F.regexp_replace("html", "</p>", "\n\n").alias("html")), "page_id", "html").select("page_id", "part", "start_line", "end_line")
 
 
+@query()
+def smart_split_lateral(spark, d):
+    """smart_split from SQL text."""
+    table_functions.register(spark)
+    return spark.sql("SELECT doc_id, f.part, CAST(length(f.chunk) AS BIGINT) AS n FROM {docs}, LATERAL smart_chunks(text, 4000, 200) f", docs=views.read(spark, d, "documents"))
+
+
+@query()
+def code_chunks_lateral(spark, d):
+    """code_chunks from SQL text."""
+    table_functions.register(spark)
+    pages = views.read(spark, d, "pages").select("page_id", F.regexp_replace("html", "</p>", "\n\n").alias("html"))
+    return spark.sql("SELECT page_id, f.part, f.start_line, f.end_line FROM {pages}, LATERAL code_blocks(html) f", pages=pages)
+
+
+@query()
+def conversation_chunks(spark, d):
+    """Each conversation as one text of its messages, in overlapping chunks of 1000 bytes."""
+    table_functions.register(spark)
+    turns = views.sessions(spark, d).select("conv_id", "turn", "role", "content")
+    return spark.sql("SELECT conv_id, part, CAST(length(chunk) AS BIGINT) AS n FROM conversation_chunks(TABLE(SELECT * FROM {turns}), 'conv_id', 'turn', 1000, 100)", turns=turns)
+
+
 @query(sql.WEBHOOK)
 def webhook_commits(spark, d):
     e = views.read(spark, d, "events")
