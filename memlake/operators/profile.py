@@ -9,14 +9,22 @@ from memlake.functions import text
 from memlake.operators import retrieve
 
 
-def static_facts(memories: DataFrame, n: int = 20) -> DataFrame:
+def _static(memories: DataFrame, n: int) -> DataFrame:
     rows = memories.where("state = 'active'").where(F.col("category").isin("profile", "preferences"))
-    return rows.orderBy(F.desc("importance"), "id").limit(n).select("id", F.round("importance", 6).alias("importance"))
+    return rows.orderBy(F.desc("importance"), "id").limit(n)
 
 
-def dynamic_context(memories: DataFrame, now: Column, days: int = 7, n: int = 10) -> DataFrame:
+def static_facts(memories: DataFrame, n: int = 20) -> DataFrame:
+    return _static(memories, n).select("id", F.round("importance", 6).alias("importance"))
+
+
+def _dynamic(memories: DataFrame, now: Column, days: int, n: int) -> DataFrame:
     rows = memories.where("state = 'active'").where(F.col("category").isin("events", "cases", "patterns") & (F.timestamp_add("DAY", F.lit(days), F.col("created_at")) >= now))
-    return rows.orderBy(F.desc("created_at"), "id").limit(n).select("id", F.date_format("created_at", "yyyy-MM-dd").alias("day"))
+    return rows.orderBy(F.desc("created_at"), "id").limit(n)
+
+
+def dynamic_context(memories: DataFrame, now: Column, days: int = 7, n: int = 10) -> DataFrame:
+    return _dynamic(memories, now, days, n).select("id", F.date_format("created_at", "yyyy-MM-dd").alias("day"))
 
 
 def context_lines(memories: DataFrame, tokens: int) -> DataFrame:
@@ -34,6 +42,22 @@ def search_part(memories: DataFrame, query, n: int = 10) -> DataFrame:
     return retrieve.bm25_topk(memories.where("state <> 'deleted'"), query, n)
 
 
+def profile(memories: DataFrame, now: Column, query=None, n: int = 10) -> DataFrame:
+    """(section, place, id, content, score): what is known of a user, what happened lately, and, for a query, the n memories that match its words best. Only a search result has a score. Without
+    a query (None) or without matches there is no search_results section."""
+
+    def section(name: str, rows: DataFrame, by: Column, score: Column) -> DataFrame:
+        place = F.row_number().over(Window.orderBy(by.desc(), "id")).cast("long")  # a section is small
+        return rows.select(F.lit(name).alias("section"), place.alias("place"), "id", "content", score.alias("score"))
+
+    none = F.lit(None).cast("double")
+    out = section("static_facts", _static(memories, 20), F.col("importance"), none).unionByName(section("dynamic_context", _dynamic(memories, now, 7, 10), F.col("created_at"), none))
+    if query is None:
+        return out
+    found = search_part(memories, query, n).join(memories.select("id", "content"), "id")
+    return out.unionByName(section("search_results", found, F.col("score"), F.col("score")))
+
+
 def context_block(results: DataFrame, now: Column, longest: int = 500) -> DataFrame:
     """One row (block) of search results (rank, category, tags, created_at, content): under the label of each category, in order of first
     appearance, a line for each result with its age and tags. A search returns few results (SearchOptions.limit), which are one value of the result. No results, no row."""

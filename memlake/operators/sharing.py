@@ -10,6 +10,8 @@ from memlake.operators import scan
 from memlake.schema import ROLES
 
 BROADCAST_RULES = 10_000
+#: What a request may ask for at most: a batch or a publication by ids, and all that a filter leaves.
+BATCH_MOST, ALL_MOST = 500, 5000
 
 
 def access(spaces: DataFrame) -> DataFrame:
@@ -57,16 +59,24 @@ def events_of(made: DataFrame, action: str) -> DataFrame:
     )
 
 
-def shared(memories: DataFrame, wanted: DataFrame, space: str, now: Column, user: str, agent: str = "") -> DataFrame:
-    """New copies in `space` of the memories in `wanted` (id): those of which it holds no live copy. One memory, a batch or all that a filter leaves are the same."""
+def at_most(rows: DataFrame, most: int | None, what: str) -> DataFrame:
+    """The rows as they are, or an error if there are more than `most` (None: any number). No row is left out, and no more than most + 1 are counted."""
+    if most is not None and rows.limit(most + 1).count() > most:
+        raise ValueError(f"{what} limited to {most} memories")
+    return rows
+
+
+def shared(memories: DataFrame, wanted: DataFrame, space: str, now: Column, user: str, agent: str = "", most: int | None = None) -> DataFrame:
+    """New copies in `space` of the memories in `wanted` (id): those of which it holds no live copy. One memory, a batch or all that a filter leaves are the same. More than `most` ids (BATCH_MOST, say) are an error."""
+    at_most(wanted.select("id"), most, "a batch is")
     sources = not_yet_shared(memories, space).join(wanted.select("id").distinct(), "id", "left_semi")
     return copies(sources, F.lit(space), now, F.lit(user), F.lit(agent))
 
 
-def shared_all(memories: DataFrame, user: str, space: str, now: Column, where: Column, agent: str = "") -> DataFrame:
-    """share-all, and with a bridge space share-all-to-user: copies of the live memories in the user's own space that the filter takes."""
+def shared_all(memories: DataFrame, user: str, space: str, now: Column, where: Column, agent: str = "", most: int | None = None) -> DataFrame:
+    """share-all, and with a bridge space share-all-to-user: copies of the live memories in the user's own space that the filter takes. More than `most` of them (ALL_MOST, say) are an error."""
     own = memories.where((F.col("space_id") == f"personal/{user}") & (F.col("state") != "deleted")).where(where)
-    return shared(memories, own, space, now, user, agent)
+    return shared(memories, at_most(own, most, "share-all is"), space, now, user, agent)
 
 
 def pulled(memories: DataFrame, wanted: DataFrame, source_space: str, user: str, now: Column, agent: str = "", visibility: str = "private") -> DataFrame:

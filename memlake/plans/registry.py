@@ -320,6 +320,22 @@ def hybrid_search(spark, d):
     return retrieve.hybrid(*_legs(spark, d), views.as_of())
 
 
+@query(sql.RERANKED)
+def hybrid_reranked(spark, d):
+    """The search with a reranker's scores for two thirds of the memories blended in."""
+    scores = _m(spark, d).where("i % 3 <> 0").select("id", ((F.col("i") % 10) / F.lit(10.0)).alias("rerank"))
+    return retrieve.hybrid(*_legs(spark, d), views.as_of(), reranked=scores)
+
+
+@query(sql.SEARCH_FILTERS)
+def search_filters(spark, d):
+    """What a request's scope, tags, source and agent leave, for two requests."""
+    m = scan.live(_m(spark, d)).withColumn("scope", F.col("tier"))
+    source = views.read(spark, d, "documents").agg(F.min("source")).first()[0]
+    first = m.where(retrieve.scoped("core", ["t3"], source)).select("id")
+    return first.unionByName(m.where(retrieve.scoped(tags=["en", "t2"], agent="agent-3")).select(F.concat("id", F.lit("/agent")).alias("id")))
+
+
 @query(sql.TRACE)
 def retrieval_trace(spark, d):
     all_stages = retrieve.stages(*_legs(spark, d), views.as_of(), hold=lambda rows: scratch.held(rows, "trace"))
@@ -386,6 +402,24 @@ def noise_filter(spark, d):
     return ingest.without_noise(views.messages(spark, d)).select("id")
 
 
+@query(sql.PROTOTYPES)
+def noise_prototypes(spark, d):
+    """All vectors that are like one of five prototypes."""
+    rows = views.read(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return ingest.like_prototypes(rows, rows.where("vec_id < 5").select(F.col("vector").alias("p_vector")), 0.25).select("vec_id")
+
+
+@query(sql.TEXT_MARKS)
+def text_marks(spark, d):
+    """Keywords that ask to remember, and texts without the fences or the context around them."""
+    t, id_ = F.coalesce("text", F.lit("")), F.col("doc_id")
+    sha = lambda x: F.sha2(x.cast("binary"), 256)
+    said = F.concat(t, F.when(id_ % 4 == 0, " Please REMEMBER it").when(id_ % 4 == 1, " 别忘了").otherwise(""))
+    fenced = F.concat(F.lit("```json\n"), t, F.lit("\n```"))
+    around = F.concat(F.lit("<memory-context>a\nb</memory-context>\n"), t, F.lit(" <memory-context></memory-context>"))
+    return views.read(spark, d, "documents").select("doc_id", text.has_keyword(said).alias("keyword"), sha(text.strip_fence(fenced)).alias("fence"), sha(text.strip_context(around)).alias("context"))
+
+
 @query(sql.ENVELOPE)
 def envelope_strip(spark, d):
     wrapped = F.concat(F.lit("bot: System: [10:00] Channel general\n"), "content", F.lit('\nSender (untrusted metadata): {"a":\n 1}\nend'))
@@ -619,6 +653,11 @@ def profile_dynamic(spark, d):
     return profile.dynamic_context(_m(spark, d), views.as_of())
 
 
+@query(sql.PROFILE)
+def profile_with_query(spark, d):
+    return profile.profile(_m(spark, d), views.as_of(), _probe(spark, d)[0]).select("section", "place", "id", F.round("score", 6).alias("score"))
+
+
 @query(sql.CONTEXT)
 def context_block(spark, d):
     return profile.context_lines(scan.live(_m(spark, d)), 600).select("id", "category", "spent")
@@ -723,6 +762,26 @@ def webhook_commits(spark, d):
     return webhook.commits(rows).select("repo", "kind", "content", F.array_join("tags", "|").alias("tags"))
 
 
+@query(sql.DISCUSSIONS)
+def webhook_discussions(spark, d):
+    """Issues, comments, pull requests and reviews from payloads that Spark makes of events; every fifth is of another kind."""
+    n = F.col("event_id")
+    user = F.when(n % 3 != 0, F.struct(F.concat(F.lit("u"), "user_id").alias("login"))).alias("user")
+    body = F.concat(F.lit("b"), "user_id").alias("body")
+    about = (n.alias("number"), F.when(n % 7 != 0, F.col("event_type")).alias("title"), body, user)
+    ref = lambda x: F.struct(x.alias("ref"))
+    parts = {
+        "repository": F.struct(F.concat(F.lit("r"), F.col("user_id") % 3).alias("full_name")),
+        "issue": F.when((n % 5).isin(0, 1, 4), F.struct(*about)),
+        "comment": F.when(n % 5 == 1, F.struct(body, user)),
+        "pull_request": F.when((n % 5).isin(2, 3), F.struct(*about, ref(F.concat(F.lit("f"), n)).alias("head"), ref(F.lit("main")).alias("base"))),
+        "review": F.when(n % 5 == 3, F.struct(F.lit("approved").alias("state"), F.when(n % 2 == 1, body).otherwise("").alias("body"), user)),
+    }
+    event = F.get(F.array(*map(F.lit, ("issues", "issue_comment", "pull_request", "pull_request_review", "ping"))), (n % 5).cast("int"))
+    rows = views.read(spark, d, "events").select(event.alias("event"), F.to_json(F.struct(*(c.alias(k) for k, c in parts.items()))).alias("payload"))
+    return webhook.discussions(rows).select("repo", "kind", "content", F.array_join("tags", "|").alias("tags"), "source")
+
+
 @query()
 def noise_learning(spark, d):
     e = views.read(spark, d, "embeddings")

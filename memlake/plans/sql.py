@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memlake.functions.text import ENVELOPES, NOISE, PRIVATE, ROLE_MARKS, SLOTS
+from memlake.functions.text import ENVELOPES, KEYWORDS, NOISE, PRIVATE, ROLE_MARKS, SLOTS
 from memlake.sources.views import AS_OF, EVENTS_SQL, MEMORIES_SQL, MESSAGES_SQL, RULES_SQL, SESSIONS_SQL, SPACES_SQL
 
 M = f"WITH {MEMORIES_SQL}"
@@ -339,3 +339,20 @@ SELECT doc_id, count(*) AS parts, CAST(max(len) AS BIGINT) AS longest FROM p GRO
 WEBHOOK = """WITH e AS (SELECT 'r' || (user_id % 3) AS repo, sha256(CAST(event_id AS VARCHAR)) AS sha, 'u' || user_id AS author, 'fix ' || event_type AS msg, 'src/a' || (event_id % 5) || '.py' AS file FROM events)
 SELECT repo, 'commit' AS kind, 'Commit ' || left(sha, 8) || ' by ' || author || ': ' || msg || chr(10) || 'Changed files: ' || file || ', README.md' AS content, 'repo:' || repo || '|github:push|commit:' || left(sha, 8) AS tags FROM e
 UNION ALL SELECT repo, 'file', '[File changed: ' || file || ' in commit ' || sha || ']', 'repo:' || repo || '|github:file_change|language:python|file:' || file FROM e"""
+
+DISCUSSIONS = """WITH e AS (SELECT event_id % 5 AS k, event_id AS n, event_id % 2 = 1 AS odd, 'r' || (user_id % 3) AS repo, CASE WHEN event_id % 7 = 0 THEN 'Untitled' ELSE event_type END AS title, CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE 'u' || user_id END AS who, 'b' || user_id AS body FROM events),
+m AS (SELECT repo, 'issue' AS kind, 'Issue #' || n || ': ' || title || chr(10) || 'By: ' || who || chr(10) || chr(10) || body AS content, 'issue:' || n AS tag FROM e WHERE k IN (0, 1)
+UNION ALL SELECT repo, 'issue_comment', 'Comment on issue #' || n || ' by ' || who || ':' || chr(10) || body, 'issue:' || n FROM e WHERE k = 1
+UNION ALL SELECT repo, 'pull_request', 'PR #' || n || ': ' || title || chr(10) || 'By: ' || who || chr(10) || 'Branch: f' || n || ' → main' || chr(10) || chr(10) || body, 'pr:' || n FROM e WHERE k IN (2, 3)
+UNION ALL SELECT repo, 'review', 'Review on PR #' || n || ' by ' || who || ' (approved):' || chr(10) || body, 'pr:' || n FROM e WHERE k = 3 AND odd)
+SELECT repo, kind, content, 'repo:' || repo || '|github:' || kind || '|' || tag AS tags, 'github:' || repo AS source FROM m"""
+PROFILE = f"""{LIVE}, {BM25_ALL}, f AS (SELECT 'static_facts' AS section, row_number() OVER (ORDER BY importance DESC, id) AS place, id, CAST(NULL AS DOUBLE) AS score FROM memories WHERE state = 'active' AND category IN ('profile', 'preferences')),
+c AS (SELECT 'dynamic_context' AS section, row_number() OVER (ORDER BY created_at DESC, id) AS place, id, CAST(NULL AS DOUBLE) AS score FROM memories WHERE state = 'active' AND category IN ('events', 'cases', 'patterns') AND created_at + INTERVAL 7 DAY >= {NOW}),
+r AS (SELECT 'search_results' AS section, row_number() OVER (ORDER BY score DESC, id) AS place, id, score FROM bm25)
+SELECT section, place, id, score FROM (SELECT * FROM f WHERE place <= 20 UNION ALL SELECT * FROM c WHERE place <= 10 UNION ALL SELECT * FROM r WHERE place <= 10)"""
+SEARCH_FILTERS = f"{LIVE} SELECT id FROM live WHERE tier = 'core' AND list_contains(tags, 't3') AND source = (SELECT min(source) FROM documents) UNION ALL SELECT id || '/agent' FROM live WHERE owner_agent_id = 'agent-3' AND list_contains(tags, 'en') AND list_contains(tags, 't2')"
+PROTOTYPES = f"SELECT e.vec_id FROM embeddings e WHERE EXISTS (SELECT 1 FROM embeddings p WHERE p.vec_id < 5 AND list_cosine_similarity({DOUBLES.format('e.embedding')}, {DOUBLES.format('p.embedding')}) >= 0.25)"
+TEXT_MARKS = f"""WITH t AS (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' Please REMEMBER it' WHEN 1 THEN ' 别忘了' ELSE '' END AS said, '```json' || chr(10) || text || chr(10) || '```' AS fenced, '<memory-context>a' || chr(10) || 'b</memory-context>' || chr(10) || text || ' <memory-context></memory-context>' AS around FROM documents)
+SELECT doc_id, {' OR '.join(f"contains(lower(said), {_quoted(k)})" for k in KEYWORDS)} AS keyword, sha256(trim(regexp_replace(trim(fenced), '^```[a-zA-Z]*\\s*|\\s*```$', '', 'g'))) AS fence, sha256(trim(regexp_replace(around, '<memory-context>.*?</memory-context>\\s*', '', 'gs'))) AS context FROM t"""
+_BLEND = "s6 AS (SELECT * REPLACE (0.6 * CASE WHEN CAST(substr(id, 2) AS BIGINT) % 3 <> 0 THEN CAST(CAST(substr(id, 2) AS BIGINT) % 10 AS DOUBLE) / 10 ELSE 0 END + 0.4 * score AS score), score AS pre FROM s5)"
+RERANKED = f"{LEGS}, {_pipeline(10).replace('s6 AS (SELECT *, score AS pre FROM s5)', _BLEND)} SELECT id, round(score, 6) AS score FROM s12"

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions import text
 
 PAYLOAD = """struct<action:string, ref:string, repository:struct<full_name:string>,
   commits:array<struct<id:string, message:string, author:struct<name:string>, added:array<string>, modified:array<string>, removed:array<string>>>,
-  issue:struct<number:long, title:string, body:string>, comment:struct<body:string>,
-  pull_request:struct<number:long, title:string, body:string>, review:struct<state:string, body:string>>"""
+  issue:struct<number:long, title:string, body:string, user:struct<login:string>>, comment:struct<body:string, user:struct<login:string>>,
+  pull_request:struct<number:long, title:string, body:string, user:struct<login:string>, head:struct<ref:string>, base:struct<ref:string>>,
+  review:struct<state:string, body:string, user:struct<login:string>>>"""
 
 
 def parse(payloads: DataFrame, column: str = "payload") -> DataFrame:
@@ -32,14 +33,29 @@ def commits(payloads: DataFrame) -> DataFrame:
 
 
 def discussions(payloads: DataFrame) -> DataFrame:
-    """(repo, kind, content) of issues, comments, pull requests, and reviews that say something. Unknown events give no rows."""
-    p = parse(payloads)
-    title = lambda c: F.concat(F.lit("#"), F.col(f"p.{c}.number").cast("string"), F.lit(": "), F.coalesce(f"p.{c}.title", F.lit("")))
-    body = lambda c: F.coalesce(f"p.{c}.body", F.lit(""))
-    content = (
-        F.when(F.col("event") == "issues", F.concat(F.lit("Issue "), title("issue"), F.lit("\n"), body("issue")))
-        .when(F.col("event") == "issue_comment", F.concat(F.lit("Comment on issue "), title("issue"), F.lit("\n"), body("comment")))
-        .when(F.col("event") == "pull_request", F.concat(F.lit("PR "), title("pull_request"), F.lit("\n"), body("pull_request")))
-        .when((F.col("event") == "pull_request_review") & (body("review") != ""), F.concat(F.lit("Review on PR "), title("pull_request"), F.lit("\n"), body("review")))
+    """(repo, kind, content, tags, source): a memory for each issue, comment, pull request, and review that says something. One payload may hold two of them, a comment and its issue, say. Other events give no rows; what
+    a payload leaves out is Untitled, unknown, 0 or empty."""
+    said = lambda path, otherwise="": F.coalesce(F.col(f"p.{path}"), F.lit(otherwise))
+    number = lambda c: F.coalesce(F.col(f"p.{c}.number"), F.lit(0)).cast("string")
+    by = lambda c: said(f"{c}.user.login", "unknown")
+
+    def memory(events: tuple[str, str], part: str, kind: str, tag: str, about: str, *content) -> Column:
+        tags = F.array(F.concat(F.lit("repo:"), "repo"), F.lit(f"github:{kind}"), F.concat(F.lit(f"{tag}:"), number(about)))
+        made = F.struct(F.lit(kind).alias("kind"), F.concat(*(F.lit(x) if isinstance(x, str) else x for x in content)).alias("content"), tags.alias("tags"))
+        return F.when(F.col("event").isin(*events) & F.col(f"p.{part}").isNotNull(), made)
+
+    issues, pulls = ("issues", "issue_comment"), ("pull_request", "pull_request_review")
+    review = memory(pulls, "review", "review", "pr", "pull_request", "Review on PR #", number("pull_request"), " by ", by("review"), " (", said("review.state", "unknown"), "):\n", said("review.body"))
+    found = F.array(
+        memory(issues, "issue", "issue", "issue", "issue", "Issue #", number("issue"), ": ", said("issue.title", "Untitled"), "\nBy: ", by("issue"), "\n\n", said("issue.body")),
+        memory(issues, "comment", "issue_comment", "issue", "issue", "Comment on issue #", number("issue"), " by ", by("comment"), ":\n", said("comment.body")),
+        memory(pulls, "pull_request", "pull_request", "pr", "pull_request", "PR #", number("pull_request"), ": ", said("pull_request.title", "Untitled"), "\nBy: ", by("pull_request"), "\nBranch: ", said("pull_request.head.ref"), " → ", said("pull_request.base.ref"), "\n\n", said("pull_request.body")),
+        F.when(said("review.body") != "", review),
     )
-    return p.select("repo", F.col("event").alias("kind"), content.alias("content")).where("content is not null")
+    rows = parse(payloads).select("repo", F.explode(F.array_compact(found)).alias("m"))
+    return rows.select("repo", "m.kind", "m.content", "m.tags", F.concat(F.lit("github:"), "repo").alias("source"))
+
+
+def memories(payloads: DataFrame) -> DataFrame:
+    """(repo, kind, content, tags, source) of all events: commits, changed files, discussions."""
+    return commits(payloads).withColumn("source", F.concat(F.lit("github:"), "repo")).unionByName(discussions(payloads))

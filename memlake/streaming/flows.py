@@ -103,8 +103,8 @@ def upserts(stream: DataFrame, checkpoint: str, table, now, embed, extract, deci
 
 
 def webhook_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Memories of pushes, from files of (event, payload) as they come."""
-    return webhook.commits(spark.readStream.schema("event string, payload string").json(path))
+    """Memories of pushes and discussions, from files of (event, payload) as they come."""
+    return webhook.memories(spark.readStream.schema("event string, payload string").json(path))
 
 
 def learn_noise(vectors, noisy: np.ndarray, known: list[np.ndarray], fixed: list[np.ndarray] = ()) -> tuple[np.ndarray, list[np.ndarray]]:

@@ -222,7 +222,9 @@ def test_store_versions_and_evolution(spark, tmp_path):
 def test_webhooks(spark):
     rows = [("issues", '{"repository":{"full_name":"r"},"issue":{"number":3,"title":"t","body":"b"}}'), ("pull_request_review", '{"review":{"body":""}}'), ("ping", "{}"), ("push", '{"commits":[{"id":"0123456789","message":"m","added":["a.rs"],"removed":["b.py"]}]}')]
     df = spark.createDataFrame(rows, "event string, payload string")
-    assert [r.content for r in webhook.discussions(df).collect()] == ["Issue #3: t\nb"]
+    assert [(r.content, r.tags) for r in webhook.discussions(df).collect()] == [("Issue #3: t\nBy: unknown\n\nb", ["repo:r", "github:issue", "issue:3"])]
+    both = spark.createDataFrame([("issue_comment", '{"issue":{"user":{"login":"a"}},"comment":{"body":"c","user":{"login":"z"}}}'), ("pull_request_review", '{"pull_request":{"number":4,"title":"p","head":{"ref":"f"},"base":{"ref":"m"}},"review":{"state":"ok","body":"r"}}'), ("push", '{"issue":{"number":1}}'), ("issues", None), ("issues", "no json")], "event string, payload string")
+    assert sorted(r.content for r in webhook.discussions(both).collect()) == ["Comment on issue #0 by z:\nc", "Issue #0: Untitled\nBy: a\n\n", "PR #4: p\nBy: unknown\nBranch: f → m\n\n", "Review on PR #4 by unknown (ok):\nr"]
     assert sorted(r.content for r in webhook.commits(df).collect()) == ["Commit 01234567 by unknown: m\nChanged files: a.rs", "[File changed: a.rs in commit 0123456789]"]
 
 
@@ -621,3 +623,38 @@ def test_import_chunks_of_rows_that_repeat_an_id(spark):
     rows = [(1, long), (1, long), (2, "user: a\nassistant: b\nuser: c\nassistant: d")]
     out = sorted((r.i, r.hint, r.part) for r in chunk.import_chunks(spark.createDataFrame(rows, "i int, t string"), "i", "t").collect())
     assert out == [(1, "large_doc", 0), (1, "large_doc", 0), (1, "large_doc", 1), (1, "large_doc", 1), (2, "conversation", 0)]
+
+
+def test_webhooks_as_a_stream(spark, tmp_path):
+    issue = json.dumps({"repository": {"full_name": "r"}, "issue": {"number": 1, "title": "t"}})
+    push = json.dumps({"commits": [{"id": "0123456789", "message": "m", "added": ["a.rs"]}]})
+    (tmp_path / "in").mkdir()
+
+    def run(name, *events):
+        (tmp_path / "in" / name).write_text("".join(json.dumps({"event": e, "payload": p}) + "\n" for e, p in events))
+        rows = flows.webhook_stream(spark, str(tmp_path / "in"))
+        rows.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        return sorted(r.kind for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run("1.json", ("issues", issue), ("push", push)) == ["commit", "file", "issue"]
+    assert run("2.json", ("issues", issue), ("ping", "{}")) == ["commit", "file", "issue", "issue"]
+
+
+def test_caps_raise_and_cut_nothing(spark):
+    m = views.memories(spark, SF).cache()
+    mine = m.where("space_id = 'personal/u2' and state <> 'deleted'")
+    n = mine.count()
+    wanted = mine.select("id")
+    assert n > 2 and sharing.shared(m, wanted, "team/z", now(), "u2", most=n).count() == n
+    assert sharing.shared_all(m, "u2", "team/z", now(), F.lit(True), most=n).count() == n
+    for call in (lambda: sharing.shared(m, wanted, "team/z", now(), "u2", most=n - 1), lambda: sharing.shared_all(m, "u2", "team/z", now(), F.lit(True), most=n - 1)):
+        with pytest.raises(ValueError, match=f"limited to {n - 1} memories"):
+            call()
+    assert sharing.shared(m, wanted.limit(0), "team/z", now(), "u2", most=0).count() == 0
+
+
+def test_profile_sections(spark):
+    m = views.memories(spark, SF)
+    assert {r.section for r in profile.profile(m, views.as_of()).collect()} == {"static_facts", "dynamic_context"}
+    assert {r.section for r in profile.profile(m, views.as_of(), ["zzzznone"]).collect()} == {"static_facts", "dynamic_context"}
+    assert profile.profile(m.limit(0), views.as_of(), ["a"]).count() == 0
