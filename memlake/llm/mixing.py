@@ -70,17 +70,17 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domain: str = "lang") -> D
     ids = bounded_sample(labelled.select("doc_id").where("doc_id is not null").distinct(), "doc_id", LABELLED)  # its size is bounded
     rows = docs.select("doc_id", "text", domain).join(F.broadcast(ids), "doc_id", "left_semi").where(F.col(domain).isNotNull())
     rows = rows.select(F.col(domain).cast("string").alias("domain"), _buckets(_words(text_of())).alias("buckets"))
+    top = [r["domain"] for r in rows.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(MAX_DOMAINS + 1).collect()]
+    if len(top) > MAX_DOMAINS:
+        rows = rows.withColumn("domain", F.when(F.col("domain").isin(top[: MAX_DOMAINS - 1]), F.col("domain")).otherwise(OTHER))
+    sizes = dict(rows.groupBy("domain").count().collect())  # MAX_DOMAINS rows at most, as domains were mapped before
     counts = rows.select("domain", F.explode("buckets").alias("bucket")).groupBy("domain", "bucket").count()
-    sizes = dict(rows.groupBy("domain").count().collect())  # LABELLED rows at most
-    if len(sizes) > MAX_DOMAINS:
-        large = sorted(sizes, key=lambda x: (-sizes[x], x))[: MAX_DOMAINS - 1]
-        sizes = {x: sizes[x] for x in large} | {OTHER: sum(n for x, n in sizes.items() if x not in large or x == OTHER)}
     names = sorted(sizes)
     if not names:
         return Domains(["all"], np.zeros(1), np.zeros((1, BUCKETS)))
     table_ = np.full((len(names), BUCKETS), 0.5)
     for r in counts.collect():  # at most MAX_DOMAINS * BUCKETS rows
-        table_[names.index(r["domain"] if r["domain"] in sizes else OTHER), r["bucket"]] += r["count"]
+        table_[names.index(r["domain"]), r["bucket"]] += r["count"]
     n = np.array([sizes[x] for x in names], dtype=float)
     return Domains(names, np.log(n / n.sum()), np.log(table_ / table_.sum(1, keepdims=True)))
 

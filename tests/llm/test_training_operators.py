@@ -513,6 +513,11 @@ def test_smaller_domains_share_one(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_DOMAINS", 3)
     rows = spark.createDataFrame([(i, f"w{i % 6} w{i % 6}", f"d{i % 6}") for i in range(60)] + [(100, "w0", "d0")], "doc_id long, text string, lang string")
     assert mixing.fit_domains(rows, rows.select("doc_id")).names == ["d0", "d1", "other"]
+    fitted = mixing.fit_domains(rows, rows.select("doc_id"))
+    found: dict[str, int] = {}
+    for r in rows.where("lang is not null").collect():
+        found[r.lang if r.lang in ("d0", "d1") else "other"] = found.get(r.lang if r.lang in ("d0", "d1") else "other", 0) + 1
+    assert np.allclose(np.exp(fitted.prior), [found[x] / sum(found.values()) for x in fitted.names])
 
 
 def test_projection_keeps_rates_nonnegative(spark):
