@@ -43,7 +43,7 @@ def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "part", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), own_failures(F.col("text")).alias("own"))
     rows = rows.groupBy("doc_id", "part", "digest", "own").agg(F.count(F.lit(1)).alias("n"))
     flags = labels.groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic")).where("good or toxic")
-    flags = flags.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    flags = flags.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")  # grows with the labels, and Spark's estimate leaves the salts out: never broadcast
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")).join(flags, ["doc_id", "salt"], "left")
     signature = ["part", "own", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic")]
     rows = rows.select("digest", "doc_id", "n", *signature)

@@ -51,6 +51,12 @@ def test_audit_of_odd_rows(spark):
     assert len(got) == 600 * 4
 
 
+def test_labels_are_never_broadcast(spark):
+    docs = spark.createDataFrame([(*r, 1, "x") for r in DOCS], "doc_id long, text string, lang string, n int, mask string")
+    plan = audit.failures(docs, spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_audit_of_empty_tables(spark):
     none, labels = spark.createDataFrame([], "doc_id long, text string, lang string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert audit.interactions(none, labels).collect() == []
