@@ -54,7 +54,7 @@ def message_block(messages: DataFrame, by: str, order: str, longest: int = 8000)
     return rows.withColumn("block", F.when(F.octet_length("block") <= longest, F.col("block")).otherwise(ended)).drop("_tail", "_at")
 
 
-def candidates(facts: DataFrame, memories: DataFrame, k: int = 5, min_score: float = 0.3, block: int = knn.BLOCK) -> DataFrame:
+def candidates(facts: DataFrame, memories: DataFrame, k: int = 5, min_score: float = 0.3, block: int | None = None) -> DataFrame:
     """(fact_id, id, score, updated_at, rank): the k nearest memories of each fact."""
     live = memories.where("state <> 'deleted'")
     found = knn.topk(facts.select("fact_id", "vector"), live.select("id", "vector"), k, min_score, block)
@@ -75,17 +75,22 @@ def gather(vector_leg: DataFrame, text_leg: DataFrame, cap: int = 60, by: list[s
 
 def support(fact: Column, message: Column) -> Column:
     """How much of a fact's wording its conversation backs."""
-    return text.jaccard(text.trimmed_word_set(fact), text.trimmed_word_set(message), 0.0)
+    return support_by(fact, text.trimmed_word_set(message))
+
+
+def support_by(fact: Column, words: Column) -> Column:
+    """support() of a conversation whose trimmed_word_set is there."""
+    return text.jaccard(text.trimmed_word_set(fact), words, 0.0)
 
 
 def admission(facts: DataFrame, matches: DataFrame, now: Column, preset: str = "balanced") -> DataFrame:
-    """facts (fact_id, l0, category, source_text) with the scores of the five features, the composite and the decision. matches are the k nearest with a
+    """facts (fact_id, l0, category, and source_text or else its `support`) with the scores of the five features, the composite and the decision. matches are the k nearest with a
     score of 0 at least; of equal scores that of the smallest id is the best."""
     best = matches.groupBy("fact_id").agg(F.max("score").alias("max_sim"), F.min_by("updated_at", F.struct(-F.col("score"), "id")).alias("best_at"))
     rows = facts.join(best, "fact_id", "left").withColumn("max_sim", F.coalesce("max_sim", F.lit(0.0)))
     days = F.floor(F.greatest((F.unix_seconds(now) - F.unix_seconds("best_at")) / 86400, F.lit(0)))
     rows = rows.withColumns({
-        "utility": scoring.utility(F.col("l0")), "support": support(F.col("l0"), F.col("source_text")), "novelty": 1 - F.col("max_sim"),
+        "utility": scoring.utility(F.col("l0")), "support": F.col("support") if "support" in facts.columns else support(F.col("l0"), F.col("source_text")), "novelty": 1 - F.col("max_sim"),
         "recency": F.when(F.col("best_at").isNull(), 1.0).otherwise(1 - F.exp(-days / F.lit(30.0))), "prior": scoring.type_prior(F.col("category")),
     })
     rows = rows.withColumn("score", F.round(0.1 * (F.col("utility") + F.col("support") + F.col("novelty") + F.col("recency")) + 0.6 * F.col("prior"), 6))

@@ -1,4 +1,4 @@
-"""Exact nearest rows by cosine: blocks of both sides meet in pairs, one matrix product each; or, by pivots, each row meets those cells alone that can hold a neighbour."""
+"""Exact nearest rows by cosine: one side streams by blocks of the other, in matrix products; or, by pivots, each row meets those cells alone that can hold a neighbour."""
 
 from __future__ import annotations
 
@@ -12,59 +12,33 @@ from pyspark.sql import functions as F
 from memlake.sources import scratch
 
 BLOCK, TILE = 4096, 256
+#: topk: so many bytes of vectors are held at a time by a task, and so many rows stream by them at most.
+HELD, STREAM = 64 << 20, 1 << 18
 #: At most so many pivots, and as many cells; they and figures of their cells are all that the driver sees.
 PIVOTS = 2048
 #: Scores are rounded to six places, so rows within that of a bound can still be among the best.
 SLACK = 2e-6
 
 
-def topk(left: DataFrame, right: DataFrame, k: int, min_score: float, block: int = BLOCK, apart: bool = False) -> DataFrame:
+def topk(left: DataFrame, right: DataFrame, k: int, min_score: float, block: int | None = None, apart: bool = False) -> DataFrame:
     """(left id, right id, score, rank): for each row of left (id, vector) the k rows of right (id, vector) of largest cosine, at or above min_score, rounded to six
     places; of equal ones the smaller id. `apart` leaves out rows of equal ids. The ids keep their columns' names.
 
-    Both sides are dealt into blocks by hash, each pair of blocks is a group of its own, and only its best k of each row leave it. Rows meet those of equal
-    length only; null vectors take no part, a zero vector has a cosine of 0."""
+    Right is dealt into parts of `block` rows, by default as many as HELD bytes hold, and every row of left goes to each part once and streams by there (see meet): what is copied is left once for a part, and right once
+    for STREAM rows of left (oftener only where that leaves cores without work). Rows meet those of equal length only; null vectors take no part, a zero vector has a cosine of 0."""
     (a, _), (b, _) = left.columns, right.columns
-    types = [left.schema[a].dataType.simpleString(), right.schema[b].dataType.simpleString()]
-    left, right = (x.where("vector is not null").withColumn("dim", F.size("vector")) for x in (left, right))
-    n, m = (max(1, -(-x.count() // block)) for x in (left, right))
-    part = lambda c, ways: F.pmod(F.xxhash64(c), F.lit(ways)).cast("int")
+    left, right = (x.where("vector is not null").withColumn("cell", F.size("vector")) for x in (left, right))
+    n, (m, longest) = left.count(), right.agg(F.count(F.lit(1)), F.max("cell")).first()
+    block = block or max(1, HELD // (8 * max(1, longest or 1)))
+    parts = max(1, -(-m // block))
+    ways = max(1, -(-n // STREAM), min(-(-n // BLOCK), 2 * left.sparkSession.sparkContext.defaultParallelism // parts))
+    deal = lambda c, ways: F.pmod(F.xxhash64(c), F.lit(ways)).cast("int")
     every = lambda ways: F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))
-    left = left.select("*", part(a, n).alias("i"), every(m).alias("j"))
-    right = right.select("*", part(b, m).alias("j"), every(n).alias("i"))
-
-    def read(table: pa.Table) -> np.ndarray:
-        x = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
-        norms = np.sqrt((x * x).sum(1, keepdims=True))
-        return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
-
-    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
-        rows: list[np.ndarray] = []
-        columns: list[np.ndarray] = []
-        scores: list[np.ndarray] = []
-        if x.num_rows and y.num_rows:
-            xs, ys = read(x), read(y)
-            x_ids, y_ids = x.column(a).to_pylist(), y.column(b).to_pylist()
-            order = np.argsort(np.array(y_ids, dtype=object if isinstance(y_ids[0], str) else None), kind="stable")
-            ys, places = ys[order].T, {}
-            if apart:
-                for at, o in enumerate(order):
-                    places.setdefault(y_ids[o], []).append(at)
-            for at in range(0, len(xs), TILE):
-                found = np.round(xs[at : at + TILE] @ ys, 6)
-                for r, key in enumerate(x_ids[at : at + TILE]) if apart else ():
-                    found[r, places.get(key, [])] = -np.inf
-                for r, own in enumerate(found):
-                    edge = max(min_score, np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else -np.inf)
-                    hit = np.flatnonzero((own >= edge) & (own > -np.inf))
-                    hit = hit[np.argsort(-own[hit], kind="stable")][:k]  # columns are in order of ids
-                    rows.append(np.full(len(hit), at + r))
-                    columns.append(order[hit])
-                    scores.append(own[hit])
-        take = lambda t, c, ix: t.column(c).take(pa.array(np.concatenate(ix) if ix else [], pa.int64()))
-        return pa.table({a: take(x, a, rows), b: take(y, b, columns), "score": pa.array(np.concatenate(scores) if scores else [], pa.float64())})
-
-    met = left.groupBy("dim", "i", "j").cogroup(right.groupBy("dim", "i", "j")).applyInArrow(meet, f"{a} {types[0]}, {b} {types[1]}, score double")
+    data = right.select("cell", deal(b, parts).alias("part"), every(ways).alias("way"), F.col(b).alias("id"), "vector")
+    asked = left.select("cell", every(parts).alias("part"), deal(a, ways).alias("way"), F.col(a).alias("key"), "vector", F.lit(float(min_score)).alias("least"))
+    more = right.groupBy(b).count().agg(F.max("count")).first()[0] or 0 if apart else 0  # rows that share an id, which is once where ids are unique
+    met = meet(data, asked, k + more, lambda batch: units(matrix(batch.column("vector")))).select(F.col("key").alias(a), F.col("id").alias(b), "score")
+    met = met.where(~F.col(a).eqNullSafe(F.col(b))) if apart else met
     order = Window.partitionBy(a).orderBy(F.desc("score"), b)
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -80,19 +54,25 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def best(scores: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, columns, scores) of the k largest scores of each row, rounded, that are at or above its `least`, largest first and of equal ones the first column."""
-    rows, columns = np.nonzero(scores >= (least - 1e-6)[:, None])  # few, once a row's bound has risen
-    start = np.searchsorted(rows, np.arange(len(scores) + 1))
-    for r, (a, b) in enumerate(zip(start[:-1], start[1:], strict=True)):
-        if a == b:
-            continue
-        hit = columns[a:b]
-        own = np.round(scores[r, hit], 6)
-        edge = max(least[r], np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else -np.inf)
-        hit, own = hit[own >= edge], own[own >= edge]
-        order = np.argsort(-own, kind="stable")[:k]
-        yield r, hit[order], own[order]
+def best(x: np.ndarray, data: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, columns, scores): for each row of x the k columns of largest product with data, rounded, that are at or above its `least`, largest first and of equal ones the first column. BLOCK columns are looked at at a
+    time, and those that can't be among the k best are left out by the bound that the columns before gave."""
+    edge, found = np.array(least, dtype=np.float64), []
+    for at in range(0, data.shape[1], BLOCK):
+        scores = x @ data[:, at : at + BLOCK]
+        hit = scores >= (edge - SLACK)[:, None]
+        if scores.shape[1] > k and np.count_nonzero(hit) > 4 * k * len(x):  # few, once a row's bound has risen
+            edge = np.fmax(edge, np.partition(scores, -k, axis=1)[:, -k])
+            hit = scores >= (edge - SLACK)[:, None]
+        rows, columns = np.nonzero(hit)
+        found.append((rows, columns + at, np.round(scores[rows, columns], 6)))
+    rows, columns, own = (np.concatenate(c) for c in zip(*found, strict=True))
+    kept = own >= least[rows]
+    rows, columns, own = rows[kept], columns[kept], own[kept]
+    order = np.lexsort((columns, -own, rows))
+    rows, columns, own = rows[order], columns[order], own[order]
+    kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[kept], columns[kept], own[kept]
 
 
 def meet(data: DataFrame, asked: DataFrame, k: int, read: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
@@ -129,10 +109,9 @@ def meet(data: DataFrame, asked: DataFrame, k: int, read: Callable[[pa.RecordBat
                     ready = pa.array([held[i] for i in order], ids[0].type), np.concatenate(parts)[order].T
                 vectors, least = units(matrix(own.column("vector"))), own.column("least").to_numpy()
                 for x in range(0, len(vectors), TILE):
-                    found = list(best(vectors[x : x + TILE] @ ready[1], k, least[x : x + TILE]))
-                    if found:
-                        rows = np.repeat([x + r + a for r, _, _ in found], [len(hit) for _, hit, _ in found])
-                        out.append((rows, ready[0].take(pa.array(np.concatenate([hit for _, hit, _ in found]))), np.concatenate([own for _, _, own in found])))
+                    rows, columns, scores = best(vectors[x : x + TILE], ready[1], k, least[x : x + TILE])
+                    if len(rows):
+                        out.append((x + rows + a, ready[0].take(pa.array(columns)), scores))
             if out:
                 rows, found, scores = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(np.concatenate(rows))), pa.concat_arrays(found), pa.array(np.concatenate(scores))], names=["key", "id", "score"])
@@ -154,7 +133,7 @@ def pivot_topk(rows: DataFrame, k: int, min_score: float, pivots: int | None = N
     rows = rows.select("id", "vector").where("vector is not null")
     dims, n = rows.agg(F.count_distinct(F.size("vector")), F.count(F.lit(1))).first()
     if dims != 1:
-        found = topk(rows.withColumnRenamed("id", "source_id"), rows.withColumnRenamed("id", "target_id"), k, min_score, block, apart=True)
+        found = topk(rows.withColumnRenamed("id", "source_id"), rows.withColumnRenamed("id", "target_id"), k, min_score, apart=True)
         return found.select("source_id", "target_id", "score", "rank")
     copies = Window.partitionBy("vector").orderBy("id")
     held = rows.withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= k + 1)

@@ -69,21 +69,25 @@ def ingest(messages: DataFrame, memories: DataFrame, now, embed, extract, decide
     action = F.when(F.col("decision") == "reject", "REJECT").when(F.coalesce("_guarded", F.lit(False)) | F.col("match_id").isNull(), "CREATE").otherwise(decide(F.col("best")))
     decisions = asked.select(F.concat(F.lit("i"), "fact_id").alias("decision_id"), action.alias("action"), "fact_id", "match_id", F.lit(None).cast("string").alias("merged_content"), F.struct("request", "at").alias("seq"))
     decisions = keep(decisions)
-    made = keep(reconcile.resolve(decisions.where("action <> 'REJECT'"), admitted.drop("source_text"), memories))
+    made = keep(reconcile.resolve(decisions.where("action <> 'REJECT'"), admitted, memories))
     return reconcile.apply(memories, made, now, embed, tenant), decisions.select("decision_id", "action", now.alias("decided_at"))
 
 
 def reconcile_input(messages: DataFrame, embed, extract) -> DataFrame:
-    """(fact_id, request, at, l0, l1_overview, l2_content, tags, category, source_text, vector): the facts of each conversation's newest messages that aren't noise and don't repeat one
-    before. fact_id is a digest of the conversation and the fact's words; of equal facts of a conversation the first one counts."""
+    """(fact_id, request, at, l0, l1_overview, l2_content, tags, category, support, vector): the facts of each conversation's newest messages that aren't noise and don't repeat one
+    before. fact_id is a digest of the conversation and the fact's words; of equal facts of a conversation the first one counts. How far the conversation backs a fact is told here, so no
+    fact takes its conversation's text along."""
     rows = operators.redacted(operators.budget(messages, "conv_id", "turn"))
     block = operators.message_block(rows, "conv_id", "turn")
-    found = block.select(F.col("conv_id").alias("request"), "block", F.posexplode(F.from_json(extract(F.col("block")), seams.FACTS)["memories"]).alias("at", "m"))
-    facts = found.select("request", "at", F.col("m.l0_abstract").alias("l0"), "m.l1_overview", "m.l2_content", "m.tags", F.col("m.category").alias("category"), F.col("block").alias("source_text"))
+    found = block.select(F.col("conv_id").alias("request"), F.posexplode(F.from_json(extract(F.col("block")), seams.FACTS)["memories"]).alias("at", "m"))
+    facts = found.select("request", "at", F.col("m.l0_abstract").alias("l0"), "m.l1_overview", "m.l2_content", "m.tags", F.col("m.category").alias("category"))
     facts = facts.where(F.coalesce(text.strip(F.col("l0")) != "", F.lit(False))).where(~text.is_noise(F.col("l0")))
     digest = F.substring(F.sha2(F.concat_ws("\x1f", F.col("request").cast("string"), F.col("l0")).cast("binary"), 256), 1, 32)
-    facts = facts.withColumn("fact_id", digest).groupBy("fact_id", "request").agg(F.min_by(F.struct("at", "l0", "l1_overview", "l2_content", "tags", "category", "source_text"), "at").alias("f"))
-    return reconcile.self_dedup(facts.select("fact_id", "request", "f.*"), order="at").withColumn("vector", embed(F.col("l0")))
+    facts = facts.withColumn("fact_id", digest).groupBy("fact_id", "request").agg(F.min_by(F.struct("at", "l0", "l1_overview", "l2_content", "tags", "category"), "at").alias("f"))
+    kept = reconcile.self_dedup(facts.select("fact_id", "request", "f.*"), order="at")
+    said = block.select(F.col("conv_id").alias("request"), text.trimmed_word_set(F.col("block")).alias("_words"))
+    kept = kept.join(said, "request").withColumn("support", operators.support_by(F.col("l0"), F.col("_words"))).drop("_words")
+    return kept.withColumn("vector", embed(F.col("l0")))
 
 
 def upserts(stream: DataFrame, checkpoint: str, table, now, embed, extract, decide=seams.ruled_decisions, tenant: str = ""):

@@ -658,3 +658,33 @@ def test_profile_sections(spark):
     assert {r.section for r in profile.profile(m, views.as_of()).collect()} == {"static_facts", "dynamic_context"}
     assert {r.section for r in profile.profile(m, views.as_of(), ["zzzznone"]).collect()} == {"static_facts", "dynamic_context"}
     assert profile.profile(m.limit(0), views.as_of(), ["a"]).count() == 0
+
+
+def test_facts_leave_their_conversation_behind(spark):
+    """A fact carries how far its conversation backs it, and not the conversation's text."""
+    said = [(1, i, "user", f"Fact {i} is about thing{i} and place{i}. Then some more of it.") for i in range(6)]
+    rows = spark.createDataFrame(said, "conv_id long, turn long, role string, content string")
+    facts = flows.reconcile_input(rows, seams.embedder(seams.hashing_vectors), seams.completer(seams.sentence_facts))
+    block = ingest.message_block(rows, "conv_id", "turn").first()["block"]
+    assert "source_text" not in facts.columns and facts.count() > 3
+    want = facts.select("fact_id", ingest.support(F.col("l0"), F.lit(block)).alias("s"))
+    assert sorted(facts.select("fact_id", "support").collect()) == sorted(want.collect())
+
+
+def test_rows_meet_parts_as_large_as_memory_holds(spark):
+    """Rows of the left side are sent once for each part of the right one, and parts hold more than a block; what is found is the same by parts of any size."""
+    r = np.random.RandomState(5)
+    x, y = r.randint(-2, 3, size=(300, 6)).astype(float), r.randint(-2, 3, size=(9000, 6)).astype(float)  # ties
+    a, b = (spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(z)], f"{name} long, vector array<double>") for z, name in ((x, "a"), (y, "b")))
+    s = np.round(knn.units(x) @ knn.units(y).T, 6)
+    want = sorted((i, int(j), s[i, j], n + 1) for i in range(len(x)) for n, j in enumerate(np.lexsort((np.arange(len(y)), -s[i]))[:4]) if s[i, j] >= 0.9)
+    for block in (None, 2500):
+        assert sorted(map(tuple, knn.topk(a, b, 4, 0.9, block).select("a", "b", "score", "rank").collect())) == want
+    sent = []
+    knn_meet = knn.meet
+    try:
+        knn.meet = lambda data, asked, k, read: sent.append(asked.count()) or knn_meet(data, asked, k, read)
+        knn.topk(a, b, 4, 0.9).count()
+    finally:
+        knn.meet = knn_meet
+    assert sent == [300]
