@@ -217,8 +217,8 @@ def stages(memories: DataFrame, vector: DataFrame | None, words: DataFrame | Non
     return out
 
 
-def hybrid(memories: DataFrame, vector: DataFrame | None, words: DataFrame | None, now: Column, o: SearchOptions = SearchOptions(), by: list[str] = (), reranked: DataFrame | None = None) -> DataFrame:
-    return stages(memories, vector, words, now, o, by, reranked)[-1][1].select(*by, "id", F.round("score", 6).alias("score"))
+def hybrid(memories: DataFrame, vector: DataFrame | None, words: DataFrame | None, now: Column, o: SearchOptions = SearchOptions(), by: list[str] = (), reranked: DataFrame | None = None, hold: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    return stages(memories, vector, words, now, o, by, reranked, hold)[-1][1].select(*by, "id", F.round("score", 6).alias("score"))
 
 
 def trace(all_stages: list[tuple[str, DataFrame]]) -> DataFrame:

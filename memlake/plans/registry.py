@@ -352,11 +352,11 @@ def diversity_penalty(spark, d):
 @query(sql.CROSS_SPACE)
 def cross_space_search(spark, d):
     words, vector = _probe(spark, d)
-    m = _m(spark, d, True).where("state <> 'deleted'")
-    scored = m.where("vector is not null").join(F.broadcast(vector)).select("space_id", "id", F.round(scoring.cosine(F.col("vector"), F.col("qv")), 6).alias("score"))
+    m, vectors = (_m(spark, d, v).where("state <> 'deleted'") for v in (False, True))  # texts never meet vectors
+    scored = vectors.where("vector is not null").join(F.broadcast(vector)).select("space_id", "id", F.round(scoring.cosine(F.col("vector"), F.col("qv")), 6).alias("score"))
     top = lambda rows: rows.withColumn("_n", F.row_number().over(Window.partitionBy("space_id").orderBy(F.desc("score"), "id"))).where("_n <= 30").drop("_n")
     t = retrieve.bm25_scores(m, words).join(m.select("id", "space_id"), "id").select("space_id", "id", "score")
-    ranked = retrieve.hybrid(m, top(scored), top(t), views.as_of(), SearchOptions(), ["space_id"])
+    ranked = retrieve.hybrid(m, top(scored), top(t), views.as_of(), SearchOptions(), ["space_id"], hold=lambda rows: scratch.held(rows, "cross-space"))
     return retrieve.cross_space(ranked, views.spaces(spark), 20)
 
 

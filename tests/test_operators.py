@@ -688,3 +688,9 @@ def test_rows_meet_parts_as_large_as_memory_holds(spark):
     finally:
         knn.meet = knn_meet
     assert sent == [300]
+
+
+def test_search_across_spaces_searches_once(spark):
+    """The result is read from candidates that were found once: its plan scans neither documents nor vectors."""
+    plan = registry.QUERIES["cross_space_search"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "embedding" not in plan and "documents.parquet" not in plan
