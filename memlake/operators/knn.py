@@ -54,6 +54,11 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of TILE rows at most: what a row has for each pivot or bin is held for so many rows at a time."""
+    return (batch.slice(at, TILE) for batch in batches for at in range(0, len(batch), TILE))
+
+
 def best(x: np.ndarray, data: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows, columns, scores): for each row of x the k columns of largest product with data, rounded, that are at or above its `least`, largest first and of equal ones the first column. BLOCK columns are looked at at a
     time, and those that can't be among the k best are left out by the bound that the columns before gave."""
@@ -143,7 +148,7 @@ def pivot_topk(rows: DataFrame, k: int, min_score: float, pivots: int | None = N
     zero_cell = len(points)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tiles(batches):
             x = units(matrix(batch.column("vector")))
             cos = np.clip(x @ points.T, -1, 1)
             cell = cos.argmax(1)
@@ -176,7 +181,7 @@ def pivot_topk(rows: DataFrame, k: int, min_score: float, pivots: int | None = N
 
     def reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each row the bins, and the largest cosine that a row of each can have, largest first."""
-        for batch in batches:
+        for batch in tiles(batches):
             x = units(matrix(batch.column("vector")))
             cos = np.clip(x @ points.T, -1, 1)
             own, angle = cos.argmax(1), np.arccos(cos)

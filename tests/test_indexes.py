@@ -54,6 +54,16 @@ def test_pivot_join_sends_rows_to_few_cells(spark):
     assert copies[1] < 1.5 * copies[0] < 6  # of 7 bins and of 25
 
 
+def test_pivots_meet_few_rows_at_a_time(spark):
+    """A batch of any size is compared with the pivots TILE rows at a time, whatever Arrow's batches are."""
+    batch = pa.RecordBatch.from_pydict({"id": list(range(1000))})
+    parts = list(knn.tiles(iter([batch, batch.slice(0, 0), batch.slice(990)])))
+    assert max(map(len, parts)) == knn.TILE and [i for p in parts for i in p.column("id").to_pylist()] == [*range(1000), *range(990, 1000)]
+    data = _clustered(700)
+    got = {(x.source_id, x.target_id, x.score, x["rank"]) for x in knn.pivot_topk(_frame(spark, data).coalesce(1), 3, 0.3, 100).collect()}
+    assert got == _brute(data, 3, 0.3)
+
+
 def _texts(spark, n=300):
     rows = [(f"d{i:03}", " ".join(f"w{(i * j) % 37}" for j in range(1, 3 + i % 40)) + (" rare" if i % 29 == 0 else "") + " the" * (i % 5), "the w1" if i % 2 else None) for i in range(n)]
     return spark.createDataFrame([*rows, ("e1", None, None), ("e2", "", "")], "id string, content string, l0_abstract string")
