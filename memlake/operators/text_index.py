@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ ALL = ""
 POST = T.StructType([T.StructField("id", T.StringType()), T.StructField("tf", T.IntegerType()), T.StructField("len", T.IntegerType())])
 FIGURES = ("min_tf", "max_tf", "min_len", "max_len")
 POSTINGS = T.StructType([
-    T.StructField("bucket", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("field", T.IntegerType()), T.StructField("level", T.IntegerType()),
+    T.StructField("bucket", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("field", T.IntegerType()), T.StructField("level", T.IntegerType()), T.StructField("shard", T.LongType()),
     T.StructField("posts", T.ArrayType(POST)), T.StructField("n", T.LongType()), T.StructField("total", T.LongType()), *(T.StructField(c, T.IntegerType()) for c in FIGURES),
 ])
 
@@ -49,6 +50,7 @@ def inverted(batches: Iterator[pa.RecordBatch], fields: int) -> Iterator[pa.Reco
     def rows(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held)
         ids = table.column(0).combine_chunks()
+        shard = zlib.crc32((ids[0].as_py() or "").encode())  # of all blocks of these documents
         for f in range(fields):
             words = [t.split() for t in table.column(1 + f).to_pylist()]
             lengths = np.array([len(w) for w in words], dtype=np.int64)
@@ -66,8 +68,8 @@ def inverted(batches: Iterator[pa.RecordBatch], fields: int) -> Iterator[pa.Reco
             posts = pa.StructArray.from_arrays([ids.take(pa.array(doc)), pa.array(tf.astype(np.int32)), pa.array(length.astype(np.int32))], fields=list(kind))
             posts = pa.ListArray.from_arrays(pa.array(np.append(start, len(doc)).astype(np.int32)), posts)
             ends = [op.reduceat(c, start).astype(np.int32) for c in (tf, length) for op in (np.minimum, np.maximum)]
-            columns = [names.take(pa.array(term[start])), pa.array(np.full(len(start), f, dtype=np.int32)), pa.array(level[start].astype(np.int32)), posts, pa.array(size.astype(np.int64)), pa.array(np.add.reduceat(length, start).astype(np.int64)), *map(pa.array, ends)]
-            out = pa.RecordBatch.from_arrays(columns, names=["term", "field", "level", "posts", "n", "total", *FIGURES])
+            columns = [names.take(pa.array(term[start])), pa.array(np.full(len(start), f, dtype=np.int32)), pa.array(level[start].astype(np.int32)), pa.array(np.full(len(start), shard, dtype=np.int64)), posts, pa.array(size.astype(np.int64)), pa.array(np.add.reduceat(length, start).astype(np.int64)), *map(pa.array, ends)]
+            out = pa.RecordBatch.from_arrays(columns, names=["term", "field", "level", "shard", "posts", "n", "total", *FIGURES])
             yield from (out.slice(x, 4096) for x in range(0, len(out), 4096))
 
     held: list[pa.RecordBatch] = []
@@ -108,16 +110,21 @@ class TextIndex:
         """One segment of all, without what was removed."""
         gone = self.removed.read().distinct()
         few = [r["id"] for r in gone.limit(FEW + 1).collect()]
-        rows = self.table.read().select("term", "field", "level", "posts")
+        shard = F.coalesce("shard", F.lit(0).cast("long")).alias("shard")
+        rows = self.table.read().select("term", "field", "level", shard, "posts")
         if len(few) > FEW:
-            rows = rows.select("term", "field", "level", F.explode("posts").alias("p")).select("*", F.col("p.id").alias("id")).join(gone, "id", "left_anti").select("term", "field", "level", F.array("p").alias("posts"))
+            # blocks of all texts tell which documents a shard has, so a shard's blocks meet the few that it loses, and no posting is dealt by itself
+            own = rows.where((F.col("term") == ALL) & (F.col("field") == 0)).select("shard", F.explode("posts.id").alias("id")).join(gone, "id", "left_semi")
+            rows = rows.join(own.groupBy("shard").agg(F.collect_list("id").alias("_gone")), "shard", "left")
+            lost = F.col("_gone").isNotNull() & F.arrays_overlap(F.transform("posts", lambda p: p["id"]), "_gone")
+            rows = rows.withColumn("posts", F.when(F.coalesce(lost, F.lit(False)), F.filter("posts", lambda p: ~F.array_contains("_gone", p["id"]))).otherwise(F.col("posts"))).where(F.size("posts") > 0).drop("_gone")
         elif few:
             rows = rows.withColumn("posts", F.filter("posts", lambda p: ~p["id"].isin(few))).where(F.size("posts") > 0)
         parts = max(1, -(-int(self.table.read().where(F.col("term") == ALL).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // (SHARD * len(self.fields))))
-        rows = rows.groupBy("term", "field", "level", F.pmod(F.xxhash64(F.col("posts")[0]["id"]), F.lit(parts)).alias("part")).agg(F.flatten(F.collect_list("posts")).alias("posts"))  # a few shards
+        rows = rows.groupBy("term", "field", "level", F.pmod(F.xxhash64("shard"), F.lit(parts)).cast("long").alias("shard")).agg(F.flatten(F.collect_list("posts")).alias("posts"))  # a few shards
         ends = [op(F.col(f"posts.{c}")).alias(f"{name}_{c}") for c in ("tf", "len") for name, op in (("min", F.array_min), ("max", F.array_max))]
         total = F.aggregate("posts", F.lit(0).cast("long"), lambda a, p: a + p["len"]).alias("total")
-        self.table.replace(self._placed(rows.select("term", "field", "level", "posts", F.size("posts").cast("long").alias("n"), total, *ends), True))
+        self.table.replace(self._placed(rows.select("term", "field", "level", "shard", "posts", F.size("posts").cast("long").alias("n"), total, *ends), True))
         self.removed.replace(gone.limit(0))
 
     def plan(self, asked: list[str], k: int) -> tuple[DataFrame, float, int, int]:

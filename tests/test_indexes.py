@@ -87,6 +87,22 @@ def test_text_index_gives_the_same_as_a_scan(spark, tmp_path):
     assert same(docs.where("id not like 'd1%' or id = 'd100'"), "w5 rare", 12)
 
 
+def test_text_index_loses_many_without_dealing_postings(spark, tmp_path, monkeypatch):
+    """Merges that lose more than FEW documents, also of shards that were merged before, give what a scan gives; no posting is dealt by itself."""
+    monkeypatch.setattr(text_index, "FEW", 3)
+    docs, index = _texts(spark), text_index.TextIndex(spark, f"{tmp_path}/i", buckets=8)
+    index.add(docs.where("id < 'd200'").repartition(3))
+    index.add(docs.where("id >= 'd200'"))
+    plans, placed = [], index._placed
+    monkeypatch.setattr(index, "_placed", lambda rows, *a: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or placed(rows, *a))
+    for gone in ("id like 'd1%'", "id like 'd1%' or id like '%7'"):
+        index.remove(docs.where(gone).select("id"))
+        index.merge()
+        for q in ("the rare w3", "w5 w7"):
+            assert [tuple(r) for r in index.search(q, 12).collect()] == [tuple(r) for r in retrieve.bm25_topk(docs.where(f"not ({gone})"), q, 12).collect()]
+    assert len(plans) == 2 and not any("explode(posts#" in p for p in plans)
+
+
 def test_text_index_reads_what_can_matter(spark, tmp_path):
     index = text_index.TextIndex(spark, f"{tmp_path}/i", buckets=8)
     index.add(_texts(spark, 3000).coalesce(2))
