@@ -1,7 +1,8 @@
-"""Keyed stream state: noise learned for each tenant, import tasks as state machines with timers. Both need the RocksDB state store (see rocksdb)."""
+"""Keyed stream state: noise learned for each tenant, which needs the RocksDB state store (see rocksdb), and import tasks as state machines with timers."""
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -10,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from memlake.functions import text
 from memlake.streaming import flows
@@ -70,32 +72,35 @@ RECORD = (
     "reconcile_merged long, reconcile_progress long, errors array<string>, created long, completed long, handled long, due long, version long"
 )
 _FIELDS = [f.split()[0] for f in RECORD.split(", ")]
+_Event = namedtuple("_Event", "at, rank, part, n, message, kind")
 EVENTS = "task_id string, kind string, part long, n long, message string, at timestamp"
 #: Kinds of events, in the order in which those of one moment count.
 KINDS = ("created", "chunked", "extracted", "chunk_failed", "reconciled", "reconcile_failed", "failed", "rolled_back")
 
 
-class _Tasks(StatefulProcessor):
+#: Handled chunks are kept as bits, so many in one long.
+BLOCK = 63
+_STATE = f"{RECORD}, blocks map<long, long>"
+
+
+class _Tasks:
+    """The function of applyInPandasWithState: states travel with the rows, so a task takes no call of the state store from Python. (transformWithState takes three or more, and the time is that of their round trips.)"""
+
     def __init__(self, timeout_ms: int):
         self.timeout = timeout_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.record = handle.getValueState("record", RECORD)
-        self.parts = handle.getMapState("parts", "part long", "facts long")
-
-    def _read(self) -> dict:
-        held = self.record.get()
-        if held is not None:
-            return dict(zip(_FIELDS, held, strict=True)) | {"errors": list(held[_FIELDS.index("errors")])}
-        return dict.fromkeys(_FIELDS, 0) | {"status": "processing", "extraction_status": "pending", "reconcile_status": "pending", "errors": [], "created": None, "completed": None, "due": None}
+    def _read(self, state: GroupState) -> tuple[dict, dict[int, int]]:
+        """A task's record, and the blocks of its handled chunks."""
+        if state.exists:
+            *held, blocks = state.get
+            return dict(zip(_FIELDS, held, strict=True)) | {"errors": list(held[_FIELDS.index("errors")])}, dict(blocks)
+        return dict.fromkeys(_FIELDS, 0) | {"status": "processing", "extraction_status": "pending", "reconcile_status": "pending", "errors": [], "created": None, "completed": None, "due": None}, {}
 
     def _end(self, task: dict, status: str, at: int) -> None:
         task["status"], task["completed"] = status, at
 
-    def _step(self, task: dict, e, old: bool, new: dict[int, int]) -> None:
-        """What an event does to a task, which is `old` if earlier batches had some of it, and which chunks the batch adds to those handled (`new`). Chunks count once each, however often and in whatever order their
-        events come; a task that has ended only rolls back."""
+    def _step(self, task: dict, blocks: dict[int, int], e) -> None:
+        """What an event does to a task and to the blocks of its handled chunks. Chunks count once each, however often and in whatever order their events come; a task that has ended only rolls back."""
         if e.kind == "rolled_back":
             task["status"] = "rolled_back"
             return
@@ -109,8 +114,9 @@ class _Tasks(StatefulProcessor):
         elif e.kind == "chunked" and task["extraction_status"] == "pending":
             task["extraction_status"], task["extraction_chunks"] = "running", e.n
         elif e.kind in ("extracted", "chunk_failed"):
-            if e.part not in new and not (old and self.parts.containsKey((e.part,))):
-                new[e.part] = e.n if e.kind == "extracted" else -1
+            block, bit = e.part // BLOCK, 1 << e.part % BLOCK
+            if not blocks.get(block, 0) & bit:
+                blocks[block] = blocks.get(block, 0) | bit
                 task["handled"] += 1
                 if e.kind == "extracted":
                     task["extraction_facts"] += e.n
@@ -135,44 +141,30 @@ class _Tasks(StatefulProcessor):
                 task["reconcile_status"] = "skipped"
                 self._end(task, "completed", e.at)
 
-    def _out(self, key, task: dict) -> pd.DataFrame:
+    def _time_out(self, task: dict) -> None:
+        task["errors"].append("timed out")
+        self._end(task, "failed", task["due"])
+
+    def __call__(self, key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        task, blocks = self._read(state)
+        if state.hasTimedOut:
+            self._time_out(task)
+        else:
+            events = sorted(_Event(**e) for frame in frames for e in frame["event"])
+            for e in events:
+                self._step(task, blocks, e)
+            if task["status"] == "processing":
+                task["due"] = max(events[-1].at + self.timeout, task["due"] or 0)
+                if task["due"] <= state.getCurrentWatermarkMs():
+                    self._time_out(task)
+        if task["status"] == "processing":
+            state.setTimeoutTimestamp(task["due"] - 1)  # it comes once the watermark is beyond that
+        else:  # a task that has ended counts no more chunks
+            task["due"], blocks = None, {}
         task["version"] += 1
         row = tuple(task[f] for f in _FIELDS)
-        self.record.update(row)
-        out = pd.DataFrame([(key[0], *row)], columns=["task_id", *_FIELDS])
-        return out.astype({c: "Int64" for c in ("created", "completed", "due")})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["at", "rank", "part"], kind="stable")
-        task, due, new = self._read(), None, {}
-        old = task["version"] > 0
-        for e in frame.itertuples(index=False):
-            self._step(task, e, old, new)
-        if task["status"] == "processing":
-            due = max(int(frame["at"].max()) + self.timeout, task["due"] or 0)
-            for part, facts in new.items():
-                self.parts.updateValue((part,), (facts,))
-        elif old:  # a task that has ended counts no more chunks
-            self.parts.clear()
-        if due != task["due"]:
-            if task["due"] is not None:
-                self.handle.deleteTimer(task["due"])
-            if due is not None:
-                self.handle.registerTimer(due)
-            task["due"] = due
-        yield self._out(key, task)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        task = self._read()
-        if task["status"] == "processing" and task["due"] is not None and expiredTimerInfo.getExpiryTimeInMs() >= task["due"]:
-            task["errors"].append("timed out")
-            self._end(task, "failed", task["due"])
-            task["due"] = None
-            self.parts.clear()
-            yield self._out(key, task)
-
-    def close(self) -> None:
-        pass
+        state.update((*row, blocks))
+        yield pd.DataFrame([(*key, *row)], columns=["task_id", *_FIELDS], dtype=object)
 
 
 def task_records(events: DataFrame, timeout: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -187,8 +179,9 @@ def task_records(events: DataFrame, timeout: str = "1 hour", late: str = "10 min
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     rows = events.where("task_id IS NOT NULL AND at IS NOT NULL").where(F.col("kind").isin(*KINDS)).withWatermark("at", late)
     zero, none = F.lit(0).cast("long"), F.lit("")
-    rows = rows.select("task_id", "kind", rank.alias("rank"), F.coalesce("part", zero).alias("part"), F.coalesce("n", zero).alias("n"), F.coalesce("message", none).alias("message"), F.col("at").alias("_at"), F.unix_millis("at").alias("at"))
-    out = rows.groupBy("task_id").transformWithStateInPandas(_Tasks(ms), f"task_id string, {RECORD}", "update", "eventTime")
+    event = F.struct(F.unix_millis("at").alias("at"), rank.alias("rank"), F.coalesce("part", zero).alias("part"), F.coalesce("n", zero).alias("n"), F.coalesce("message", none).alias("message"), "kind")
+    rows = rows.select("task_id", "at", event.alias("event"))  # few columns, as each is converted for each task
+    out = rows.groupBy("task_id").applyInPandasWithState(_Tasks(ms), f"task_id string, {RECORD}", _STATE, "update", GroupStateTimeout.EventTimeTimeout)
     return out.withColumns({c: F.timestamp_millis(c) for c in ("created", "completed")})
 
 

@@ -144,3 +144,44 @@ def test_noise_of_empty_and_null(spark, tmp_path, rows):
     put(spark, rows, ROWS, at, "b0")
     out = run(state.learned_noise(spark.readStream.schema(ROWS).parquet(f"{at}/in")), at)
     assert [tuple(r) for r in out.collect()] == [(t, seq, False) for t, seq, _, _ in rows]
+
+
+def test_a_task_is_one_row_of_state_however_many_chunks_it_has(spark, tmp_path):
+    """A batch writes one row of state for each task it has events of, as each write would be a round trip; parts may be negative or far apart, and count once, also after a restart."""
+    at = str(tmp_path)
+    os.makedirs(f"{at}/in")
+    e = lambda task, kind, at, part=None, n=None, message=None: (task, kind, part, n, message, minute(at))
+    parts = [-64, -1, 0, 62, 63, 10**12, *range(200, 400)]
+    names = [f"t{i}" for i in range(20)]
+    updated = []
+
+    def go():
+        stream = state.task_records(spark.readStream.schema(state.EVENTS).parquet(f"{at}/in"))
+        with state.rocksdb(spark):
+            query = stream.writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{at}/c").trigger(availableNow=True).start()
+        query.awaitTermination()
+        updated.extend(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["numInputRows"])
+
+    put(spark, [e(t, "chunked", 0, n=len(parts) + 1) for t in names] + [e(t, "extracted", 1, p, 1) for t in names for p in parts], state.EVENTS, at, "b0")
+    go()
+    put(spark, [e(t, "extracted", 2, p, 1) for t in names for p in parts], state.EVENTS, at, "b1")
+    go()
+    assert updated == [len(names)] * 2
+    put(spark, [e(t, "extracted", 3, 500, 1) for t in names], state.EVENTS, at, "b2")
+    last = state.finished(state.task_records(spark.readStream.schema(state.EVENTS).parquet(f"{at}/in")), f"{at}/c", f"{at}/out").collect()
+    assert {(r.extraction_status, r.reconcile_status, r.extraction_facts, r.extraction_progress, r.version) for r in last} == {("completed", "running", len(parts) + 1, 10**12 + 1, 3)} and len(last) == len(names)
+
+
+def test_a_task_fails_when_the_watermark_meets_its_time(spark, tmp_path):
+    """Exactly then, and at once if that was so when its events came."""
+    at = str(tmp_path)
+    os.makedirs(f"{at}/in")
+    e = lambda task, kind, at: (task, kind, 0, 1, None, minute(at))
+    put(spark, [e("clock", "failed", 100), e("on the mark", "created", 89), e("not yet", "created", 89.01), e("again", "created", 80)], state.EVENTS, at, "b0")
+    put(spark, [e("behind", "created", 50), e("again", "extracted", 95), e("clock", "rolled_back", 100)], state.EVENTS, at, "b1")
+    stream = state.task_records(spark.readStream.schema(state.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"), "1 minute", "10 minutes")
+    got = {r.task_id: (r.status, r.completed, r.errors) for r in state.latest(run(stream, at, "update")).collect()}
+    assert got == {
+        "clock": ("rolled_back", minute(100), [""]), "on the mark": ("failed", minute(90), ["timed out"]), "not yet": ("processing", None, []),
+        "again": ("processing", None, []), "behind": ("failed", minute(51), ["timed out"]),
+    }
