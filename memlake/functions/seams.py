@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -26,15 +27,18 @@ def embedder(embed: Callable[[list[str]], list[list[float]]], batch: int = 25):
 
 def hashing_vectors(texts: list[str], dim: int = 64) -> list[list[float]]:
     """Signed word hashing, unit length: the same text has the same vector everywhere."""
-    out = []
-    for t in texts:
-        v = np.zeros(dim)
+    v = np.zeros((len(texts), dim))
+    for row, t in zip(v, texts, strict=True):
         for w in re.findall(r"\w+", t.lower()):
-            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-            v[h % dim] += 1 if h >> 63 else -1
-        n = np.linalg.norm(v)
-        out.append((v / n if n else v).astype(np.float32).tolist())
-    return out
+            h = _hashed(w)
+            row[h % dim] += 1 if h >> 63 else -1
+    n = np.sqrt((v * v).sum(1, keepdims=True))  # of whole numbers, so the same in any order
+    return np.divide(v, n, out=v, where=n > 0).astype(np.float32).tolist()
+
+
+@functools.lru_cache(1 << 17)
+def _hashed(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
 
 
 def completer(complete: Callable[[str], str]):

@@ -122,8 +122,8 @@ def trimmed_word_set(text: Column) -> Column:
 
 def jaccard(a: Column, b: Column, both_empty: float) -> Column:
     """Of two arrays of distinct words."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, both_empty).otherwise(F.size(F.array_intersect(a, b)) / union)
+    both, shared = F.size(a) + F.size(b), F.size(F.array_intersect(b, a))
+    return F.when(both == 0, both_empty).otherwise(shared / (both - shared))
 
 
 def content_type(text: Column) -> Column:

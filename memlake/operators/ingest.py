@@ -54,10 +54,10 @@ def message_block(messages: DataFrame, by: str, order: str, longest: int = 8000)
     return rows.withColumn("block", F.when(F.octet_length("block") <= longest, F.col("block")).otherwise(ended)).drop("_tail", "_at")
 
 
-def candidates(facts: DataFrame, memories: DataFrame, k: int = 5, min_score: float = 0.3, block: int | None = None) -> DataFrame:
-    """(fact_id, id, score, updated_at, rank): the k nearest memories of each fact."""
+def candidates(facts: DataFrame, memories: DataFrame, k: int = 5, min_score: float = 0.3, block: int | None = None, among: DataFrame | None = None) -> DataFrame:
+    """(fact_id, id, score, updated_at, rank): the k nearest memories of each fact. `among` (id, vector) are those of the memories that can be, if that is known."""
     live = memories.where("state <> 'deleted'")
-    found = knn.topk(facts.select("fact_id", "vector"), live.select("id", "vector"), k, min_score, block)
+    found = knn.topk(facts.select("fact_id", "vector"), live.select("id", "vector") if among is None else among, k, min_score, block)
     return found.join(live.select("id", "updated_at"), "id").select("fact_id", "id", "score", "updated_at", "rank")
 
 

@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from memlake.sources import scratch
 
 BLOCK, TILE = 4096, 256
-#: topk: so many bytes of vectors are held at a time by a task, and so many rows stream by them at most.
-HELD, STREAM = 64 << 20, 1 << 18
+#: topk: so many bytes of vectors are held at a time by a task, and so many rows stream by them at most, WAIT bytes of vectors at a time.
+HELD, STREAM, WAIT = 128 << 20, 1 << 18, 32 << 20
 #: At most so many pivots, and as many cells; they and figures of their cells are all that the driver sees.
 PIVOTS = 2048
 #: Scores are rounded to six places, so rows within that of a bound can still be among the best.
 SLACK = 2e-6
+#: Rows of whole numbers (see whole): WIDE columns meet NARROW rows at a time; bytes hold the products of rows of at most MOST as sum of squares. Multiples of one number are known to EVEN of their
+#: length, so scores by them to EXACT, within which a row can still be among the best.
+WIDE, NARROW, MOST, EVEN, EXACT = 6 << 11, 128, 127, 2.5e-7, 4e-6
 
 
 def topk(left: DataFrame, right: DataFrame, k: int, min_score: float, block: int | None = None, apart: bool = False) -> DataFrame:
@@ -43,6 +46,11 @@ def topk(left: DataFrame, right: DataFrame, k: int, min_score: float, block: int
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def first_of_equal(rows: DataFrame, k: int) -> DataFrame:
+    """rows (id, vector) without those that k rows of the same vector and smaller ids come before: none of the k nearest of anything is among them."""
+    return rows.where("vector is not null").withColumn("_n", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("_n") <= k).drop("_n")
+
+
 def units(vectors: np.ndarray) -> np.ndarray:
     """Rows of unit length; zero rows stay."""
     norms = np.sqrt((vectors * vectors).sum(1, keepdims=True))
@@ -80,6 +88,117 @@ def best(x: np.ndarray, data: np.ndarray, k: int, least: np.ndarray) -> tuple[np
     return rows[kept], columns[kept], own[kept]
 
 
+def whole(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, which): each row as small whole numbers where it is such a row times one number, as counts of words are when scaled; which rows are, with a sum of squares of MOST at most."""
+    out, which = np.zeros(vectors.shape, dtype=np.int8), np.zeros(len(vectors), dtype=bool)
+    least = np.where(vectors == 0, np.inf, np.abs(vectors)).min(axis=1, initial=np.inf)
+    which[np.isinf(least) & np.isfinite(vectors).all(axis=1)] = True  # zero rows
+    for c in range(1, 7):
+        left = np.flatnonzero(~which & np.isfinite(least))
+        own = vectors[left] * (c / least[left])[:, None]
+        near = np.rint(own)
+        squares = (own * own).sum(1)
+        good = (squares <= MOST + 0.5) & (((own - near) ** 2).sum(1) <= EVEN * EVEN * squares)
+        out[left[good]], which[left[good]] = near[good], True
+    return out, which
+
+
+class Whole:
+    """Columns of whole numbers, to find the best for rows of whole numbers. Six columns are one in a matrix product, as the bytes of a number under 2^53, which a product of doubles keeps exactly:
+    with 2^52 and 128 a byte added, the product with each of them is a byte of the result."""
+
+    def __init__(self, columns: np.ndarray, units: np.ndarray):
+        squares = (columns.astype(np.int64) ** 2).sum(1)
+        self.order = np.argsort(squares, kind="stable")
+        self.columns, self.squares, self.units = columns[self.order], squares[self.order], units
+
+    def best(self, rows: np.ndarray, units: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As best(), but all that can be among the k best. No row is zero."""
+        x = np.append(rows, np.ones((len(rows), 1), rows.dtype), axis=1).astype(np.float64)
+        scale, edge, found, ends = np.sqrt((x[:, :-1] ** 2).sum(1)), np.array(least, dtype=np.float64), [], []
+        for at in range(0, len(self.columns), WIDE):
+            own, squares = self.columns[at : at + WIDE].astype(np.float64), self.squares[at : at + WIDE]
+            own = np.append(own, np.zeros((-len(own) % 6, own.shape[1])), axis=0).reshape(-1, 6, own.shape[1])
+            packed = np.append((own * 256.0 ** np.arange(6)[:, None]).sum(1), np.full((len(own), 1), 2.0**52 + 128 * (256.0 ** np.arange(6)).sum()), axis=1).T.copy()
+            group = np.append(True, squares[1:] != squares[:-1])
+            place = np.arange(len(squares)) // 6 * 8 + np.arange(len(squares)) % 6  # of each column's byte
+            start, norms = place[group], np.sqrt(squares[group])
+            stop = np.append(start[1:], place[-1] + 1)
+            inverse = np.divide(1.0, norms, out=np.zeros(len(norms)), where=norms > 0)
+            group = np.cumsum(group) - 1
+            for a in range(0, len(x), NARROW):
+                tile = slice(a, a + NARROW)
+                sums = (x[tile] @ packed).view(np.uint8)
+                most = (np.maximum.reduceat(sums, start, axis=1) - 128.0) * inverse
+                top = most.max(axis=1) / scale[tile]
+                near = np.flatnonzero(top >= edge[tile] - EXACT)
+                if not len(near):
+                    continue
+                way = scale[tile][near]
+                if k == 1:
+                    raised = np.where(top[near] > 0, top[near], edge[tile][near])  # the bytes above the six count as less than 0
+                elif len(place) >= k:
+                    raised = np.partition((sums[near][:, place] - 128.0) * inverse[group], -k, axis=1)[:, -k] / way
+                else:
+                    raised = edge[tile][near]
+                edge[a + near] = np.fmax(edge[a + near], raised)
+                bound = (edge[a + near] - EXACT) * way
+                i, g = np.nonzero(most[near] >= bound[:, None])
+                byte = np.ceil(bound[i] * norms[g] + 128 - 1e-9).clip(0, 255).astype(np.int64)
+                for r, own, u, v in zip(near[i].tolist(), byte.tolist(), start[g].tolist(), stop[g].tolist(), strict=True):
+                    hit = (sums[r, u:v] >= own).nonzero()[0] + u
+                    found.append((np.repeat(a + r, len(hit)), hit, sums[r, hit]))
+                    ends.append(at)
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        at = np.repeat(ends, [len(f[0]) for f in found])
+        row, byte, value = (np.concatenate(c) for c in zip(*found, strict=True))
+        column = at + byte // 8 * 6 + byte % 8
+        kept = (byte % 8 < 6) & (column < np.minimum(at + WIDE, len(self.columns)))
+        row, column, value = row[kept], column[kept], value[kept].astype(np.float64) - 128
+        kept = value >= (edge[row] - EXACT) * scale[row] * np.sqrt(self.squares[column]) - 1e-9
+        row, column = row[kept], self.order[column[kept]]
+        step = 1 << 16
+        scores = [np.einsum("ij,ij->i", units[row[x : x + step]], self.units[column[x : x + step]]) for x in range(0, len(row), step)]
+        return row, column, np.round(np.concatenate([*scores, np.empty(0)]), 6)
+
+
+class Held:
+    """Unit vectors in the order of their ids, and the best of them for rows of unit vectors: six at a time where both are of whole numbers."""
+
+    def __init__(self, units: np.ndarray):
+        own, which = whole(units)
+        self.units, self.at, self.rest = units, np.flatnonzero(which), np.flatnonzero(~which)
+        self.whole = Whole(own[which], units[which])
+
+    def best(self, x: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        least, found = np.array(least, dtype=np.float64), []
+        own, which = whole(x) if len(self.at) else (None, np.zeros(len(x), dtype=bool))
+        which &= (x != 0).any(axis=1) if len(self.at) else False
+        empty = np.flatnonzero(~(x != 0).any(axis=1))  # a zero vector is as near to all
+        first = np.arange(min(k, len(self.units)))
+        zero = empty[least[empty] <= 0]
+        found.append((np.repeat(zero, len(first)), np.tile(first, len(zero)), np.zeros(len(zero) * len(first))))
+        at = np.flatnonzero(which)
+        if len(at):
+            rows, columns, scores = self.whole.best(own[at], x[at], k, least[at])
+            found.append((at[rows], self.at[columns], scores))
+        for rows, columns in ((at, self.rest), (np.setdiff1d(np.arange(len(x)), np.append(at, empty)), None)):
+            data = self.units.T if columns is None else self.units[columns].T
+            for a in range(0, len(rows) if data.shape[1] else 0, TILE):
+                part = rows[a : a + TILE]
+                r, c, scores = best(x[part], data, k, least[part])
+                found.append((part[r], c if columns is None else columns[c], scores))
+        rows, columns, scores = (np.concatenate(c) for c in zip(*found, strict=True))
+        rows, columns = rows.astype(np.int64), columns.astype(np.int64)
+        kept = scores >= least[rows]
+        rows, columns, scores = rows[kept], columns[kept], scores[kept]
+        order = np.lexsort((columns, -scores, rows))
+        rows, columns, scores = rows[order], columns[order], scores[order]
+        kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        return rows[kept], columns[kept], scores[kept]
+
+
 def meet(data: DataFrame, asked: DataFrame, k: int, read: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
     """(key, id, score): the k best rows of data (cell, part, way, id, and what `read` makes unit vectors from) for each row of asked (cell, part, way, key, vector, least), of those of equal
     (cell, part, way) whose score is `least` or more. Both sides are dealt by these three and sorted, data first: a task holds BLOCK rows or so of one part and lets those asked for stream by."""
@@ -91,16 +210,33 @@ def meet(data: DataFrame, asked: DataFrame, k: int, read: Callable[[pa.RecordBat
     both = both.unionByName(asked.select(*at, F.lit(1).alias("kind"), *null(c for c in ("id", *payload) if c != "vector"), "key", "vector", "least"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, ids, parts, ready = None, [], [], None
+        place, ids, parts, ready, waiting = None, [], [], None, []
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            nonlocal ready
+            if not waiting or not ids:
+                waiting.clear()
+                return
+            if ready is None:
+                held = pa.chunked_array(ids).to_pylist()
+                order = np.array(sorted(range(len(held)), key=held.__getitem__), dtype=np.int64)
+                ready = pa.array([held[i] for i in order], ids[0].type), Held(np.concatenate(parts)[order])
+                parts.clear()
+            keys, vectors, least = zip(*waiting, strict=True)
+            waiting.clear()
+            rows, columns, scores = ready[1].best(np.concatenate(vectors), k, np.concatenate(least))
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(keys).take(pa.array(rows)), ready[0].take(pa.array(columns)), pa.array(scores)], names=["key", "id", "score"])
+
         for batch in batches:
             marks = np.stack([batch.column(c).to_numpy() for c in (*at, "kind")], axis=1)
             cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
-            out: list[tuple] = []
             for a, b in zip([0, *cuts], [*cuts, len(marks)], strict=True):
                 if a == b:
                     continue
                 own = batch.slice(a, b - a)
                 if tuple(marks[a, :3]) != place:
+                    yield from answers()
                     place, ids, parts, ready = tuple(marks[a, :3]), [], [], None
                 if marks[a, 3] == 0:
                     ids.append(own.column("id"))
@@ -108,18 +244,10 @@ def meet(data: DataFrame, asked: DataFrame, k: int, read: Callable[[pa.RecordBat
                     continue
                 if not ids:
                     continue
-                if ready is None:
-                    held = pa.chunked_array(ids).to_pylist()
-                    order = np.array(sorted(range(len(held)), key=held.__getitem__), dtype=np.int64)
-                    ready = pa.array([held[i] for i in order], ids[0].type), np.concatenate(parts)[order].T
-                vectors, least = units(matrix(own.column("vector"))), own.column("least").to_numpy()
-                for x in range(0, len(vectors), TILE):
-                    rows, columns, scores = best(vectors[x : x + TILE], ready[1], k, least[x : x + TILE])
-                    if len(rows):
-                        out.append((x + rows + a, ready[0].take(pa.array(columns)), scores))
-            if out:
-                rows, found, scores = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(np.concatenate(rows))), pa.concat_arrays(found), pa.array(np.concatenate(scores))], names=["key", "id", "score"])
+                waiting.append((own.column("key"), units(matrix(own.column("vector"))), own.column("least").to_numpy()))
+                if sum(w[1].nbytes for w in waiting) >= WAIT:
+                    yield from answers()
+        yield from answers()
 
     dealt = both.repartition(*at).sortWithinPartitions(*at, "kind")
     return dealt.mapInArrow(run, f"key {kinds['key'].simpleString()}, id {kinds['id'].simpleString()}, score double")

@@ -44,11 +44,11 @@ def by_ordinal(decisions: DataFrame, facts: DataFrame, existing: DataFrame) -> D
 def self_dedup(facts: DataFrame, by: str = "request", threshold: float = 0.85, order: str = "fact_id") -> DataFrame:
     """facts (by, fact_id, l0, and the column `order`) of a request without those that nearly repeat an earlier one of it: the stand-in for asking a model which to keep. The first of a
     request always stays. Requests hold 50 facts at most (seams.sentence_facts), so a request's facts meet each other."""
-    words = facts.select(F.col(by).alias("_by"), F.col(order).alias("_at"), F.col("fact_id").alias("_id"), text.trimmed_word_set(F.col("l0")).alias("_words"))
-    words = words.groupBy("_by").agg(F.array_sort(F.collect_list(F.struct("_at", "_id", "_words"))).alias("all"))
-    near = lambda x: F.exists("all", lambda o: (o["_at"] < x["_at"]) & (text.jaccard(x["_words"], o["_words"], 0.0) > threshold))
-    kept = words.select("_by", F.explode(F.filter("all", lambda x: ~near(x))["_id"]).alias("_id"))
-    return facts.join(kept, (F.col(by) == F.col("_by")) & (F.col("fact_id") == F.col("_id")), "left_semi")
+    own = F.struct(F.col(order).alias("_at"), text.trimmed_word_set(F.col("l0")).alias("_words"), F.struct(*facts.columns).alias("_row"))
+    all_of = facts.where(F.col(by).isNotNull() & F.col("fact_id").isNotNull()).groupBy(by).agg(F.collect_list(own).alias("all"))
+    size = lambda x, o: F.least(F.size(x), F.size(o)) >= (threshold - 1e-9) * F.greatest(F.size(x), F.size(o))  # noqa: E731 - what sets of these sizes can share at most
+    near = lambda x: F.exists("all", lambda o: (o["_at"] < x["_at"]) & size(x["_words"], o["_words"]) & (text.jaccard(x["_words"], o["_words"], 0.0) > threshold))
+    return all_of.select(F.explode(F.filter("all", lambda x: ~near(x))["_row"]).alias("_row")).select("_row.*")
 
 
 def _optional(rows: DataFrame, name: str, kind: str, otherwise=None) -> Column:

@@ -64,6 +64,34 @@ def test_pivots_meet_few_rows_at_a_time(spark):
     assert got == _brute(data, 3, 0.3)
 
 
+def test_whole_numbers_meet_six_at_a_time():
+    """Rows of counts, beside rows that are none, zero rows and ties, have the same best columns as by plain products; no product of all of them is made."""
+    r = np.random.RandomState(5)
+    counts = [r.poisson(0.12, (n, 64)) * r.choice([-1.0, 1.0], (n, 64)) for n in (300, 14000)]
+    counts[1][100:140] = counts[1][:40]
+    counts[1][50], counts[0][7], counts[0][8] = 0, 0, r.normal(size=64)
+    counts[1][::97] = r.normal(size=(145, 64))
+    x, data = (knn.units(c).astype(np.float32).astype(np.float64) for c in counts)
+    x, data = knn.units(x), knn.units(data)
+    rows, which = knn.whole(x)
+    assert which.sum() == 299 and (rows[which] == counts[0][which] / np.gcd.reduce(np.abs(counts[0][which]).astype(int), axis=1).clip(1)[:, None]).all()
+    for k, least in ((1, 0.0), (1, -1.0), (5, 0.3), (3, -1.0)):
+        got, want = knn.Held(data).best(x, k, np.full(300, least)), knn.best(x, data.T, k, np.full(300, least))
+        assert all((a == b).all() for a, b in zip(got, want, strict=True)), (k, least)
+    seen, plain = [], knn.best
+    knn.best = lambda x, data, *a: seen.append(len(x) * data.shape[1]) or plain(x, data, *a)
+    try:
+        knn.Held(data).best(x, 1, np.zeros(300))
+    finally:
+        knn.best = plain
+    assert sum(seen) < 0.05 * 300 * 14000
+
+
+def test_equal_vectors_are_dealt_once(spark):
+    rows = spark.createDataFrame([("b", [1.0, 2.0]), ("a", [1.0, 2.0]), ("c", [1.0, 2.0]), ("d", [2.0, 1.0]), ("e", None)], "id string, vector array<float>")
+    assert sorted(r.id for r in knn.first_of_equal(rows, 1).collect()) == ["a", "d"] and sorted(r.id for r in knn.first_of_equal(rows, 2).collect()) == ["a", "b", "d"]
+
+
 def _texts(spark, n=300):
     rows = [(f"d{i:03}", " ".join(f"w{(i * j) % 37}" for j in range(1, 3 + i % 40)) + (" rare" if i % 29 == 0 else "") + " the" * (i % 5), "the w1" if i % 2 else None) for i in range(n)]
     return spark.createDataFrame([*rows, ("e1", None, None), ("e2", "", "")], "id string, content string, l0_abstract string")

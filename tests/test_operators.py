@@ -459,6 +459,13 @@ def test_import_routing_query(spark):
     assert {r.hint for r in chunk.import_chunks(spark.createDataFrame([(1, None), (2, "x")], "i int, t string"), "i", "t", "section").collect()} == {"structured_doc"}
 
 
+def test_facts_are_found_once(spark):
+    """Conversations are read, and facts extracted, once for all that is told of them."""
+    rows = spark.createDataFrame([(1, 0, "user", "Anna moved to Lisbon in March 2023 for a new job.")], "conv_id int, turn int, role string, content string")
+    plan = flows.reconcile_input(rows, seams.embedder(seams.hashing_vectors), seams.completer(seams.sentence_facts))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1 and "Join" not in plan
+
+
 def test_ingest_to_the_end(spark, tmp_path):
     embed, extract = seams.embedder(seams.hashing_vectors), seams.completer(seams.sentence_facts)
     rel = "array<struct<relation_type:string,target_id:string,context_label:string>>"
