@@ -33,6 +33,8 @@ LEVELS = (TOP + 1) * LENGTHS + 1
 RARE = 32
 #: So many removed documents are a set that a merge compares with; more are joined.
 FEW = 5000
+#: A merge takes so many bytes of files at a time, but a bucket at least; and sends so many removed ids to all tasks at most.
+SLICE, SENT = 64 << 20, 1_000_000
 #: What stands for all texts of a field: no text holds the empty term.
 ALL = ""
 POST = T.StructType([T.StructField("id", T.StringType()), T.StructField("tf", T.IntegerType()), T.StructField("len", T.IntegerType())])
@@ -90,13 +92,13 @@ class TextIndex:
         self.spark, self.fields, self.buckets = spark, fields, buckets
         self.table, self.removed = Table(spark, f"{path}/postings", POSTINGS, "bucket"), Table(spark, f"{path}/removed", T.StructType([T.StructField("id", T.StringType())]))
 
-    def _placed(self, blocks: DataFrame, gather: bool = False) -> DataFrame:
-        """Blocks sorted by bucket and term; to gather them by bucket, they are exchanged, and Spark splits a bucket that is large."""
+    def _placed(self, blocks: DataFrame) -> DataFrame:
+        """Blocks sorted by bucket and term."""
         blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
-        return (blocks.hint("rebalance", F.col("bucket")) if gather else blocks).sortWithinPartitions("bucket", "term", "field", "level")
+        return blocks.sortWithinPartitions("bucket", "term", "field", "level")
 
     def add(self, docs: DataFrame) -> None:
-        """Documents (id and the fields) as a new segment: one pass over their texts without any exchange; each task writes a file for each bucket, which merge() gathers."""
+        """Documents (id and the fields) as a new segment: one pass over their texts without any exchange; each task writes a file for each bucket, and merge() fewer."""
         n = len(self.fields)
         rows = docs.select(F.col("id").cast("string").alias("id"), *(F.array_join(tokens(F.coalesce(F.col(f), F.lit(""))), " ").alias(f"w{i}") for i, f in enumerate(self.fields)))
         schema = T.StructType([f for f in POSTINGS.fields if f.name != "bucket"])
@@ -107,25 +109,43 @@ class TextIndex:
         self.removed.append(ids.select(F.col("id").cast("string").alias("id")))
 
     def merge(self) -> None:
-        """One segment of all, without what was removed."""
+        """One segment of all, without what was removed. Some buckets are merged at a time, and what was exchanged for them is deleted when they are written, so a merge takes the disk of the
+        merged table and of a slice."""
         gone = self.removed.read().distinct()
         few = [r["id"] for r in gone.limit(FEW + 1).collect()]
-        shard = F.coalesce("shard", F.lit(0).cast("long")).alias("shard")
-        rows = self.table.read().select("term", "field", "level", shard, "posts")
+        table, lost = self.table.read(), None
         if len(few) > FEW:
             # blocks of all texts tell which documents a shard has, so a shard's blocks meet the few that it loses, and no posting is dealt by itself
-            own = rows.where((F.col("term") == ALL) & (F.col("field") == 0)).select("shard", F.explode("posts.id").alias("id")).join(gone, "id", "left_semi")
-            rows = rows.join(own.groupBy("shard").agg(F.collect_list("id").alias("_gone")), "shard", "left")
-            lost = F.col("_gone").isNotNull() & F.arrays_overlap(F.transform("posts", lambda p: p["id"]), "_gone")
-            rows = rows.withColumn("posts", F.when(F.coalesce(lost, F.lit(False)), F.filter("posts", lambda p: ~F.array_contains("_gone", p["id"]))).otherwise(F.col("posts"))).where(F.size("posts") > 0).drop("_gone")
+            shard = F.coalesce("shard", F.lit(0).cast("long")).alias("shard")
+            own = table.where(F.col("bucket").isin(self._buckets([ALL])) & (F.col("term") == ALL) & (F.col("field") == 0)).select(shard, F.explode("posts.id").alias("id"))
+            lost = own.join(gone, "id", "left_semi").groupBy("shard").agg(F.collect_list("id").alias("_gone")).persist()
+            lost = F.broadcast(lost) if self.removed.read().count() <= SENT else lost
+        parts = max(1, -(-int(table.where(F.col("bucket").isin(self._buckets([ALL])) & (F.col("term") == ALL)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // (SHARD * len(self.fields))))
+        slices = min(self.buckets, max(1, -(-self.table.bytes() // SLICE)))
+        cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(cleanup, None)
+        self.spark.conf.set(cleanup, "true")
+        try:
+            self.table.replace(self._merged(table.where(F.col("bucket").isin(list(range(x, self.buckets, slices)))), few, lost, parts) for x in range(slices))
+        finally:
+            self.spark.conf.unset(cleanup) if before is None else self.spark.conf.set(cleanup, before)
+            if lost is not None:
+                lost.unpersist()
+        self.removed.replace(gone.limit(0))
+
+    def _merged(self, rows: DataFrame, few: list[str], lost: DataFrame | None, parts: int) -> DataFrame:
+        """Blocks of some buckets without the removed documents: those of `few`, or of `lost` (shard, _gone)."""
+        rows = rows.select("term", "field", "level", F.coalesce("shard", F.lit(0).cast("long")).alias("shard"), "posts")
+        if lost is not None:
+            rows = rows.join(lost, "shard", "left")
+            meets = F.col("_gone").isNotNull() & F.arrays_overlap(F.transform("posts", lambda p: p["id"]), "_gone")
+            rows = rows.withColumn("posts", F.when(F.coalesce(meets, F.lit(False)), F.filter("posts", lambda p: ~F.array_contains("_gone", p["id"]))).otherwise(F.col("posts"))).where(F.size("posts") > 0).drop("_gone")
         elif few:
             rows = rows.withColumn("posts", F.filter("posts", lambda p: ~p["id"].isin(few))).where(F.size("posts") > 0)
-        parts = max(1, -(-int(self.table.read().where(F.col("term") == ALL).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // (SHARD * len(self.fields))))
         rows = rows.groupBy("term", "field", "level", F.pmod(F.xxhash64("shard"), F.lit(parts)).cast("long").alias("shard")).agg(F.flatten(F.collect_list("posts")).alias("posts"))  # a few shards
         ends = [op(F.col(f"posts.{c}")).alias(f"{name}_{c}") for c in ("tf", "len") for name, op in (("min", F.array_min), ("max", F.array_max))]
         total = F.aggregate("posts", F.lit(0).cast("long"), lambda a, p: a + p["len"]).alias("total")
-        self.table.replace(self._placed(rows.select("term", "field", "level", "shard", "posts", F.size("posts").cast("long").alias("n"), total, *ends), True))
-        self.removed.replace(gone.limit(0))
+        return self._placed(rows.select("term", "field", "level", "shard", "posts", F.size("posts").cast("long").alias("n"), total, *ends))
 
     def plan(self, asked: list[str], k: int) -> tuple[DataFrame, float, int, int]:
         """(term, field, level, df, most, read) of each level of the asked terms; the score that k documents have at least; the number of documents, and of blocks that are there. A level isn't

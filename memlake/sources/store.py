@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,9 +48,10 @@ class Table:
             n += 1
         return n
 
-    def _write(self, name: str, rows: DataFrame, parts: dict[str, DataFrame]) -> None:
-        out = evolve(rows, self.schema).write
-        (out.partitionBy(self.partition) if self.partition else out).parquet(f"{self.path}/{name}/rows")
+    def _write(self, name: str, rows: DataFrame | Iterable[DataFrame], parts: dict[str, DataFrame]) -> None:
+        for each in [rows] if isinstance(rows, DataFrame) else rows:
+            out = evolve(each, self.schema).write.mode("append")
+            (out.partitionBy(self.partition) if self.partition else out).parquet(f"{self.path}/{name}/rows")
         for part, frame in parts.items():
             frame.write.parquet(f"{self.path}/{name}/{part}")
         self._fs.createNewFile(self._at(f"{self.path}/{name}/_DONE"))
@@ -68,8 +70,12 @@ class Table:
         each = [self.spark.read.parquet(at) for at in each if self._fs.exists(self._at(at))]
         return functools.reduce(DataFrame.unionByName, each) if each else None
 
-    def replace(self, rows: DataFrame, **parts: DataFrame) -> None:
-        """The next snapshot. The one before stays for those who read it; older ones, and folders of writers that failed before it, go."""
+    def bytes(self) -> int:
+        """Of the files that read() reads."""
+        return sum(self._fs.getContentSummary(self._at(f"{self.path}/{name}/rows")).getLength() for _, name in self._done())
+
+    def replace(self, rows: DataFrame | Iterable[DataFrame], **parts: DataFrame) -> None:
+        """The next snapshot; of several frames, each is asked for when the one before is written. The snapshot before stays for those who read it; older ones, and folders of writers that failed before it, go."""
         before = self._done()
         n = self._claim()
         self._write(f"v={n}", rows, parts)

@@ -131,6 +131,25 @@ def test_text_index_loses_many_without_dealing_postings(spark, tmp_path, monkeyp
     assert len(plans) == 2 and not any("explode(posts#" in p for p in plans)
 
 
+def test_text_index_merges_by_slices(spark, tmp_path, monkeypatch):
+    """Of many slices, each finds what the one before exchanged deleted; the merged index gives what a scan gives."""
+    monkeypatch.setattr(text_index, "SLICE", 1)
+    files = lambda: sum(f.getName().startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()))
+    docs, index = _texts(spark), text_index.TextIndex(spark, f"{tmp_path}/i", buckets=8)
+    index.add(docs.where("id < 'd200'").repartition(3))
+    index.add(docs.where("id >= 'd200'"))
+    seen, placed = [], index._placed
+    monkeypatch.setattr(index, "_placed", lambda rows: seen.append(files()) or placed(rows))
+    for few, gone in ((5000, "id like 'd1%'"), (3, "id like 'd1%' or id like '%7'")):
+        monkeypatch.setattr(text_index, "FEW", few)
+        index.remove(docs.where(gone).select("id"))
+        seen.clear()
+        index.merge()
+        assert len(seen) == 8 and max(seen) == seen[0]
+        for q in ("the rare w3", "w5 w7"):
+            assert [tuple(r) for r in index.search(q, 12).collect()] == [tuple(r) for r in retrieve.bm25_topk(docs.where(f"not ({gone})"), q, 12).collect()]
+
+
 def test_text_index_reads_what_can_matter(spark, tmp_path):
     index = text_index.TextIndex(spark, f"{tmp_path}/i", buckets=8)
     index.add(_texts(spark, 3000).coalesce(2))
