@@ -13,7 +13,7 @@ from memlake.sources import scratch
 
 BLOCK, TILE = 4096, 256
 #: topk: so many bytes of vectors are held at a time by a task, and so many rows stream by them at most, WAIT bytes of vectors at a time.
-HELD, STREAM, WAIT = 128 << 20, 1 << 18, 32 << 20
+HELD, STREAM, WAIT = 64 << 20, 1 << 18, 8 << 20
 #: At most so many pivots, and as many cells; they and figures of their cells are all that the driver sees.
 PIVOTS = 2048
 #: Scores are rounded to six places, so rows within that of a bound can still be among the best.
@@ -91,15 +91,18 @@ def best(x: np.ndarray, data: np.ndarray, k: int, least: np.ndarray) -> tuple[np
 def whole(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows, which): each row as small whole numbers where it is such a row times one number, as counts of words are when scaled; which rows are, with a sum of squares of MOST at most."""
     out, which = np.zeros(vectors.shape, dtype=np.int8), np.zeros(len(vectors), dtype=bool)
-    least = np.where(vectors == 0, np.inf, np.abs(vectors)).min(axis=1, initial=np.inf)
-    which[np.isinf(least) & np.isfinite(vectors).all(axis=1)] = True  # zero rows
-    for c in range(1, 7):
-        left = np.flatnonzero(~which & np.isfinite(least))
-        own = vectors[left] * (c / least[left])[:, None]
-        near = np.rint(own)
-        squares = (own * own).sum(1)
-        good = (squares <= MOST + 0.5) & (((own - near) ** 2).sum(1) <= EVEN * EVEN * squares)
-        out[left[good]], which[left[good]] = near[good], True
+    for at in range(0, len(vectors), BLOCK):
+        part = vectors[at : at + BLOCK]
+        least = np.where(part == 0, np.inf, np.abs(part)).min(axis=1, initial=np.inf)
+        found = np.isinf(least) & np.isfinite(part).all(axis=1)  # zero rows
+        for c in range(1, 7):
+            left = np.flatnonzero(~found & np.isfinite(least))
+            own = part[left] * (c / least[left])[:, None]
+            near = np.rint(own)
+            squares = (own * own).sum(1)
+            good = (squares <= MOST + 0.5) & (((own - near) ** 2).sum(1) <= EVEN * EVEN * squares)
+            out[at + left[good]], found[left[good]] = near[good], True
+        which[at : at + BLOCK] = found
     return out, which
 
 
@@ -107,10 +110,11 @@ class Whole:
     """Columns of whole numbers, to find the best for rows of whole numbers. Six columns are one in a matrix product, as the bytes of a number under 2^53, which a product of doubles keeps exactly:
     with 2^52 and 128 a byte added, the product with each of them is a byte of the result."""
 
-    def __init__(self, columns: np.ndarray, units: np.ndarray):
+    def __init__(self, columns: np.ndarray, units: np.ndarray, at: np.ndarray):
+        """Of units, the rows `at`, which are columns as whole numbers."""
         squares = (columns.astype(np.int64) ** 2).sum(1)
         self.order = np.argsort(squares, kind="stable")
-        self.columns, self.squares, self.units = columns[self.order], squares[self.order], units
+        self.columns, self.squares, self.units, self.at = columns[self.order], squares[self.order], units, at
 
     def best(self, rows: np.ndarray, units: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """As best(), but all that can be among the k best. No row is zero."""
@@ -159,7 +163,7 @@ class Whole:
         kept = value >= (edge[row] - EXACT) * scale[row] * np.sqrt(self.squares[column]) - 1e-9
         row, column = row[kept], self.order[column[kept]]
         step = 1 << 16
-        scores = [np.einsum("ij,ij->i", units[row[x : x + step]], self.units[column[x : x + step]]) for x in range(0, len(row), step)]
+        scores = [np.einsum("ij,ij->i", units[row[x : x + step]], self.units[self.at[column[x : x + step]]]) for x in range(0, len(row), step)]
         return row, column, np.round(np.concatenate([*scores, np.empty(0)]), 6)
 
 
@@ -169,7 +173,7 @@ class Held:
     def __init__(self, units: np.ndarray):
         own, which = whole(units)
         self.units, self.at, self.rest = units, np.flatnonzero(which), np.flatnonzero(~which)
-        self.whole = Whole(own[which], units[which])
+        self.whole = Whole(own[which], units, self.at)
 
     def best(self, x: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         least, found = np.array(least, dtype=np.float64), []
@@ -220,8 +224,10 @@ def meet(data: DataFrame, asked: DataFrame, k: int, read: Callable[[pa.RecordBat
             if ready is None:
                 held = pa.chunked_array(ids).to_pylist()
                 order = np.array(sorted(range(len(held)), key=held.__getitem__), dtype=np.int64)
-                ready = pa.array([held[i] for i in order], ids[0].type), Held(np.concatenate(parts)[order])
+                every = np.concatenate(parts)
                 parts.clear()
+                every = every[order]
+                ready = pa.array([held[i] for i in order], ids[0].type), Held(every)
             keys, vectors, least = zip(*waiting, strict=True)
             waiting.clear()
             rows, columns, scores = ready[1].best(np.concatenate(vectors), k, np.concatenate(least))
